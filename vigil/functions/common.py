@@ -14,7 +14,7 @@ def pick(names: list[str], idx: Column) -> Column:
 
 
 def ts_plus_ms(ts: Column, ms: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) + (ms * F.lit(1000)).cast("long"))
+    return F.timestamp_micros(F.unix_micros(ts.cast("timestamp")) + (ms * F.lit(1000)).cast("long"))
 
 
 def ts_from_2024_ms(ms: Column) -> Column:

@@ -62,14 +62,21 @@ v_span AS (
 # A1 + A3 + A4: one row per trace (no window), features and primary service
 VIEWS["v_trace"] = """
 v_trace_svc AS (
-  SELECT trace_seq, service, sum(duration_ms) AS svc_dur, min(rn) AS first_rn
+  SELECT trace_seq, service, sum(duration_ms) AS svc_dur, min(start_time) AS first_start
   FROM v_span GROUP BY trace_seq, service
 ),
 v_trace_primary AS (
   SELECT trace_seq, service AS primary_service FROM (
-    SELECT *, row_number() OVER (PARTITION BY trace_seq ORDER BY svc_dur DESC, first_rn) AS k
+    SELECT *, row_number() OVER (PARTITION BY trace_seq ORDER BY svc_dur DESC, first_start) AS k
     FROM v_trace_svc) WHERE k = 1
 ),
+v_trace_dangling AS (
+  SELECT c.trace_seq, arg_min(c.name, epoch_us(c.start_time)) AS dangling_span
+  FROM v_span c
+  WHERE coalesce(c.parent_span_id, '') <> ''
+    AND NOT EXISTS (SELECT 1 FROM v_span p WHERE p.trace_seq = c.trace_seq AND p.span_id = c.parent_span_id)
+  GROUP BY c.trace_seq
+),
 v_trace AS (
   SELECT s.trace_seq, any_value(s.trace_id) AS trace_id,
          max(s.duration_ms) AS duration_ms,
@@ -77,8 +84,11 @@ v_trace AS (
          avg(CASE WHEN s.status_code NOT IN (0, 1) THEN 1.0 ELSE 0.0 END) AS error_rate,
          min(s.start_time) AS start_time,
          bool_or(s.duration_ms > 500) AS has_anomaly,
-         any_value(p.primary_service) AS primary_service
+         any_value(p.primary_service) AS primary_service,
+         any_value(d.dangling_span) AS dangling_span,
+         list_sort(list(DISTINCT s.service)) AS services
   FROM v_span s JOIN v_trace_primary p USING (trace_seq)
+       LEFT JOIN v_trace_dangling d USING (trace_seq)
   GROUP BY s.trace_seq
 )"""
 

@@ -125,3 +125,9 @@ def v_pod(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(180.0) + F.abs(F.col("s_acctbal")) / 10.0).alias("mem_mi"),
         ts_from_2024_ms(k * 60000).alias("started_at"),
     )
+
+
+def v_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per trace (A1 + A3 + A4 + A5 + J2), no window; arrival order trace_seq."""
+    from ..operators.traces import build_traces
+    return build_traces(v_span(spark, sf_dir), "trace_id", carry=("trace_seq",))
