@@ -125,3 +125,35 @@ def exact_pick(vals: DataFrame, v: str, idx: dict[str, Column], buckets: int = 2
             "_r", F.row_number().over(Window.partitionBy("_bk").orderBy("_v")) - 1 + F.col("_off"))
         out[name] = local.filter(F.col("_r") == i).agg(F.max("_v")).scalar()
     return out
+
+
+def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
+                  splits: int = 64, split_col: str | None = None) -> DataFrame:
+    """Exact top-``n`` rows per key by ``order`` without one task per key.
+
+    Each key is first cut into ``splits`` parts (by hash of ``split_col`` or of
+    the whole row); the top ``n`` of every part is taken in parallel, and the
+    final top ``n`` is chosen among at most ``splits × n`` survivors per key.
+    Adds ``rank`` (1 = first).
+    """
+    part = (F.abs(F.xxhash64(F.col(split_col))) if split_col
+            else F.abs(F.xxhash64(*[F.col(c) for c in df.columns]))) % splits
+    d = df.withColumn("_sp", part)
+    w1 = Window.partitionBy(*keys, "_sp").orderBy(*order)
+    d = d.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n)
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return (d.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= n)
+            .drop("_sp", "_r1"))
+
+
+def running_count(df: DataFrame, key: str, order: str, flag: Column, coarse: Column,
+                  out: str = "running") -> DataFrame:
+    """Cumulative count of ``flag`` per key in ``order`` (inclusive), as a prefix
+    sum over (key, coarse block) totals plus a running sum inside the block."""
+    d = df.withColumn("_cb", coarse).withColumn("_f", flag.cast("long"))
+    tot = d.groupBy(key, "_cb").agg(F.sum("_f").alias("_bt"))
+    wp = Window.partitionBy(key).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    pre = tot.select(key, "_cb", F.coalesce(F.sum("_bt").over(wp), F.lit(0)).alias("_p"))
+    wl = Window.partitionBy(key, "_cb").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (d.withColumn("_l", F.sum("_f").over(wl)).join(pre, [key, "_cb"])
+            .withColumn(out, F.col("_p") + F.col("_l")).drop("_cb", "_f", "_l", "_p"))
