@@ -1,7 +1,8 @@
 """Import every catalog module so that the registry is complete."""
 from __future__ import annotations
 
-from .plans import catalog_logs, catalog_payments, catalog_series, catalog_traces  # noqa: F401
+from .plans import (catalog_dashboard, catalog_logs, catalog_payments,  # noqa: F401
+                    catalog_series, catalog_traces)
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
