@@ -80,16 +80,15 @@ w1f AS (SELECT *, n >= 10 AND span_count >= 10
                       + 3.0 * sqrt(greatest(CASE WHEN n > 1 THEN (s2 - s1 * s1 / n) / (n - 1) ELSE 0.0 END, 0.0))
                   AS n_plus_1
         FROM w1),
-w2 AS (SELECT *, row_number() OVER (PARTITION BY primary_service ORDER BY trace_seq) - 1 AS n2,
-              list(duration_ms) OVER (PARTITION BY primary_service ORDER BY trace_seq
-                                      ROWS BETWEEN 150 PRECEDING AND 1 PRECEDING) AS h
-       FROM w1f),
-w2s AS (SELECT *, CASE WHEN len(h) > 0 THEN list_reduce(
-                    list_transform(h, lambda x: {'m': x, 'v': CAST(0.0 AS DOUBLE), 'x': x}),
-                    lambda a, b: {'m': a.m + CAST(0.2 AS DOUBLE) * (b.x - a.m),
-                                  'v': CAST(0.2 AS DOUBLE) * ((b.x - a.m) * (b.x - a.m)) + CAST(0.8 AS DOUBLE) * a.v,
-                                  'x': b.x}) END AS st
-        FROM w2),
+w2 AS (SELECT *, row_number() OVER (PARTITION BY primary_service ORDER BY trace_seq) AS k FROM w1f),
+ew(svc, k, m, v) AS (
+  SELECT primary_service, k, duration_ms, CAST(0.0 AS DOUBLE) FROM w2 WHERE k = 1
+  UNION ALL
+  SELECT b.primary_service, b.k, e.m + CAST(0.2 AS DOUBLE) * (b.duration_ms - e.m),
+         CAST(0.2 AS DOUBLE) * ((b.duration_ms - e.m) * (b.duration_ms - e.m)) + CAST(0.8 AS DOUBLE) * e.v
+  FROM ew e JOIN w2 b ON b.primary_service = e.svc AND b.k = e.k + 1),
+w2s AS (SELECT w2.*, CASE WHEN e.svc IS NOT NULL THEN {'m': e.m, 'v': e.v} END AS st, w2.k - 1 AS n2
+        FROM w2 LEFT JOIN ew e ON e.svc = w2.primary_service AND e.k = w2.k - 1),
 verd AS (SELECT *,
            coalesce(n2 >= 10 AND st IS NOT NULL
                     AND (CASE WHEN st.v > 0 THEN sqrt(st.v) ELSE 0.0 END) > 500

@@ -16,4 +16,7 @@ def register(name: str, fn: QueryFn, sql: str | None = None) -> None:
         raise ValueError(f"duplicate query name {name}")
     QUERIES[name] = fn
     if sql is not None:
+        # some oracles fold sequences with recursive CTEs; RECURSIVE is harmless elsewhere
+        if sql.startswith("WITH ") and not sql.startswith("WITH RECURSIVE "):
+            sql = "WITH RECURSIVE " + sql[len("WITH "):]
         ORACLES[name] = sql

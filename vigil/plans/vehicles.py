@@ -127,7 +127,13 @@ def v_pod(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def v_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per trace (A1 + A3 + A4 + A5 + J2), no window; arrival order trace_seq."""
+def v_trace(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
+    """One row per trace (A1 + A3 + A4 + A5 + J2), no window; arrival order trace_seq.
+
+    Written once to the shared checkpoint folder (``plans.materialize``) because
+    the rolling detectors read it in two passes.
+    """
     from ..operators.traces import build_traces
-    return build_traces(v_span(spark, sf_dir), "trace_id", carry=("trace_seq",))
+    from .materialize import materialize
+    t = build_traces(v_span(spark, sf_dir), "trace_id", carry=("trace_seq",))
+    return materialize(t, "v_trace") if materialized else t
