@@ -16,27 +16,10 @@ SUBSET = ["kpi_txn_totals", "kpi_method_breakdown", "pay_alerts", "pay_rolling_p
 
 
 def _canon(df):
-    import math
-    cols = sorted(df.columns)
-
-    def n(v):
-        if v is None:
-            return None
-        try:
-            import pandas as pd
-            if v is pd.NA or v is pd.NaT:
-                return None
-        except Exception:  # noqa: BLE001
-            pass
-        if isinstance(v, float):
-            return None if math.isnan(v) else round(v, 6)
-        if hasattr(v, "isoformat"):
-            return str(v)[:26]
-        if hasattr(v, "tolist"):
-            return str(v.tolist())
-        return v
-    rows = [tuple(n(x) for x in r) for r in df[cols].itertuples(index=False)]
-    return cols, sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
+    import sys
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+    from check_oracle import rows
+    return rows(df)
 
 
 @pytest.mark.parametrize("name", SUBSET)
