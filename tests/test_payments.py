@@ -50,3 +50,18 @@ def test_random_stream_matches_loop_and_blocks(spark):
     assert _alerts(spark, rows) == want
     # tiny row blocks force the overlap path; the result must not change
     assert _alerts(spark, rows, block_rows=16, coarse_seq=100) == want
+
+
+def test_rolling_p99_matches_loop_across_blocks(spark):
+    rnd = random.Random(2)
+    specs = [(i, i * 0.5, "u", rnd.choice("AB"), "SUCCESS", 10, rnd.randint(1, 10000)) for i in range(1, 900)]
+    rows = txn_rows(specs)
+    df = spark.createDataFrame(rows, TXN_SCHEMA)
+    got = {r["seq"]: r["p99_latency"] for r in PD.rolling_p99(df, block_rows=350, coarse_seq=200).collect()}
+    want = {}
+    for gw in "AB":
+        lat = [r for r in rows if r["gateway"] == gw]
+        for i, r in enumerate(lat):
+            w = sorted(x["latency_ms"] for x in lat[max(0, i - 299): i + 1])
+            want[r["seq"]] = round(w[min(len(w) - 1, int(0.99 * (len(w) - 1)))], 2)
+    assert got == want

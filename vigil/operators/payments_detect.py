@@ -183,12 +183,50 @@ def payment_throughput(txn: DataFrame) -> DataFrame:
                      .cast("long").alias("throughput"))
 
 
+def _p99_fold(key: str, memory: int):
+    import bisect
+
+    def fold(batches):
+        cur = None
+        window: list = []
+        srt: list = []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ks, bs, xs, gh = (pdf[key].tolist(), pdf["blk"].tolist(), pdf["latency_ms"].tolist(),
+                              pdf["ghost"].tolist())
+            out = []
+            for i in range(len(pdf)):
+                g = (ks[i], bs[i])
+                if g != cur:
+                    cur, window, srt = g, [], []
+                x = xs[i]
+                window.append(x)
+                bisect.insort(srt, x)
+                if len(window) > memory:
+                    old = window.pop(0)
+                    del srt[bisect.bisect_left(srt, old)]
+                n = len(srt)
+                out.append(srt[min(n - 1, int(0.99 * (n - 1)))])
+            res = pdf.assign(_p=out)
+            yield res[~res["ghost"]]
+    return fold
+
+
 def rolling_p99(txn: DataFrame, key: str = "gateway", **kw) -> DataFrame:
-    """p99 of the last 300 latencies, index min(n-1, int(0.99*(n-1))), per key."""
+    """p99 of the last 300 latencies, index min(n-1, int(0.99*(n-1))), per key.
+
+    A sliding sorted window (bisect) folded over the key's rows in arrival
+    order inside (key, block) partitions; each block is warmed up by the
+    previous block's last 299 rows, so the frame is exact.
+    """
+    from pyspark.sql import types as Ty
     m = T["p99_memory"]
-    fr = _keyed_rows_frame(txn, key, m - 1, {
-        "_l": lambda w: F.collect_list("latency_ms").over(w)}, **kw)
-    srt = F.array_sort(F.col("_l"))
-    n = F.size(srt)
-    idx = F.least(n - 1, F.floor(F.lit(0.99) * (n - 1)).cast("int"))
-    return fr.select(key, "seq", "ts", rnd(F.element_at(srt, idx + 1), 2).alias("p99_latency"))
+    br = kw.get("block_rows") or BLOCK_ROWS
+    cs = kw.get("coarse_seq") or COARSE_SEQ
+    ranked = key_rank(txn.select(key, "seq", "ts", "latency_ms"), [key], "seq", F.floor(F.col("seq") / cs))
+    blocks = row_blocks(ranked, "krank", br, m - 1)
+    schema = Ty.StructType(blocks.schema.fields + [Ty.StructField("_p", Ty.DoubleType())])
+    d = (blocks.repartition(key, "blk").sortWithinPartitions(key, "blk", "krank")
+         .mapInPandas(_p99_fold(key, m), schema))
+    return d.select(key, "seq", "ts", rnd(F.col("_p"), 2).alias("p99_latency"))

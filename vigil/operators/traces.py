@@ -209,12 +209,17 @@ def bimodal(traces: DataFrame, order: str = "trace_seq", key: str = "primary_ser
             .drop("_m", "_v", "_seeded", "_kr", "blk", "ghost"))
 
 
-def rule_verdicts(traces: DataFrame, order: str = "trace_seq", key: str = "trace_id", **kw) -> DataFrame:
+def rule_verdicts(traces: DataFrame, order: str = "trace_seq", key: str = "trace_id",
+                  materialize_input: bool = True, **kw) -> DataFrame:
     """M1: N+1, bimodal and dangling parent; score 1.0 when any reason.
 
     Both rolling detectors read only (key, order, service, feature) columns of
-    the (materialized) trace table and are joined back on the trace key.
+    the trace table, in two passes each, and are joined back on the trace key;
+    the trace table is therefore written once to the checkpoint folder first.
     """
+    if materialize_input:
+        from ..plans.materialize import materialize
+        traces = materialize(traces, "traces")
     cols = [key, order, "primary_service", "span_count", "duration_ms"]
     slim = traces.select(*cols)
     f1 = n_plus_1(slim, order, coarse=kw.get("coarse")).select(key, "n_plus_1")

@@ -197,8 +197,7 @@ FROM v_span WHERE trace_id IN (SELECT trace_id FROM rv WHERE len(reasons) > 0) G
 
 def _pack(s, d):
     inc = _trace_alerts(s, d)
-    return EV.evidence_pack(inc, v_span(s, d), TR.dependency_edges(v_span(s, d)),
-                            LG.incident_logs(v_log(s, d), inc))
+    return EV.evidence_pack(inc, v_span(s, d), LG.incident_logs(v_log(s, d), inc))
 
 
 _PACK = _W1 + """,

@@ -30,7 +30,7 @@ FROM (SELECT CAST(floor(trace_seq / {EPOCH_WIDTH}) AS BIGINT) AS epoch FROM v_tr
 
 
 def _scores(s, d):
-    t = v_trace(s, d)
+    t = v_trace(s, d, materialized=True)
     return EN.soft_vote(EN.ensemble_scores(t, epoch_width=EPOCH_WIDTH), t)
 
 
@@ -38,9 +38,9 @@ register("ml_ensemble_scores", lambda s, d: _scores(s, d).drop("per_model"))
 
 
 def _composite(s, d):
-    t = v_trace(s, d)
+    t = v_trace(s, d, materialized=True)
     sc = EN.soft_vote(EN.ensemble_scores(t, epoch_width=EPOCH_WIDTH), t)
-    rv = TR.rule_verdicts(t).join(sc.select("trace_id", "aggregate_score", "ml_anomaly", "per_model"), "trace_id")
+    rv = TR.rule_verdicts(t, materialize_input=False).join(sc.select("trace_id", "aggregate_score", "ml_anomaly", "per_model"), "trace_id")
     comp = TR.composite(rv, ml_score=F.col("aggregate_score"),
                         ml_reasons=F.when(F.col("ml_anomaly"), F.array(F.lit("ml_ensemble")))
                         .otherwise(F.array().cast("array<string>")),

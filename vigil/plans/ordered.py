@@ -117,14 +117,17 @@ def exact_pick(vals: DataFrame, v: str, idx: dict[str, Column], buckets: int = 2
     counts = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)  # ≤ `buckets` rows
     offs = counts.select("_bk", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = {}
-    for name, i in idx.items():
-        sel = offs.filter((F.col("_off") <= i) & (i < F.col("_off") + F.col("_n")))
-        part = d.join(F.broadcast(sel.select("_bk", "_off")), "_bk")
-        local = part.withColumn(
-            "_r", F.row_number().over(Window.partitionBy("_bk").orderBy("_v")) - 1 + F.col("_off"))
-        out[name] = local.filter(F.col("_r") == i).agg(F.max("_v")).scalar()
-    return out
+    cond = None
+    for i in idx.values():
+        c = (F.col("_off") <= i) & (i < F.col("_off") + F.col("_n"))
+        cond = c if cond is None else cond | c
+    sel = offs.filter(cond).select("_bk", "_off")       # at most len(idx) buckets
+    part = d.join(F.broadcast(sel), "_bk")
+    local = part.withColumn(
+        "_r", F.row_number().over(Window.partitionBy("_bk").orderBy("_v")) - 1 + F.col("_off"))
+    picked = local.agg(*[F.max(F.when(F.col("_r") == i, F.col("_v"))).alias(name) for name, i in idx.items()])
+    st = picked.select(F.struct(*idx.keys()).alias("s")).scalar()   # one scalar subquery
+    return {name: st.getField(name) for name in idx}
 
 
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,

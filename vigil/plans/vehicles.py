@@ -127,11 +127,11 @@ def v_pod(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def v_trace(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
+def v_trace(spark: SparkSession, sf_dir: str, materialized: bool = False) -> DataFrame:
     """One row per trace (A1 + A3 + A4 + A5 + J2), no window; arrival order trace_seq.
 
-    Written once to the shared checkpoint folder (``plans.materialize``) because
-    the rolling detectors read it in two passes.
+    Operators that read it in several passes (rule detectors, models) write it
+    once to the shared checkpoint folder first (``plans.materialize``).
     """
     from ..operators.traces import build_traces
     from .materialize import materialize
