@@ -137,6 +137,11 @@ register("alert_json_decode", lambda s, d: DB.json_roundtrip(_al(s, d)).select(
 
 # ---- evidence -------------------------------------------------------------------------
 
+_ATYPE_SQL = """CASE WHEN list_contains(inc.reasons, 'n_plus_1') THEN 'N+1 Query Regression'
+                 WHEN list_contains(inc.reasons, 'bimodal_latency') THEN 'Bimodal Latency'
+                 WHEN list_contains(inc.reasons, 'dangling_parent') THEN 'Dependency Chain Break'
+                 ELSE 'Unclassified Anomaly' END"""
+
 _KIND = """CASE WHEN contains(anomaly_type, 'Failure Spike') THEN 'failure_spike'
                  WHEN contains(anomaly_type, 'Gateway Timeout') THEN 'timeout'
                  WHEN contains(anomaly_type, 'Fraud Velocity') THEN 'velocity'
@@ -147,10 +152,10 @@ register("root_cause", lambda s, d: EV.root_cause(_al(s, d)).select(
     _rec(["v_txn"], f"""
 SELECT alert_id, kind,
   CASE kind
-    WHEN 'failure_spike' THEN 'Payment failure rate spiked to ' || printf('%.0f', coalesce(failure_rate, 0.0) * 100)
+    WHEN 'failure_spike' THEN 'Payment failure rate spiked to ' || printf('%.0f', round(coalesce(failure_rate, 0.0) * 100))
          || '% on gateway ' || coalesce(gateway, 'unknown') || ', indicating a PSP-side degradation or expired gateway credentials.'
     WHEN 'timeout' THEN 'Gateway ' || coalesce(gateway, 'unknown') || ' exceeded timeout budget ('
-         || printf('%.0f', duration_ms) || 'ms), stalling checkout completions.'
+         || printf('%.0f', round(duration_ms)) || 'ms), stalling checkout completions.'
     WHEN 'velocity' THEN 'Account ' || coalesce(account, 'unknown') || ' initiated ' || coalesce(CAST(txn_per_min AS VARCHAR), '?')
          || ' transactions/min, far above baseline — pattern consistent with card testing or account takeover.'
     WHEN 'duplicate' THEN 'Duplicate charge detected (original ' || coalesce(dup_txn_id, 'unknown')
@@ -168,7 +173,7 @@ FROM (SELECT *, {_KIND} AS kind FROM al)"""))
 register("fired_detectors", lambda s, d: _al(s, d).select(
     "alert_id", F.concat_ws("\n", EV.fired_detectors(_al(s, d))).alias("detectors")), _rec(["v_txn"], """
 SELECT alert_id, CASE reason
-  WHEN 'payment_failure_spike' THEN 'Payment Failure Spike — failure rate ' || printf('%.0f', coalesce(failure_rate, 0.0) * 100)
+  WHEN 'payment_failure_spike' THEN 'Payment Failure Spike — failure rate ' || printf('%.0f', round(coalesce(failure_rate, 0.0) * 100))
        || '% on gateway ''' || gateway || ''''
   WHEN 'gateway_timeout' THEN 'Gateway Timeout — gateway ''' || gateway || ''' exceeded its timeout budget'
   WHEN 'fraud_velocity' THEN 'Fraud Velocity — account ''' || account || ''' at ' || CAST(txn_per_min AS VARCHAR)
@@ -220,10 +225,45 @@ SELECT inc.trace_id, st.span_count, CAST(st.slow_count AS BIGINT) AS slow_count,
        CAST(len(inc.reasons) AS INTEGER) AS n_detectors
 FROM inc JOIN st USING (trace_id) LEFT JOIN ed USING (trace_id) LEFT JOIN lg USING (trace_id)""", _PACK))
 
-register("evidence_text", lambda s, d: EV.evidence_text(_pack(s, d)))
+_DOC = _PACK + """,
+sp AS (SELECT trace_id, min(duration_ms) AS mn, round(avg(duration_ms), 9) AS av, max(duration_ms) AS mx
+       FROM v_span WHERE trace_id IN (SELECT trace_id FROM inc) GROUP BY trace_id),
+edt AS (SELECT trace_id, string_agg('  ' || parent_id || ' → ' || child_id || ' (' || child_service || ')',
+                                    chr(10) ORDER BY e) AS lines FROM (
+          SELECT c.trace_id, p.span_id AS parent_id, c.span_id AS child_id, c.service AS child_service,
+                 row_number() OVER (PARTITION BY c.trace_id ORDER BY c.start_time, c.span_id) AS e
+          FROM v_span c JOIN v_span p ON p.trace_id = c.trace_id AND c.parent_span_id = p.span_id
+          WHERE c.trace_id IN (SELECT trace_id FROM inc)) WHERE e <= 15 GROUP BY trace_id)"""
+
+_Q = "'"
+_DOC_BODY = f"""
+SELECT inc.trace_id, concat_ws(chr(10),
+  'ANOMALY: ' || ({_ATYPE_SQL}) || ' on ' || inc.primary_service || ' (' ||
+      (SELECT name FROM v_span s WHERE s.trace_seq = inc.trace_seq ORDER BY start_time, span_id LIMIT 1) || ')',
+  'score=' || printf('%.3f', 1.0) || ' duration=' || printf('%.0f', round(inc.duration_ms)) || 'ms trace=' || inc.trace_id,
+  'SPANS: ' || st.span_count || ' total, ' || st.slow_count || ' slow, ' || st.services || ' services, min/avg/max '
+      || printf('%.1f', round(sp.mn, 1)) || '/' || printf('%.1f', round(sp.av, 1)) || '/'
+      || printf('%.1f', round(sp.mx, 1)) || ' ms',
+  'DETECTORS:',
+  coalesce(nullif(concat_ws(chr(10),
+     CASE WHEN inc.n_plus_1 THEN '- N+1 Query Regression — span_count=' || inc.span_count
+          || ' (Chebyshev bound on rolling span-count distribution)' END,
+     CASE WHEN inc.bimodal_latency THEN '- Bimodal Latency — EWMA variance≈' || printf('%.1f', round(inc.latency_variance, 1))
+          || ' (σ exceeds threshold → latency distribution has split into two modes)' END,
+     CASE WHEN inc.dangling_span IS NOT NULL THEN '- Dependency Chain Break — dangling span {_Q}{_Q}' || inc.dangling_span
+          || '{_Q}{_Q} (parent_span_id references a span not present in the reconstructed trace)' END), ''),
+     '- (none; ML-only detection)'),
+  'DEPENDENCIES:',
+  coalesce(edt.lines, '  (no parent-child links found)'),
+  'CORRELATED LOGS: ' || coalesce(lg.log_count, 0)) AS evidence
+FROM inc JOIN st USING (trace_id) JOIN sp USING (trace_id) LEFT JOIN edt USING (trace_id)
+     LEFT JOIN lg USING (trace_id)"""
+
+register("evidence_text", lambda s, d: EV.evidence_text(_pack(s, d)),
+         with_views(["v_trace", "v_span", "v_log"], _DOC_BODY, _DOC))
 
 register("incident_headline", lambda s, d: EV.headline(_al(s, d)), _rec(["v_txn"], """
-SELECT coalesce(arg_max('Detected anomaly in ' || service || ' — ' || printf('%.0f', coalesce(duration_ms, 0.0))
+SELECT coalesce(arg_max('Detected anomaly in ' || service || ' — ' || printf('%.0f', round(coalesce(duration_ms, 0.0)))
                 || 'ms latency on ' || route || '. Investigate for potential performance degradation.', (ts, alert_id)),
                 'No active anomalies detected. System operating normally.') AS headline,
        count(*) > 0 AS has_anomaly
