@@ -64,3 +64,18 @@ def test_partition_count_does_not_change_alerts(spark):
     a = sorted(tuple(r) for r in PD.payment_alerts(df).select("reason", "seq").collect())
     b = sorted(tuple(r) for r in PD.payment_alerts(df.repartition(7)).select("reason", "seq").collect())
     assert a == b
+
+
+def test_cooldown_doubling_path_matches_fold(spark):
+    from vigil.plans.ordered import greedy_cooldown_parallel
+    rnd = random.Random(21)
+    t0 = datetime(2024, 1, 1)
+    rows, t = [], 0.0
+    for i in range(700):
+        t += rnd.choice([0.0, 1.0, 3.0, 20.0, 44.0, 45.0, 46.0])
+        rows.append((rnd.choice(["hot", "hot", "hot", "cold"]), t0 + timedelta(seconds=t), i))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, seq long")
+    want = {(r["k"], r["seq"]) for r in greedy_cooldown(df, "k", "ts", "seq", 45).filter("fired").collect()}
+    got = {(r["k"], r["seq"]) for r in
+           greedy_cooldown_parallel(df, "k", "ts", "seq", 45, hot_rows=100).filter("fired").collect()}
+    assert got == want

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.common import rnd
 
 from ..functions.constants import PAY_TUNING as T
-from ..plans.ordered import greedy_cooldown, key_rank, row_blocks, time_blocks
+from ..plans.ordered import greedy_cooldown_parallel, key_rank, row_blocks, time_blocks
 
 # block sizes: a window partition never holds more than this many own rows
 BLOCK_ROWS = 200_000
@@ -146,7 +146,7 @@ def payment_alerts(txn: DataFrame, cooldown_s: float | None = None, **kw) -> Dat
     """M15 (+W5): fired payment alerts, one row each, flat flag columns."""
     cd = T["refire_cooldown_s"] if cooldown_s is None else cooldown_s
     c = payment_alert_candidates(txn, **kw)
-    fired = greedy_cooldown(c, "cooldown_key", "ts", "seq", cd)
+    fired = greedy_cooldown_parallel(c, "cooldown_key", "ts", "seq", cd)
     return fired.filter(F.col("fired")).select(*ALERT_COLS)
 
 

@@ -160,3 +160,84 @@ def running_count(df: DataFrame, key: str, order: str, flag: Column, coarse: Col
     wl = Window.partitionBy(key, "_cb").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (d.withColumn("_l", F.sum("_f").over(wl)).join(pre, [key, "_cb"])
             .withColumn(out, F.col("_p") + F.col("_l")).drop("_cb", "_f", "_l", "_p"))
+
+
+# ---- exact parallel cooldown for hot keys ---------------------------------------------
+
+HOT_KEY_ROWS = 2_000_000     # keys with more candidates than this take the doubling path
+COARSE_US = 3_600_000_000    # coarse time block for the rank / count lookups (1 h)
+
+
+def _ranked_with_next(c: DataFrame, key: str, cd_us: int) -> DataFrame:
+    """Rank each candidate inside its key by (t, seq) and point it at the rank of
+    the first candidate with t ≥ t + cooldown (null when there is none).
+
+    Both are exact and parallel: counts per (key, coarse block), a prefix over
+    that small table, and a sorted merge of data rows with the lookup times
+    inside (key, coarse block) partitions.
+    """
+    cb = lambda t: F.floor(t / F.lit(COARSE_US))
+    d = c.select(key, "_t", "_seq")
+    counts = d.groupBy(key, cb(F.col("_t")).alias("_cb")).agg(F.count(F.lit(1)).alias("_n"))
+    wp = Window.partitionBy(key).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(key, "_cb", F.coalesce(F.sum("_n").over(wp), F.lit(0)).alias("_off"))
+    tot = counts.groupBy(key).agg(F.sum("_n").alias("_total"))
+    # data rows (kind 1) and lookups "count of t < x" (kind 0: sorts before equal data)
+    rows = d.select(key, F.col("_t").alias("_v"), F.lit(1).alias("_kind"), F.col("_t"), F.col("_seq"))
+    look = d.select(key, (F.col("_t") + F.lit(cd_us)).alias("_v"), F.lit(0).alias("_kind"),
+                    F.col("_t"), F.col("_seq"))
+    u = rows.unionByName(look).withColumn("_cb", cb(F.col("_v")))
+    w = Window.partitionBy(key, "_cb").orderBy("_v", "_kind", "_t", "_seq") \
+              .rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("_run", F.sum("_kind").over(w)).join(offs, [key, "_cb"], "left") \
+         .withColumn("_before", F.coalesce(F.col("_off"), F.lit(0)) + F.col("_run"))
+    rank = u.filter(F.col("_kind") == 1).select(key, "_t", "_seq", F.col("_before").alias("_r"))
+    nxt = (u.filter(F.col("_kind") == 0).join(tot, key)
+           .select(key, "_t", "_seq", F.when(F.col("_before") + 1 <= F.col("_total"), F.col("_before") + 1)
+                   .alias("_next")))
+    return rank.join(nxt, [key, "_t", "_seq"])
+
+
+def _doubling_fired(c: DataFrame, key: str, cd_us: int) -> DataFrame:
+    """Fired (key, rank) set = the chain 1 → next(1) → … , by pointer doubling."""
+    from .materialize import materialize
+    r = materialize(_ranked_with_next(c, key, cd_us), "cooldown_ranks")
+    jumps = [r.select(key, F.col("_r").alias("_from"), F.col("_next").alias("_to"))
+             .filter(F.col("_to").isNotNull())]
+    while True:                                      # jump_{j+1} = jump_j ∘ jump_j
+        j = jumps[-1]
+        a, b = j.alias("a"), j.alias("b")
+        nj = (a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._to") == F.col("b._from")))
+              .select(F.col(f"a.{key}").alias(key), F.col("a._from").alias("_from"), F.col("b._to").alias("_to")))
+        nj = materialize(nj, "cooldown_jump")
+        if nj.limit(1).count() == 0:
+            break
+        jumps.append(nj)
+    reach = r.filter(F.col("_r") == 1).select(key, F.col("_r").alias("_node"))
+    for j in reversed(jumps):                         # all k < 2^levels: S ∪ jump_j(S)
+        step = reach.join(j, (reach[key] == j[key]) & (reach["_node"] == j["_from"])) \
+                    .select(reach[key], F.col("_to").alias("_node"))
+        reach = materialize(reach.unionByName(step).distinct(), "cooldown_reach")
+    return r.join(reach.withColumnRenamed("_node", "_r").withColumn("_hit", F.lit(True)), [key, "_r"], "left") \
+            .select(key, "_t", "_seq", F.coalesce("_hit", F.lit(False)).alias("_fired"))
+
+
+def greedy_cooldown_parallel(cands: DataFrame, key: str, ts: str, seq: str, cooldown_s: float,
+                             out: str = "fired", hot_rows: int | None = None) -> DataFrame:
+    """W5 with a split for hot keys: keys above ``hot_rows`` candidates get the
+    exact pointer-doubling path (O(log n) rounds of equi-joins, no single task
+    per key); all other keys keep the streaming fold."""
+    limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
+    cd_us = int(round(cooldown_s * 1_000_000))
+    c = cands.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_seq", F.col(seq))
+    hot = c.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > limit).select(key)
+    if hot.limit(1).count() == 0:                     # no hot key: the streaming fold alone
+        return greedy_cooldown(cands, key, ts, seq, cooldown_s, out)
+    # at most total / limit keys are hot: a proven bound for the broadcast
+    cold_part = c.join(F.broadcast(hot), key, "left_anti").drop("_t", "_seq")
+    hot_part = c.join(F.broadcast(hot), key, "left_semi")
+    fired_cold = greedy_cooldown(cold_part, key, ts, seq, cooldown_s, out)
+    flags = _doubling_fired(hot_part, key, cd_us)
+    fired_hot = (hot_part.join(flags, [key, "_t", "_seq"])
+                 .withColumnRenamed("_fired", out).drop("_t", "_seq"))
+    return fired_cold.unionByName(fired_hot)
