@@ -217,27 +217,30 @@ def token_search(df: DataFrame, query: str, fields: list[str]) -> DataFrame:
 
 
 def kpi_deltas(txn: DataFrame, key: str = "gateway", last: int = 60) -> DataFrame:
-    """Running success / failed / volume per key, delta to the previous
-    point floored at 0 (first point 0), last ``last`` points per key."""
-    w = Window.partitionBy(key).orderBy("ts", "seq")
-    cum = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = txn.select(
-        key, "ts", "seq",
-        F.sum(F.when(F.col("status") == "SUCCESS", 1).otherwise(0)).over(cum).alias("success_cum"),
-        F.sum(F.when(F.col("status") == "FAILED", 1).otherwise(0)).over(cum).alias("failed_cum"),
-        F.sum(F.when((F.col("status") == "SUCCESS") & (F.col("currency") == "INR"), F.col("amount"))
-              .otherwise(0.0)).over(cum).alias("volume_cum"))
-    out = d.select(
-        key, "ts", "seq",
-        F.greatest(F.lit(0), F.col("success_cum") - F.lag("success_cum", 1, None).over(w)).alias("s"),
-        F.greatest(F.lit(0), F.col("failed_cum") - F.lag("failed_cum", 1, None).over(w)).alias("f"),
-        F.greatest(F.lit(0.0), F.col("volume_cum") - F.lag("volume_cum", 1, None).over(w)).alias("v"),
-        F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("seq"))).alias("back"))
-    return out.filter(F.col("back") <= last).select(
-        key, "ts", "seq",
-        F.coalesce("s", F.lit(0)).cast("long").alias("success_delta"),
-        F.coalesce("f", F.lit(0)).cast("long").alias("failed_delta"),
-        rnd(F.coalesce("v", F.lit(0.0)), 2).alias("volume_delta"))
+    """Per key, the change of the running success / failed / volume counters
+    from the previous point, floored at 0 (the key's first point is 0); the
+    last ``last`` points.
+
+    A running counter's step is the row's own contribution, so only the newest
+    ``last + 1`` rows of each key are needed (split top-N kernel, no window over
+    a whole key).
+    """
+    from ..plans.ordered import top_n_per_key
+    inr = (F.col("status") == "SUCCESS") & (F.col("currency") == "INR")
+    d = txn.select(key, "ts", "seq",
+                   F.when(F.col("status") == "SUCCESS", 1).otherwise(0).alias("_s"),
+                   F.when(F.col("status") == "FAILED", 1).otherwise(0).alias("_f"),
+                   F.when(inr, F.col("amount")).otherwise(0.0).alias("_v"))
+    t = top_n_per_key(d, [key], [F.desc("ts"), F.desc("seq")], last + 1, split_col="seq")
+    w = Window.partitionBy(key).orderBy("ts", "seq")          # ≤ last + 1 rows per key
+    has_prev = F.lag("seq", 1).over(w).isNotNull()
+    out = t.select(key, "ts", "seq", "rank",
+                   F.when(has_prev, F.greatest(F.lit(0), F.col("_s"))).otherwise(0).alias("s"),
+                   F.when(has_prev, F.greatest(F.lit(0), F.col("_f"))).otherwise(0).alias("f"),
+                   F.when(has_prev, F.greatest(F.lit(0.0), F.col("_v"))).otherwise(0.0).alias("v"))
+    return out.filter(F.col("rank") <= last).select(
+        key, "ts", "seq", F.col("s").cast("long").alias("success_delta"),
+        F.col("f").cast("long").alias("failed_delta"), rnd(F.col("v"), 2).alias("volume_delta"))
 
 
 def unread_count(df: DataFrame, since, cap: int = 99) -> DataFrame:

@@ -351,14 +351,22 @@ def waterfall(spans: DataFrame, key: str = "trace_id", min_width: float = 4.0) -
 
 def anomaly_rate_history(verdicts: DataFrame, order: str = "trace_seq", last: int = 30,
                          key: str = "primary_service") -> DataFrame:
-    """Running anomalous / total ratio per service, last ``last`` points."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = verdicts.select(key, order, F.count(F.lit(1)).over(w).alias("total"),
-                        F.sum(F.col("is_anomaly").cast("int")).over(w).alias("anomalous"),
-                        F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))).alias("_b"))
-    return d.filter(F.col("_b") <= last).select(
-        key, order, "total", F.col("anomalous").cast("long").alias("anomalous"),
-        rnd(F.col("anomalous") * 100.0 / F.col("total"), 4).alias("error_rate_pct"))
+    """Running anomalous / total ratio per service, last ``last`` points.
+
+    Running values at the newest points follow from the service totals minus
+    what comes after each point, so only the newest ``last`` rows per service
+    are ranked (split top-N kernel).
+    """
+    from ..plans.ordered import top_n_per_key
+    d = verdicts.select(key, order, F.col("is_anomaly").cast("int").alias("_a"))
+    tot = d.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum("_a").alias("_na"))
+    t = top_n_per_key(d, [key], [F.desc(order)], last, split_col=order).join(tot, key)
+    after = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    j = t.withColumn("_later_a", F.coalesce(F.sum("_a").over(after), F.lit(0)))
+    total = F.col("_n") - F.col("rank") + 1
+    anomalous = F.col("_na") - F.col("_later_a")
+    return j.select(key, order, total.alias("total"), anomalous.cast("long").alias("anomalous"),
+                    rnd(anomalous * 100.0 / total, 4).alias("error_rate_pct"))
 
 
 def latest_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
