@@ -42,12 +42,17 @@ def span_flags(spans: DataFrame) -> DataFrame:
          .when(F.lower(F.col("name")).contains("db"), "DATABASE").otherwise("SERVICE").alias("kind"))
 
 
-def dangling_spans(spans: DataFrame, key: str = "trace_id") -> DataFrame:
-    """J2 table form: spans whose (non-empty) parent is not a span of the same trace."""
-    parents = spans.select(F.col(key).alias("_k"), F.col("span_id").alias("_p"))
+def dangling_spans(spans: DataFrame, key: str = "trace_id", extra: list[str] | None = None) -> DataFrame:
+    """J2 table form: spans whose (non-empty) parent is not a span of the same
+    trace (and of the same ``extra`` group, e.g. the window)."""
+    extra = extra or []
+    parents = spans.select(F.col(key).alias("_k"), F.col("span_id").alias("_p"),
+                           *[F.col(c).alias("_x" + str(i)) for i, c in enumerate(extra)])
     child = spans.filter(F.coalesce(F.col("parent_span_id"), F.lit("")) != "")
-    return child.join(parents, (child[key] == parents["_k"]) & (child["parent_span_id"] == parents["_p"]),
-                      "left_anti")
+    cond = (child[key] == parents["_k"]) & (child["parent_span_id"] == parents["_p"])
+    for i, c in enumerate(extra):
+        cond = cond & (child[c] == parents["_x" + str(i)])
+    return child.join(parents, cond, "left_anti")
 
 
 def dependency_edges(spans: DataFrame, key: str = "trace_id", cap: int = 15) -> DataFrame:
@@ -63,48 +68,51 @@ def dependency_edges(spans: DataFrame, key: str = "trace_id", cap: int = 15) ->
 
 
 def build_traces(spans: DataFrame, key: str = "trace_id", carry: tuple[str, ...] = (),
-                 window_s: int | None = None) -> DataFrame:
+                 window_s: int | None = None, max_spans: int = 20) -> DataFrame:
     """A1 + A3 + A4 + A5 + J2: one row per trace (or per (window, trace)).
 
-    Two-level fold without joins: (trace, service) partials, then the trace.
-    Both levels cluster on the trace key, so input that is already partitioned
-    by it (as spans are after numbering) is not shuffled again.  The span list
-    is a bounded per-trace group; the dangling parent (J2) is found inside it.
+    Every part is bounded whatever the size of a trace:
+    * features: a two-level algebraic fold, (trace, service) partials then the
+      trace — partial aggregation before any shuffle;
+    * ``spans``: only the first ``max_spans`` spans in (start_time, span_id)
+      order (the alert keeps 20), chosen with the split top-N kernel;
+    * dangling parent: the anti-join table form, first dangling span by order.
     """
+    from ..plans.ordered import top_n_per_key
     s = span_flags(spans) if "is_anomaly" not in spans.columns else spans
     gkeys = [key, *carry]
     if window_s:
         s = s.withColumn("window", F.window("start_time", f"{window_s} seconds"))
         gkeys = ["window", *gkeys]
-    span_struct = F.struct(*[F.col(c) for c in SPAN_FIELDS])
     per_svc = s.groupBy(*gkeys, "service").agg(
         F.sum("duration_ms").alias("_sd"), F.min("start_time").alias("_first"),
         F.max("duration_ms").alias("_mx"), F.count(F.lit(1)).alias("_n"),
         F.sum(F.when(~F.col("status_code").isin(0, 1), 1).otherwise(0)).alias("_err"),
-        F.max(F.col("is_anomaly").cast("int")).alias("_slow"),
-        F.collect_list(span_struct).alias("_spans"))
+        F.max(F.col("is_anomaly").cast("int")).alias("_slow"))
     t = per_svc.groupBy(*gkeys).agg(
         F.max("_mx").alias("duration_ms"),
-        F.sum("_n").alias("span_count"),
+        F.sum("_n").cast("long").alias("span_count"),
         (F.sum("_err") / F.sum("_n")).alias("error_rate"),
         F.min("_first").alias("start_time"),
         (F.max("_slow") > 0).alias("has_anomaly"),
         F.array_sort(F.collect_list("service")).alias("services"),
-        F.array_sort(F.flatten(F.collect_list("_spans"))).alias("spans"),
         F.min_by("service", F.struct((-F.col("_sd")).alias("a"), F.col("_first").alias("b")))
         .alias("primary_service"))
-    ids = F.transform("spans", lambda x: x["span_id"])
-    dang = F.filter("spans", lambda x: (F.coalesce(x["parent_span_id"], F.lit("")) != "")
-                    & ~F.array_contains(ids, x["parent_span_id"]))
-    return t.withColumn("span_count", F.col("span_count").cast("long")).withColumn(
-        "dangling_span", F.try_element_at(dang, F.lit(1))["name"])
+    span_struct = F.struct(*[F.col(c) for c in SPAN_FIELDS])
+    first = top_n_per_key(s, gkeys, [F.col("start_time"), F.col("span_id")], max_spans, split_col="span_id")
+    lists = first.groupBy(*gkeys).agg(F.array_sort(F.collect_list(span_struct)).alias("spans"))
+    dang = (dangling_spans(s, key, extra=[c for c in gkeys if c != key]).groupBy(*gkeys)
+            .agg(F.min_by("name", F.struct("start_time", "span_id")).alias("dangling_span")))
+    return t.join(lists, gkeys).join(dang, gkeys, "left")
 
 
-def merge_partial_traces(parts: DataFrame, key: str = "trace_id") -> DataFrame:
-    """A2: merge (window, trace) partials into one trace: max / concat / or / min."""
+def merge_partial_traces(parts: DataFrame, key: str = "trace_id", max_spans: int = 20) -> DataFrame:
+    """A2: merge (window, trace) partials into one trace: max / sum / or / min,
+    span lists concatenated and cut to the first ``max_spans`` again."""
     return parts.groupBy(key).agg(
         F.max("duration_ms").alias("duration_ms"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.sum("span_count").cast("long").alias("span_count"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("spans"))), 1, max_spans).alias("spans"),
         F.max(F.col("has_anomaly").cast("int")).cast("boolean").alias("has_anomaly"),
         F.min("start_time").alias("start_time"))
 

@@ -17,7 +17,8 @@ register("trace_build", lambda s, d: v_trace(s, d).select(
     F.concat_ws(",", "services").alias("services"), F.size("spans").alias("n_spans")),
     with_views(["v_trace"], """
 SELECT trace_id, duration_ms, span_count, round(error_rate, 6) AS error_rate, start_time, has_anomaly,
-       primary_service, dangling_span, array_to_string(services, ',') AS services, span_count AS n_spans
+       primary_service, dangling_span, array_to_string(services, ',') AS services,
+       CAST(least(span_count, 20) AS INTEGER) AS n_spans
 FROM v_trace"""))
 
 _W10 = """
@@ -39,7 +40,7 @@ GROUP BY w, trace_id""", _W10))
 
 register("trace_merge_partials", lambda s, d: TR.merge_partial_traces(
     TR.build_traces(v_span(s, d), window_s=10)).select(
-    "trace_id", "duration_ms", F.size("spans").alias("span_count"), "has_anomaly", "start_time"),
+    "trace_id", "duration_ms", "span_count", "has_anomaly", "start_time"),
     with_views(["v_span"], """
 SELECT trace_id, max(duration_ms) AS duration_ms, count(*) AS span_count,
        bool_or(duration_ms > 500) AS has_anomaly, min(start_time) AS start_time
@@ -228,6 +229,6 @@ register("alert_stored_trace", lambda s, d: TR.alert_with_stored_trace(
     _alerts(s, d), v_trace(s, d).filter(F.col("span_count") >= 3)).select(
     "trace_id", F.size("spans").alias("n_spans"), "duration_ms"),
     with_views(["v_trace"], """
-SELECT rv.trace_id, CAST(CASE WHEN rv.span_count >= 3 THEN rv.span_count ELSE least(rv.span_count, 20) END AS INTEGER) AS n_spans,
+SELECT rv.trace_id, CAST(least(rv.span_count, 20) AS INTEGER) AS n_spans,
        rv.duration_ms
 FROM rv WHERE len(rv.reasons) > 0""", _W1))
