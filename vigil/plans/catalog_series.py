@@ -79,8 +79,10 @@ util AS (
                count(p.name) AS pods
         FROM v_node n LEFT JOIN v_pod p ON p.node = n.name GROUP BY ALL))"""
 
-register("k8s_node_utilisation", lambda s, d: CL.node_utilisation(v_node(s), v_pod(s, d)),
-         with_views(["v_node", "v_pod"], "SELECT * FROM util", _UTIL))
+register("k8s_node_utilisation", lambda s, d: CL.node_utilisation(v_node(s), v_pod(s, d)).withColumn(
+    "conditions", F.concat_ws(",", "conditions")),
+    with_views(["v_node", "v_pod"], "SELECT * REPLACE (array_to_string(conditions, ',') AS conditions) FROM util",
+               _UTIL))
 
 register("k8s_cluster_summary", lambda s, d: CL.cluster_summary(v_node(s), v_pod(s, d)),
          with_views(["v_node", "v_pod"], """
@@ -117,7 +119,7 @@ register("k8s_events_newest", lambda s, d: CL.newest_events(CL.pod_events(v_pod(
 
 register("k8s_pod_alerts", lambda s, d: CL.pod_alerts(v_pod(s, d)), with_views(["v_pod"], """
 SELECT deployment AS service, 'k8s://' || node || '/' || substring(name, 1, 24) AS route,
-       CASE WHEN status = 'CrashLoopBackOff' THEN 0.9 ELSE 0.85 END AS anomaly_score, true AS is_anomaly,
+       CAST(CASE WHEN status = 'CrashLoopBackOff' THEN 0.9 ELSE 0.85 END AS DOUBLE) AS anomaly_score, true AS is_anomaly,
        CAST(0.0 AS DOUBLE) AS duration_ms, 'k8s-' || substring(sha256(name), 1, 12) AS trace_id,
        started_at AS timestamp,
        CASE WHEN status = 'CrashLoopBackOff' THEN 'k8s_crashloop' ELSE 'k8s_oom' END AS reason,

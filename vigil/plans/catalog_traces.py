@@ -115,16 +115,16 @@ SELECT trace_id, primary_service, duration_ms, latency_variance FROM verd WHERE
 register("trace_rule_verdicts", lambda s, d: TR.rule_verdicts(v_trace(s, d)).filter("is_anomaly").select(
     "trace_id", "primary_service", F.concat_ws(",", "reasons").alias("reasons"), "rule_score"),
     with_views(["v_trace"], """
-SELECT trace_id, primary_service, array_to_string(reasons, ',') AS reasons, 1.0 AS rule_score
+SELECT trace_id, primary_service, array_to_string(reasons, ',') AS reasons, CAST(1.0 AS DOUBLE) AS rule_score
 FROM rv WHERE len(reasons) > 0""", _W1))
 
 register("trace_bound_scores", lambda s, d: v_trace(s, d).select(
     "trace_id", TR.bound_score(F.col("duration_ms"), F.col("span_count"), F.col("error_rate"))
     .alias("bound_score")).filter("bound_score > 0"), with_views(["v_trace"], """
 SELECT trace_id, bound_score FROM (
-  SELECT trace_id, greatest(CASE WHEN duration_ms > 1000 THEN 0.8 ELSE 0.0 END,
-                            CASE WHEN span_count > 30 THEN 0.9 ELSE 0.0 END,
-                            CASE WHEN error_rate > 0.1 THEN 0.95 ELSE 0.0 END) AS bound_score
+  SELECT trace_id, CAST(greatest(CASE WHEN duration_ms > 1000 THEN 0.8 ELSE 0.0 END,
+                                 CASE WHEN span_count > 30 THEN 0.9 ELSE 0.0 END,
+                                 CASE WHEN error_rate > 0.1 THEN 0.95 ELSE 0.0 END) AS DOUBLE) AS bound_score
   FROM v_trace) WHERE bound_score > 0"""))
 
 
@@ -145,7 +145,7 @@ register("trace_alerts", lambda s, d: _alerts(s, d).select(
     with_views(["v_trace", "v_span"], f"""
 SELECT trace_id, primary_service AS service,
        (SELECT name FROM v_span s WHERE s.trace_seq = rv.trace_seq ORDER BY start_time, span_id LIMIT 1) AS route,
-       1.0 AS anomaly_score, {_ATYPE} AS anomaly_type, array_to_string(reasons, ',') AS reasons,
+       CAST(1.0 AS DOUBLE) AS anomaly_score, {_ATYPE} AS anomaly_type, array_to_string(reasons, ',') AS reasons,
        CAST(CASE WHEN n_plus_1 THEN span_count ELSE 0 END AS INTEGER) AS n_plus_1_count,
        CASE WHEN bimodal_latency THEN latency_variance ELSE 0.0 END AS latency_variance,
        dangling_span, CAST(least(span_count, 20) AS INTEGER) AS n_spans
