@@ -201,7 +201,8 @@ FROM v_span WHERE trace_id IN (SELECT trace_id FROM rv WHERE len(reasons) > 0) G
 
 
 def _pack(s, d):
-    inc = _trace_alerts(s, d)
+    from .materialize import materialize
+    inc = materialize(_trace_alerts(s, d), "incidents")   # read four times below
     return EV.evidence_pack(inc, v_span(s, d), LG.incident_logs(v_log(s, d), inc))
 
 

@@ -227,8 +227,11 @@ def greedy_cooldown_parallel(cands: DataFrame, key: str, ts: str, seq: str, cool
     """W5 with a split for hot keys: keys above ``hot_rows`` candidates get the
     exact pointer-doubling path (O(log n) rounds of equi-joins, no single task
     per key); all other keys keep the streaming fold."""
+    from .materialize import materialize
     limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
     cd_us = int(round(cooldown_s * 1_000_000))
+    # candidates are read by the key count and by the fold: write them once
+    cands = materialize(cands, "cooldown_candidates")
     c = cands.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_seq", F.col(seq))
     hot = c.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > limit).select(key)
     if hot.limit(1).count() == 0:                     # no hot key: the streaming fold alone
