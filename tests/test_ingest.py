@@ -82,3 +82,72 @@ def test_load_baseline(spark):
     got = sorted(r["duration_ms"] for r in OT.load_baseline(spark, p).collect())
     assert got == [3.0, 12.5]
     assert OT.load_baseline(spark, os.path.join(d, "missing.jsonl")).count() == 0
+
+
+def _post(spark, rows):
+    df = spark.createDataFrame(rows, "seq long, endpoint string, headers map<string,string>, body string")
+    return df.withColumn("received_at", F.current_timestamp())
+
+
+def _hex(secret, msg):
+    return hmac.new(secret.encode(), msg.encode(), hashlib.sha256).hexdigest()
+
+
+def test_gateways_golden_with_missing_fields(spark):
+    import base64
+    secrets = {"STRIPE": "whsec", "PHONEPE": "salt", "CASHFREE": "cf", "PAYU": "payu", "GATEWAY": "shared"}
+    # Stripe: no payment_method_types, no metadata / invoice, refund amount only
+    st_body = json.dumps({"type": "charge.refunded", "data": {"object": {"id": "ch_1", "amount_refunded": 250,
+                                                                         "currency": "eur"}}})
+    st_sig = "t=9,v1=" + _hex("whsec", "9." + st_body)
+    # PhonePe: pending, salt index 3
+    inner = json.dumps({"data": {"state": "PENDING", "merchantTransactionId": "m1", "amount": 1000,
+                                 "mobileNumber": "9876543210"}})
+    b64 = base64.b64encode(inner.encode()).decode()
+    pp_body = json.dumps({"response": b64})
+    pp_sig = hashlib.sha256((b64 + "salt").encode()).hexdigest() + "###3"
+    # Cashfree: no "data" wrapper (fall-through), failed with a reason
+    cf_body = json.dumps({"payment": {"cf_payment_id": 77, "payment_status": "FAILED", "payment_group": "card",
+                                      "payment_amount": 5.5, "error_details": {"error_reason": "declined"}},
+                          "order": {"order_id": "o9"}})
+    cf_sig = base64.b64encode(hmac.new(b"cf", ("123" + cf_body).encode(), hashlib.sha256).digest()).decode()
+    # PayU: success by UPI, hash over the reverse sequence
+    form = {"key": "k", "txnid": "t1", "amount": "10.50", "productinfo": "p", "firstname": "f",
+            "email": "someone@x.io", "status": "success", "mode": "UPI", "mihpayid": "m99"}
+    seq = ["payu", "success", "", "", "", "", "", "", "", "", "", "", "someone@x.io", "f", "p", "10.50", "t1", "k"]
+    form["hash"] = hashlib.sha512("|".join(seq).encode()).hexdigest()
+    pu_body = "&".join(f"{k}={v}" for k, v in form.items())
+    # universal: unknown gateway name uses the shared secret; defaults fill the gaps
+    uni_body = json.dumps({"amount": 12.345, "status": "FAILED"})
+    uni_sig = base64.b64encode(hmac.new(b"shared", uni_body.encode(), hashlib.sha256).digest()).decode()
+    rows = [(1, "stripe", {"stripe-signature": st_sig}, st_body),
+            (2, "phonepe", {"x-verify": pp_sig}, pp_body),
+            (3, "cashfree", {"x-webhook-signature": cf_sig, "x-webhook-timestamp": "123"}, cf_body),
+            (4, "payu", {}, pu_body),
+            (5, "gateway/newpay", {"x-webhook-signature": uni_sig}, uni_body),
+            (6, "ingest", {"x-api-key": "key"}, json.dumps({"txn_id": "x"}))]
+    out = {r["seq"]: r for r in WH.normalize_webhooks(_post(spark, rows), secrets, "key").collect()}
+    assert [out[i]["outcome"] for i in range(1, 7)] == ["ok", "ok", "ok", "ok", "ok", "invalid"]
+    s = out[1]
+    assert (s["txn_type"], s["method"], s["order_id"], s["amount"], s["currency"], s["provider"], s["user"]) == \
+        ("REFUND", "CREDIT_CARD", "—", 2.5, "EUR", "Stripe", "customer***")
+    p = out[2]
+    assert (p["status"], p["txn_id"], p["amount"], p["failure_reason"], p["user"]) == \
+        ("PENDING", "m1", 10.0, "PENDING", "98765***")
+    c = out[3]
+    assert (c["status"], c["txn_id"], c["order_id"], c["method"], c["amount"], c["failure_reason"]) == \
+        ("FAILED", "77", "o9", "CREDIT_CARD", 5.5, "declined")
+    u = out[4]
+    assert (u["status"], u["txn_id"], u["order_id"], u["method"], u["amount"], u["user"]) == \
+        ("SUCCESS", "m99", "t1", "UPI", 10.5, "someo***")
+    g = out[5]
+    assert (g["gateway"], g["provider"], g["txn_type"], g["method"], g["amount"], g["status"], g["order_id"]) == \
+        ("Newpay", "Newpay", "PURCHASE", "UPI", 12.35, "FAILED", "—")
+    assert g["txn_id"].startswith("TXN") and len(g["txn_id"]) == 15
+
+
+def test_unknown_root_object_gives_no_rows(spark):
+    raw = spark.createDataFrame([('{"foo": 1}',), ('{"resourceMetrics": []}',)], "payload string")
+    msgs = OT.parse_messages(raw)
+    assert msgs.count() == 2
+    assert OT.flatten_spans(msgs).count() == 0 and OT.flatten_logs(msgs).count() == 0

@@ -47,3 +47,12 @@ def test_pii_density_scenario(spark):
     fired = sorted(r["seq"] for r in LG.pii_alerts(df).collect())
     assert fired == [4, 100]
     assert df.select(is_redacted(F.col("body")).alias("f")).filter("f").count() == 22
+
+
+def test_correlation_keeps_first_50_logs_of_anomalous_traces(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, "svc", "hot" if i < 70 else "cold", "b", t0 + timedelta(seconds=i)) for i in range(100)]
+    logs = spark.createDataFrame(rows, "seq long, service_name string, trace_id string, body string, ts timestamp")
+    anomalous = spark.createDataFrame([("hot",)], "trace_id string")
+    got = sorted(r["seq"] for r in LG.correlate_logs(logs, anomalous).collect())
+    assert got == list(range(50))

@@ -57,3 +57,21 @@ def test_build_traces_dangling_and_primary(spark):
     assert out["t1"]["span_count"] == 3
     assert abs(out["t1"]["error_rate"] - 1 / 3) < 1e-12
     assert out["t2"]["dangling_span"] is None
+
+
+def test_partial_merge_is_independent_of_window_size(spark):
+    from datetime import datetime, timedelta
+    rnd = random.Random(8)
+    t0 = datetime(2024, 1, 1)
+    rows = []
+    for t in range(40):
+        for s in range(rnd.randint(1, 6)):
+            rows.append((f"t{t}", f"s{s}", "" if s == 0 else f"s{s - 1}", rnd.choice(["a", "b"]), "op",
+                         rnd.uniform(1, 900), t0 + timedelta(seconds=rnd.uniform(0, 60)), 0))
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, service string, "
+                                     "name string, duration_ms double, start_time timestamp, status_code int")
+    cols = ["trace_id", "duration_ms", "span_count", "has_anomaly", "start_time"]
+    merged = [sorted(tuple(r) for r in TR.merge_partial_traces(TR.build_traces(df, window_s=w)).select(*cols)
+                     .collect()) for w in (5, 10, 30)]
+    whole = sorted(tuple(r) for r in TR.build_traces(df).select(*cols).collect())
+    assert merged[0] == merged[1] == merged[2] == whole
