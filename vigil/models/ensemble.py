@@ -260,13 +260,21 @@ SCORE_SCHEMA = T.StructType([
     *[T.StructField(m, T.DoubleType()) for m in MODELS], T.StructField("trained", T.BooleanType())])
 
 
+SCORE_CHUNK = 20_000   # rows scored at a time (LOF distances are chunk × sample)
+
+
 def _score_epoch(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
     if rows.empty:
         return pd.DataFrame(columns=SCORE_SCHEMA.fieldNames())
+    m = json.loads(models["model"].iloc[0]) if not models.empty else {}
+    parts = [_score_chunk(rows.iloc[i:i + SCORE_CHUNK], m) for i in range(0, len(rows), SCORE_CHUNK)]
+    return pd.concat(parts, ignore_index=True)
+
+
+def _score_chunk(rows: pd.DataFrame, m: dict) -> pd.DataFrame:
     x = rows[FEATS].to_numpy(dtype=float)
     n = len(x)
     out = pd.DataFrame({"trace_id": rows["trace_id"].values, "epoch": rows["epoch"].values})
-    m = json.loads(models["model"].iloc[0]) if not models.empty else {}
     # M3 Half-Space Trees: mass-weighted depth along the path, 1 - score/max
     if "hs_mass" in m:
         mass = np.asarray(m["hs_mass"])
