@@ -79,3 +79,20 @@ def test_cooldown_doubling_path_matches_fold(spark):
     got = {(r["k"], r["seq"]) for r in
            greedy_cooldown_parallel(df, "k", "ts", "seq", 45, hot_rows=100).filter("fired").collect()}
     assert got == want
+
+
+def test_sliding_count_hot_key_with_ties(spark):
+    from vigil.plans.ordered import sliding_count
+    rnd = random.Random(17)
+    t0 = datetime(2024, 1, 1)
+    rows, t = [], 0.0
+    for i in range(1500):
+        t += rnd.choice([0.0, 0.0, 0.5, 3.0, 30.0])
+        rows.append((rnd.choice(["hot"] * 8 + ["b"]), t0 + timedelta(seconds=t), i))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, seq long")
+    got = {r["seq"]: r["n"] for r in sliding_count(df, ["k"], "ts", "seq", 60_000_000, "n").collect()}
+    want = {}
+    for k, ts, s in rows:
+        want[s] = sum(1 for k2, ts2, s2 in rows
+                      if k2 == k and (ts2, s2) <= (ts, s) and (ts - ts2).total_seconds() <= 60)
+    assert got == want

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from ..functions.common import rnd
 
 from ..functions.constants import PAY_TUNING as T
-from ..plans.ordered import greedy_cooldown_parallel, key_rank, row_blocks, time_blocks
+from ..plans.ordered import (greedy_cooldown_parallel, key_rank, row_blocks, sliding_count,
+                             time_blocks)
 
 # block sizes: a window partition never holds more than this many own rows
 BLOCK_ROWS = 200_000
@@ -70,10 +71,14 @@ def failure_spike_candidates(txn: DataFrame, **kw) -> DataFrame:
 
 
 def velocity_candidates(txn: DataFrame) -> DataFrame:
-    """user's txns within 60 s including the current one (memory of 60), ≥ 5."""
+    """user's txns within 60 s including the current one (memory of 60), ≥ 5.
+
+    The count is a difference of two exact positions in a range-partitioned
+    order (``sliding_count``), so even one user with a third of all rows is
+    spread over many tasks.
+    """
     win = T["velocity_window_s"]
-    fr = _keyed_time_frame(txn, ["user"], win, -win * US, 0, {
-        "_n": lambda w: F.count(F.lit(1)).over(w)})
+    fr = sliding_count(txn, ["user"], "ts", "seq", win * US, "_n")
     per_min = F.least(F.lit(T["velocity_memory"]), F.col("_n"))
     return (fr.withColumn("txn_per_min", per_min.cast("long"))
             .filter(F.col("txn_per_min") >= T["velocity_per_min"])
@@ -175,10 +180,10 @@ def payment_counters(txn: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def payment_throughput(txn: DataFrame) -> DataFrame:
-    """Payments in the last 60 s (memory of 1000), per payment, no global sort."""
+    """Payments in the last 60 s (memory of 1000), per payment; the global
+    order is range-partitioned (``sliding_count``), never one task."""
     win = T["throughput_window_s"]
-    fr = _keyed_time_frame(txn, [], win, -win * US, 0, {
-        "_n": lambda w: F.count(F.lit(1)).over(w)})
+    fr = sliding_count(txn, [], "ts", "seq", win * US, "_n")
     return fr.select("seq", "ts", F.least(F.lit(T["throughput_memory"]), F.col("_n"))
                      .cast("long").alias("throughput"))
 

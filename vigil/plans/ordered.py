@@ -244,3 +244,57 @@ def greedy_cooldown_parallel(cands: DataFrame, key: str, ts: str, seq: str, cool
     fired_hot = (hot_part.join(flags, [key, "_t", "_seq"])
                  .withColumnRenamed("_fired", out).drop("_t", "_seq"))
     return fired_cold.unionByName(fired_hot)
+
+
+# ---- skew-robust exact ranks and sliding counts ---------------------------------------
+
+_LOC_BITS = 33
+
+
+def range_rank(df: DataFrame, order: list[str], flag: str | None = None) -> DataFrame:
+    """Exact global position of every row in ``order`` (a total order), without a
+    single-partition sort: range partitioning samples the order keys, so a hot
+    key is spread over many balanced partitions.  Adds ``_pos`` (0-based rank of
+    all rows) and, when ``flag`` (0/1 column) is given, ``_fpos`` = number of
+    flagged rows strictly before this row.  The ranked table is written once so
+    that both passes see the same partitioning.
+    """
+    from .materialize import materialize
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    d = d.withColumn("_pid", F.shiftright("_mid", _LOC_BITS)) \
+         .withColumn("_loc", F.col("_mid").bitwiseAND((1 << _LOC_BITS) - 1))
+    fl = F.col(flag) if flag else F.lit(0)
+    wloc = Window.partitionBy("_pid").orderBy("_loc").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_fl_before", F.coalesce(F.sum(fl).over(wloc), F.lit(0)))   # per balanced partition
+    d = materialize(d, "range_rank")
+    per = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.sum(fl).alias("_fc"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)        # ≤ #partitions rows
+    offs = per.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"),
+                      F.coalesce(F.sum("_fc").over(w), F.lit(0)).alias("_foff"))
+    out = d.join(F.broadcast(offs), "_pid")
+    out = out.withColumn("_pos", F.col("_off") + F.col("_loc"))
+    out = out.withColumn("_fpos", F.col("_foff") + F.col("_fl_before"))
+    return out.drop("_mid", "_pid", "_loc", "_fl_before", "_off", "_foff")
+
+
+def sliding_count(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
+                  out: str = "window_count") -> DataFrame:
+    """For every row, the number of rows of its key with ts in [ts - window, ts]
+    that come at or before it in (ts, seq) order — exact and skew-robust.
+
+    Lookup rows at ts - window are merged into the same global order (before
+    data rows with an equal key and time), so the count is a difference of two
+    positions among data rows.
+    """
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    data = df.select(*keys, t.alias("_v"), F.lit(1).alias("_kind"), F.col(seq).alias("_s"))
+    look = df.select(*keys, (t - F.lit(window_us)).alias("_v"), F.lit(0).alias("_kind"),
+                     F.col(seq).alias("_s"))
+    r = range_rank(data.unionByName(look), [*keys, "_v", "_kind", "_s"], flag="_kind")
+    at = r.filter(F.col("_kind") == 1).select(*keys, "_s", (F.col("_fpos") + 1).alias("_upto"))
+    lo = r.filter(F.col("_kind") == 0).select(*keys, "_s", F.col("_fpos").alias("_below"))
+    cnt = at.join(lo, [*keys, "_s"]).select(*keys, F.col("_s").alias(seq),
+                                            (F.col("_upto") - F.col("_below")).alias(out))
+    return df.join(cnt, [*keys, seq])
