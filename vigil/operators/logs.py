@@ -1,8 +1,8 @@
 """Log operators: redaction flag, redaction counter, PII density, correlation.
 
 P1, P2, W3, W4, W5 (PII cooldown), M14, J1, J10.  Logs are keyed by service;
-arrival order is (ts, seq).  Sliding 60 s frames run in 60 s time buckets with
-a one-bucket overlap, and the redaction counter is a prefix sum over
+arrival order is (ts, seq).  Sliding 60 s frames are differences of exact
+positions in a range-partitioned order, and the redaction counter is a prefix sum over
 (service, block) totals, so no service is ever a single task.
 """
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ..functions.common import rnd
 from ..functions.constants import (LOG_BUFFER_MAX_PER_TRACE, PII_COOLDOWN_S, PII_MIN_LOGS,
                                    PII_THRESHOLD, PII_WINDOW_S)
 from ..functions.redaction import is_redacted, redact
-from ..plans.ordered import greedy_cooldown_parallel, running_count, time_blocks, top_n_per_key
+from ..plans.ordered import greedy_cooldown_parallel, running_count, sliding_count, top_n_per_key
 
 US = 1_000_000
 COARSE_SEQ = 5_000_000
@@ -37,13 +37,14 @@ def redaction_counter(logs: DataFrame, key: str = "service_name") -> DataFrame:
 def pii_density(logs: DataFrame, key: str = "service_name", threshold: float = PII_THRESHOLD,
                 window_s: int = PII_WINDOW_S, min_logs: int = PII_MIN_LOGS) -> DataFrame:
     """Per log, the redaction ratio of the service's logs with age ≤ 60 s
-    (including this one); candidate when ≥ 5 logs and ratio > threshold."""
+    (including this one); candidate when ≥ 5 logs and ratio > threshold.
+
+    Both counts are differences of exact positions in a range-partitioned
+    order of (service, ts, seq), so one busy service is spread over many tasks.
+    """
     d = logs.withColumn("is_redacted", is_redacted(F.col("body"))) if "is_redacted" not in logs.columns else logs
-    d = time_blocks(d.withColumn("_tus", F.unix_micros(F.col("ts").cast("timestamp"))), "ts", window_s)
-    w = Window.partitionBy(key, "tb").orderBy("_tus").rangeBetween(-window_s * US, 0)
-    d = d.select("*", F.count(F.lit(1)).over(w).alias("window_log_count"),
-                 F.sum(F.col("is_redacted").cast("long")).over(w).alias("redacted_count"))
-    d = d.filter(~F.col("ghost")).drop("tb", "ghost", "_tus")
+    d = sliding_count(d, [key], "ts", "seq", window_s * US, "window_log_count", flag="is_redacted",
+                      flag_out="redacted_count")
     ratio = F.col("redacted_count") / F.col("window_log_count")
     return (d.withColumn("redaction_ratio", ratio)
             .filter((F.col("window_log_count") >= min_logs) & (ratio > threshold)))

@@ -7,11 +7,11 @@ task, and the result is exact:
 
 * failure spike — last 12 txns of the gateway → ``rowsBetween(-11, 0)`` in
   row blocks with an 11-row overlap;
-* velocity — user's txns in the last 60 s → ``rangeBetween(-60 s, 0)`` in
-  60 s time buckets with a one-bucket overlap;
+* velocity — user's txns in the last 60 s: a difference of two exact
+  positions in a range-partitioned order (``sliding_count``);
 * duplicate charge — oldest earlier charge of the same user and amount within
-  120 s → ``rangeBetween(-120 s, -1 µs)`` in 120 s buckets.  Ingested amounts
-  are rounded to cents, so ``|Δ| < 0.01`` is equality of cents;
+  120 s: the charge at the window's lower position (``first_in_window``).
+  Ingested amounts are rounded to cents, so ``|Δ| < 0.01`` is equality of cents;
 * gateway timeout — a row predicate.
 
 Candidates then pass the 45 s per-(type, target) cooldown (greedy, first
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ..functions.common import rnd
 
 from ..functions.constants import PAY_TUNING as T
-from ..plans.ordered import (greedy_cooldown_parallel, key_rank, row_blocks, sliding_count,
-                             time_blocks)
+from ..plans.ordered import (first_in_window, greedy_cooldown_parallel, key_rank, row_blocks,
+                             sliding_count)
 
 # block sizes: a window partition never holds more than this many own rows
 BLOCK_ROWS = 200_000
@@ -46,16 +46,6 @@ def _keyed_rows_frame(txn: DataFrame, key: str, overlap: int, aggs: dict,
     return out.filter(~F.col("ghost")).drop("blk", "ghost", "krank")
 
 
-def _keyed_time_frame(txn: DataFrame, keys: list[str], width_s: int, lo_us: int, hi_us: int,
-                      aggs: dict) -> DataFrame:
-    """Evaluate ``aggs`` over ``rangeBetween(lo, hi)`` (µs of ``ts``) per ``keys``;
-    exact because every frame (|lo| ≤ width) lies in the own or previous bucket."""
-    d = time_blocks(txn.withColumn("_tus", F.unix_micros("ts")), "ts", width_s)
-    w = Window.partitionBy(*keys, "tb").orderBy("_tus").rangeBetween(lo_us, hi_us)
-    out = d.select("*", *[fn(w).alias(name) for name, fn in aggs.items()])
-    return out.filter(~F.col("ghost")).drop("tb", "ghost", "_tus")
-
-
 def failure_spike_candidates(txn: DataFrame, **kw) -> DataFrame:
     """Last 12 of the gateway, ≥3 of them, failed share ≥ 0.5."""
     n = T["fail_window"]
@@ -88,12 +78,15 @@ def velocity_candidates(txn: DataFrame) -> DataFrame:
 
 def duplicate_candidates(txn: DataFrame) -> DataFrame:
     """Non-FAILED charge with amount > 0 and an earlier such charge of the same
-    user and amount at most 120 s before; the oldest match is reported."""
+    user and amount at most 120 s before; the oldest match is reported.
+
+    The oldest match is the charge at the window's lower position in a
+    range-partitioned order of (user, cents, ts, seq) — no pairs are formed.
+    """
     win = T["dup_window_s"]
     ch = txn.filter((F.col("status") != "FAILED") & (F.col("amount") > 0)) \
             .withColumn("_cents", rnd(F.col("amount") * 100).cast("long"))
-    fr = _keyed_time_frame(ch, ["user", "_cents"], win, -win * US, -1, {
-        "dup_txn_id": lambda w: F.min_by("txn_id", F.struct("ts", "seq")).over(w)})
+    fr = first_in_window(ch, ["user", "_cents"], "ts", "seq", win * US, "txn_id", "dup_txn_id")
     return (fr.filter(F.col("dup_txn_id").isNotNull())
             .withColumn("score", F.lit(0.9))
             .withColumn("target", F.concat_ws(":", "user", F.col("amount").cast("string")))

@@ -9,8 +9,11 @@ kernels cut each key into blocks that can run in parallel while staying exact:
 * ``row_blocks``   — fixed-size row blocks by rank; the last ``overlap`` rows of
   each block are copied into the next block as read-only "ghost" rows, so a
   ``rowsBetween(-overlap, 0)`` frame inside (key, block) is exact.
-* ``time_blocks``  — the same for ``rangeBetween(-L, 0)`` frames: each row is
-  copied into its own time bucket and the next one (bucket width ≥ L).
+* ``range_rank`` / ``sliding_count`` / ``first_in_window`` — exact positions
+  in a range-partitioned global order (range partitioning samples the keys,
+  so a hot key or a burst is spread over balanced partitions); sliding time
+  counts and "oldest row in the window" become position differences and an
+  equi-join on position.
 * ``greedy_cooldown`` — greedy "fire only if ≥ cooldown since the last fire"
   suppression, a linear fold per key run with ``mapInPandas`` over a
   key-partitioned, sorted stream (constant memory; only candidate rows move).
@@ -52,14 +55,6 @@ def row_blocks(df: DataFrame, rank: str, block_rows: int, overlap: int) -> DataF
     return own.unionByName(tail)
 
 
-def time_blocks(df: DataFrame, ts: str, width_s: int) -> DataFrame:
-    """Add ``tb`` and ``ghost``: each row in its own bucket and (as ghost) the next."""
-    b = F.floor(F.unix_micros(F.col(ts)) / (width_s * 1_000_000))
-    own = df.withColumn("tb", b).withColumn("ghost", F.lit(False))
-    nxt = df.withColumn("tb", b + 1).withColumn("ghost", F.lit(True))
-    return own.unionByName(nxt)
-
-
 def greedy_cooldown(cands: DataFrame, key: str, ts: str, seq: str, cooldown_s: float,
                     out: str = "fired") -> DataFrame:
     """Keep candidate rows that are ≥ cooldown after the key's last *fired* row.
@@ -165,37 +160,26 @@ def running_count(df: DataFrame, key: str, order: str, flag: Column, coarse: Col
 # ---- exact parallel cooldown for hot keys ---------------------------------------------
 
 HOT_KEY_ROWS = 2_000_000     # keys with more candidates than this take the doubling path
-COARSE_US = 3_600_000_000    # coarse time block for the rank / count lookups (1 h)
 
 
 def _ranked_with_next(c: DataFrame, key: str, cd_us: int) -> DataFrame:
-    """Rank each candidate inside its key by (t, seq) and point it at the rank of
-    the first candidate with t ≥ t + cooldown (null when there is none).
-
-    Both are exact and parallel: counts per (key, coarse block), a prefix over
-    that small table, and a sorted merge of data rows with the lookup times
-    inside (key, coarse block) partitions.
+    """Give each candidate its exact position ``_r`` in the global (key, t, seq)
+    order and point it at the position of the first candidate of the same key
+    with t ≥ t + cooldown (``_next``, null when there is none).  Lookup rows at
+    t + cooldown are merged into the same range-partitioned order, so a hot key
+    is spread over many tasks.
     """
-    cb = lambda t: F.floor(t / F.lit(COARSE_US))
-    d = c.select(key, "_t", "_seq")
-    counts = d.groupBy(key, cb(F.col("_t")).alias("_cb")).agg(F.count(F.lit(1)).alias("_n"))
-    wp = Window.partitionBy(key).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(key, "_cb", F.coalesce(F.sum("_n").over(wp), F.lit(0)).alias("_off"))
-    tot = counts.groupBy(key).agg(F.sum("_n").alias("_total"))
-    # data rows (kind 1) and lookups "count of t < x" (kind 0: sorts before equal data)
-    rows = d.select(key, F.col("_t").alias("_v"), F.lit(1).alias("_kind"), F.col("_t"), F.col("_seq"))
-    look = d.select(key, (F.col("_t") + F.lit(cd_us)).alias("_v"), F.lit(0).alias("_kind"),
+    data = c.select(key, F.col("_t").alias("_v"), F.lit(1).alias("_kind"), F.col("_seq").alias("_s"),
                     F.col("_t"), F.col("_seq"))
-    u = rows.unionByName(look).withColumn("_cb", cb(F.col("_v")))
-    w = Window.partitionBy(key, "_cb").orderBy("_v", "_kind", "_t", "_seq") \
-              .rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("_run", F.sum("_kind").over(w)).join(offs, [key, "_cb"], "left") \
-         .withColumn("_before", F.coalesce(F.col("_off"), F.lit(0)) + F.col("_run"))
-    rank = u.filter(F.col("_kind") == 1).select(key, "_t", "_seq", F.col("_before").alias("_r"))
-    nxt = (u.filter(F.col("_kind") == 0).join(tot, key)
-           .select(key, "_t", "_seq", F.when(F.col("_before") + 1 <= F.col("_total"), F.col("_before") + 1)
+    look = c.select(key, (F.col("_t") + F.lit(cd_us)).alias("_v"), F.lit(0).alias("_kind"),
+                    F.col("_seq").alias("_s"), F.col("_t"), F.col("_seq"))
+    r = range_rank(data.unionByName(look), [key, "_v", "_kind", "_s"], flags=["_kind"])
+    pos = r.filter(F.col("_kind") == 1).select(key, "_t", "_seq", F.col("_fpos__kind").alias("_r"))
+    end = pos.groupBy(key).agg((F.max("_r") + 1).alias("_end"))
+    nxt = (r.filter(F.col("_kind") == 0).join(end, key)
+           .select(key, "_t", "_seq", F.when(F.col("_fpos__kind") < F.col("_end"), F.col("_fpos__kind"))
                    .alias("_next")))
-    return rank.join(nxt, [key, "_t", "_seq"])
+    return pos.join(nxt, [key, "_t", "_seq"])
 
 
 def _doubling_fired(c: DataFrame, key: str, cd_us: int) -> DataFrame:
@@ -213,7 +197,7 @@ def _doubling_fired(c: DataFrame, key: str, cd_us: int) -> DataFrame:
         if nj.limit(1).count() == 0:
             break
         jumps.append(nj)
-    reach = r.filter(F.col("_r") == 1).select(key, F.col("_r").alias("_node"))
+    reach = r.groupBy(key).agg(F.min("_r").alias("_node"))      # each key's first candidate
     for j in reversed(jumps):                         # all k < 2^levels: S ∪ jump_j(S)
         step = reach.join(j, (reach[key] == j[key]) & (reach["_node"] == j["_from"])) \
                     .select(reach[key], F.col("_to").alias("_node"))
@@ -251,50 +235,81 @@ def greedy_cooldown_parallel(cands: DataFrame, key: str, ts: str, seq: str, cool
 _LOC_BITS = 33
 
 
-def range_rank(df: DataFrame, order: list[str], flag: str | None = None) -> DataFrame:
+def range_rank(df: DataFrame, order: list[str], flags: list[str] | None = None) -> DataFrame:
     """Exact global position of every row in ``order`` (a total order), without a
     single-partition sort: range partitioning samples the order keys, so a hot
     key is spread over many balanced partitions.  Adds ``_pos`` (0-based rank of
-    all rows) and, when ``flag`` (0/1 column) is given, ``_fpos`` = number of
-    flagged rows strictly before this row.  The ranked table is written once so
-    that both passes see the same partitioning.
+    all rows) and, for every 0/1 column ``f`` in ``flags``, ``_fpos_<f>`` = number
+    of rows with f = 1 strictly before this row.  The ranked table is written
+    once so that both passes see the same partitioning.
     """
     from .materialize import materialize
+    flags = flags or []
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
          .withColumn("_mid", F.monotonically_increasing_id()))
     d = d.withColumn("_pid", F.shiftright("_mid", _LOC_BITS)) \
          .withColumn("_loc", F.col("_mid").bitwiseAND((1 << _LOC_BITS) - 1))
-    fl = F.col(flag) if flag else F.lit(0)
     wloc = Window.partitionBy("_pid").orderBy("_loc").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_fl_before", F.coalesce(F.sum(fl).over(wloc), F.lit(0)))   # per balanced partition
+    for f in flags:                                   # running counts inside balanced partitions
+        d = d.withColumn(f"_lb_{f}", F.coalesce(F.sum(f).over(wloc), F.lit(0)))
     d = materialize(d, "range_rank")
-    per = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.sum(fl).alias("_fc"))
+    per = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(f).alias(f"_pc_{f}") for f in flags])
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)        # ≤ #partitions rows
     offs = per.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"),
-                      F.coalesce(F.sum("_fc").over(w), F.lit(0)).alias("_foff"))
-    out = d.join(F.broadcast(offs), "_pid")
-    out = out.withColumn("_pos", F.col("_off") + F.col("_loc"))
-    out = out.withColumn("_fpos", F.col("_foff") + F.col("_fl_before"))
-    return out.drop("_mid", "_pid", "_loc", "_fl_before", "_off", "_foff")
+                      *[F.coalesce(F.sum(f"_pc_{f}").over(w), F.lit(0)).alias(f"_po_{f}") for f in flags])
+    out = d.join(F.broadcast(offs), "_pid").withColumn("_pos", F.col("_off") + F.col("_loc"))
+    for f in flags:
+        out = out.withColumn(f"_fpos_{f}", F.col(f"_po_{f}") + F.col(f"_lb_{f}"))
+    return out.drop("_mid", "_pid", "_loc", "_off", *[c for f in flags for c in (f"_lb_{f}", f"_po_{f}")])
 
 
 def sliding_count(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
-                  out: str = "window_count") -> DataFrame:
+                  out: str = "window_count", flag: str | None = None,
+                  flag_out: str = "window_flagged") -> DataFrame:
     """For every row, the number of rows of its key with ts in [ts - window, ts]
-    that come at or before it in (ts, seq) order — exact and skew-robust.
+    that come at or before it in (ts, seq) order — exact and skew-robust — and,
+    with ``flag`` (a boolean column), how many of those are flagged.
 
     Lookup rows at ts - window are merged into the same global order (before
-    data rows with an equal key and time), so the count is a difference of two
+    data rows with an equal key and time), so each count is a difference of two
     positions among data rows.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    data = df.select(*keys, t.alias("_v"), F.lit(1).alias("_kind"), F.col(seq).alias("_s"))
+    fl = F.col(flag).cast("int") if flag else F.lit(0)
+    data = df.select(*keys, t.alias("_v"), F.lit(1).alias("_kind"), F.col(seq).alias("_s"), fl.alias("_flg"))
     look = df.select(*keys, (t - F.lit(window_us)).alias("_v"), F.lit(0).alias("_kind"),
-                     F.col(seq).alias("_s"))
-    r = range_rank(data.unionByName(look), [*keys, "_v", "_kind", "_s"], flag="_kind")
-    at = r.filter(F.col("_kind") == 1).select(*keys, "_s", (F.col("_fpos") + 1).alias("_upto"))
-    lo = r.filter(F.col("_kind") == 0).select(*keys, "_s", F.col("_fpos").alias("_below"))
-    cnt = at.join(lo, [*keys, "_s"]).select(*keys, F.col("_s").alias(seq),
-                                            (F.col("_upto") - F.col("_below")).alias(out))
+                     F.col(seq).alias("_s"), F.lit(0).alias("_flg"))
+    r = range_rank(data.unionByName(look), [*keys, "_v", "_kind", "_s"], flags=["_kind", "_flg"])
+    at = r.filter(F.col("_kind") == 1).select(*keys, "_s", (F.col("_fpos__kind") + 1).alias("_upto"),
+                                              (F.col("_fpos__flg") + F.col("_flg")).alias("_fupto"))
+    lo = r.filter(F.col("_kind") == 0).select(*keys, "_s", F.col("_fpos__kind").alias("_below"),
+                                              F.col("_fpos__flg").alias("_fbelow"))
+    cols = [*keys, F.col("_s").alias(seq), (F.col("_upto") - F.col("_below")).alias(out)]
+    if flag:
+        cols.append((F.col("_fupto") - F.col("_fbelow")).alias(flag_out))
+    cnt = at.join(lo, [*keys, "_s"]).select(*cols)
     return df.join(cnt, [*keys, seq])
+
+
+def first_in_window(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
+                    value: str, out: str) -> DataFrame:
+    """For every row, ``value`` of the oldest row of its key with ts in
+    [ts - window, ts) strictly before it in (ts, seq) order (null when none) —
+    the row at the window's lower position, found by an equi-join on position."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    data = df.select(*keys, t.alias("_v"), F.lit(1).alias("_kind"), F.col(seq).alias("_s"),
+                     F.col(value).alias("_val"))
+    look = df.select(*keys, (t - F.lit(window_us)).alias("_v"), F.lit(0).alias("_kind"),
+                     F.col(seq).alias("_s"), F.lit(None).cast(df.schema[value].dataType).alias("_val"))
+    r = range_rank(data.unionByName(look), [*keys, "_v", "_kind", "_s"], flags=["_kind"])
+    at = r.filter(F.col("_kind") == 1).select(*keys, "_s", F.col("_fpos__kind").alias("_me"), "_val")
+    lo = r.filter(F.col("_kind") == 0).select(*keys, "_s", F.col("_fpos__kind").alias("_first"))
+    pair = at.select(*keys, "_s", "_me").join(lo, [*keys, "_s"]).filter(F.col("_first") < F.col("_me"))
+    cand = at.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_me").alias("_pos_c"),
+                     F.col("_val").alias(out))
+    cond = F.col("_first") == F.col("_pos_c")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col("_k_" + k))
+    hit = pair.join(cand, cond).select(*keys, F.col("_s").alias(seq), out)
+    return df.join(hit, [*keys, seq], "left")
