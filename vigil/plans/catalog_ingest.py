@@ -52,6 +52,7 @@ SELECT * FROM (VALUES
 
 # ---- webhooks -------------------------------------------------------------------------
 
+from ..operators import payments_kpi as K  # noqa: E402
 from ..sources import webhooks as WH  # noqa: E402
 from .vehicles_ingest import HOOK_INGEST_KEY, HOOK_SECRETS, v_hook  # noqa: E402
 
@@ -119,8 +120,7 @@ register("webhook_quarantine", lambda s, d: _norm(s, d).filter(F.col("outcome")
     "seq", "endpoint"), with_views(["v_txn"], """
 SELECT seq, endpoint FROM hn WHERE outcome = 'bad_signature'""", _HOOK))
 
-register("webhook_live_kpis", lambda s, d: __import__("vigil.operators.payments_kpi", fromlist=["x"]).txn_totals(
-    _norm(s, d).filter(F.col("outcome") == "ok")), with_views(["v_txn"], """
+register("webhook_live_kpis", lambda s, d: K.txn_totals(_norm(s, d).filter(F.col("outcome") == "ok")), with_views(["v_txn"], """
 SELECT count(*) AS total,
        CAST(coalesce(sum(CASE WHEN status = 'SUCCESS' THEN 1 ELSE 0 END), 0) AS BIGINT) AS success,
        CAST(coalesce(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END), 0) AS BIGINT) AS failed,

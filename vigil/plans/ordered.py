@@ -23,7 +23,6 @@ kernels cut each key into blocks that can run in parallel while staying exact:
 """
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

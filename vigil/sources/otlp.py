@@ -129,7 +129,6 @@ def telemetry_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Warm-up corpus (JSONL); blank and broken lines are dropped; each row is
     a one-span trace with error rate 0.  A missing file means a cold start."""
-    from py4j.protocol import Py4JJavaError  # noqa: F401
     schema = T.StructType([T.StructField("duration_ms", T.DoubleType())])
     try:
         df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
