@@ -34,3 +34,16 @@ def test_cold_epoch_cannot_fire(spark):
     sc = EN.soft_vote(EN.ensemble_scores(df, epoch_width=10_000), df)
     r = sc.agg(F.max("aggregate_score").alias("m"), F.max(F.col("ml_anomaly").cast("int")).alias("a")).first()
     assert abs(r["m"] - 0.5) < 1e-9 and r["a"] == 0
+
+
+def test_minmax_norm_does_not_saturate(spark):
+    rnd = random.Random(6)
+    rows = [(f"t{i}", i, rnd.gauss(200, 20), rnd.randint(3, 5), 0.0) for i in range(600)]
+    rows.append(("planted", 650, 4800.0, 40, 0.5))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["trace_id"]: r for r in EN.ensemble_scores(df, epoch_width=300, norm="minmax").collect()}
+    trained = [r for r in got.values() if r["trained"]]
+    iso = [r["isolation_forest"] for r in trained]
+    assert min(iso) < max(iso)                                   # a spread, not a constant 1.0
+    for m in ("isolation_forest", "lof"):                        # the planted outlier ranks first
+        assert got["planted"][m] >= max(r[m] for r in trained if r["trace_id"] != "planted")

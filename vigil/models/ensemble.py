@@ -245,9 +245,17 @@ def _fit_epoch(pdf: pd.DataFrame) -> pd.DataFrame:
         model["lof"] = _fit_lof(tr)
         model["pca"] = _fit_pca(tr)
         model["svm"] = _fit_svm(tr, rng)
+        # raw-score range on the training sample, for norm='minmax'
+        raw = _raw_scores(model, tr)
+        model["range"] = {k: [float(v.min()), float(v.max())] for k, v in raw.items()}
     return pd.DataFrame({"epoch": [epoch], "model": [json.dumps(model)]})
 
 
+def _raw_scores(m: dict, x: np.ndarray) -> dict:
+    return {"isolation_forest": _score_iforest(m["if"], x), "one_class_svm": _score_svm(m["svm"], x),
+            "autoencoder_mse": _score_pca(m["pca"], x), "lof": _score_lof(m["lof"], x)}
+
+
 def _hs_scale(x: np.ndarray, span_max: float) -> np.ndarray:
     s = x.copy()
     s[:, 0] = s[:, 0] / 5.0
@@ -263,15 +271,17 @@ SCORE_SCHEMA = T.StructType([
 SCORE_CHUNK = 20_000   # rows scored at a time (LOF distances are chunk × sample)
 
 
-def _score_epoch(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-    if rows.empty:
-        return pd.DataFrame(columns=SCORE_SCHEMA.fieldNames())
-    m = json.loads(models["model"].iloc[0]) if not models.empty else {}
-    parts = [_score_chunk(rows.iloc[i:i + SCORE_CHUNK], m) for i in range(0, len(rows), SCORE_CHUNK)]
-    return pd.concat(parts, ignore_index=True)
+def _score_epoch_factory(norm: str):
+    def _score_epoch(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame(columns=SCORE_SCHEMA.fieldNames())
+        m = json.loads(models["model"].iloc[0]) if not models.empty else {}
+        parts = [_score_chunk(rows.iloc[i:i + SCORE_CHUNK], m, norm) for i in range(0, len(rows), SCORE_CHUNK)]
+        return pd.concat(parts, ignore_index=True)
+    return _score_epoch
 
 
-def _score_chunk(rows: pd.DataFrame, m: dict) -> pd.DataFrame:
+def _score_chunk(rows: pd.DataFrame, m: dict, norm: str = "reference") -> pd.DataFrame:
     x = rows[FEATS].to_numpy(dtype=float)
     n = len(x)
     out = pd.DataFrame({"trace_id": rows["trace_id"].values, "epoch": rows["epoch"].values})
@@ -293,7 +303,11 @@ def _score_chunk(rows: pd.DataFrame, m: dict) -> pd.DataFrame:
         hs_raw = np.ones(n)
     out["hs_trees"] = np.minimum(hs_raw / 0.8, 1.0)
     trained = "if" in m
-    if trained:
+    if trained and norm == "minmax":          # scaled by the training sample's raw range
+        for k, v in _raw_scores(m, x).items():
+            lo, hi = m["range"][k]
+            out[k] = np.clip((v - lo) / (hi - lo), 0.0, 1.0) if hi > lo else np.zeros(n)
+    elif trained:                              # the monitored system's fixed normalisation
         out["isolation_forest"] = np.clip((_score_iforest(m["if"], x) + 0.5) / 0.5, 0.0, 1.0)
         out["one_class_svm"] = np.clip((_score_svm(m["svm"], x) + 10.0) / 20.0, 0.0, 1.0)
         out["autoencoder_mse"] = np.clip(_score_pca(m["pca"], x) / 0.1, 0.0, 1.0)
@@ -305,13 +319,20 @@ def _score_chunk(rows: pd.DataFrame, m: dict) -> pd.DataFrame:
     return out[SCORE_SCHEMA.fieldNames()]
 
 
-def ensemble_scores(traces: DataFrame, order: str = "trace_seq", epoch_width: int = EPOCH_TRACES) -> DataFrame:
-    """M3–M8: per-model scores for every trace (prequential, per epoch)."""
+def ensemble_scores(traces: DataFrame, order: str = "trace_seq", epoch_width: int = EPOCH_TRACES,
+                    norm: str = "reference") -> DataFrame:
+    """M3–M8: per-model scores for every trace (prequential, per epoch).
+
+    ``norm='reference'`` keeps the monitored system's fixed normalisations (the
+    isolation-forest score saturates at 1 once trained); ``norm='minmax'``
+    scales each batch model's raw score by its range on the training sample.
+    """
     feat = with_epoch(features(traces), order, epoch_width)
     models = training_rows(feat, order).groupBy("epoch").applyInPandas(
         _fit_epoch, "epoch long, model string")
     rows = feat.select("trace_id", "epoch", *FEATS)
-    return rows.groupBy("epoch").cogroup(models.groupBy("epoch")).applyInPandas(_score_epoch, SCORE_SCHEMA)
+    return rows.groupBy("epoch").cogroup(models.groupBy("epoch")).applyInPandas(
+        _score_epoch_factory(norm), SCORE_SCHEMA)
 
 
 def soft_vote(scores: DataFrame, traces: DataFrame) -> DataFrame:
