@@ -125,7 +125,7 @@ def exact_pick(vals: DataFrame, v: str, idx: dict[str, Column], buckets: int = 2
 
 
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
-                  splits: int = 64, split_col: str | None = None) -> DataFrame:
+                  splits: int = 512, split_col: str | None = None) -> DataFrame:
     """Exact top-``n`` rows per key by ``order`` without one task per key.
 
     Each key is first cut into ``splits`` parts (by hash of ``split_col`` or of
