@@ -96,3 +96,28 @@ def test_sliding_count_hot_key_with_ties(spark):
         want[s] = sum(1 for k2, ts2, s2 in rows
                       if k2 == k and (ts2, s2) <= (ts, s) and (ts - ts2).total_seconds() <= 60)
     assert got == want
+
+
+def test_sliding_and_first_in_window_cold_equals_hot(spark):
+    from vigil.plans.ordered import first_in_window, sliding_count
+    rnd = random.Random(23)
+    t0 = datetime(2024, 1, 1)
+    rows, t = [], 0.0
+    for i in range(800):
+        t += rnd.choice([0.0, 1.0, 10.0, 70.0])
+        rows.append((rnd.choice(["a", "a", "b", "c"]), t0 + timedelta(seconds=t), i, f"v{i}", i % 3 == 0))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, seq long, val string, f boolean")
+    w = 60_000_000
+    cold = {(r["seq"], r["n"], r["m"]) for r in sliding_count(df, ["k"], "ts", "seq", w, "n", "f", "m").collect()}
+    hot = {(r["seq"], r["n"], r["m"]) for r in
+           sliding_count(df, ["k"], "ts", "seq", w, "n", "f", "m", hot_rows=10).collect()}
+    assert cold == hot
+    c1 = {(r["seq"], r["o"]) for r in first_in_window(df, ["k"], "ts", "seq", w, "val", "o").collect()}
+    h1 = {(r["seq"], r["o"]) for r in first_in_window(df, ["k"], "ts", "seq", w, "val", "o", hot_rows=10).collect()}
+    assert c1 == h1
+    want = {}
+    for k, ts, s, v, _ in rows:
+        older = [(ts2, s2, v2) for k2, ts2, s2, v2, _ in rows
+                 if k2 == k and (ts2, s2) < (ts, s) and (ts - ts2).total_seconds() <= 60]
+        want[s] = min(older)[2] if older else None
+    assert dict(c1) == want

@@ -263,9 +263,9 @@ def range_rank(df: DataFrame, order: list[str], flags: list[str] | None = None)
     return out.drop("_mid", "_pid", "_loc", "_off", *[c for f in flags for c in (f"_lb_{f}", f"_po_{f}")])
 
 
-def sliding_count(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
-                  out: str = "window_count", flag: str | None = None,
-                  flag_out: str = "window_flagged") -> DataFrame:
+def _sliding_count_ranked(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
+                          out: str = "window_count", flag: str | None = None,
+                          flag_out: str = "window_flagged") -> DataFrame:
     """For every row, the number of rows of its key with ts in [ts - window, ts]
     that come at or before it in (ts, seq) order — exact and skew-robust — and,
     with ``flag`` (a boolean column), how many of those are flagged.
@@ -291,8 +291,8 @@ def sliding_count(df: DataFrame, keys: list[str], ts: str, seq: str, window_us:
     return df.join(cnt, [*keys, seq])
 
 
-def first_in_window(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
-                    value: str, out: str) -> DataFrame:
+def _first_in_window_ranked(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
+                            value: str, out: str) -> DataFrame:
     """For every row, ``value`` of the oldest row of its key with ts in
     [ts - window, ts) strictly before it in (ts, seq) order (null when none) —
     the row at the window's lower position, found by an equi-join on position."""
@@ -312,3 +312,69 @@ def first_in_window(df: DataFrame, keys: list[str], ts: str, seq: str, window_us
         cond = cond & (F.col(k) == F.col("_k_" + k))
     hit = pair.join(cand, cond).select(*keys, F.col("_s").alias(seq), out)
     return df.join(hit, [*keys, seq], "left")
+
+
+def _split_hot(df: DataFrame, keys: list[str], hot_rows: int):
+    """(cold rows, hot rows): keys with more than ``hot_rows`` rows are hot; at most
+    total / hot_rows of them exist, a proven bound for broadcasting the key list."""
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_rows).select(*keys)
+    if hot.limit(1).count() == 0:
+        return df, None
+    return (df.join(F.broadcast(hot), keys, "left_anti"), df.join(F.broadcast(hot), keys, "left_semi"))
+
+
+def _cold_positions(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int, flag: str | None):
+    """Per-key window form: position in (ts, seq) order and the number of rows
+    (and flagged rows) with ts < ts - window, exact with ties."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    d = df.withColumn("_tu", t)
+    w_rows = Window.partitionBy(*keys).orderBy("_tu", seq).rowsBetween(Window.unboundedPreceding, 0)
+    w_old = Window.partitionBy(*keys).orderBy("_tu").rangeBetween(Window.unboundedPreceding, -window_us - 1)
+    d = d.withColumn("_pos1", F.count(F.lit(1)).over(w_rows)) \
+         .withColumn("_old", F.coalesce(F.count(F.lit(1)).over(w_old), F.lit(0)))
+    if flag:
+        fl = F.col(flag).cast("int")
+        d = d.withColumn("_fpos1", F.sum(fl).over(w_rows)) \
+             .withColumn("_fold", F.coalesce(F.sum(fl).over(w_old), F.lit(0)))
+    return d
+
+
+def sliding_count(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
+                  out: str = "window_count", flag: str | None = None, flag_out: str = "window_flagged",
+                  hot_rows: int | None = None) -> DataFrame:
+    """For every row, the number of rows of its key with ts in [ts - window, ts]
+    at or before it in (ts, seq) order (and, with ``flag``, how many are
+    flagged).  Keys up to ``hot_rows`` rows use one per-key window; hot keys
+    and the unkeyed case use exact positions in a range-partitioned order."""
+    limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
+    if not keys:
+        return _sliding_count_ranked(df, keys, ts, seq, window_us, out, flag, flag_out)
+    cold, hot = _split_hot(df, keys, limit)
+    d = _cold_positions(cold, keys, ts, seq, window_us, flag)
+    d = d.withColumn(out, F.col("_pos1") - F.col("_old"))
+    if flag:
+        d = d.withColumn(flag_out, F.col("_fpos1") - F.col("_fold"))
+    d = d.drop("_tu", "_pos1", "_old", "_fpos1", "_fold")
+    if hot is None:
+        return d
+    return d.unionByName(_sliding_count_ranked(hot, keys, ts, seq, window_us, out, flag, flag_out))
+
+
+def first_in_window(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
+                    value: str, out: str, hot_rows: int | None = None) -> DataFrame:
+    """For every row, ``value`` of the oldest row of its key with ts in
+    [ts - window, ts) strictly before it in (ts, seq) order (null when none):
+    the row at the window's lower position, fetched by an equi-join on
+    (key, position).  Hot keys use the range-partitioned positions."""
+    limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
+    cold, hot = _split_hot(df, keys, limit)
+    d = _cold_positions(cold, keys, ts, seq, window_us, None)
+    lookup = d.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_pos1").alias("_p"),
+                      F.col(value).alias(out))
+    cond = (F.col("_old") + 1 == F.col("_p")) & (F.col("_old") + 1 < F.col("_pos1"))
+    for k in keys:
+        cond = cond & (F.col(k) == F.col("_k_" + k))
+    res = d.join(lookup, cond, "left").drop("_tu", "_pos1", "_old", "_p", *["_k_" + k for k in keys])
+    if hot is None:
+        return res
+    return res.unionByName(_first_in_window_ranked(hot, keys, ts, seq, window_us, value, out))
