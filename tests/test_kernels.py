@@ -121,3 +121,16 @@ def test_sliding_and_first_in_window_cold_equals_hot(spark):
                  if k2 == k and (ts2, s2) < (ts, s) and (ts - ts2).total_seconds() <= 60]
         want[s] = min(older)[2] if older else None
     assert dict(c1) == want
+
+
+def test_exact_pick_with_a_hot_value(spark):
+    rnd = random.Random(29)
+    vals = [7.0] * 1200 + [rnd.uniform(0, 20) for _ in range(2400)]
+    rnd.shuffle(vals)
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    n = len(vals)
+    want = sorted(vals)
+    idx = {"a": 0, "b": n // 3, "c": n // 2, "d": int(n * 0.95), "e": n - 1}
+    picks = exact_pick(df, "v", {k: F.lit(i) for k, i in idx.items()}, buckets=32)
+    got = spark.range(1).select(*[c.alias(k) for k, c in picks.items()]).first()
+    assert {k: got[k] for k in idx} == {k: want[i] for k, i in idx.items()}

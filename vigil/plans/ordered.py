@@ -97,9 +97,11 @@ def exact_pick(vals: DataFrame, v: str, idx: dict[str, Column], buckets: int = 2
     """Scalar columns: for each name in ``idx``, the element at 0-based index
     ``idx[name]`` of ``vals[v]`` sorted ascending (exact; nulls excluded).
 
-    Only the value bucket that holds the index is sorted; the bucket bounds are
-    approximate quantiles, so a bucket holds about n / ``buckets`` rows (all
-    equal values land in one bucket, where any order gives the same answer).
+    Buckets come from approximate quantiles: values strictly between two bounds
+    form an even bucket (about n / ``buckets`` rows), values equal to a bound
+    form an odd, uniform bucket.  A uniform bucket answers directly (a hot
+    value holding a third of all rows is never sorted); only the even bucket
+    that holds the index is ranked.
     """
     probs = [k / buckets for k in range(1, buckets)]
     d = vals.select(F.col(v).alias("_v")).filter(F.col("_v").isNotNull())
@@ -107,21 +109,27 @@ def exact_pick(vals: DataFrame, v: str, idx: dict[str, Column], buckets: int = 2
     row = d.agg(F.percentile_approx("_v", probs, 10_000).alias("b")).first()
     bounds = sorted(set(row["b"] or []))
     arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    d = d.withColumn("_bk", F.size(F.filter(arr, lambda x: x < F.col("_v"))))
-    counts = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)  # ≤ `buckets` rows
-    offs = counts.select("_bk", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    cond = None
+    d = d.withColumn("_bk", F.size(F.filter(arr, lambda x: x < F.col("_v"))) * 2
+                     + F.array_contains(arr, F.col("_v")).cast("int"))
+    counts = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"))
+    w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)  # ≤ 2·`buckets` rows
+    offs = counts.select("_bk", "_n", "_mn", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    hit = None
     for i in idx.values():
         c = (F.col("_off") <= i) & (i < F.col("_off") + F.col("_n"))
-        cond = c if cond is None else cond | c
-    sel = offs.filter(cond).select("_bk", "_off")       # at most len(idx) buckets
-    part = d.join(F.broadcast(sel), "_bk")
+        hit = c if hit is None else hit | c
+    sel = offs.filter(hit)                                # at most len(idx) buckets
+    ranked_bk = sel.filter(F.col("_bk") % 2 == 0).select("_bk", "_off")
+    part = d.join(F.broadcast(ranked_bk), "_bk")
     local = part.withColumn(
         "_r", F.row_number().over(Window.partitionBy("_bk").orderBy("_v")) - 1 + F.col("_off"))
     picked = local.agg(*[F.max(F.when(F.col("_r") == i, F.col("_v"))).alias(name) for name, i in idx.items()])
-    st = picked.select(F.struct(*idx.keys()).alias("s")).scalar()   # one scalar subquery
-    return {name: st.getField(name) for name in idx}
+    uniform = sel.filter(F.col("_bk") % 2 == 1).agg(*[
+        F.max(F.when((F.col("_off") <= i) & (i < F.col("_off") + F.col("_n")), F.col("_mn"))).alias(name)
+        for name, i in idx.items()])
+    st = picked.select(F.struct(*idx.keys()).alias("s")).scalar()    # one scalar subquery each
+    su = uniform.select(F.struct(*idx.keys()).alias("s")).scalar()
+    return {name: F.coalesce(st.getField(name), su.getField(name)) for name in idx}
 
 
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
