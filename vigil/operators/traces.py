@@ -60,11 +60,11 @@ def dependency_edges(spans: DataFrame, key: str = "trace_id", cap: int = 15) ->
     p = spans.select(F.col(key).alias("_k"), F.col("span_id").alias("parent_id"),
                      F.col("service").alias("parent_service"))
     e = spans.join(p, (spans[key] == p["_k"]) & (spans["parent_span_id"] == p["parent_id"]))
-    w = Window.partitionBy(key).orderBy("start_time", "span_id")
-    return (e.withColumn("edge_no", F.row_number().over(w)).filter(F.col("edge_no") <= cap)
-            .select(key, "parent_id", F.col("span_id").alias("child_id"), "parent_service",
-                    F.col("service").alias("child_service"), F.col("name").alias("child_name"),
-                    "edge_no"))
+    from ..plans.ordered import top_n_per_key
+    first = top_n_per_key(e, [key], [F.col("start_time"), F.col("span_id")], cap, split_col="span_id")
+    return first.select(key, "parent_id", F.col("span_id").alias("child_id"), "parent_service",
+                        F.col("service").alias("child_service"), F.col("name").alias("child_name"),
+                        F.col("rank").alias("edge_no"))
 
 
 def build_traces(spans: DataFrame, key: str = "trace_id", carry: tuple[str, ...] = (),
@@ -344,11 +344,11 @@ def service_window_metrics(spans: DataFrame, window_s: int = 10) -> DataFrame:
 
 def waterfall(spans: DataFrame, key: str = "trace_id", min_width: float = 4.0) -> DataFrame:
     """Offset from the trace start; left % and width % of the trace duration."""
-    w = Window.partitionBy(key)
-    t0 = F.min(F.unix_micros("start_time")).over(w)
-    total = F.max("duration_ms").over(w)
+    per = spans.groupBy(key).agg(F.min(F.unix_micros("start_time")).alias("_t0"),
+                                 F.max("duration_ms").alias("_total"))     # partial aggregation
+    t0, total = F.col("_t0"), F.col("_total")
     off = (F.unix_micros("start_time") - t0) / 1000.0
-    return spans.select(
+    return spans.join(per, key).select(
         key, "span_id", "name", "service", "start_time", "duration_ms",
         off.alias("offset_ms"),
         rnd(safe_div(off * 100.0, total), 4).alias("left_pct"),
@@ -378,9 +378,11 @@ def anomaly_rate_history(verdicts: DataFrame, order: str = "trace_seq", last: in
 
 
 def latest_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Keyed replace — the last write per key wins."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    """Keyed replace — the last write per key wins (``max_by`` aggregate with
+    partial aggregation, so a key written very often is not one task)."""
+    others = [c for c in df.columns if c != key]
+    latest = df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row"))
+    return latest.select(key, *[F.col("_row")[c].alias(c) for c in others])
 
 
 def trace_lookup(traces: DataFrame, trace_id: str) -> DataFrame:
