@@ -129,3 +129,23 @@ SELECT count(*) AS total,
        round(CASE WHEN count(*) > 0 THEN sum(CASE WHEN status = 'SUCCESS' THEN 1 ELSE 0 END) * 100.0 / count(*)
                   ELSE 0.0 END, 2) AS success_rate
 FROM hn WHERE outcome = 'ok'""", _HOOK))
+
+# ---- live lifecycle: webhook → verify → normalise → rolling detectors → alerts ----------
+
+from ..operators import payments_detect as PD  # noqa: E402
+from .catalog_payments import _CAND_SQL  # noqa: E402
+
+
+def _webhook_alerts(s, d):
+    from .materialize import materialize
+    # the ingest step stores accepted payments (the transactions table) once
+    live = materialize(_norm(s, d).filter(F.col("outcome") == "ok"), "live_transactions")
+    return PD.payment_alerts(live)
+
+
+_LIVE = _HOOK + """,
+v_live AS (SELECT seq, txn_id, order_id, txn_type, method, provider, gateway, amount, currency, status,
+                  latency_ms, failure_reason, "user", ts, 'live' AS source FROM hn WHERE outcome = 'ok'),
+""" + _CAND_SQL.replace("FROM v_txn", "FROM v_live")
+
+register("webhook_alerts", _webhook_alerts, with_views(["v_txn"], "SELECT * FROM alerts", _LIVE))
