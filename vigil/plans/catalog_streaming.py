@@ -121,3 +121,16 @@ register("stream_payment_throughput", _stream_tp, with_views(["v_txn"], """
 SELECT window_start, count(*) AS payments FROM (
   SELECT time_bucket(INTERVAL 10 SECOND, ts) - INTERVAL (k * 10) SECOND AS window_start
   FROM v_txn, range(0, 6) AS r(k)) GROUP BY window_start"""))
+
+
+def _stream_p99(s, d):
+    f = _folder(s, "p99")
+    src = ST.replay_source(s, v_txn(s, d).select("seq", "ts", "gateway", "latency_ms"), "seq", 4, f + "/in")
+    return ST.run_to_table(ST.rolling_p99_stream(src), f)
+
+
+register("stream_rolling_p99", _stream_p99, with_views(["v_txn"], """
+SELECT gateway, seq, ts,
+       round(list_sort(l)[least(len(l) - 1, CAST(floor(0.99 * (len(l) - 1)) AS INTEGER)) + 1], 2) AS p99_latency
+FROM (SELECT gateway, seq, ts, list(latency_ms) OVER (PARTITION BY gateway ORDER BY seq
+        ROWS BETWEEN 299 PRECEDING AND CURRENT ROW) AS l FROM v_txn)"""))
