@@ -33,15 +33,19 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """Shared checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster this must already be set to a shared filesystem.  Only when it
-    is unset (local tests) a scratch folder is created and registered.
+    A folder already registered on the context counts where the setting is unset.
+    Without either, a local run gets a scratch folder of its own; a cluster run
+    fails, since executors could not read what others wrote to a local folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not d:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="vigil-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(d)
     return d
