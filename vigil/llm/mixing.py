@@ -60,11 +60,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, cap: float = 3.0,
-        quality: Column | None = None, seed: int = 17) -> DataFrame:
+        quality: DataFrame | None = None, seed: int = 17) -> DataFrame:
     """Words that a mix takes of each document so that sources meet their target weights.
 
-    `docs` has doc_id, text and source; `quality` is a positive weight over its columns
-    (null, zero or less: 1).  Returns doc_id, source, size (words), source_size, target,
+    `docs` has doc_id, text and source; `quality` has one positive weight per doc_id (none,
+    null, zero or less: 1).  Texts are counted where they are read and never shuffled.  Returns doc_id, source, size (words), source_size, target,
     place, epochs (whole passes over the source), key, taken (words, repeats counted).
     The document on which a budget ends gives the words up to the budget.
 
@@ -72,9 +72,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     doc_id, then size.  A null source is a source, the last one.  Null or empty text has
     size 0 and gives nothing.  An empty table gives an empty result.
     """
-    weight = F.lit(1.0) if quality is None else F.when(quality > 0, quality).otherwise(F.lit(1.0))
-    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"),
-                       (-F.log(uniform(F.col("doc_id"), seed)) / weight.cast("double")).alias("key"))
+    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    weight = F.lit(1.0)
+    if quality is not None:
+        given = quality.select(F.col("doc_id").alias("_rated"), F.col("weight").cast("double").alias("_weight"))
+        rows = rows.join(given, F.col("doc_id") == F.col("_rated"), "left")
+        weight = F.when(F.col("_weight") > 0, F.col("_weight")).otherwise(F.lit(1.0))
+    rows = rows.select("doc_id", "source", "size",
+                       (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"))
     rows = materialize(rows, "mix-sizes")
     targets = source_targets(rows, weights, share, cap)
     # sources are dealt by their place, a number without nulls

@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from . import chat, decontam, langid, pst, secrets, toxicity, warc
+from .common import held_out, read
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .topk import exact_top_k
 
 QUERIES: dict = {}
@@ -44,16 +46,15 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 def quality_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling weight per labelled document: good ones 2, poor ones a half."""
-    labels = read(spark, sf_dir, "labels").where("doc_id is not null")
-    return (labels.groupBy(F.col("doc_id").alias("labelled_id"))
-            .agg(F.expr("case max(quality) when 1 then 2.0D when 0 then 0.5D end").alias("weight_")))
+    return (read(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id")
+            .agg(F.expr("case max(quality) when 1 then 2.0D when 0 then 0.5D end").alias("weight")))
 
 
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
-    weighed = docs.join(quality_of(spark, sf_dir), F.col("doc_id") == F.col("labelled_id"), "left")
-    return mix(weighed, quality=F.col("weight_")).select("doc_id", "size", "source_size", "target", "taken")
+    return (mix(docs, quality=quality_of(spark, sf_dir))
+            .select("doc_id", "size", "source_size", "target", "taken"))
 
 
 ORACLES["op6_mix_sources"] = r"""
@@ -95,3 +96,149 @@ SELECT doc_id, size, source_size, target,
   CAST(epochs * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken
 FROM summed
 """
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn(
+        "held_out", held_out(F.col("doc_id"), 3, 1))
+    model = langid.train(docs.where("not held_out"))
+    return langid.identify(docs, model, ["doc_id", "held_out"])
+
+
+@query
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn(
+        "held_out", held_out(F.col("doc_id"), 7, 2))
+    return pst.score(docs, pst.train(docs.where("not held_out")))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (warc.round_trip(read(spark, sf_dir, "pages"))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+ORACLES["op7_warc"] = """
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+firsts AS (
+  SELECT payload_digest, max(page_id) AS first_id FROM payloads WHERE payload_bytes >= 1000 GROUP BY payload_digest),
+seen AS (
+  SELECT p.*, f.first_id IS NOT NULL AND p.page_id IS DISTINCT FROM f.first_id AS again, f.first_id
+  FROM payloads p LEFT JOIN firsts f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 1000)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first_id END AS refers_to
+FROM seen
+"""
+
+
+@query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
+
+
+ORACLES["op8_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * i >= 85 * (p.n + q.n - i)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+lowest AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(l.m, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(l.m, d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN lowest l ON l.x = d.doc_id
+"""
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn(
+        "held_out", held_out(F.col("doc_id"), 5, 0))
+    labels = (read(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id")
+              .agg(F.max("toxic").alias("label")))
+    return toxicity.toxicity(docs, docs.where("not held_out").join(labels, "doc_id"))
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items: one row per pair."""
+    return (decontam.contained_items(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                     read(spark, sf_dir, "benchmark"))
+            .groupBy("doc_id", "item_id").agg(F.max("item_shingles").alias("item_shingles"),
+                                              F.max("matched").alias("matched")))
+
+
+ORACLES["op1_decontaminate"] = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+widths AS (SELECT DISTINCT least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+items AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS k,
+    unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
+  FROM iw WHERE len(w) > 0),
+docs AS (
+  SELECT DISTINCT doc_id, k,
+    unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM dw, widths WHERE len(w) >= k),
+sizes AS (SELECT item_id, CAST(count(*) AS BIGINT) AS item_shingles FROM items GROUP BY item_id),
+hits AS (
+  SELECT d.doc_id, i.item_id, CAST(count(*) AS BIGINT) AS matched
+  FROM docs d JOIN items i ON d.s = i.s AND d.k = i.k GROUP BY 1, 2)
+SELECT doc_id, item_id, item_shingles, matched FROM hits JOIN sizes USING (item_id)
+WHERE 10 * matched >= 8 * item_shingles
+"""
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in the documents with the forest's score."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    forest = secrets.train(secrets.labelled_findings(docs))
+    return (secrets.scan(docs, forest)
+            .select("doc_id", "finding", "kind", "masked", "digest", "score", "is_secret"))
+
+
+@query
+def op3_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns sent as mail that quotes the turns before, read back as conversations."""
+    linked = chat.link_quotations(chat.as_messages(read(spark, sf_dir, "conversations")))
+    return linked.select(
+        F.col("thread").cast("long").alias("conv_id"), F.col("msg").cast("long").alias("turn"), "author", "text",
+        F.col("parent_thread").cast("long").alias("parent_conv"), F.col("parent").cast("long").alias("parent_turn"),
+        "depth", "position", "quoted", "linked")
+
+
+ORACLES["op3_quotations"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role AS author,
+    regexp_replace(regexp_replace(coalesce(text, ''), '^(\s*\n)+', ''), '(\n\s*)+$', '') AS text,
+    list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
+      lambda x: array_to_string(regexp_extract_all(lower(x), '\S+'), ' ')), lambda x: x <> '') AS lines
+  FROM conversations),
+pairs AS (
+  SELECT t.*, p.turn AS parent_turn, len(list_distinct(p.lines)) AS linked, len(p.lines) + coalesce(len(g.lines), 0) AS quoted
+  FROM turns t
+  LEFT JOIN turns p ON p.conv_id = t.conv_id AND p.turn = t.turn - 1 AND len(p.lines) > 0
+  LEFT JOIN turns g ON p.turn IS NOT NULL AND g.conv_id = t.conv_id AND g.turn = t.turn - 2),
+runs AS (
+  SELECT *, max(CASE WHEN parent_turn IS NULL THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS root FROM pairs)
+SELECT conv_id, turn, author, text, CASE WHEN parent_turn IS NOT NULL THEN conv_id END AS parent_conv, parent_turn,
+  turn - root AS depth, turn - root + 1 AS position, CAST(coalesce(quoted, 0) AS INTEGER) AS quoted,
+  CAST(coalesce(linked, 0) AS INTEGER) AS linked
+FROM runs
+"""
