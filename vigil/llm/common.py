@@ -60,8 +60,13 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, out: st
             .drop("_inside", "_start", "_range"))
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
+#: Tables of a few numbers per row are broadcast up to this many rows (some tens of MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The written table `df`, to be broadcast if it has at most `limit` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def pieces(n: int, size: int) -> int:

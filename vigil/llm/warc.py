@@ -17,11 +17,12 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialize
 from ..session import checkpoint_dir
-from .common import pieces, salted_lookup
+from .common import pieces, salted_lookup, sized
 
 CRLF = b"\r\n"
 END = b"\r\n\r\n"
@@ -140,11 +141,11 @@ def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
              .where("copies > 1 and first_id is not null").drop("copies"))
     again = (salted_lookup(slim, first, ["digest"])
              .where("first_id is not null and not first_id <=> page_id").select("row", "first_id"))
-    return pages.join(again, "row", "left")
+    return pages.join(sized(materialize(again, "revisits")), "row", "left")
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, segment_bytes: int = 16384,
-                   archive_bytes: int = 32 << 20) -> int:
+                   archive_bytes: int = 16 << 20) -> int:
     """Writes the pages (page_id, url, html) as gzipped WARC files into a new folder.
 
     Every input row becomes one record (a revisit or a response, the latter in one or
@@ -238,10 +239,6 @@ def decoded(batches):
             ["record_id", "record_type", "uri", "page_id", "refers_to", "digest", "payload_bytes", "payload_digest"])
 
 
-def stated(column: str) -> Column:
-    return F.col(column)
-
-
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Records of WARC archives with their reassembled, decoded payloads.
 
