@@ -2,13 +2,14 @@
 
 Documents with equal shingle sets are one class.  A class is embedded as `coordinates`
 minwise tokens.  A tree starts with all classes in its root; a node picks coordinates
-from its own path (1 / similarity of them on average) and deals its classes by the token
-that they have there.  Nodes with at most `leaf` classes are compared exhaustively.  A
-larger node links every class with the node's leader and branches on, up to `depth`;
-classes of the nodes left then that are not yet in their leader's component are compared
-with all of the node, so no node is cut off.  Independent trees are repeated until a
-pair at the threshold is met with the target recall.  Candidates agree in enough minwise
-tokens and are confirmed on their full shingle sets.
+from its own path and deals its classes by the token that they have there.  Independent
+trees are repeated until a pair at the threshold is met with the target recall.
+
+Only components are asked for, so what is in one component is settled.  A node is small
+if at most `leaf` of its classes are outside its largest component: these are compared
+with the whole node, in tiles.  In any other node some leaders are compared with all, and
+it branches on.  Compared are sketches of one byte per bin; what may reach the threshold
+is confirmed on the full shingle sets.
 """
 from __future__ import annotations
 
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .common import salted_lookup
+from .common import salted_lookup, sized
 from .components import connected
-from .tokens import blocks, mixed, shingle_numbers, text_bytes, word_numbers
+from .tokens import blocks, shingle_numbers, text_bytes, word_numbers
 
 SKETCH = "doc_id long, n_shingles long, fp binary, sig array<int>, tiny binary"
 
@@ -48,23 +49,33 @@ def minwise(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarra
     return best
 
 
-def sketcher(width: int, coordinates: int, seed: int):
+def binned(shingles: np.ndarray, bins: int) -> np.ndarray:
+    """One byte per bin: 0 for an empty one, else a byte of its smallest shingle; then the size in four bytes."""
+    where = (shingles & np.uint64(bins - 1)).astype(np.int64)
+    least = np.full(bins, 2 ** 64 - 1, np.uint64)
+    np.minimum.at(least, where, shingles)
+    out = ((least >> np.uint64(20)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    out[least == 2 ** 64 - 1] = 0
+    return np.concatenate([out, np.array([len(shingles)], np.uint32).view(np.uint8)])
+
+
+def sketcher(width: int, coordinates: int, bins: int, seed: int):
     def sketch(batches):
         rng = np.random.default_rng(seed)
         mul = rng.integers(0, 2 ** 32, coordinates, dtype=np.uint32) | np.uint32(1)
         add = rng.integers(0, 2 ** 32, coordinates, dtype=np.uint32)
         for b in batches:
-            sizes, prints, sigs = [], [], []
+            sizes, prints, sigs, tiny = [], [], [], []
             for own in text_shingles(b.column("text"), width):
                 sizes.append(len(own))
                 prints.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 sigs.append(minwise(own, mul, add))
+                tiny.append(binned(own, bins).tobytes())
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.uint32)
             ends = np.arange(0, len(flat) + 1, coordinates, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32))),
-                 pa.array([(s & np.uint32(255)).astype(np.uint8).tobytes() for s in sigs], pa.binary())],
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32))), pa.array(tiny, pa.binary())],
                 ["doc_id", "n_shingles", "fp", "sig", "tiny"])
     return sketch
 
@@ -92,84 +103,132 @@ def set_batch(ids, held):
         [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "shingles"])
 
 
-def alike(least: int):
-    """Keeps pairs whose one-byte tokens agree in at least `least` coordinates."""
-    def keep(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                    for c in ("x", "y"))
-            good = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(good), b.column("b").filter(good)], ["a", "b"])
-    return keep
+def likely(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sketches may belong to sets of the similarity (rows against rows, broadcast).
+
+    The bins that either set fills sample its union without replacement; 4.5 deviations
+    below the threshold and one bin still count.
+    """
+    size = [z[..., -4:].copy().view(np.uint32)[..., 0].astype(np.float64) for z in (x, y)]
+    x, y = x[..., :-4], y[..., :-4]
+    held = np.maximum(((x | y) > 0).sum(axis=-1), 1)
+    same = ((x == y) & (x > 0)).sum(axis=-1)
+    union = (size[0] + size[1]) / (1 + similarity)
+    spread = np.sqrt(similarity * (1 - similarity) * held * np.clip((union - held) / np.maximum(union - 1, 1), 0, 1))
+    return same >= similarity * held - 4.5 * spread - 1
 
 
-def ordered(a, b):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, comps = rows.field("id").to_numpy(), rows.field("comp").to_numpy()
+    return ids, comps, np.frombuffer(b"".join(rows.field("tiny").to_pylist()), np.uint8).reshape(len(ids), -1)
 
 
-def branch(at: DataFrame, similarity: float, coordinates: int) -> DataFrame:
-    """(node, id) of the children: one chosen coordinate, and a second one as often as to make 1 / similarity."""
-    extra = int(round((1 / similarity - 1) * 1000))
+def compare_tiles(similarity: float):
+    """Pairs of a tile's classes with its node's probes in another component that may reach the similarity."""
+    def compare(batches):
+        for b in batches:
+            for tile, probes in zip(b.column("tile"), b.column("probes")):
+                ids, comps, sketches = unpacked(tile.values)
+                left, right = [], []
+                for i, comp, sketch in zip(*unpacked(probes.values)):
+                    other = np.flatnonzero((comps != comp) & (ids != i))
+                    hit = ids[other[likely(sketches[other], sketch, similarity)]]
+                    left.append(np.minimum(hit, i))
+                    right.append(np.maximum(hit, i))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+    return compare
+
+
+def branch(at: DataFrame, coordinates: int, more: float) -> DataFrame:
+    """The rows dealt to the node's children: one chosen coordinate, and a second one with a chance of `more`."""
     pick = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(coordinates)).cast("int") for k in (1, 2)]
-    second = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < extra
+    second = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < int(more * 1000)
     child = [F.xxhash64("node", p, F.element_at("sig", p + 1)) for p in pick]
-    return at.select("id", F.explode(F.when(second, F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
+    return at.select("id", "comp", "rank", "sig", F.explode(
+        F.when(second, F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
 
 
-def candidates(sigs: DataFrame, similarity: float, trees: int, depth: int, leaf: int,
-               coordinates: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b), and (node, id, leader) of the nodes that are large at the last depth."""
+def roots(sigs: DataFrame, trees: int, coordinates: int, more: float) -> DataFrame:
+    """(node, id) of the first level; the trees' coordinates are constants, all different."""
     rng = random.Random(11)
     order = rng.sample(range(coordinates), coordinates)
-    roots = []
-    for t in range(trees):  # the roots' coordinates are constants, all different
-        for i in order[2 * t % coordinates:2 * t % coordinates + 2][:2 if rng.random() < 1 / similarity - 1 else 1]:
-            roots.append(F.xxhash64(F.lit(t), F.lit(i), F.element_at("sig", i + 1)))
-    at = sigs.select("id", F.explode(F.array(*roots)).alias("node"))
-    pairs = None
-    for level in range(1, depth + 1):
-        at = materialize(at.distinct(), f"paths-{level}")
-        sizes = (at.groupBy("node").agg(F.count(F.lit(1)).alias("n"),
-                                        F.min(F.struct(F.xxhash64("id"), "id")).alias("first"))
-                 .where("n > 1").select("node", "n", F.col("first.id").alias("leader")))
-        held = at.join(sizes, "node")
-        held = materialize(held, f"nodes-{level}")
-        small = (held.where(F.col("n") <= leaf).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-                 .select("ids", F.posexplode("ids").alias("i", "a"))
-                 .select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b")))
-        large = held.where(F.col("n") > leaf)
-        star = large.where("id <> leader").select(*ordered("id", "leader"))
-        found = small.unionAll(star)
-        pairs = found if pairs is None else pairs.unionAll(found)
-        if level == depth or large.isEmpty():
-            break
-        at = branch(large.select("node", "id").join(sigs, "id"), similarity, coordinates)
-    return pairs.distinct(), large.select("node", "id", "leader")
+    first = []
+    for t in range(trees):
+        for i in order[2 * t % coordinates:2 * t % coordinates + 2][:2 if rng.random() < more else 1]:
+            first.append(F.xxhash64(F.lit(t), F.lit(i), F.element_at("sig", i + 1)))
+    return sigs.select("id", F.explode(F.array(*first)).alias("node"))
+
 
+def compare_nodes(at: DataFrame, sketches: DataFrame, leaf: int, leaders: int,
+                  similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Likely pairs (a, b) of a level's nodes (node, id, comp, rank, ...), and the rows of the nodes to branch.
 
-def confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, percent: int, coordinates: int,
-              similarity: float) -> DataFrame:
+    A node's probes are the classes outside its largest component if they are at most
+    `leaf`, which settles it, or else its `leaders` best classes by rank.
+    """
+    nodes = (at.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"))
+             .groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"))
+             .where("n > top.m").select("node", "n", (F.col("n") - F.col("top.m")).alias("rest"), F.col("top.comp").alias("lead")))
+    held = materialize(at.join(nodes, "node"), "near-nodes")
+    own = held.select("node", "id", "comp", "rank", "n", "rest", "lead").join(sketches, "id")
+    own = materialize(own.select("*", F.struct("id", "comp", "tiny").alias("s")).drop("id", "comp", "tiny"), "near-tiles")
+    tile = F.pmod(F.xxhash64("s.id"), F.ceil(F.col("n") / 256))
+    tiles = own.groupBy("node", tile.alias("t")).agg(F.collect_list("s").alias("tile"))
+    outside = own.where((F.col("rest") <= leaf) & (F.col("s.comp") != F.col("lead"))).select("node", "s")
+    # the best of each of 64 parts of a node, then the best of these
+    best = (own.where(F.col("rest") > leaf).groupBy("node", F.pmod(F.xxhash64("s.id", F.lit(5)), F.lit(64)))
+            .agg(F.min(F.struct("rank", "s")).alias("b")).groupBy("node")
+            .agg(F.slice(F.sort_array(F.collect_list("b")), 1, leaders).alias("b"))
+            .select("node", F.explode("b.s").alias("s")))
+    probes = outside.unionAll(best).groupBy("node").agg(F.collect_list("s").alias("probes"))
+    pairs = tiles.join(probes, "node").select("tile", "probes").mapInArrow(compare_tiles(similarity), "a long, b long")
+    return materialize(pairs.distinct(), "near-likely"), held.where(F.col("rest") > leaf).drop("n", "rest", "lead")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    spread = (similarity * (1 - similarity) / coordinates) ** 0.5
-    least = int(coordinates * max(0.0, similarity - 5 * spread))
-    likely = (pairs.join(sigs.select(F.col("id").alias("a"), F.col("tiny").alias("x")), "a")
-              .join(sigs.select(F.col("id").alias("b"), F.col("tiny").alias("y")), "b")
-              .select("a", "b", "x", "y").mapInArrow(alike(least), "a long, b long"))
-    likely = materialize(likely, "near-likely")
-    wanted = likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).distinct()
-    sets = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").mapInArrow(
+    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    sets = texts.join(sized(materialize(wanted, "near-wanted")), "id", "left_semi").mapInArrow(
         set_maker(width), "id long, shingles array<long>")
-    both = (likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"))
     shared = F.size(F.array_intersect("x", "y"))
-    return (both.withColumn("s", shared)
-            .where(F.col("s") * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b"))
+    return materialize(both.withColumn("s", shared)
+                       .where(F.col("s") * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
+
 
+def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, percent: int, trees: int, depth: int,
+              leaf: int, leaders: int, coordinates: int, more: float) -> DataFrame:
+    """(id, comp) of the classes that have links: those found by the trees, and the given ones."""
+    similarity = percent / 100
+    sketches = sigs.select("id", "tiny")
+    at = materialize(roots(sigs, trees, coordinates, more).distinct(), "near-paths")
+    # classes that meet others under many coordinates are close to many: the best leaders
+    often = (at.join(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf), "node", "left_semi")
+             .groupBy("id").agg((-F.count(F.lit(1))).alias("rank")))
+    at = at.join(often, "id", "left").select("node", "id", F.col("id").alias("comp"), F.coalesce("rank", F.lit(0)).alias("rank"))
+    pairs, at = compare_nodes(at, sketches, leaf, leaders, similarity)
+    links = links.unionAll(confirmed(pairs, docs, width, percent))
+    comp = connected(links)
+    if at.isEmpty():
+        return comp
+    at = (at.select("node", "id", "rank").join(comp, "id", "left")
+          .select("node", "id", "rank", F.coalesce("comp", "id").alias("comp")).join(sigs.select("id", "sig"), "id"))
+    found, at = compare_nodes(at, sketches, leaf, leaders, similarity)  # the same nodes, with the components known now
+    for level in range(depth):
+        if at.isEmpty():
+            break
+        at = materialize(branch(at, coordinates, more), "near-paths")
+        last = level == depth - 1  # what is left then is compared whole, however large
+        pairs, at = compare_nodes(at, sketches, leaf if not last else 2 ** 62, leaders, similarity)
+        found = found.unionAll(pairs)
+    return connected(links.unionAll(confirmed(materialize(found.distinct(), "near-likely"), docs, width, percent)))
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 12, depth: int = 4,
-                    leaf: int = 16, coordinates: int = 128, seed: int = 7) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 14, depth: int = 40,
+                    leaf: int = 256, leaders: int = 16, coordinates: int = 128, more: float = 0.25, bins: int = 512,
+                    seed: int = 7) -> DataFrame:
     """Near-duplicate component of every document (doc_id, text): one row per input row.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links of
@@ -177,59 +236,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     lower-cased (A-Z) runs between white space; a document with fewer than `width` words
     has its whole sequence as its only shingle; without words it is linked with nothing.
 
-    Rows that share a doc_id are one document with several texts: they are linked.  A
-    null doc_id takes no part, has no component and is kept.  An empty table gives an
-    empty result.  Other columns are ignored.
+    `more` is the chance of a second branch; 1 / similarity - 1 or more keeps linked pairs
+    together on average.  Rows that share a doc_id are one document with several texts:
+    they are linked.  A null doc_id takes no part, has no component and is kept.  An empty
+    table gives an empty result.  Other columns are ignored.
     """
-    similarity = percent / 100
     sketches = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(sketcher(width, coordinates, seed), SKETCH), "sketches")
+        .mapInArrow(sketcher(width, coordinates, bins, seed), SKETCH), "near-sketches")
     rows = sketches.select("doc_id", "n_shingles", "fp")
     part = rows.where("doc_id is not null and fp is not null")
-    classes = part.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "near-classes")
-    copied = classes.where("copies > 1").select("fp", "rep")
+    copied = materialize(part.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+                         .where("copies > 1").select("fp", "rep"), "near-copied")
     placed = materialize(salted_lookup(part, copied, ["fp"])
                          .select("doc_id", "fp", F.coalesce("rep", "doc_id").alias("rep")), "near-placed")
-    # one text of each class stands for it; a doc_id with several texts stands by each of them
+    # a doc_id with several texts links their classes
     again = (placed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("r"))
              .where("a <> z").select("a", F.explode("r").alias("b")).where("a <> b"))
-    texts = (sketches.where("doc_id is not null and fp is not null")
-             .join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi")
-             .dropDuplicates(["fp", "doc_id"]))
-    sigs = materialize(texts.select(F.col("doc_id").alias("id"), "sig", "tiny"), "near-sigs")
-    pairs, rest = candidates(sigs, similarity, trees, depth, leaf, coordinates)
-    rest = materialize(rest, "near-rest")
-    stand = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links = materialize(confirmed(pairs, sigs, stand, width, percent, coordinates, similarity)
-                        .unionAll(again), "near-links")
-    comp = connected(links)
-    if not rest.isEmpty():
-        comp = connected(links.unionAll(materialize(
-            confirmed(unsettled(rest, comp), sigs, stand, width, percent, coordinates, similarity), "near-more")))
+    # one text of each class stands for it: all rows but the copies
+    copies = sized(materialize(placed.where("rep <> doc_id").select("fp", "doc_id").distinct(), "near-copies"))
+    stands = (sketches.where("doc_id is not null and fp is not null").join(copies, ["fp", "doc_id"], "left_anti"))
+    if not part.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        stands = stands.dropDuplicates(["fp", "doc_id"])
+    sigs = materialize(stands.select(F.col("doc_id").alias("id"), "sig", "tiny"), "near-sigs")
+    comp = join_sets(sigs, docs, again, width, percent, trees, depth, leaf, leaders, coordinates, more)
     comp = comp.select(F.col("id").alias("rep"), "comp").where("rep <> comp")
-    known = salted_lookup(placed, comp, ["rep"]).select("doc_id", "fp", F.coalesce("comp", "rep").alias("comp"))
+    known = salted_lookup(placed, comp, ["rep"]).select("doc_id", F.coalesce("comp", "rep").alias("comp"))
     known = known.groupBy("doc_id").agg(F.min("comp").alias("component_id"))
     out = rows.join(known, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def unsettled(rest: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs, in the large nodes of the last depth, of a class outside its leader's component with the others.
-
-    Only such classes meet the node's other classes, and only across components.
-    """
-    comp = comp.select("id", "comp")
-    own = rest.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    lead = comp.select(F.col("id").alias("leader"), F.col("comp").alias("lead"))
-    own = own.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
-    own = materialize(own.select("node", "id", "comp", "lead"), "near-unsettled")
-    outside = own.where("comp <> lead").select("node", F.col("id").alias("o"), F.col("comp").alias("oc"))
-    return (own.join(outside, "node").where("comp <> oc").select(*ordered("id", "o")).distinct())
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one row of each near-duplicate component (options of `near_duplicates`); all columns.
 
