@@ -227,7 +227,7 @@ def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, pe
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 14, depth: int = 40,
-                    leaf: int = 256, leaders: int = 16, coordinates: int = 128, more: float = 0.25, bins: int = 512,
+                    leaf: int = 512, leaders: int = 16, coordinates: int = 128, more: float = 0.25, bins: int = 512,
                     seed: int = 7) -> DataFrame:
     """Near-duplicate component of every document (doc_id, text): one row per input row.
 
