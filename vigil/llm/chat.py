@@ -116,20 +116,21 @@ def parents(parsed: DataFrame) -> DataFrame:
 def reply_depths(links: DataFrame) -> DataFrame:
     """(key, root, depth) of every message from (key, parent), by pointer doubling.
 
-    A parent was sent before its reply, or in another thread at the same time; a ring of
-    such links is cut after as many rounds as a chain of 2**40 replies would need.
+    Only messages that have not reached their root take part in a round.  A parent was
+    sent before its reply, or in another thread at the same time; a ring of such links is
+    cut after as many rounds as a chain of 2**40 replies would need.
     """
     step = materialize(links.select("key", F.coalesce("parent", "key").alias("up"),
-                                    F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "replies")
+                                    F.col("parent").isNotNull().cast("long").alias("depth"),
+                                    F.col("parent").isNull().alias("done")), "replies")
     for _ in range(40):
-        above = step.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        moved = step.join(above, "up", "left").select(
-            "key", F.coalesce("up2", "up").alias("new"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "up")
-        moved = materialize(moved, "replies")
-        still = moved.where("new <> up").isEmpty()
-        step = moved.select("key", F.col("new").alias("up"), "depth")
-        if still:
+        if step.where("not done").isEmpty():
             break
+        above = step.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"),
+                            F.col("done").alias("there"))
+        moved = step.where("not done").join(above, "up").select(
+            "key", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        step = materialize(step.where("done").unionByName(moved), "replies")
     return step.select("key", F.col("up").alias("root"), "depth")
 
 
