@@ -97,8 +97,8 @@ def scorer(kept: np.ndarray, weights: np.ndarray, bias: float, bits: int):
     return score
 
 
-def train(labelled: DataFrame, bits: int = 20, sample_rows: int = 6000, epochs: int = 4, alpha: float = 0.1,
-          beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def train(labelled: DataFrame, bits: int = 20, sample_rows: int = 8000, epochs: int = 6, alpha: float = 2.0,
+          beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights from rows of (doc_id, text, label 0/1).
 
     About `sample_rows` rows, chosen by a hash of doc_id, are fitted (the documented bound
