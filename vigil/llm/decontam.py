@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .common import WORD
+from .common import WORD, sized
 
-#: Sampled shingles up to this many rows are broadcast (24 bytes each); beyond, joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 MISS = 1e-6
 
 
@@ -99,7 +97,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     samples = materialize(sets.select("item_id", "width", need.alias("need"),
                                       F.explode(F.slice(ranked, 1, pick(1))).alias("s"))
                           .select("item_id", "width", "need", F.col("s.h").alias("h")), "bench-samples")
-    asked = F.broadcast(samples) if samples.count() <= BROADCAST_ROWS else samples
+    asked = sized(samples)
     texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     widths = facts["widths"] or [width]
     hits = (document_shingles(texts, widths).join(asked, "h")
@@ -109,7 +107,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
             .select("doc_id", "text_hash", "item_id", "width"))
     hits = materialize(hits, "bench-candidates")
     # only candidate documents are cut into shingles again
-    found = hits.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
+    found = sized(materialize(hits.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct(),
+                              "bench-found"))
     again = texts.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi")
     one = F.struct("doc_id", "text_hash")  # a struct, since it compares nulls like values
     probes = document_shingles(again, widths).select(F.xxhash64(one).alias("key"), "doc_id", "text_hash", "h").distinct()
@@ -124,7 +123,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without the rows whose text contains a benchmark item; all columns as they are."""
-    bad = (contained_items(docs, items, width, percent)
-           .select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_text")).distinct())
+    bad = sized(materialize(contained_items(docs, items, width, percent)
+                            .select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_text")).distinct(),
+                            "bench-bad"))
     same = F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_bad_text"))
     return docs.join(bad, same, "left_anti")

@@ -93,7 +93,7 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def fit(samples, languages: list[str], bits: int, dim: int, epochs: int, rate: float, seed: int):
-    """Embeddings, output layer and bias from (language number, buckets, shares)."""
+    """Embeddings, output layer and bias from (language number, buckets, counts)."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     out = np.zeros((len(languages), dim), np.float32)
@@ -101,7 +101,8 @@ def fit(samples, languages: list[str], bits: int, dim: int, epochs: int, rate: f
     steps, done = epochs * len(samples), 0
     for _ in range(epochs):
         for i in rng.permutation(len(samples)):
-            y, idx, share = samples[i]
+            y, idx, counts = samples[i]
+            share = counts / counts.sum()
             lr = rate * (1 - done / steps)
             done += 1
             rows = emb[idx]
@@ -130,7 +131,7 @@ def calibrate(logits: np.ndarray, y: np.ndarray, lost: float, languages: int) ->
     return float(best), float((np.quantile(right, lost, method="lower") + 1 / languages) / 2)
 
 
-def train(labelled: DataFrame, bits: int = 16, sample_rows: int = 3000, dim: int = 16, epochs: int = 6,
+def train(labelled: DataFrame, bits: int = 16, sample_rows: int = 2000, dim: int = 16, epochs: int = 6,
           rate: float = 0.5, held_back: int = 5, lost: float = 0.001, seed: int = 5) -> Model:
     """A model of (doc_id, text, lang) rows.
 
@@ -148,21 +149,21 @@ def train(labelled: DataFrame, bits: int = 16, sample_rows: int = 3000, dim: int
     sample = rows.where(part < int((1 << 30) * min(1.0, sample_rows / total)))
     fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(held_back)).cast("int")
     got = sample.select("lang", "text", fold.alias("fold")).mapInArrow(
-        extractor(bits), "lang string, fold int, buckets binary, counts binary").toArrow().to_pylist()
-    got = sorted((r for r in got if r["buckets"]), key=lambda r: (r["lang"], r["buckets"], r["counts"]))
-    if not got:
+        extractor(bits), "lang string, fold int, buckets binary, counts binary").toArrow()
+    got = got.filter(pc.greater(pc.binary_length(got["buckets"]), 0)).sort_by(
+        [("lang", "ascending"), ("buckets", "ascending"), ("counts", "ascending")])
+    if not got.num_rows:
         return model
-    model.languages = sorted({r["lang"] for r in got})
+    model.languages = sorted(set(got["lang"].to_pylist()))
     number = {v: i for i, v in enumerate(model.languages)}
     folds = {True: [], False: []}
-    for r in got:
-        counts = np.frombuffer(r["counts"], np.float32)
-        folds[r["fold"] == 0].append((number[r["lang"]], np.frombuffer(r["buckets"], np.uint32).astype(np.int64),
-                                      counts / counts.sum()))
+    for lang, fold_, buckets, counts in zip(got["lang"], got["fold"], got["buckets"], got["counts"]):
+        folds[fold_.as_py() == 0].append((number[lang.as_py()], np.frombuffer(buckets.as_buffer(), np.uint32),
+                                          np.frombuffer(counts.as_buffer(), np.float32)))
     learn, check = folds[False] or folds[True], folds[True] or folds[False]
     emb, out, model.bias = fit(learn, model.languages, bits, dim, epochs, rate, seed)
     model.table = (emb @ out.T).astype(np.float32)
-    logits = np.stack([share @ model.table[idx] + model.bias for _, idx, share in check])
+    logits = np.stack([(counts / counts.sum()) @ model.table[idx] + model.bias for _, idx, counts in check])
     model.temperature, model.reject_below = calibrate(logits, np.array([s[0] for s in check]), lost,
                                                       len(model.languages))
     return model
@@ -171,7 +172,7 @@ def train(labelled: DataFrame, bits: int = 16, sample_rows: int = 3000, dim: int
 def predictor(model: Model):
     def predict(batches):
         columns = [np.ascontiguousarray(model.table[:, c]) for c in range(len(model.languages))]
-        for b in batches:
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             data, offsets = letter_text(b.column("text"))
             n = b.num_rows
             letters = pc.fill_null(pc.match_substring_regex(b.column("text"), r"\p{L}"), False).to_numpy(False)

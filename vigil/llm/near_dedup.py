@@ -275,7 +275,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     columns, stays.  Rows without a doc_id stay.
     """
     found = materialize(near_duplicates(docs, **options).select("doc_id", "kept").distinct(), "near-kept")
-    left = docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = sized(materialize(found.where("not kept").select("doc_id"), "near-gone"))
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = (docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
                 .where("_n > 1").select("doc_id"))
     if repeated.isEmpty():
