@@ -72,7 +72,7 @@ def extractor(bits: int):
     def extract(batches):
         for b in batches:
             data, offsets = letter_text(b.column("text"))
-            for lo, hi in blocks(offsets, 1 << 20):
+            for lo, hi in blocks(offsets):
                 parts = list(grams(data, offsets[lo:hi + 1], bits)) or [(np.zeros(0, int), np.zeros(0, np.uint32))]
                 key = np.concatenate([p[0].astype(np.int64) << bits | p[1] for p in parts])
                 keys, counts = np.unique(key, return_counts=True)
@@ -169,13 +169,13 @@ def train(labelled: DataFrame, bits: int = 16, sample_rows: int = 2000, dim: int
     return model
 
 
-def predictor(model: Model):
+def predictor(model: Model, text: str):
     def predict(batches):
         columns = [np.ascontiguousarray(model.table[:, c]) for c in range(len(model.languages))]
         for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
-            data, offsets = letter_text(b.column("text"))
+            data, offsets = letter_text(b.column(text))
             n = b.num_rows
-            letters = pc.fill_null(pc.match_substring_regex(b.column("text"), r"\p{L}"), False).to_numpy(False)
+            letters = pc.fill_null(pc.match_substring_regex(b.column(text), r"\p{L}"), False).to_numpy(False)
             best, score = np.zeros(n, int), np.zeros(n)
             for lo, hi in blocks(offsets):
                 total, seen = np.zeros((hi - lo, len(columns))), np.zeros(hi - lo)
@@ -190,7 +190,7 @@ def predictor(model: Model):
             names = np.array(model.languages, object)[best]
             names[~letters] = UNKNOWN
             score[~letters] = 0.0
-            kept = [c for c in b.schema.names if c != "text"]
+            kept = [c for c in b.schema.names if c != "looked_at"]
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in kept] + [pa.array(names.tolist(), pa.string()), pa.array(score),
                                                pa.array(~letters | (score < model.reject_below))],
@@ -210,7 +210,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     if not model.languages:
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(UNKNOWN).alias("lang_pred"),
                            F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    slim = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text"))
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    text = f"c{keep.index('text')}" if "text" in keep else "looked_at"  # a kept text travels once
+    slim = docs.select(*own, *([] if "text" in keep else [F.col("text").alias("looked_at")]))
     inner = "".join(f"c{i} {types[c]}, " for i, c in enumerate(keep))
-    out = slim.mapInArrow(predictor(model), inner + "lang_pred string, score double, rejected boolean")
+    out = slim.mapInArrow(predictor(model, text), inner + "lang_pred string, score double, rejected boolean")
     return out.toDF(*keep, "lang_pred", "score", "rejected")

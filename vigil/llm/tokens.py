@@ -11,7 +11,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = pow(BASE, -1, 2 ** 64)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
