@@ -74,6 +74,21 @@ def pieces(n: int, size: int) -> int:
     return max(1, math.ceil(n / size))
 
 
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """Has the session send whole texts to Python workers at most TEXT_ROWS at a time.
+
+    Spark's own 10000 rows hold tens of MB of text on either side of each task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     from ..sources.tables import table
     t = table(spark, sf_dir, name)

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .tokens import blocks, text_bytes
 
 GRAMS = (3, 4)
@@ -140,7 +141,7 @@ def train(labelled: DataFrame, bits: int = 16, sample_rows: int = 2000, dim: int
     the driver, not the texts.  Null languages and null texts are ignored; without any
     row the model knows no language and every text is `und`.
     """
-    rows = labelled.where("lang is not null and text is not null")
+    rows = text_batches(labelled).where("lang is not null and text is not null")
     total = rows.count()
     model = Model(bits=bits)
     if not total:
@@ -212,7 +213,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                            F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     text = f"c{keep.index('text')}" if "text" in keep else "looked_at"  # a kept text travels once
-    slim = docs.select(*own, *([] if "text" in keep else [F.col("text").alias("looked_at")]))
+    slim = text_batches(docs).select(*own, *([] if "text" in keep else [F.col("text").alias("looked_at")]))
     inner = "".join(f"c{i} {types[c]}, " for i, c in enumerate(keep))
     out = slim.mapInArrow(predictor(model, text), inner + "lang_pred string, score double, rejected boolean")
     return out.toDF(*keep, "lang_pred", "score", "rejected")

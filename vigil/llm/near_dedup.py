@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .common import salted_lookup, sized
+from .common import salted_lookup, sized, text_batches
 from .components import connected
 from .tokens import blocks, shingle_numbers, text_bytes, word_numbers
 
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     table gives an empty result.  Other columns are ignored.
     """
     sketches = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .mapInArrow(sketcher(width, coordinates, bins, seed), SKETCH), "near-sketches")
     rows = sketches.select("doc_id", "n_shingles", "fp")
     part = rows.where("doc_id is not null and fp is not null")

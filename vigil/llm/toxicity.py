@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .tokens import BASE, blocks, mixed, text_bytes, word_numbers
 
 GAPS = (1, 2, 3)  # a pair, and pairs with one and two words between
@@ -106,7 +107,7 @@ def train(labelled: DataFrame, bits: int = 20, sample_rows: int = 8000, epochs:
     row.  Rows with a null label are ignored.  Without any row the weights are empty and
     the bias gives a score of 0.
     """
-    rows = labelled.where(F.col("label").isNotNull())
+    rows = text_batches(labelled).where(F.col("label").isNotNull())
     total = rows.count()
     if not total:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), -700.0

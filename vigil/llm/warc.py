@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
 from ..session import checkpoint_dir
-from .common import pieces, salted_lookup, sized
+from .common import pieces, salted_lookup, sized, text_batches
 
 CRLF = b"\r\n"
 END = b"\r\n\r\n"
@@ -153,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, segme
     out and never is a response that others revisit.  Returns the number of archives.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = (pages.select(F.col("page_id"), F.col("url"), payload.alias("payload"))
+    rows = (text_batches(pages).select(F.col("page_id"), F.col("url"), payload.alias("payload"))
             .withColumn("row", F.monotonically_increasing_id())  # of the scan: the same when a task is run again
             .withColumn("n", F.octet_length("payload")).withColumn("digest", F.sha1("payload")))
     total = rows.agg(F.sum("n")).first()[0] or 0
