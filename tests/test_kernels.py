@@ -43,7 +43,7 @@ def test_top_n_per_key(spark):
     rnd = random.Random(9)
     rows = [(rnd.choice("ab"), i, rnd.random()) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, seq long, v double")
-    got = {(r["k"], r["seq"]) for r in top_n_per_key(df, ["k"], [F.desc("v")], 7, splits=5).collect()}
+    got = {(r["k"], r["seq"]) for r in top_n_per_key(df, ["k"], [F.desc("v")], 7).collect()}
     want = set()
     for k in "ab":
         best = sorted([r for r in rows if r[0] == k], key=lambda r: -r[2])[:7]

@@ -12,7 +12,9 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 
 SUBSET = ["kpi_txn_totals", "kpi_method_breakdown", "pay_alerts", "pay_rolling_p99", "trace_build",
           "trace_rule_verdicts", "pii_density_candidates", "k8s_node_utilisation", "metric_last_n",
-          "root_cause", "otlp_spans", "webhook_normalised"]
+          "root_cause", "otlp_spans", "webhook_normalised", "trace_span_rows", "alert_stored_trace",
+          "trace_n_plus_1", "trace_bimodal", "load_summary", "kpi_deltas", "dependency_edges",
+          "fired_detectors", "evidence_text", "pay_duplicates"]
 
 
 def _canon(df):

@@ -65,3 +65,14 @@ def test_rolling_p99_matches_loop_across_blocks(spark):
             w = sorted(x["latency_ms"] for x in lat[max(0, i - 299): i + 1])
             want[r["seq"]] = round(w[min(len(w) - 1, int(0.99 * (len(w) - 1)))], 2)
     assert got == want
+
+
+def test_null_keys_keep_their_alerts(spark):
+    """Rows without a user or gateway are detected under the key 'unknown'."""
+    from vigil.operators import payments_detect as PD
+    specs = [(i, 3 * i, None, None, "FAILED" if i % 2 else "SUCCESS", 10 + i, 9000 if i == 3 else 10) for i in range(10)]
+    txn = spark.createDataFrame(txn_rows(specs), TXN_SCHEMA)
+    named = [(*s[:2], "unknown", "unknown", *s[4:]) for s in specs]
+    got = sorted((r.reason, r.seq) for r in PD.payment_alerts(txn).select("service", "reason", "seq").collect())
+    assert got == loop_payment_alerts(txn_rows(named)) and {"fraud_velocity", "payment_failure_spike"} <= {x for x, _ in got}
+    assert PD.rolling_p99(txn).count() == len(specs)

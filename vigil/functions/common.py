@@ -38,5 +38,12 @@ def rnd(c: Column, n: int = 0) -> Column:
     return (F.signum(p) * F.floor(F.abs(p) + F.lit(0.5))) / F.lit(m)
 
 
+def known(df, *columns: str):
+    """``df`` with nulls in the key ``columns`` as 'unknown', so that their rows keep a key."""
+    for c in columns:
+        df = df.withColumn(c, F.coalesce(F.col(c), F.lit("unknown")))
+    return df
+
+
 def safe_div(num: Column, den: Column, default: float = 0.0) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(default))

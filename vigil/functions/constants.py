@@ -99,3 +99,90 @@ PAYU_METHOD = {"upi": "UPI", "cc": "CREDIT_CARD", "dc": "DEBIT_CARD", "nb": "NET
 # FIXED VALUES: dashboard bands.
 SEVERITY_CRITICAL = 0.8
 SEVERITY_WARNING = 0.5
+
+# FIXED VALUES: suggested fixes per incident kind (three each), and the default.
+FIXES = {
+    "n_plus_1": ["Implement eager loading (JOINs) for related entities",
+                 "Batch queries using DataLoader pattern",
+                 "Enable query logging to identify the exact ORM call"],
+    "bimodal": ["Check cache hit rates and TTL configuration",
+                "Investigate thread pool or connection pool exhaustion",
+                "Add circuit breakers for downstream calls"],
+    "dependency": ["Ensure W3C trace context is propagated in HTTP headers",
+                   "Check network reliability between services",
+                   "Verify OTel auto-instrumentation compatibility"],
+    "pii": ["Audit logging configuration to prevent PII leakage",
+            "Review recent code changes for new debug logs",
+            "Implement stricter egress filtering"],
+    "failure_spike": ["Fail over traffic from {gateway} to a healthy PSP via routing rules",
+                      "Enable automatic gateway retries with exponential backoff",
+                      "Check PSP status page and open a priority ticket"],
+    "timeout": ["Reduce gateway call timeout and add circuit breaker",
+                "Route new transactions to a secondary gateway",
+                "Reconcile PENDING transactions once the gateway recovers"],
+    "velocity": ["Temporarily block the account and force re-authentication",
+                 "Enable step-up verification (OTP/3DS) for high-velocity accounts",
+                 "Review device fingerprints linked to the account"],
+    "duplicate": ["Auto-refund the duplicate transaction",
+                  "Enforce idempotency keys at the gateway adapter layer",
+                  "Add uniqueness constraint on (order_id, amount, window)"],
+    "crashloop": ["kubectl logs --previous to inspect the crashing container",
+                  "Roll back the latest deployment revision",
+                  "Verify ConfigMap/Secret mounts and liveness probe thresholds"],
+    "oom": ["Raise memory limits/requests after profiling actual usage",
+            "Inspect for memory leaks under sustained load",
+            "Add HPA on memory utilization to absorb spikes"],
+    "other": ["Investigate {service} for recent deployments affecting {route}",
+              "Check database indexing and query patterns",
+              "Review connection pool metrics"],
+}
+NO_INCIDENT_HEADLINE = "No active anomalies detected. System operating normally."
+
+
+# FIXED VALUES: root-cause sentence per incident kind.
+ROOT_CAUSES = {
+    "n_plus_1":
+        "Detected %s sequential DB spans under a single parent, indicating a missing JOIN or unbatched ORM query in %s.",
+    "bimodal":
+        "Latency distribution for %s has split into two modes (variance ~%s), likely due to intermittent cache misses or resource contention.",
+    "dependency":
+        "Span references missing parent (%s), indicating a broken trace context or dropped network packet between services.",
+    "pii":
+        "High density of redacted tokens (%s%%) detected in logs. Possible data exfiltration path or overly verbose logging.",
+    "failure_spike":
+        "Payment failure rate spiked to %s%% on gateway %s, indicating a PSP-side degradation or expired gateway credentials.",
+    "timeout":
+        "Gateway %s exceeded timeout budget (%sms), stalling checkout completions.",
+    "velocity":
+        "Account %s initiated %s transactions/min, far above baseline — pattern consistent with card testing or account takeover.",
+    "duplicate":
+        "Duplicate charge detected (original %s) — idempotency key was not honored across retries.",
+    "crashloop":
+        "Pod %s on %s is crash-looping (%s restarts) — likely a failing readiness dependency or bad config rollout.",
+    "oom":
+        "Container in pod %s was OOMKilled — memory usage exceeded its limit, suggesting a leak or undersized limits.",
+    "other":
+        "Multiple ML detectors (Isolation Forest, Autoencoder) flagged %s::%s as a severe statistical outlier compared to baseline.",
+}
+
+# FIXED VALUES: description of each fired detector.
+DETECTOR_TEXTS = {
+    "n_plus_1":
+        "N+1 Query Regression — span_count=%s (Chebyshev bound on rolling span-count distribution)",
+    "bimodal_latency":
+        "Bimodal Latency — EWMA variance≈%s (σ exceeds threshold → latency distribution has split into two modes)",
+    "dangling_parent":
+        "Dependency Chain Break — dangling span '%s' (parent_span_id references a span not present in the reconstructed trace)",
+    "pii_redaction_density":
+        "PII Redaction Density — %s%% of logs in 60s window redacted (possible data-exfil path or misconfigured logger)",
+    "pod_failure":
+        "Kubernetes Pod Failure — pod '%s' on node '%s' (deployment=%s, restarts=%s)",
+    "payment_failure_spike":
+        "Payment Failure Spike — failure rate %s%% on gateway '%s'",
+    "gateway_timeout":
+        "Gateway Timeout — gateway '%s' exceeded its timeout budget",
+    "fraud_velocity":
+        "Fraud Velocity — account '%s' at %s transactions/min (card-testing / ATO pattern)",
+    "duplicate_charge":
+        "Duplicate Charge — idempotency violation, original transaction %s",
+}

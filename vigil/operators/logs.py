@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import rnd
+from ..functions.common import known, rnd
 from ..functions.constants import (LOG_BUFFER_MAX_PER_TRACE, PII_COOLDOWN_S, PII_MIN_LOGS,
                                    PII_THRESHOLD, PII_WINDOW_S)
 from ..functions.redaction import is_redacted, redact
@@ -28,7 +28,7 @@ def redact_logs(logs: DataFrame, body: str = "body") -> DataFrame:
 def redaction_counter(logs: DataFrame, key: str = "service_name") -> DataFrame:
     """Running redaction count per service, one metric row per redacted log."""
     d = logs.withColumn("is_redacted", is_redacted(F.col("body"))) if "is_redacted" not in logs.columns else logs
-    c = running_count(d, key, "seq", F.col("is_redacted"), F.floor(F.col("seq") / COARSE_SEQ), "running")
+    c = running_count(known(d, key), key, "seq", F.col("is_redacted"), F.floor(F.col("seq") / COARSE_SEQ), "running")
     return c.filter(F.col("is_redacted")).select(
         F.col(key).alias("service"), F.lit("redaction_count").alias("metric_type"),
         F.col("running").cast("double").alias("value"), F.col("ts").alias("timestamp"), "seq")
@@ -43,7 +43,7 @@ def pii_density(logs: DataFrame, key: str = "service_name", threshold: float = P
     order of (service, ts, seq), so one busy service is spread over many tasks.
     """
     d = logs.withColumn("is_redacted", is_redacted(F.col("body"))) if "is_redacted" not in logs.columns else logs
-    d = sliding_count(d, [key], "ts", "seq", window_s * US, "window_log_count", flag="is_redacted",
+    d = sliding_count(known(d, key), [key], "ts", "seq", window_s * US, "window_log_count", flag="is_redacted",
                       flag_out="redacted_count")
     ratio = F.col("redacted_count") / F.col("window_log_count")
     return (d.withColumn("redaction_ratio", ratio)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import rnd
+from ..functions.common import known, rnd
 
 from ..functions.constants import PAY_TUNING as T
 from ..plans.ordered import (first_in_window, greedy_cooldown_parallel, key_rank, row_blocks,
@@ -49,6 +49,7 @@ def _keyed_rows_frame(txn: DataFrame, key: str, overlap: int, aggs: dict,
 def failure_spike_candidates(txn: DataFrame, **kw) -> DataFrame:
     """Last 12 of the gateway, ≥3 of them, failed share ≥ 0.5."""
     n = T["fail_window"]
+    txn = known(txn, "gateway")
     fr = _keyed_rows_frame(txn, "gateway", n - 1, {
         "_n": lambda w: F.count(F.lit(1)).over(w),
         "_f": lambda w: F.sum(F.when(F.col("status") == "FAILED", 1).otherwise(0)).over(w),
@@ -68,7 +69,7 @@ def velocity_candidates(txn: DataFrame) -> DataFrame:
     spread over many tasks.
     """
     win = T["velocity_window_s"]
-    fr = sliding_count(txn, ["user"], "ts", "seq", win * US, "_n")
+    fr = sliding_count(known(txn, "user"), ["user"], "ts", "seq", win * US, "_n")
     per_min = F.least(F.lit(T["velocity_memory"]), F.col("_n"))
     return (fr.withColumn("txn_per_min", per_min.cast("long"))
             .filter(F.col("txn_per_min") >= T["velocity_per_min"])
@@ -84,7 +85,7 @@ def duplicate_candidates(txn: DataFrame) -> DataFrame:
     range-partitioned order of (user, cents, ts, seq) — no pairs are formed.
     """
     win = T["dup_window_s"]
-    ch = txn.filter((F.col("status") != "FAILED") & (F.col("amount") > 0)) \
+    ch = known(txn, "user").filter((F.col("status") != "FAILED") & (F.col("amount") > 0)) \
             .withColumn("_cents", rnd(F.col("amount") * 100).cast("long"))
     fr = first_in_window(ch, ["user", "_cents"], "ts", "seq", win * US, "txn_id", "dup_txn_id")
     return (fr.filter(F.col("dup_txn_id").isNotNull())
@@ -95,7 +96,7 @@ def duplicate_candidates(txn: DataFrame) -> DataFrame:
 
 def timeout_candidates(txn: DataFrame) -> DataFrame:
     """Latency ≥ 8000 ms."""
-    return (txn.filter(F.col("latency_ms") >= T["latency_ms"])
+    return (known(txn, "gateway").filter(F.col("latency_ms") >= T["latency_ms"])
             .withColumn("score", F.least(F.lit(0.95), 0.6 + F.col("latency_ms") / 40000.0))
             .withColumn("target", F.col("gateway")))
 
@@ -123,6 +124,7 @@ def _shape(c: DataFrame, atype: str, reason: str, service: str, route) -> DataFr
 
 def payment_alert_candidates(txn: DataFrame, **kw) -> DataFrame:
     """All four detectors' candidates, before the cooldown."""
+    txn = known(txn, "gateway", "user")
     gw_route = F.concat(F.lit("payments.gateway/"), F.col("gateway"))
     parts = [
         _shape(failure_spike_candidates(txn, **kw), "Payment Failure Spike",
@@ -222,7 +224,7 @@ def rolling_p99(txn: DataFrame, key: str = "gateway", **kw) -> DataFrame:
     m = T["p99_memory"]
     br = kw.get("block_rows") or BLOCK_ROWS
     cs = kw.get("coarse_seq") or COARSE_SEQ
-    ranked = key_rank(txn.select(key, "seq", "ts", "latency_ms"), [key], "seq", F.floor(F.col("seq") / cs))
+    ranked = key_rank(known(txn.select(key, "seq", "ts", "latency_ms"), key), [key], "seq", F.floor(F.col("seq") / cs))
     blocks = row_blocks(ranked, "krank", br, m - 1)
     schema = Ty.StructType(blocks.schema.fields + [Ty.StructField("_p", Ty.DoubleType())])
     d = (blocks.repartition(key, "blk").sortWithinPartitions(key, "blk", "krank")

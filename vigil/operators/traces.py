@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.common import rnd, safe_div
+from ..functions.common import known, rnd, safe_div
 from ..functions.constants import (BIMODAL_LAMBDA, BIMODAL_MEAN_MIN_MS, BIMODAL_STD_MS,
                                    BIMODAL_WARMUP, N_PLUS_1_FLOOR, N_PLUS_1_K, N_PLUS_1_WARMUP,
                                    SPAN_SLOW_MS)
@@ -74,8 +74,8 @@ def build_traces(spans: DataFrame, key: str = "trace_id", carry: tuple[str, ...]
     Every part is bounded whatever the size of a trace:
     * features: a two-level algebraic fold, (trace, service) partials then the
       trace — partial aggregation before any shuffle;
-    * ``spans``: only the first ``max_spans`` spans in (start_time, span_id)
-      order (the alert keeps 20), chosen with the split top-N kernel;
+    * ``spans``: the alert's list, the first ``max_spans`` spans in (start_time,
+      span_id) order; all spans stay as rows (``trace_spans``);
     * dangling parent: the anti-join table form, first dangling span by order.
     """
     from ..plans.ordered import top_n_per_key
@@ -122,10 +122,11 @@ def merge_partial_traces(parts: DataFrame, key: str = "trace_id", max_spans: int
 def n_plus_1(traces: DataFrame, order: str = "trace_seq", key: str = "primary_service",
              coarse: int | None = None) -> DataFrame:
     """Before the update, n ≥ 10, span_count ≥ 10 and span_count > mean + 3σ
-    (sample σ over all earlier traces of the service; σ = 0 when n ≤ 1)."""
+    (sample σ over all earlier traces of the service; σ = 0 when n ≤ 1).  Span counts are
+    whole numbers, so the sums and the variance's numerator are exact."""
     cw = coarse or COARSE_TRACES
-    x = F.col("span_count").cast("double")
-    d = traces.withColumn("_cb", F.floor(F.col(order) / cw))
+    x = F.col("span_count").cast("long")
+    d = known(traces, key).withColumn("_cb", F.floor(F.col(order) / cw))
     tot = d.groupBy(key, "_cb").agg(F.count(F.lit(1)).alias("_bn"), F.sum(x).alias("_bs"),
                                      F.sum(x * x).alias("_bq"))
     wp = Window.partitionBy(key).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,14 +134,16 @@ def n_plus_1(traces: DataFrame, order: str = "trace_seq", key: str = "primary_se
                                    for c in ("_bn", "_bs", "_bq")])
     wl = Window.partitionBy(key, "_cb").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     loc = d.select("*", F.coalesce(F.count(F.lit(1)).over(wl), F.lit(0)).alias("_ln"),
-                   F.coalesce(F.sum(x).over(wl), F.lit(0.0)).alias("_ls"),
-                   F.coalesce(F.sum(x * x).over(wl), F.lit(0.0)).alias("_lq"))
+                   F.coalesce(F.sum(x).over(wl), F.lit(0)).alias("_ls"),
+                   F.coalesce(F.sum(x * x).over(wl), F.lit(0)).alias("_lq"))
     j = loc.join(pre, [key, "_cb"])
     n = F.col("_bn0") + F.col("_ln")
     s1 = F.col("_bs0") + F.col("_ls")
     s2 = F.col("_bq0") + F.col("_lq")
-    mean = safe_div(s1, n.cast("double"))
-    var = F.when(n > 1, (s2 - s1 * s1 / n) / (n - 1)).otherwise(F.lit(0.0))
+    mean = safe_div(s1.cast("double"), n.cast("double"))
+    whole = [c.cast("decimal(19,0)") for c in (n, s1, s2)]
+    spread = (whole[0] * whole[2] - whole[1] * whole[1]).cast("double")
+    var = F.when(n > 1, spread / (n.cast("double") * (n - 1))).otherwise(F.lit(0.0))
     std = F.sqrt(F.greatest(var, F.lit(0.0)))
     fire = (n >= N_PLUS_1_WARMUP) & (F.col("span_count") >= N_PLUS_1_FLOOR) & (x > mean + N_PLUS_1_K * std)
     return j.withColumn("n_plus_1", fire).drop(
@@ -199,7 +202,7 @@ def bimodal(traces: DataFrame, order: str = "trace_seq", key: str = "primary_ser
     """
     br = block_rows or BLOCK_TRACES
     cw = coarse or COARSE_TRACES
-    r = key_rank(traces, [key], order, F.floor(F.col(order) / cw), out="_kr")
+    r = key_rank(known(traces, key), [key], order, F.floor(F.col(order) / cw), out="_kr")
     b = row_blocks(r, "_kr", br, EWMA_DEPTH)
     schema = T.StructType(b.schema.fields + [
         T.StructField("_m", T.DoubleType()), T.StructField("_v", T.DoubleType()),
@@ -390,10 +393,22 @@ def trace_lookup(traces: DataFrame, trace_id: str) -> DataFrame:
     return traces.filter(F.col("trace_id") == trace_id)
 
 
-def alert_with_stored_trace(alerts: DataFrame, stored: DataFrame) -> DataFrame:
-    """Alert ⟕ stored trace, falling back to the alert's own spans/duration."""
-    s = stored.select(F.col("trace_id").alias("_t"), F.col("spans").alias("_s"),
-                      F.col("duration_ms").alias("_d"))
-    j = alerts.join(s, alerts["trace_id"] == s["_t"], "left")
-    return j.withColumn("spans", F.coalesce("_s", "spans")) \
-            .withColumn("duration_ms", F.coalesce("_d", "duration_ms")).drop("_t", "_s", "_d")
+def trace_spans(spans: DataFrame, key: str = "trace_id") -> DataFrame:
+    """A1: all spans of every trace as rows, numbered from 1 in (start_time, span_id) order."""
+    w = Window.partitionBy(key).orderBy("start_time", "span_id")
+    return spans.withColumn("position", F.row_number().over(w))
+
+
+def alert_with_stored_trace(alerts: DataFrame, stored_spans: DataFrame) -> DataFrame:
+    """The spans behind each alert as rows (trace_id, span_id, duration_ms, stored).
+
+    All stored spans of the alert's trace, whatever their number; an alert whose trace
+    is not in the store falls back to its own first spans.
+    """
+    a = alerts.select("trace_id", "spans")
+    hit = stored_spans.join(a.select("trace_id"), "trace_id", "left_semi").select(
+        "trace_id", "span_id", "duration_ms", F.lit(True).alias("stored"))
+    own = (a.join(stored_spans.select("trace_id").distinct(), "trace_id", "left_anti")
+           .select("trace_id", F.explode("spans").alias("s"))
+           .select("trace_id", "s.span_id", "s.duration_ms", F.lit(False).alias("stored")))
+    return hit.unionByName(own)

@@ -108,9 +108,16 @@ def exact_pick(vals: DataFrame, v: str, idx: dict[str, Column], buckets: int = 2
     # bucket bounds: a fixed-size summary (buckets-1 doubles), fetched once
     row = d.agg(F.percentile_approx("_v", probs, 10_000).alias("b")).first()
     bounds = sorted(set(row["b"] or []))
-    arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    d = d.withColumn("_bk", F.size(F.filter(arr, lambda x: x < F.col("_v"))) * 2
-                     + F.array_contains(arr, F.col("_v")).cast("int"))
+    # binary search for the number of bounds below a value: the array is filled up to 2^k - 1
+    size = 1
+    while size <= len(bounds):
+        size *= 2
+    arr = F.array(*[F.lit(x) for x in bounds + [float("inf")] * (size - len(bounds))])
+    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())]) if size > 1 else F.array().cast("array<int>")
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(
+        F.element_at(arr, at + step) < F.col("_v"), step).otherwise(0))
+    d = d.withColumn("_lt", below).withColumn(
+        "_bk", F.col("_lt") * 2 + (F.element_at(arr, F.col("_lt") + 1) == F.col("_v")).cast("int")).drop("_lt")
     counts = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"))
     w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)  # ≤ 2·`buckets` rows
     offs = counts.select("_bk", "_n", "_mn", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -133,22 +140,14 @@ def exact_pick(vals: DataFrame, v: str, idx: dict[str, Column], buckets: int = 2
 
 
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
-                  splits: int = 512, split_col: str | None = None) -> DataFrame:
-    """Exact top-``n`` rows per key by ``order`` without one task per key.
+                  split_col: str | None = None) -> DataFrame:
+    """Exact top-``n`` rows per key by ``order``; adds ``rank`` (1 = first).
 
-    Each key is first cut into ``splits`` parts (by hash of ``split_col`` or of
-    the whole row); the top ``n`` of every part is taken in parallel, and the
-    final top ``n`` is chosen among at most ``splits × n`` survivors per key.
-    Adds ``rank`` (1 = first).
+    Spark limits the ranks before the exchange too, so at most ``n`` rows of a key
+    leave each map task and a hot key is cut where it is read.
     """
-    part = (F.abs(F.xxhash64(F.col(split_col))) if split_col
-            else F.abs(F.xxhash64(*[F.col(c) for c in df.columns]))) % splits
-    d = df.withColumn("_sp", part)
-    w1 = Window.partitionBy(*keys, "_sp").orderBy(*order)
-    d = d.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n)
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    return (d.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= n)
-            .drop("_sp", "_r1"))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def running_count(df: DataFrame, key: str, order: str, flag: Column, coarse: Column,
