@@ -76,3 +76,13 @@ def test_null_keys_keep_their_alerts(spark):
     got = sorted((r.reason, r.seq) for r in PD.payment_alerts(txn).select("service", "reason", "seq").collect())
     assert got == loop_payment_alerts(txn_rows(named)) and {"fraud_velocity", "payment_failure_spike"} <= {x for x, _ in got}
     assert PD.rolling_p99(txn).count() == len(specs)
+
+
+def test_duplicates_across_a_cent_boundary(spark):
+    rows = txn_rows([(1, 0, "u", "A", "SUCCESS", 10.004, 1), (2, 30, "u", "A", "SUCCESS", 10.006, 1),
+                     (3, 60, "u", "A", "SUCCESS", 10.0155, 1), (4, 90, "u", "A", "SUCCESS", 10.02, 1),
+                     (5, 300, "u", "A", "SUCCESS", 10.004, 1)])
+    df = spark.createDataFrame(rows, TXN_SCHEMA)
+    got = {r["seq"]: r["dup_txn_id"] for r in PD.duplicate_candidates(df).collect()}
+    ids = {r["seq"]: r["txn_id"] for r in df.collect()}
+    assert got == {2: ids[1], 3: ids[2], 4: ids[3]}

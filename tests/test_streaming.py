@@ -6,6 +6,7 @@ import tempfile
 
 from helpers import TXN_SCHEMA, loop_payment_alerts, txn_rows
 
+from vigil.streaming import batches as SB
 from vigil.streaming import stateful as ST
 
 
@@ -19,8 +20,8 @@ def test_stream_payment_alerts_equal_batch(spark):
     rows = txn_rows(specs)
     df = spark.createDataFrame(rows, TXN_SCHEMA)
     folder = tempfile.mkdtemp(prefix="vigil-stream-test-")
-    src = ST.replay_source(spark, df, "seq", 3, folder + "/in")
-    out = ST.run_to_table(ST.payment_alerts_stream(src), folder)
+    start = lambda src: SB.start_fold(src, SB.payment_alerts_step(), ["rows", "fires"], folder)
+    out = ST.replay(df, "seq", folder, start, chunks=3)
     got = sorted((r["reason"], r["seq"]) for r in out.collect())
     assert got == loop_payment_alerts(rows)
 
@@ -34,8 +35,7 @@ def test_stream_trace_state_equal_loop(spark):
     df = spark.createDataFrame(rows, "trace_id string, trace_seq long, primary_service string, "
                                      "span_count long, duration_ms double")
     folder = tempfile.mkdtemp(prefix="vigil-stream-test-")
-    src = ST.replay_source(spark, df, "trace_seq", 3, folder + "/in")
-    out = ST.run_to_table(ST.trace_state_stream(src), folder).collect()
+    out = ST.replay(df, "trace_seq", folder, ST.to_table(ST.trace_state_stream, folder), chunks=3).collect()
     assert sorted(r["trace_seq"] for r in out if r["n_plus_1"]) == loop_n_plus_1(counts)
     assert sorted(r["trace_seq"] for r in out if r["bimodal_latency"]) == loop_bimodal(durs)
 

@@ -10,8 +10,8 @@ task, and the result is exact:
 * velocity — user's txns in the last 60 s: a difference of two exact
   positions in a range-partitioned order (``sliding_count``);
 * duplicate charge — oldest earlier charge of the same user and amount within
-  120 s: the charge at the window's lower position (``first_in_window``).
-  Ingested amounts are rounded to cents, so ``|Δ| < 0.01`` is equality of cents;
+  120 s: for each of the user's distinct amounts less than 0.01 away, the
+  charge at the window's lower position (``first_in_window``);
 * gateway timeout — a row predicate.
 
 Candidates then pass the 45 s per-(type, target) cooldown (greedy, first
@@ -61,16 +61,17 @@ def failure_spike_candidates(txn: DataFrame, **kw) -> DataFrame:
             .withColumn("target", F.col("gateway")).drop("_n", "_f"))
 
 
-def velocity_candidates(txn: DataFrame) -> DataFrame:
-    """user's txns within 60 s including the current one (memory of 60), ≥ 5.
+def velocity_candidates(txn: DataFrame, memory: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """user's txns within 60 s including the current one, ≥ 5; ``memory`` bounds the count.
 
     The count is a difference of two exact positions in a range-partitioned
     order (``sliding_count``), so even one user with a third of all rows is
     spread over many tasks.
     """
     win = T["velocity_window_s"]
-    fr = sliding_count(known(txn, "user"), ["user"], "ts", "seq", win * US, "_n")
-    per_min = F.least(F.lit(T["velocity_memory"]), F.col("_n"))
+    fr = sliding_count(known(txn, "user"), ["user"], "ts", "seq", win * US, "_n",
+                       hot_rows=hot_rows)
+    per_min = F.col("_n") if memory is None else F.least(F.lit(memory), F.col("_n"))
     return (fr.withColumn("txn_per_min", per_min.cast("long"))
             .filter(F.col("txn_per_min") >= T["velocity_per_min"])
             .withColumn("score", F.least(F.lit(0.99), 0.7 + F.col("txn_per_min") / 100.0))
@@ -79,19 +80,28 @@ def velocity_candidates(txn: DataFrame) -> DataFrame:
 
 def duplicate_candidates(txn: DataFrame) -> DataFrame:
     """Non-FAILED charge with amount > 0 and an earlier such charge of the same
-    user and amount at most 120 s before; the oldest match is reported.
+    user, less than 0.01 apart, at most 120 s before; the oldest match is reported.
 
-    The oldest match is the charge at the window's lower position in a
-    range-partitioned order of (user, cents, ts, seq) — no pairs are formed.
+    A user's distinct amounts meet those of the same and the two neighbouring cents,
+    so charges are compared with amounts, not with each other.  For each close amount
+    the oldest match is the charge at the window's lower position in a
+    range-partitioned order of (user, amount, ts, seq).
     """
     win = T["dup_window_s"]
-    ch = known(txn, "user").filter((F.col("status") != "FAILED") & (F.col("amount") > 0)) \
-            .withColumn("_cents", rnd(F.col("amount") * 100).cast("long"))
-    fr = first_in_window(ch, ["user", "_cents"], "ts", "seq", win * US, "txn_id", "dup_txn_id")
-    return (fr.filter(F.col("dup_txn_id").isNotNull())
+    ch = known(txn, "user").filter((F.col("status") != "FAILED") & (F.col("amount") > 0))
+    cent = F.floor(F.col("amount") * 100)
+    amounts = ch.select("user", "amount").distinct()
+    close = (amounts.withColumn("_cent", F.explode(F.array(cent - 1, cent, cent + 1)))
+             .join(amounts.select("user", F.col("amount").alias("_amount"), cent.alias("_cent")), ["user", "_cent"])
+             .filter(F.abs(F.col("amount") - F.col("_amount")) < 0.01).select("user", "amount", "_amount"))
+    slim = ch.select("user", "amount", "ts", "seq", "txn_id")
+    first = first_in_window(slim.withColumnRenamed("amount", "_amount"),
+                            slim.join(close, ["user", "amount"]), ["user", "_amount"], "ts", "seq",
+                            win * US, F.struct(F.unix_micros(F.col("ts").cast("timestamp")), "seq", "txn_id"))
+    oldest = first.groupBy("seq").agg(F.min("_first").getField("txn_id").alias("dup_txn_id"))
+    return (ch.join(oldest, "seq")
             .withColumn("score", F.lit(0.9))
-            .withColumn("target", F.concat_ws(":", "user", F.col("amount").cast("string")))
-            .drop("_cents"))
+            .withColumn("target", F.concat_ws(":", "user", F.col("amount").cast("string"))))
 
 
 def timeout_candidates(txn: DataFrame) -> DataFrame:
@@ -174,13 +184,13 @@ def payment_counters(txn: DataFrame, alerts: DataFrame) -> DataFrame:
         F.sum("t").cast("long").alias("total"), F.sum("a").cast("long").alias("anomalous"))
 
 
-def payment_throughput(txn: DataFrame) -> DataFrame:
-    """Payments in the last 60 s (memory of 1000), per payment; the global
-    order is range-partitioned (``sliding_count``), never one task."""
+def payment_throughput(txn: DataFrame, memory: int | None = None) -> DataFrame:
+    """Payments in the last 60 s, per payment (at most ``memory``, if given); the
+    global order is range-partitioned (``sliding_count``), never one task."""
     win = T["throughput_window_s"]
     fr = sliding_count(txn, [], "ts", "seq", win * US, "_n")
-    return fr.select("seq", "ts", F.least(F.lit(T["throughput_memory"]), F.col("_n"))
-                     .cast("long").alias("throughput"))
+    count = F.col("_n") if memory is None else F.least(F.lit(memory), F.col("_n"))
+    return fr.select("seq", "ts", count.cast("long").alias("throughput"))
 
 
 def _p99_fold(key: str, memory: int):
@@ -213,7 +223,7 @@ def _p99_fold(key: str, memory: int):
     return fold
 
 
-def rolling_p99(txn: DataFrame, key: str = "gateway", **kw) -> DataFrame:
+def rolling_p99(txn: DataFrame, key: str = "gateway", keep: tuple[str, ...] = (), **kw) -> DataFrame:
     """p99 of the last 300 latencies, index min(n-1, int(0.99*(n-1))), per key.
 
     A sliding sorted window (bisect) folded over the key's rows in arrival
@@ -224,9 +234,9 @@ def rolling_p99(txn: DataFrame, key: str = "gateway", **kw) -> DataFrame:
     m = T["p99_memory"]
     br = kw.get("block_rows") or BLOCK_ROWS
     cs = kw.get("coarse_seq") or COARSE_SEQ
-    ranked = key_rank(known(txn.select(key, "seq", "ts", "latency_ms"), key), [key], "seq", F.floor(F.col("seq") / cs))
+    ranked = key_rank(known(txn.select(key, "seq", "ts", "latency_ms", *keep), key), [key], "seq", F.floor(F.col("seq") / cs))
     blocks = row_blocks(ranked, "krank", br, m - 1)
     schema = Ty.StructType(blocks.schema.fields + [Ty.StructField("_p", Ty.DoubleType())])
     d = (blocks.repartition(key, "blk").sortWithinPartitions(key, "blk", "krank")
          .mapInPandas(_p99_fold(key, m), schema))
-    return d.select(key, "seq", "ts", rnd(F.col("_p"), 2).alias("p99_latency"))
+    return d.select(key, "seq", "ts", *keep, rnd(F.col("_p"), 2).alias("p99_latency"))

@@ -182,8 +182,8 @@ c_fs AS (SELECT 'Payment Failure Spike' AS anomaly_type, 'payment_failure_spike'
                 CAST(NULL AS BIGINT) AS txn_per_min, CAST(NULL AS VARCHAR) AS account,
                 CAST(NULL AS VARCHAR) AS dup_txn_id, 'payment_failure_spike:' || gateway AS ck
          FROM fs WHERE n >= 3 AND f / n >= 0.5),
-vel AS (SELECT *, least(60, count(*) OVER (PARTITION BY "user" ORDER BY ts
-                   RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW)) AS n FROM v_txn),
+vel AS (SELECT *, count(*) OVER (PARTITION BY "user" ORDER BY ts
+                   RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n FROM v_txn),
 c_vel AS (SELECT 'Fraud Velocity' AS anomaly_type, 'fraud_velocity' AS reason, 'fraud-service' AS service,
                  'payments.fraud/velocity' AS route, round(least(0.99, 0.7 + n / 100.0), 4) AS anomaly_score,
                  CAST(0.0 AS DOUBLE) AS duration_ms, txn_id, order_id, gateway, ts, seq,
@@ -238,6 +238,36 @@ register("pay_duplicates",
          lambda s, d: PD.duplicate_candidates(v_txn(s, d)).select("seq", "txn_id", "dup_txn_id"),
          _rec("SELECT seq, txn_id, dup_txn_id FROM c_dup"))
 
+# amounts that are not whole cents: a match may lie across a cent's boundary
+register("pay_duplicates_fractional",
+         lambda s, d: PD.duplicate_candidates(v_txn(s, d).withColumn("amount", F.col("amount") / 1000)).select(
+             "seq", "txn_id", "dup_txn_id"),
+         with_views(["v_txn"], """
+SELECT a.seq, any_value(a.txn_id) AS txn_id, arg_min(b.txn_id, (b.ts, b.seq)) AS dup_txn_id
+FROM v_txn a JOIN v_txn b ON b."user" = a."user" AND abs(b.amount / 1000 - a.amount / 1000) < 0.01
+     AND (b.ts, b.seq) < (a.ts, a.seq) AND b.ts >= a.ts - INTERVAL 120 SECOND
+WHERE a.status <> 'FAILED' AND a.amount > 0 AND b.status <> 'FAILED' AND b.amount > 0
+GROUP BY a.seq"""))
+
+
+def _hot_user(s, d):
+    """Transactions of which one user made a third; one in fifty has no user."""
+    seq = F.col("seq")
+    return v_txn(s, d).withColumn("user", F.when(seq % 50 == 0, F.lit(None).cast("string"))
+                                  .when(seq % 3 == 0, F.lit("hot")).otherwise(F.col("user")))
+
+
+# users above 100 rows take the range-ranked form here, the hot one among them
+register("pay_velocity_hot_user",
+         lambda s, d: PD.velocity_candidates(_hot_user(s, d), hot_rows=100).select("seq", "user", "txn_per_min"),
+         with_views(["v_txn"], """
+SELECT seq, "user", txn_per_min FROM (
+  SELECT seq, "user", count(*) OVER (PARTITION BY "user" ORDER BY ts
+           RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS txn_per_min
+  FROM (SELECT seq, ts, CASE WHEN seq % 50 = 0 THEN 'unknown' WHEN seq % 3 = 0 THEN 'hot' ELSE "user" END AS "user"
+        FROM v_txn))
+WHERE txn_per_min >= 5"""))
+
 register("pay_timeouts",
          lambda s, d: PD.timeout_candidates(v_txn(s, d)).select(
              "seq", "txn_id", "gateway", rnd(F.col("score"), 4).alias("score")),
@@ -254,8 +284,8 @@ SELECT service, CAST(sum(t) AS BIGINT) AS total, CAST(sum(a) AS BIGINT) AS anoma
   UNION ALL SELECT service, 0, 1 FROM alerts) GROUP BY service"""))
 
 register("pay_throughput", lambda s, d: PD.payment_throughput(v_txn(s, d)), with_views(["v_txn"], """
-SELECT seq, ts, CAST(least(1000, count(*) OVER (ORDER BY ts
-         RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW)) AS BIGINT) AS throughput
+SELECT seq, ts, CAST(count(*) OVER (ORDER BY ts
+         RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS throughput
 FROM v_txn"""))
 
 register("pay_rolling_p99", lambda s, d: PD.rolling_p99(v_txn(s, d)), with_views(["v_txn"], """

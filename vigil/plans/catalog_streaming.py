@@ -1,9 +1,9 @@
 """Registered streaming queries.
 
-Each one lands its input (a view over the driver tables) as ordered files, runs
-the Structured Streaming query with ``availableNow`` into a table in the
-checkpoint folder and returns that table, so the oracle of the batch twin
-checks stream = batch.
+Each one lands its input (a view over the driver tables) as ordered deliveries, runs
+the Structured Streaming query with ``availableNow`` after each of them, restarted from
+its checkpoint, into a table in the checkpoint folder and returns that table, so the
+oracle of the batch twin checks stream = batch.
 """
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import payments_detect as PD
 from ..operators import traces as TR
 from ..session import checkpoint_dir
+from ..streaming import batches as SB
 from ..streaming import stateful as ST
 from .catalog_logs import _PII, PII_QUERY_THRESHOLD
 from .catalog_payments import _CAND_SQL
@@ -29,21 +30,27 @@ def _folder(spark, name):
 
 def _stream_pay(s, d):
     f = _folder(s, "pay")
-    src = ST.replay_source(s, v_txn(s, d), "seq", 4, f + "/in")
-    return ST.run_to_table(ST.payment_alerts_stream(src), f).select(*PD.ALERT_COLS)
+    start = lambda src: SB.start_fold(src, SB.payment_alerts_step(), ["rows", "fires"], f)
+    return ST.replay(v_txn(s, d), "seq", f, start).select(*PD.ALERT_COLS)
 
 
 register("stream_pay_alerts", _stream_pay, with_views(["v_txn"], "SELECT * FROM alerts", _CAND_SQL))
 
 
-def _stream_logs(s, d):
-    f = _folder(s, "logs")
-    src = ST.replay_source(s, v_log(s, d), "seq", 4, f + "/in")
-    return ST.run_to_table(ST.log_state_stream(src, threshold=PII_QUERY_THRESHOLD), f)
+def _stream_redactions(s, d):
+    f = _folder(s, "redactions")
+    start = lambda src: SB.start_fold(src, SB.redaction_counter_step, ["totals"], f)
+    return ST.replay(v_log(s, d), "seq", f, start).select("service", "seq", "value")
 
 
-register("stream_redaction_counter", lambda s, d: _stream_logs(s, d).filter(F.col("kind") == "redaction_count")
-         .select("service", "seq", "value"), with_views(["v_log"], """
+def _stream_pii(s, d):
+    f = _folder(s, "pii")
+    step = SB.pii_alerts_step(PII_QUERY_THRESHOLD)
+    start = lambda src: SB.start_fold(src, step, ["rows", "fires"], f)
+    return ST.replay(v_log(s, d), "seq", f, start).select("service", "seq", "ratio", "window_log_count", "redacted_count")
+
+
+register("stream_redaction_counter", _stream_redactions, with_views(["v_log"], """
 SELECT service, seq, CAST(running AS DOUBLE) AS value FROM (
   SELECT service_name AS service, seq, f,
          sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY service_name ORDER BY seq
@@ -51,9 +58,7 @@ SELECT service, seq, CAST(running AS DOUBLE) AS value FROM (
   FROM (SELECT *, (contains(body, '[REDACTED_EMAIL]') OR contains(body, '[REDACTED_AUTHOR]')
                    OR contains(body, '[REDACTED_CC]')) AS f FROM v_log)) WHERE f"""))
 
-register("stream_pii_alerts", lambda s, d: _stream_logs(s, d).filter(F.col("kind") == "pii_alert")
-         .select("service", "seq", F.col("value").alias("ratio"), "window_log_count", "redacted_count"),
-         with_views(["v_log"], """
+register("stream_pii_alerts", _stream_pii, with_views(["v_log"], """
 SELECT service_name AS service, seq, round(redaction_ratio, 6) AS ratio, window_log_count,
        CAST(redacted_count AS BIGINT) AS redacted_count
 FROM pc JOIN pfired USING (service_name, seq)""", _PII))
@@ -61,9 +66,8 @@ FROM pc JOIN pfired USING (service_name, seq)""", _PII))
 
 def _stream_traces(s, d):
     f = _folder(s, "traces")
-    src = ST.replay_source(s, v_trace(s, d).select("trace_id", "trace_seq", "primary_service", "span_count",
-                                                   "duration_ms"), "trace_seq", 4, f + "/in")
-    return ST.run_to_table(ST.trace_state_stream(src), f)
+    traces = v_trace(s, d).select("trace_id", "trace_seq", "primary_service", "span_count", "duration_ms")
+    return ST.replay(traces, "trace_seq", f, ST.to_table(ST.trace_state_stream, f))
 
 
 register("stream_trace_detectors", lambda s, d: _stream_traces(s, d).filter(
@@ -78,9 +82,8 @@ FROM verd WHERE n_plus_1 OR bimodal_latency""", _W1))
 
 def _stream_windows(s, d):
     f = _folder(s, "windows")
-    src = ST.replay_source(s, v_span(s, d).select("trace_id", "start_time", "duration_ms"), "start_time", 4,
-                           f + "/in")
-    t = ST.run_to_table(ST.trace_windows_stream(src), f, keyed=True)
+    t = ST.replay(v_span(s, d).select("trace_id", "start_time", "duration_ms"), "start_time", f,
+                  ST.to_table(ST.trace_windows_stream, f, keyed=True))
     latest = TR.latest_by_key(t.withColumn("_k", F.concat_ws("|", F.col("window.start").cast("string"), "trace_id")),
                               "_k", "_batch")
     return latest.select(F.col("window.start").alias("window_start"), "trace_id", "span_count", "duration_ms",
@@ -95,8 +98,7 @@ FROM v_span GROUP BY ALL"""))
 
 def _stream_totals(s, d):
     f = _folder(s, "totals")
-    src = ST.replay_source(s, v_txn(s, d), "seq", 4, f + "/in")
-    t = ST.run_to_table(ST.txn_totals_stream(src), f, keyed=True)
+    t = ST.replay(v_txn(s, d), "seq", f, ST.to_table(ST.txn_totals_stream, f, keyed=True))
     return TR.latest_by_key(t.withColumn("_k", F.lit(1)), "_k", "_batch").select(
         "total", "success", "failed", "pending", F.round("volume", 2).alias("volume_inr"))
 
@@ -111,8 +113,8 @@ FROM v_txn"""))
 
 def _stream_tp(s, d):
     f = _folder(s, "throughput")
-    src = ST.replay_source(s, v_txn(s, d).select("seq", "ts"), "seq", 4, f + "/in")
-    t = ST.run_to_table(ST.payment_throughput_stream(src), f, keyed=True)
+    t = ST.replay(v_txn(s, d).select("seq", "ts"), "seq", f,
+                  ST.to_table(ST.payment_throughput_stream, f, keyed=True))
     latest = TR.latest_by_key(t.withColumn("_k", F.col("window.start").cast("string")), "_k", "_batch")
     return latest.select(F.col("window.start").alias("window_start"), "payments")
 
@@ -125,8 +127,8 @@ SELECT window_start, count(*) AS payments FROM (
 
 def _stream_p99(s, d):
     f = _folder(s, "p99")
-    src = ST.replay_source(s, v_txn(s, d).select("seq", "ts", "gateway", "latency_ms"), "seq", 4, f + "/in")
-    return ST.run_to_table(ST.rolling_p99_stream(src), f)
+    start = lambda src: SB.start_fold(src, SB.rolling_p99_step, ["tail"], f)
+    return ST.replay(v_txn(s, d).select("seq", "ts", "gateway", "latency_ms"), "seq", f, start).drop("batch")
 
 
 register("stream_rolling_p99", _stream_p99, with_views(["v_txn"], """

@@ -226,9 +226,8 @@ def greedy_cooldown_parallel(cands: DataFrame, key: str, ts: str, seq: str, cool
     hot = c.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > limit).select(key)
     if hot.limit(1).count() == 0:                     # no hot key: the streaming fold alone
         return greedy_cooldown(cands, key, ts, seq, cooldown_s, out)
-    # at most total / limit keys are hot: a proven bound for the broadcast
-    cold_part = c.join(F.broadcast(hot), key, "left_anti").drop("_t", "_seq")
-    hot_part = c.join(F.broadcast(hot), key, "left_semi")
+    cold_part = c.join(hot, key, "left_anti").drop("_t", "_seq")
+    hot_part = c.join(hot, key, "left_semi")
     fired_cold = greedy_cooldown(cold_part, key, ts, seq, cooldown_s, out)
     flags = _doubling_fired(hot_part, key, cd_us)
     fired_hot = (hot_part.join(flags, [key, "_t", "_seq"])
@@ -298,36 +297,34 @@ def _sliding_count_ranked(df: DataFrame, keys: list[str], ts: str, seq: str, win
     return df.join(cnt, [*keys, seq])
 
 
-def _first_in_window_ranked(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
-                            value: str, out: str) -> DataFrame:
-    """For every row, ``value`` of the oldest row of its key with ts in
-    [ts - window, ts) strictly before it in (ts, seq) order (null when none) —
-    the row at the window's lower position, found by an equi-join on position."""
+def first_in_window(df: DataFrame, lookups: DataFrame, keys: list[str], ts: str, seq: str,
+                    window_us: int, value: Column) -> DataFrame:
+    """For every row of ``lookups``, ``_first`` = ``value`` of the oldest row of ``df`` with
+    the same key and ts in [ts - window, ts], strictly before it in (ts, seq) order.
+    Returns keys, seq and ``_first`` of the lookups that have one.
+
+    Lookups at ts - window are merged into one range-partitioned order with the rows; the
+    number of rows before a lookup is the position of the row wanted, fetched by an
+    equi-join, so a hot key is spread over many tasks.
+    """
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    data = df.select(*keys, t.alias("_v"), F.lit(1).alias("_kind"), F.col(seq).alias("_s"),
-                     F.col(value).alias("_val"))
-    look = df.select(*keys, (t - F.lit(window_us)).alias("_v"), F.lit(0).alias("_kind"),
-                     F.col(seq).alias("_s"), F.lit(None).cast(df.schema[value].dataType).alias("_val"))
-    r = range_rank(data.unionByName(look), [*keys, "_v", "_kind", "_s"], flags=["_kind"])
-    at = r.filter(F.col("_kind") == 1).select(*keys, "_s", F.col("_fpos__kind").alias("_me"), "_val")
-    lo = r.filter(F.col("_kind") == 0).select(*keys, "_s", F.col("_fpos__kind").alias("_first"))
-    pair = at.select(*keys, "_s", "_me").join(lo, [*keys, "_s"]).filter(F.col("_first") < F.col("_me"))
-    cand = at.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_me").alias("_pos_c"),
-                     F.col("_val").alias(out))
-    cond = F.col("_first") == F.col("_pos_c")
-    for k in keys:
-        cond = cond & (F.col(k) == F.col("_k_" + k))
-    hit = pair.join(cand, cond).select(*keys, F.col("_s").alias(seq), out)
-    return df.join(hit, [*keys, seq], "left")
+    data = df.select(*keys, t.alias("_v"), F.lit(1).alias("_kind"), F.col(seq).alias("_s"), t.alias("_t"),
+                     value.alias("_first"))
+    look = lookups.select(*keys, (t - F.lit(window_us)).alias("_v"), F.lit(0).alias("_kind"),
+                          F.col(seq).alias("_s"), t.alias("_t"))
+    r = range_rank(data.unionByName(look, allowMissingColumns=True), [*keys, "_v", "_kind", "_s"], flags=["_kind"])
+    rows = r.filter(F.col("_kind") == 1).select(*keys, "_fpos__kind", F.struct("_t", "_s").alias("_at"), "_first")
+    asked = r.filter(F.col("_kind") == 0).select(*keys, "_fpos__kind", "_t", "_s")
+    return (asked.join(rows, [*keys, "_fpos__kind"]).filter(F.col("_at") < F.struct("_t", "_s"))
+            .select(*keys, F.col("_s").alias(seq), "_first"))
 
 
 def _split_hot(df: DataFrame, keys: list[str], hot_rows: int):
-    """(cold rows, hot rows): keys with more than ``hot_rows`` rows are hot; at most
-    total / hot_rows of them exist, a proven bound for broadcasting the key list."""
+    """(cold rows, hot rows): keys with more than ``hot_rows`` rows are hot."""
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_rows).select(*keys)
     if hot.limit(1).count() == 0:
         return df, None
-    return (df.join(F.broadcast(hot), keys, "left_anti"), df.join(F.broadcast(hot), keys, "left_semi"))
+    return (df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi"))
 
 
 def _cold_positions(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int, flag: str | None):
@@ -365,23 +362,3 @@ def sliding_count(df: DataFrame, keys: list[str], ts: str, seq: str, window_us:
     if hot is None:
         return d
     return d.unionByName(_sliding_count_ranked(hot, keys, ts, seq, window_us, out, flag, flag_out))
-
-
-def first_in_window(df: DataFrame, keys: list[str], ts: str, seq: str, window_us: int,
-                    value: str, out: str, hot_rows: int | None = None) -> DataFrame:
-    """For every row, ``value`` of the oldest row of its key with ts in
-    [ts - window, ts) strictly before it in (ts, seq) order (null when none):
-    the row at the window's lower position, fetched by an equi-join on
-    (key, position).  Hot keys use the range-partitioned positions."""
-    limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
-    cold, hot = _split_hot(df, keys, limit)
-    d = _cold_positions(cold, keys, ts, seq, window_us, None)
-    lookup = d.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_pos1").alias("_p"),
-                      F.col(value).alias(out))
-    cond = (F.col("_old") + 1 == F.col("_p")) & (F.col("_old") + 1 < F.col("_pos1"))
-    for k in keys:
-        cond = cond & (F.col(k) == F.col("_k_" + k))
-    res = d.join(lookup, cond, "left").drop("_tu", "_pos1", "_old", "_p", *["_k_" + k for k in keys])
-    if hot is None:
-        return res
-    return res.unionByName(_first_in_window_ranked(hot, keys, ts, seq, window_us, value, out))

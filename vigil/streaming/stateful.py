@@ -1,52 +1,31 @@
-"""Structured Streaming forms of the stateful detectors.
-
-* payments (R6): every transaction is fanned out to the detector keys it
-  touches — gateway (failure spike, timeout), user (velocity), user+amount
-  (duplicate) — and ``applyInPandasWithState`` keeps one small state per key
-  (last 12 statuses, hits of the last 60 s, charges of the last 120 s, last
-  fire time).  User keys expire by event-time timeout 120 s after their last
-  event, which cannot change a result (nothing older counts).
-* logs (R3): per service, the running redaction count, the 60 s density
-  buffer and the cooldown.
+"""Structured Streaming forms with keyed state and the sinks.
+
 * traces (R4/R5): per primary service, Welford (n, mean, m2) and the EWMA
   (mean, var); each trace is scored with the state *before* it learns.
 * windows (R1): event-time 10 s tumbling windows per trace with a watermark,
   ``update`` output into a keyed-replace table (S8: last write per key wins).
 
-Inside a micro-batch a group's rows are sorted by (ts, seq); micro-batches
+Payments and logs (R3, R6, the rolling p99) are in ``streaming.batches``.
+Inside a micro-batch a group's rows are sorted by trace_seq; micro-batches
 follow the source order, so a replay gives the batch result.
 """
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.constants import (BIMODAL_LAMBDA, BIMODAL_MEAN_MIN_MS, BIMODAL_STD_MS, BIMODAL_WARMUP,
-                                   N_PLUS_1_FLOOR, N_PLUS_1_K, N_PLUS_1_WARMUP, PAY_TUNING,
-                                   PII_COOLDOWN_S, PII_MIN_LOGS, PII_THRESHOLD, PII_WINDOW_S)
-from ..functions.redaction import is_redacted
+                                   N_PLUS_1_FLOOR, N_PLUS_1_K, N_PLUS_1_WARMUP)
 
 STATE_SCHEMA = T.StructType([T.StructField("s", T.StringType())])
 
-PAY_ALERT_SCHEMA = T.StructType([
-    T.StructField("anomaly_type", T.StringType()), T.StructField("reason", T.StringType()),
-    T.StructField("service", T.StringType()), T.StructField("route", T.StringType()),
-    T.StructField("anomaly_score", T.DoubleType()), T.StructField("duration_ms", T.DoubleType()),
-    T.StructField("txn_id", T.StringType()), T.StructField("order_id", T.StringType()),
-    T.StructField("gateway", T.StringType()), T.StructField("ts", T.TimestampType()),
-    T.StructField("seq", T.LongType()), T.StructField("failure_rate", T.DoubleType()),
-    T.StructField("txn_per_min", T.LongType()), T.StructField("account", T.StringType()),
-    T.StructField("dup_txn_id", T.StringType()),
-])
-
-
 def _round(x: float, n: int) -> float:
     m = 10.0 ** n
     p = x * m
@@ -57,175 +36,6 @@ def _load(state: GroupState, default: dict) -> dict:
     return json.loads(state.get[0]) if state.exists else dict(default)
 
 
-# ---- payments (R6) -----------------------------------------------------------------
-
-def payment_detector_keys(txn: DataFrame) -> DataFrame:
-    """Fan each transaction out to its detector keys (kind, key)."""
-    charge = (F.col("status") != "FAILED") & (F.col("amount") > 0)
-    kinds = F.array(
-        F.struct(F.lit("gw").alias("kind"), F.col("gateway").alias("key")),
-        F.struct(F.lit("user").alias("kind"), F.col("user").alias("key")),
-        F.when(charge, F.struct(F.lit("dup").alias("kind"),
-                                F.concat_ws(":", "user", F.col("amount").cast("string")).alias("key"))))
-    return (txn.select("*", F.explode(F.array_compact(kinds)).alias("_k"))
-            .select("*", F.col("_k.kind").alias("kind"), F.col("_k.key").alias("key")).drop("_k"))
-
-
-def _pay_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    kind, k = key
-    T_ = PAY_TUNING
-    if state.hasTimedOut:
-        state.remove()
-        return
-    st = _load(state, {"recent": [], "hits": [], "charges": [], "fired": {}})
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["tus", "seq"])
-    out = []
-
-    def fire(name, now):
-        last = st["fired"].get(name)
-        if last is None or now - last >= T_["refire_cooldown_s"]:
-            st["fired"][name] = now
-            return True
-        return False
-
-    def alert(r, atype, reason, service, route, score, dur=0.0, rate=None, per_min=None, account=None, dup=None):
-        out.append({"anomaly_type": atype, "reason": reason, "service": service, "route": route,
-                    "anomaly_score": _round(score, 4), "duration_ms": float(dur), "txn_id": r.txn_id,
-                    "order_id": r.order_id, "gateway": r.gateway, "ts": r.ts, "seq": int(r.seq),
-                    "failure_rate": rate, "txn_per_min": per_min, "account": account, "dup_txn_id": dup})
-
-    for r in pdf.itertuples(index=False):
-        now = r.tus / 1e6
-        if kind == "gw":
-            st["recent"] = (st["recent"] + [r.status == "FAILED"])[-T_["fail_window"]:]
-            n = len(st["recent"])
-            if n >= T_["fail_min"]:
-                rate = sum(st["recent"]) / n
-                if rate >= T_["fail_rate"] and fire("fs", now):
-                    alert(r, "Payment Failure Spike", "payment_failure_spike", "payment-service",
-                          f"payments.gateway/{r.gateway}", min(0.99, rate + 0.4), rate=_round(rate, 2))
-            if r.latency_ms >= T_["latency_ms"] and fire("to", now):
-                alert(r, "Gateway Timeout", "gateway_timeout", "payment-service", f"payments.gateway/{r.gateway}",
-                      min(0.95, 0.6 + r.latency_ms / 40000.0), dur=r.latency_ms)
-        elif kind == "user":
-            st["hits"] = [t for t in st["hits"] if now - t <= T_["velocity_window_s"]] + [now]
-            st["hits"] = st["hits"][-T_["velocity_memory"]:]
-            per_min = len(st["hits"])
-            if per_min >= T_["velocity_per_min"] and fire("vel", now):
-                alert(r, "Fraud Velocity", "fraud_velocity", "fraud-service", "payments.fraud/velocity",
-                      min(0.99, 0.7 + per_min / 100.0), per_min=per_min, account=r.user)
-        else:  # dup
-            st["charges"] = [c for c in st["charges"] if now - c[0] <= T_["dup_window_s"]]
-            if st["charges"]:
-                if fire("dup", now):
-                    alert(r, "Duplicate Charge", "duplicate_charge", "payment-service",
-                          "payments.idempotency/violation", 0.9, dup=st["charges"][0][1])
-            st["charges"].append([now, r.txn_id])
-    state.update((json.dumps(st),))
-    if kind != "gw":  # user keys expire when nothing they hold can matter any more
-        state.setTimeoutTimestamp(int(pdf["tus"].max() / 1000) + T_["dup_window_s"] * 1000 + 1)
-    if out:
-        yield pd.DataFrame(out, columns=PAY_ALERT_SCHEMA.fieldNames())
-
-
-def payment_alerts_stream(txn_stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Streaming payment alerts (same rows as the batch ``payment_alerts``)."""
-    d = payment_detector_keys(txn_stream.withColumn("tus", F.unix_micros(F.col("ts").cast("timestamp"))))
-    d = d.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return d.groupBy("kind", "key").applyInPandasWithState(
-        _pay_fn, PAY_ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-# ---- rolling p99 of the last 300 latencies per gateway (R7) ----------------------------
-
-P99_SCHEMA = T.StructType([
-    T.StructField("gateway", T.StringType()), T.StructField("seq", T.LongType()),
-    T.StructField("ts", T.TimestampType()), T.StructField("p99_latency", T.DoubleType())])
-
-
-def _p99_fn(key, pdfs, state: GroupState):
-    import bisect
-    (gw,) = key
-    st = _load(state, {"w": []})
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["tus", "seq"])
-    window = st["w"]
-    srt = sorted(window)
-    out = []
-    for r in pdf.itertuples(index=False):
-        x = float(r.latency_ms)
-        window.append(x)
-        bisect.insort(srt, x)
-        if len(window) > PAY_TUNING["p99_memory"]:
-            old = window.pop(0)
-            del srt[bisect.bisect_left(srt, old)]
-        n = len(srt)
-        out.append((gw, int(r.seq), r.ts, _round(srt[min(n - 1, int(0.99 * (n - 1)))], 2)))
-    state.update((json.dumps({"w": window}),))
-    yield pd.DataFrame(out, columns=P99_SCHEMA.fieldNames())
-
-
-def rolling_p99_stream(txn_stream: DataFrame) -> DataFrame:
-    """Exact p99 of each gateway's last 300 latencies, emitted per payment
-    (state: the last 300 values of the gateway)."""
-    d = txn_stream.select("gateway", "seq", F.col("ts").cast("timestamp").alias("ts"), "latency_ms",
-                          F.unix_micros(F.col("ts").cast("timestamp")).alias("tus"))
-    return d.groupBy("gateway").applyInPandasWithState(
-        _p99_fn, P99_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-# ---- logs (R3) ----------------------------------------------------------------------
-
-LOG_OUT_SCHEMA = T.StructType([
-    T.StructField("kind", T.StringType()), T.StructField("service", T.StringType()),
-    T.StructField("seq", T.LongType()), T.StructField("ts", T.TimestampType()),
-    T.StructField("value", T.DoubleType()), T.StructField("window_log_count", T.LongType()),
-    T.StructField("redacted_count", T.LongType()), T.StructField("trace_id", T.StringType()),
-])
-
-
-def _log_fn_factory(threshold: float):
-    def _log_fn(key, pdfs, state: GroupState):
-        (svc,) = key
-        st = _load(state, {"count": 0, "buf": [], "last_fire": None})
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values(["tus", "seq"])
-        out = []
-        for r in pdf.itertuples(index=False):
-            now = r.tus / 1e6
-            if r.is_redacted:
-                st["count"] += 1
-                out.append(("redaction_count", svc, int(r.seq), r.ts, float(st["count"]), None, None, None))
-            st["buf"] = [b for b in st["buf"] if now - b[0] <= PII_WINDOW_S] + [[now, bool(r.is_redacted)]]
-            n = len(st["buf"])
-            if n >= PII_MIN_LOGS:
-                red = sum(1 for b in st["buf"] if b[1])
-                ratio = red / n
-                if ratio > threshold and (st["last_fire"] is None or now - st["last_fire"] >= PII_COOLDOWN_S):
-                    st["last_fire"] = now
-                    out.append(("pii_alert", svc, int(r.seq), r.ts, _round(ratio, 6), n, red, r.trace_id))
-        state.update((json.dumps(st),))
-        if out:
-            yield pd.DataFrame(out, columns=LOG_OUT_SCHEMA.fieldNames())
-    return _log_fn
-
-
-def log_state_stream(log_stream: DataFrame, threshold: float = PII_THRESHOLD) -> DataFrame:
-    """Redaction counter metrics and PII alerts, one keyed state per service."""
-    d = log_stream.select("seq", F.col("service_name"), "trace_id", F.col("ts").cast("timestamp").alias("ts"),
-                          is_redacted(F.col("body")).alias("is_redacted"),
-                          F.unix_micros(F.col("ts").cast("timestamp")).alias("tus"))
-    return d.groupBy("service_name").applyInPandasWithState(
-        _log_fn_factory(threshold), LOG_OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
 # ---- traces (R4 / R5) ----------------------------------------------------------------
 
 TRACE_OUT_SCHEMA = T.StructType([
@@ -348,30 +158,32 @@ def to_console(df: DataFrame, output_mode: str = "append"):
     return df.writeStream.format("console").outputMode(output_mode).option("truncate", False).start()
 
 
-def replay_source(spark: SparkSession, df: DataFrame, order_col: str, chunks: int, folder: str,
-                  max_files_per_trigger: int = 1) -> DataFrame:
-    """Land ``df`` as ``chunks`` files in ``order_col`` order (one micro-batch
-    each, written one after another) and open the folder as a file stream.
+def replay(df: DataFrame, order_col: str, folder: str, start: Callable, chunks: int = 4) -> DataFrame:
+    """Feed ``df`` to a stream as ``chunks`` deliveries in ``order_col`` order; returns what it wrote.
 
-    This is the replayable landing zone used to check stream = batch; in
-    production the stream source is the message bus or the landing folder.
+    Each delivery is appended to the landing folder ``folder``/in by all tasks and the query is
+    started anew from its checkpoint, so one micro-batch holds one delivery and every
+    delivery after the first is a restart (S2).  ``start`` takes the stream and returns the
+    started query, which writes to ``folder``/out.
     """
+    spark = df.sparkSession
     is_ts = isinstance(df.schema[order_col].dataType, (T.TimestampType, T.TimestampNTZType))
     key = F.unix_micros(F.col(order_col).cast("timestamp")) if is_ts else F.col(order_col)
+    # the view is computed once; a delivery reads its own folder
     lo, hi = df.agg(F.min(key), F.max(key)).first()
     width = (float(hi) - float(lo) + 1.0) / chunks if lo is not None else 1.0
+    chunk = F.least(F.lit(chunks - 1), F.floor((key - F.lit(float(lo or 0))) / F.lit(width))).cast("int")
+    (df.withColumn("chunk", F.coalesce(chunk, F.lit(0))).repartitionByRange("chunk", order_col)
+     .write.partitionBy("chunk").parquet(f"{folder}/all"))
     for i in range(chunks):
-        part = df.filter((key >= F.lit(float(lo) + i * width)) & (key < F.lit(float(lo) + (i + 1) * width)))
-        part.coalesce(1).sortWithinPartitions(order_col).write.mode("append").parquet(folder)
-    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(folder))
+        landed = spark.read.parquet(f"{folder}/all").filter(F.col("chunk") == i).drop("chunk")
+        landed.select(*df.columns).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+        start(stream).awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
-def run_to_table(df: DataFrame, folder: str, mode: str = "append", keyed: bool = False) -> DataFrame:
-    """Run a streaming query to completion (availableNow) into a parquet table
-    under ``folder`` and return the table as a batch DataFrame."""
-    spark = df.sparkSession
-    out, ck = f"{folder}/out", f"{folder}/_checkpoint"
-    q = write_keyed_replace(df, out, ck) if keyed else write_append(df, out, ck)
-    q.awaitTermination()
-    return spark.read.parquet(out)
+def to_table(build: Callable[[DataFrame], DataFrame], folder: str, keyed: bool = False) -> Callable:
+    """``start`` for :func:`replay`: the stream that ``build`` makes, written under ``folder``."""
+    write = write_keyed_replace if keyed else write_append
+    return lambda stream: write(build(stream), f"{folder}/out", f"{folder}/_checkpoint")
