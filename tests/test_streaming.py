@@ -35,7 +35,8 @@ def test_stream_trace_state_equal_loop(spark):
     df = spark.createDataFrame(rows, "trace_id string, trace_seq long, primary_service string, "
                                      "span_count long, duration_ms double")
     folder = tempfile.mkdtemp(prefix="vigil-stream-test-")
-    out = ST.replay(df, "trace_seq", folder, ST.to_table(ST.trace_state_stream, folder), chunks=3).collect()
+    start = lambda src: SB.start_fold(src, SB.trace_detectors_step, SB.TRACE_TABLES, folder)
+    out = ST.replay(df, "trace_seq", folder, start, chunks=3).collect()
     assert sorted(r["trace_seq"] for r in out if r["n_plus_1"]) == loop_n_plus_1(counts)
     assert sorted(r["trace_seq"] for r in out if r["bimodal_latency"]) == loop_bimodal(durs)
 

@@ -42,6 +42,18 @@ def test_rolling_detectors_match_loop_across_blocks(spark):
     assert bm == loop_bimodal(durs)
 
 
+def test_variance_after_an_outlier_is_that_of_the_unbroken_fold(spark):
+    durs = [100.0] * 30 + [1e9] + [100.0] * 469
+    want, m, v = [], 0.0, 0.0
+    for i, x in enumerate(durs):
+        want.append(v)
+        m, v = (x, 0.0) if i == 0 else (m + 0.2 * (x - m), 0.2 * (x - m) ** 2 + 0.8 * v)
+    rows = TR.bimodal(_df(spark, [1] * 500, durs), block_rows=50, coarse=70).orderBy("trace_seq").collect()
+    assert len(rows) == 500
+    for r, w in zip(rows, want):
+        assert abs(r["latency_variance"] - w) <= 1e-6 + 1e-12 * w
+
+
 def test_build_traces_dangling_and_primary(spark):
     from datetime import datetime, timedelta
     t0 = datetime(2024, 1, 1)

@@ -31,11 +31,14 @@ def rnd(c: Column, n: int = 0) -> Column:
 
     Spark's ``round`` rounds the *decimal text* of a double (0.82015 → 0.8202),
     while the monitored system and SQL engines round the binary value
-    (0.82015 is 0.820149999… → 0.8201).  This keeps the binary rule.
+    (0.82015 is 0.820149999… → 0.8201).  This keeps the binary rule.  A scaled value
+    from 2^53 on is whole already and stays as it is (``floor`` gives a long).
     """
     m = float(10 ** n)
-    p = c.cast("double") * F.lit(m)
-    return (F.signum(p) * F.floor(F.abs(p) + F.lit(0.5))) / F.lit(m)
+    x = c.cast("double")
+    p = x * F.lit(m)
+    whole = F.abs(p) >= F.lit(float(1 << 53))
+    return F.when(whole, x).otherwise((F.signum(p) * F.floor(F.abs(p) + F.lit(0.5))) / F.lit(m))
 
 
 def known(df, *columns: str):

@@ -16,18 +16,22 @@ POD_ALERT_SCORE = {"CrashLoopBackOff": 0.9, "OOMKilled": 0.85}
 
 
 def nodes_with_pods(nodes: DataFrame, pods: DataFrame) -> DataFrame:
-    """Node ⟕ pods (nodes broadcast)."""
+    """Node ⟕ pods: pods look their node up in the fixed pool, nodes without pods follow."""
     p = pods.select(F.col("node").alias("_node"), "cpu_m", "mem_mi", F.col("name").alias("pod"))
-    return F.broadcast(nodes).join(p, F.col("name") == F.col("_node"), "left").drop("_node")
+    hit = p.join(F.broadcast(nodes), F.col("name") == F.col("_node")).drop("_node")
+    used = pods.select(F.col("node").alias("name")).distinct()
+    return hit.unionByName(nodes.join(used, "name", "left_anti"), allowMissingColumns=True)
 
 
 def node_utilisation(nodes: DataFrame, pods: DataFrame) -> DataFrame:
     """used = Σ pods + overhead; percentages capped at 100; conditions; pod count."""
-    j = nodes_with_pods(nodes, pods)
-    g = j.groupBy("name", "zone", "cpu_capacity_m", "mem_capacity_mi").agg(
-        (F.coalesce(F.sum("cpu_m"), F.lit(0.0)) + K8S_CPU_OVERHEAD_M).alias("cpu"),
-        (F.coalesce(F.sum("mem_mi"), F.lit(0.0)) + K8S_MEM_OVERHEAD_MI).alias("mem"),
-        F.count("pod").alias("pods"))
+    used = pods.groupBy(F.col("node").alias("name")).agg(       # one row per node before the join
+        F.sum("cpu_m").alias("_cpu"), F.sum("mem_mi").alias("_mem"), F.count("name").alias("_pods"))
+    g = nodes.join(used, "name", "left").select(
+        "name", "zone", "cpu_capacity_m", "mem_capacity_mi",
+        (F.coalesce("_cpu", F.lit(0.0)) + K8S_CPU_OVERHEAD_M).alias("cpu"),
+        (F.coalesce("_mem", F.lit(0.0)) + K8S_MEM_OVERHEAD_MI).alias("mem"),
+        F.coalesce("_pods", F.lit(0)).alias("pods"))
     mem_pct = F.col("mem") / F.col("mem_capacity_mi") * 100
     return g.select(
         "name", "zone", "cpu_capacity_m", "mem_capacity_mi",

@@ -10,8 +10,8 @@ partitions, so one hot service is never a single task:
 * N+1 needs (n, Σx, Σx²) of all earlier traces of the service — a prefix sum
   over (service, coarse block) totals plus a running sum inside the block;
 * bimodal latency is an EWMA; it is folded sequentially (``mapInPandas`` over
-  a sorted stream) inside (service, block), each block warmed up by the
-  previous block's last 200 traces (0.8^200 ≈ 4e-20, below one ulp).
+  a sorted stream) inside (service, block), each block started from the
+  ``EWMA_DEPTH`` traces before it, all that a double can still feel.
 """
 from __future__ import annotations
 
@@ -25,7 +25,9 @@ from ..functions.constants import (BIMODAL_LAMBDA, BIMODAL_MEAN_MIN_MS, BIMODAL_
                                    SPAN_SLOW_MS)
 from ..plans.ordered import key_rank, row_blocks
 
-EWMA_DEPTH = 200
+#: Older traces weigh nothing in double arithmetic: 0.8^3400 times the largest finite
+#: square (1.8e308) is below 1e-21, far under the six places that are reported.
+EWMA_DEPTH = 3400
 COARSE_TRACES = 5_000_000
 BLOCK_TRACES = 200_000
 
@@ -107,28 +109,36 @@ def build_traces(spans: DataFrame, key: str = "trace_id", carry: tuple[str, ...]
 
 
 def merge_partial_traces(parts: DataFrame, key: str = "trace_id", max_spans: int = 20) -> DataFrame:
-    """A2: merge (window, trace) partials into one trace: max / sum / or / min,
-    span lists concatenated and cut to the first ``max_spans`` again."""
-    return parts.groupBy(key).agg(
+    """A2: merge (window, trace) partials into one trace: max / sum / or / min.
+
+    The alert's list is the first ``max_spans`` spans of all partials, ranked as rows, so
+    that a trace with very many windows is never gathered whole."""
+    from ..plans.ordered import top_n_per_key
+    totals = parts.groupBy(key).agg(
         F.max("duration_ms").alias("duration_ms"),
         F.sum("span_count").cast("long").alias("span_count"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("spans"))), 1, max_spans).alias("spans"),
         F.max(F.col("has_anomaly").cast("int")).cast("boolean").alias("has_anomaly"),
         F.min("start_time").alias("start_time"))
+    first = top_n_per_key(parts.select(key, F.explode("spans").alias("_s")), [key], [F.col("_s")], max_spans)
+    return totals.join(first.groupBy(key).agg(F.array_sort(F.collect_list("_s")).alias("spans")), key, "left")
 
 
 # ---- per-service rolling detectors ------------------------------------------
 
 def n_plus_1(traces: DataFrame, order: str = "trace_seq", key: str = "primary_service",
-             coarse: int | None = None) -> DataFrame:
+             coarse: int | None = None, before: DataFrame | None = None) -> DataFrame:
     """Before the update, n ≥ 10, span_count ≥ 10 and span_count > mean + 3σ
     (sample σ over all earlier traces of the service; σ = 0 when n ≤ 1).  Span counts are
-    whole numbers, so the sums and the variance's numerator are exact."""
+    whole numbers, so the sums and the variance's numerator are exact.  ``before`` holds
+    (key, n, s1, s2) of traces that came earlier still (``span_totals``)."""
     cw = coarse or COARSE_TRACES
     x = F.col("span_count").cast("long")
     d = known(traces, key).withColumn("_cb", F.floor(F.col(order) / cw))
     tot = d.groupBy(key, "_cb").agg(F.count(F.lit(1)).alias("_bn"), F.sum(x).alias("_bs"),
                                      F.sum(x * x).alias("_bq"))
+    if before is not None:
+        tot = tot.unionByName(before.select(key, F.lit(-(1 << 62)).alias("_cb"), F.col("n").alias("_bn"),
+                                            F.col("s1").alias("_bs"), F.col("s2").alias("_bq")))
     wp = Window.partitionBy(key).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
     pre = tot.select(key, "_cb", *[F.coalesce(F.sum(c).over(wp), F.lit(0)).alias(c + "0")
                                    for c in ("_bn", "_bs", "_bq")])
@@ -150,6 +160,14 @@ def n_plus_1(traces: DataFrame, order: str = "trace_seq", key: str = "primary_se
         "_cb", "_ln", "_ls", "_lq", "_bn0", "_bs0", "_bq0")
 
 
+def span_totals(traces: DataFrame, key: str = "primary_service", before: DataFrame | None = None) -> DataFrame:
+    """(key, n, s1, s2): number of traces, sum and sum of squares of their span counts."""
+    x = F.col("span_count").cast("long")
+    rows = traces.select(key, F.lit(1).cast("long").alias("n"), x.alias("s1"), (x * x).alias("s2"))
+    rows = rows if before is None else rows.unionByName(before.select(key, "n", "s1", "s2"))
+    return rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+
+
 def _ewma_fold(key: str):
     """mapInPandas body: sequential EWMA per (key, blk) over rows sorted by rank.
 
@@ -196,9 +214,8 @@ def bimodal(traces: DataFrame, order: str = "trace_seq", key: str = "primary_ser
     σ > 500, mean > 200 and duration > mean + σ.  ``latency_variance`` is the
     variance before the update (rounded to 6 places).
 
-    The fold is sequential inside (service, block); each block is warmed up by
-    the previous block's last ``EWMA_DEPTH`` traces (0.8^200 is far below one
-    ulp, so the state equals the unbroken fold).
+    The fold is sequential inside (service, block); each block starts from the
+    ``EWMA_DEPTH`` traces before it, beyond which no finite latency has weight.
     """
     br = block_rows or BLOCK_TRACES
     cw = coarse or COARSE_TRACES
@@ -235,7 +252,11 @@ def rule_verdicts(traces: DataFrame, order: str = "trace_seq", key: str = "trace
     slim = traces.select(*cols)
     f1 = n_plus_1(slim, order, coarse=kw.get("coarse")).select(key, "n_plus_1")
     f2 = bimodal(slim, order, **kw).select(key, "bimodal_latency", "latency_variance")
-    t = traces.join(f1, key).join(f2, key)
+    return verdicts(traces.join(f1, key).join(f2, key))
+
+
+def verdicts(t: DataFrame) -> DataFrame:
+    """M1: reasons, score and anomaly flag from the three rule columns."""
     reasons = F.array_compact(F.array(
         F.when(F.col("n_plus_1"), F.lit("n_plus_1")),
         F.when(F.col("bimodal_latency"), F.lit("bimodal_latency")),
@@ -297,7 +318,7 @@ def rule_flags(df: DataFrame) -> Column:
         F.lit(False).alias("pii_density"), F.lit(0.0).alias("redaction_ratio"))
 
 
-def trace_alerts(verdicts: DataFrame, max_spans: int = 20) -> DataFrame:
+def trace_alerts(verdicts: DataFrame, max_spans: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """One enriched alert per anomalous trace (route = first span's name)."""
     v = verdicts if "per_model" in verdicts.columns else composite(verdicts)
     a = v.filter(F.col("is_anomaly"))
@@ -309,7 +330,7 @@ def trace_alerts(verdicts: DataFrame, max_spans: int = 20) -> DataFrame:
         F.slice("spans", 1, max_spans).alias("spans"), "reasons",
         F.col("per_model").alias("ml_scores"), rule_flags(a).alias("rule_flags"),
         classify(F.col("reasons"), F.col("per_model")).alias("anomaly_type"),
-        *[c for c in ("trace_seq",) if c in v.columns])
+        *[c for c in ("trace_seq",) if c in v.columns], *keep)
 
 
 def trace_counters(verdicts: DataFrame) -> DataFrame:
@@ -332,17 +353,17 @@ def trace_stats(counters: DataFrame, service: str | None = None) -> DataFrame:
 def service_window_metrics(spans: DataFrame, window_s: int = 10) -> DataFrame:
     """A6 + A7: span count and p99 per (window, trace, service).
 
-    p99 index = max(0, int(n·0.99) − 1) of the sorted durations; the group is
-    the spans of one service in one trace, a bounded list.
+    p99 index = max(0, int(n·0.99) − 1) of the sorted durations: the row with that
+    rank, so no list of durations is gathered.
     """
-    g = spans.groupBy(F.window("start_time", f"{window_s} seconds").alias("window"),
-                      "trace_id", "service").agg(
-        F.count(F.lit(1)).alias("throughput"),
-        F.array_sort(F.collect_list("duration_ms")).alias("_d"))
-    idx = F.greatest(F.lit(0), F.floor(F.col("throughput") * F.lit(0.99)).cast("int") - 1)
-    return g.select(F.col("window.start").alias("window_start"), "trace_id", "service",
-                    F.col("throughput").cast("double").alias("throughput"),
-                    F.element_at("_d", idx + 1).alias("p99_latency"))
+    group = ["window_start", "trace_id", "service"]
+    s = spans.select(F.window("start_time", f"{window_s} seconds")["start"].alias("window_start"),
+                     "trace_id", "service", F.col("duration_ms").alias("p99_latency"))
+    w = Window.partitionBy(*group)
+    r = s.select("*", F.count(F.lit(1)).over(w).alias("_n"),
+                 F.row_number().over(w.orderBy("p99_latency")).alias("_r"))
+    pick = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(0.99)))
+    return r.filter(F.col("_r") == pick).select(*group, F.col("_n").cast("double").alias("throughput"), "p99_latency")
 
 
 def waterfall(spans: DataFrame, key: str = "trace_id", min_width: float = 4.0) -> DataFrame:

@@ -11,17 +11,21 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.common import EPOCH_2024_US
 from ..operators import payments_detect as PD
 from ..operators import traces as TR
 from ..session import checkpoint_dir
+from ..sources import webhooks as WH
 from ..streaming import batches as SB
 from ..streaming import stateful as ST
+from . import catalog_ingest  # noqa: F401  (its webhook SQL is read below)
 from .catalog_logs import _PII, PII_QUERY_THRESHOLD
 from .catalog_payments import _CAND_SQL
-from .catalog_traces import _W1
+from .catalog_traces import _ATYPE, _W1
 from .oracle import with_views
-from .registry import register
+from .registry import ORACLES, register
 from .vehicles import v_log, v_span, v_trace, v_txn
+from .vehicles_ingest import HOOK_INGEST_KEY, HOOK_SECRETS, v_hook
 
 
 def _folder(spark, name):
@@ -67,7 +71,8 @@ FROM pc JOIN pfired USING (service_name, seq)""", _PII))
 def _stream_traces(s, d):
     f = _folder(s, "traces")
     traces = v_trace(s, d).select("trace_id", "trace_seq", "primary_service", "span_count", "duration_ms")
-    return ST.replay(traces, "trace_seq", f, ST.to_table(ST.trace_state_stream, f))
+    start = lambda src: SB.start_fold(src, SB.trace_detectors_step, SB.TRACE_TABLES, f)
+    return ST.replay(traces, "trace_seq", f, start)
 
 
 register("stream_trace_detectors", lambda s, d: _stream_traces(s, d).filter(
@@ -80,6 +85,75 @@ SELECT trace_id, primary_service, n_plus_1, bimodal_latency,
 FROM verd WHERE n_plus_1 OR bimodal_latency""", _W1))
 
 
+def _live_spans(s, d):
+    """Spans of all traces on one clock: a trace starts 200 ms after the one before it."""
+    at = F.timestamp_micros(F.lit(EPOCH_2024_US) + F.col("trace_seq") * 200_000 + F.col("rn") * 10_000)
+    return v_span(s, d).select("trace_id", "span_id", "parent_span_id", "service", "name", "duration_ms",
+                               at.alias("start_time"), "status_code")
+
+
+def _stream_trace_alerts(s, d):
+    f = _folder(s, "trace-alerts")
+    tables = ["open", "clock", *SB.TRACE_TABLES]
+    start = lambda src: SB.start_fold(src, SB.trace_alerts_step(), tables, f)
+    return ST.replay(_live_spans(s, d), "start_time", f, start).select(
+        "window_start", "trace_id", "service", "route", "anomaly_type", F.concat_ws(",", "reasons").alias("reasons"),
+        F.size("spans").alias("n_spans"), F.col("rule_flags.dangling_span").alias("dangling_span"))
+
+
+_LIVE_TRACES = f"""
+lv AS (SELECT *, time_bucket(INTERVAL 10 SECOND, start_time) AS w FROM (
+         SELECT * REPLACE (make_timestamp({EPOCH_2024_US} + trace_seq * 200000 + rn * 10000) AS start_time) FROM v_span)),
+cl AS (SELECT * FROM lv WHERE w + INTERVAL 10 SECOND <= (SELECT max(start_time) FROM lv) - INTERVAL 60 SECOND),
+ps AS (SELECT w, trace_id, service AS primary_service FROM (
+         SELECT w, trace_id, service, row_number() OVER (PARTITION BY w, trace_id
+                  ORDER BY sum(duration_ms) DESC, min(start_time)) AS k
+         FROM cl GROUP BY w, trace_id, service) WHERE k = 1),
+dg AS (SELECT c.w, c.trace_id, arg_min(c.name, c.start_time) AS dangling_span FROM cl c
+       WHERE coalesce(c.parent_span_id, '') <> '' AND NOT EXISTS (
+         SELECT 1 FROM cl p WHERE p.w = c.w AND p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)
+       GROUP BY c.w, c.trace_id),
+v_trace AS (
+  SELECT row_number() OVER (ORDER BY w, trace_id) - 1 AS trace_seq, w, trace_id, max(duration_ms) AS duration_ms,
+         count(*) AS span_count, arg_min(name, start_time) AS route, any_value(primary_service) AS primary_service,
+         any_value(dangling_span) AS dangling_span
+  FROM cl JOIN ps USING (w, trace_id) LEFT JOIN dg USING (w, trace_id) GROUP BY w, trace_id),"""
+
+register("stream_trace_alerts", _stream_trace_alerts, with_views(["v_span"], f"""
+SELECT w AS window_start, trace_id, primary_service AS service, route, {_ATYPE} AS anomaly_type,
+       array_to_string(reasons, ',') AS reasons, CAST(least(span_count, 20) AS INTEGER) AS n_spans, dangling_span
+FROM rv WHERE len(reasons) > 0""", _LIVE_TRACES + _W1))
+
+
+def _stream_late(s, d):
+    f = _folder(s, "late")
+    t = v_txn(s, d).select("seq", "txn_id", "ts")        # one payment in 50 comes ten minutes late
+    t = t.withColumn("ts", F.when(F.col("seq") % 50 == 0, F.col("ts") - F.expr("INTERVAL 10 MINUTES")).otherwise(F.col("ts")))
+    start = lambda src: SB.start_fold(src, SB.late_rows_step(120), ["clock"], f)
+    return ST.replay(t, "seq", f, start).drop("batch")
+
+
+register("stream_late_rows", _stream_late, with_views(["v_txn"], """
+SELECT seq, txn_id, ts FROM c JOIN m USING (chunk) WHERE ts < newest - INTERVAL 120 SECOND""", """
+c AS (SELECT seq, txn_id, ts - CASE WHEN seq % 50 = 0 THEN INTERVAL 10 MINUTE ELSE INTERVAL 0 MINUTE END AS ts,
+             least(3, floor((seq - lo) / ((CAST(hi AS DOUBLE) - lo + 1.0) / 4))) AS chunk
+      FROM v_txn, (SELECT min(seq) AS lo, max(seq) AS hi FROM v_txn)),
+m AS (SELECT chunk, max(max(ts)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+      FROM c GROUP BY chunk)"""))
+
+
+def _stream_webhooks(s, d):
+    f = _folder(s, "webhooks")
+    v_hook(s, d).write.json(f"{f}/in")                   # deliveries land as JSON lines
+    hooks = WH.read_webhooks(s, f"{f}/in", streaming=True)
+    ST.write_append(WH.normalize_webhooks(hooks, HOOK_SECRETS, HOOK_INGEST_KEY), f"{f}/out",
+                    f"{f}/_checkpoint").awaitTermination()
+    return s.read.parquet(f"{f}/out")
+
+
+register("stream_webhooks", _stream_webhooks, ORACLES["webhook_normalised"])
+
+
 def _stream_windows(s, d):
     f = _folder(s, "windows")
     t = ST.replay(v_span(s, d).select("trace_id", "start_time", "duration_ms"), "start_time", f,

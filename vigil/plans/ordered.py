@@ -45,13 +45,14 @@ def key_rank(df: DataFrame, key: list[str], order: str, coarse: Column,
 
 
 def row_blocks(df: DataFrame, rank: str, block_rows: int, overlap: int) -> DataFrame:
-    """Add ``blk`` and ``ghost``; ghost rows are copies of the previous block's tail."""
-    assert overlap < block_rows
+    """Add ``blk`` and ``ghost``; ghost rows are copies of the ``overlap`` rows before a block.
+
+    One pass: a row is repeated for every later block that still looks back on it.
+    """
     r0 = F.col(rank) - 1
-    own = df.withColumn("blk", F.floor(r0 / block_rows)).withColumn("ghost", F.lit(False))
-    tail = (df.filter((r0 % block_rows) >= block_rows - overlap)
-            .withColumn("blk", F.floor(r0 / block_rows) + 1).withColumn("ghost", F.lit(True)))
-    return own.unionByName(tail)
+    own, last = F.floor(r0 / block_rows), F.floor((r0 + overlap) / block_rows)
+    return (df.select("*", own.alias("_own"), F.explode(F.sequence(own, last)).alias("blk"))
+            .withColumn("ghost", F.col("blk") != F.col("_own")).drop("_own"))
 
 
 def greedy_cooldown(cands: DataFrame, key: str, ts: str, seq: str, cooldown_s: float,

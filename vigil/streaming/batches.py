@@ -1,4 +1,4 @@
-"""Streaming detectors as batch kernels per micro-batch.
+"""Streaming detectors as batch kernels per micro-batch.
 
 ``foreachBatch`` runs the batch operators over the micro-batch and the rows carried from
 the one before, so a gateway, user or service is cut into blocks as it is in batch and no
@@ -21,7 +21,8 @@ from ..functions.constants import PAY_TUNING, PII_COOLDOWN_S, PII_THRESHOLD, PII
 from ..functions.redaction import is_redacted
 from ..operators import logs as LG
 from ..operators import payments_detect as PD
-from ..plans.ordered import greedy_cooldown_parallel, top_n_per_key
+from ..operators import traces as TR
+from ..plans.ordered import greedy_cooldown_parallel, range_rank, top_n_per_key
 
 #: (micro-batch, carried tables or {} on the first) → (result rows, tables to carry)
 Step = Callable[[DataFrame, dict[str, DataFrame]], tuple[DataFrame, dict[str, DataFrame]]]
@@ -93,6 +94,73 @@ def payment_alerts_step(lateness_s: float = 600) -> Step:
     return step
 
 
+def trace_detectors_step(batch: DataFrame, carried: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """R4 + R5: N+1 and bimodal flags of closed traces, each judged before it is learned from.
+
+    Carries the span-count totals of a service and the last traces its EWMA can still feel.
+    """
+    cols = ["trace_id", "trace_seq", "primary_service", "span_count", "duration_ms"]
+    own = known(batch.select(*cols), "primary_service").withColumn("own", F.lit(True))
+    rows = _with_carried(own, carried, "tail")
+    totals = carried.get("totals")
+    spans = TR.n_plus_1(own, before=totals).select("trace_seq", "n_plus_1")
+    latency = TR.bimodal(rows).filter("own").select(*cols, "bimodal_latency", "latency_variance")
+    tail = top_n_per_key(rows, ["primary_service"], [F.desc("trace_seq")], TR.EWMA_DEPTH).drop("rank")
+    return latency.join(spans, "trace_seq"), {"tail": tail.withColumn("own", F.lit(False)),
+                                              "totals": TR.span_totals(own, before=totals)}
+
+
+TRACE_TABLES = ["tail", "totals"]
+
+
+def trace_alerts_step(lateness_s: float = 60, window_s: int = 10) -> Step:
+    """R1 + R2 + R4 + M13: spans → closed windows → traces → detectors → alerts.
+
+    A window closes once a span at least ``lateness_s`` after its end has arrived; its traces
+    are numbered in (window, trace) order behind all earlier ones.  Spans of a window that
+    was closed before they came are late and left out, as are spans without a start time
+    (``late_rows_step`` reports late rows).
+    Carries the spans of open windows, the newest time seen and the detectors' state.
+    """
+    end = F.window("start_time", f"{window_s} seconds")["end"]
+
+    def step(batch, carried):
+        own = batch.withColumn("window_end", end)
+        clock = own.agg(F.max("start_time").alias("newest"), F.lit(0).cast("long").alias("numbered"))
+        if carried:
+            before = carried["clock"].first()            # one row: the time and the number reached
+            own = own.filter(F.col("window_end") > F.lit(before["newest"]).cast("timestamp") - F.expr(f"INTERVAL {lateness_s} SECONDS"))
+            own = own.unionByName(carried["open"])
+            clock = clock.unionByName(carried["clock"]).agg(F.max("newest").alias("newest"),
+                                                            F.max("numbered").alias("numbered"))
+        newest, numbered = clock.first()
+        newest = F.lit(newest).cast("timestamp")
+        closed = F.col("window_end") <= newest - F.expr(f"INTERVAL {lateness_s} SECONDS")
+        spans = own.filter(closed).drop("window_end")
+        traces = TR.build_traces(spans, window_s=window_s).withColumn("window_start", F.col("window.start"))
+        ranked = range_rank(traces.drop("window"), ["window_start", "trace_id"])
+        ranked = ranked.withColumn("trace_seq", F.col("_pos") + F.lit(numbered)).drop("_pos")
+        flags, state = trace_detectors_step(ranked, {t: carried[t] for t in TRACE_TABLES} if carried else {})
+        verdicts = TR.verdicts(ranked.join(flags.select("trace_seq", "n_plus_1", "bimodal_latency", "latency_variance"),
+                                           "trace_seq"))
+        alerts = TR.trace_alerts(verdicts, keep=("window_start",))
+        now = ranked.agg(newest.alias("newest"), (F.count(F.lit(1)) + F.lit(numbered)).alias("numbered"))
+        return alerts, {"open": own.filter(~closed), "clock": now, **state}
+    return step
+
+
+def late_rows_step(allowed_s: float, ts: str = "ts") -> Step:
+    """R2: rows that came more than ``allowed_s`` behind the newest row of earlier micro-batches."""
+    def step(batch, carried):
+        clock = batch.agg(F.max(ts).alias("newest"))
+        if not carried:
+            return batch.limit(0), {"clock": clock}
+        seen = carried["clock"]
+        late = batch.filter(F.col(ts) < seen.select("newest").scalar() - F.expr(f"INTERVAL {allowed_s} SECONDS"))
+        return late, {"clock": clock.unionByName(seen).agg(F.max("newest").alias("newest"))}
+    return step
+
+
 def redaction_counter_step(batch: DataFrame, carried: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Running redaction count per service; carries each service's total."""
     logs = known(batch, "service_name").withColumn("is_redacted", is_redacted(F.col("body")))

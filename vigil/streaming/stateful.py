@@ -1,94 +1,15 @@
-"""Structured Streaming forms with keyed state and the sinks.
+"""Watermarked Structured Streaming aggregates and the sinks.
 
-* traces (R4/R5): per primary service, Welford (n, mean, m2) and the EWMA
-  (mean, var); each trace is scored with the state *before* it learns.
-* windows (R1): event-time 10 s tumbling windows per trace with a watermark,
-  ``update`` output into a keyed-replace table (S8: last write per key wins).
-
-Payments and logs (R3, R6, the rolling p99) are in ``streaming.batches``.
-Inside a micro-batch a group's rows are sorted by trace_seq; micro-batches
-follow the source order, so a replay gives the batch result.
+Event-time windows carry a watermark and go, in ``update`` mode, into a keyed-replace
+table (S8: last write per key wins).  Detectors are in ``streaming.batches``.
 """
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..functions.constants import (BIMODAL_LAMBDA, BIMODAL_MEAN_MIN_MS, BIMODAL_STD_MS, BIMODAL_WARMUP,
-                                   N_PLUS_1_FLOOR, N_PLUS_1_K, N_PLUS_1_WARMUP)
-
-STATE_SCHEMA = T.StructType([T.StructField("s", T.StringType())])
-
-def _round(x: float, n: int) -> float:
-    m = 10.0 ** n
-    p = x * m
-    return math.copysign(math.floor(abs(p) + 0.5), p) / m
-
-
-def _load(state: GroupState, default: dict) -> dict:
-    return json.loads(state.get[0]) if state.exists else dict(default)
-
-
-# ---- traces (R4 / R5) ----------------------------------------------------------------
-
-TRACE_OUT_SCHEMA = T.StructType([
-    T.StructField("trace_id", T.StringType()), T.StructField("trace_seq", T.LongType()),
-    T.StructField("primary_service", T.StringType()), T.StructField("n_plus_1", T.BooleanType()),
-    T.StructField("bimodal_latency", T.BooleanType()), T.StructField("latency_variance", T.DoubleType()),
-])
-
-
-def _trace_fn(key, pdfs, state: GroupState):
-    (svc,) = key
-    st = _load(state, {"n": 0, "mean": 0.0, "m2": 0.0, "en": 0, "em": 0.0, "ev": 0.0, "seeded": False})
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["trace_seq"])
-    out = []
-    lam, keep = BIMODAL_LAMBDA, 1.0 - BIMODAL_LAMBDA
-    for r in pdf.itertuples(index=False):
-        x = float(r.span_count)
-        # score with the state as it was (prequential), then learn
-        n1 = False
-        if st["n"] >= N_PLUS_1_WARMUP and r.span_count >= N_PLUS_1_FLOOR:
-            var = st["m2"] / (st["n"] - 1) if st["n"] > 1 else 0.0
-            n1 = x > st["mean"] + N_PLUS_1_K * math.sqrt(max(var, 0.0))
-        st["n"] += 1
-        d = x - st["mean"]
-        st["mean"] += d / st["n"]
-        st["m2"] += d * (x - st["mean"])
-        y = float(r.duration_ms)
-        pre_var = st["ev"]
-        bm = False
-        if st["en"] >= BIMODAL_WARMUP and st["seeded"]:
-            sd = math.sqrt(st["ev"]) if st["ev"] > 0 else 0.0
-            bm = sd > BIMODAL_STD_MS and st["em"] > BIMODAL_MEAN_MIN_MS and y > st["em"] + sd
-        if not st["seeded"]:
-            st["em"], st["ev"], st["seeded"] = y, 0.0, True
-        else:
-            dd = y - st["em"]
-            st["ev"] = lam * (dd * dd) + keep * st["ev"]
-            st["em"] = st["em"] + lam * dd
-        st["en"] += 1
-        out.append((r.trace_id, int(r.trace_seq), svc, bool(n1), bool(bm), _round(pre_var, 6)))
-    state.update((json.dumps(st),))
-    yield pd.DataFrame(out, columns=TRACE_OUT_SCHEMA.fieldNames())
-
-
-def trace_state_stream(trace_stream: DataFrame) -> DataFrame:
-    """R4 + R5: per-service N+1 (Welford) and bimodal (EWMA) state over closed traces."""
-    d = trace_stream.select("trace_id", "trace_seq", "primary_service", "span_count", "duration_ms")
-    return d.groupBy("primary_service").applyInPandasWithState(
-        _trace_fn, TRACE_OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
 
 # ---- windows, totals, sinks (R1, R2, R7, R8, S7, S8, S11) ----------------------------
 
