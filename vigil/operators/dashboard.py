@@ -61,11 +61,58 @@ def rule_pills(alerts: DataFrame) -> DataFrame:
 
 def alerts_for_payment(alerts: DataFrame, key: str, n: int = 20) -> DataFrame:
     """P10: alerts whose flags reference the payment id (or whose trace id equals it), newest 20."""
-    k = F.lit(key)
-    m = alerts.filter((F.col("txn_id") == k) | (F.col("dup_txn_id") == k) | (F.col("order_id") == k))
+    names = [c for c in ("txn_id", "dup_txn_id", "order_id", "trace_id") if c in alerts.columns]
+    m = alerts.filter(F.array_contains(F.array_compact(F.array(*names)), F.lit(key)))
     return m.orderBy(F.desc("ts"), F.desc("alert_id")).limit(n)
 
 
+def payment_lookup(txn: DataFrame, alerts: DataFrame, ids: list[str], n: int = 20) -> DataFrame:
+    """J5 by id: for each payment or order id asked for (in any case), the newest payment that
+    it names, ``found`` = there is one, and the alerts that mention the id or that payment
+    (the newest ``n`` of either, without repeats).  An id that names nothing gives found =
+    false and no alerts."""
+    asked = txn.sparkSession.createDataFrame([(i,) for i in ids], "lookup string").withColumn("_k", F.lower("lookup"))
+    wanted = [i.lower() for i in ids]
+    own = F.array_distinct(F.array(F.lower("txn_id"), F.lower("order_id")))
+    named = (txn.filter(F.lower("txn_id").isin(wanted) | F.lower("order_id").isin(wanted))
+             .select("seq", "txn_id", "order_id", F.explode(own).alias("_k"))
+             .groupBy("_k").agg(F.max_by(F.struct("txn_id", "order_id"), "seq").alias("_p")))
+    hit = asked.join(named, "_k", "left")
+    names = hit.select("lookup", F.explode(F.array_distinct(F.array_compact(
+        F.array("_k", F.lower(F.col("_p.txn_id")))))).alias("_k"))
+    said = [F.lower(c) for c in ("txn_id", "dup_txn_id", "order_id", "trace_id") if c in alerts.columns]
+    refs = alerts.select("alert_id", "ts", F.explode(F.array_distinct(F.array_compact(F.array(*said)))).alias("_k"))
+    newest = top_n_per_key(names.join(refs, "_k"), ["lookup", "_k"], [F.desc("ts"), F.desc("alert_id")], n)
+    g = newest.select("lookup", "alert_id").distinct().groupBy("lookup").agg(      # at most 2 n of an id
+        F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list("alert_id")).alias("_ids"))
+    return hit.join(g, "lookup", "left").select(
+        "lookup", F.col("_p").isNotNull().alias("found"), "_p.txn_id", "_p.order_id",
+        F.coalesce("_n", F.lit(0)).alias("n_anomalies"),
+        F.concat_ws(",", F.coalesce("_ids", F.array().cast("array<string>"))).alias("alert_ids"))
+
+
+def flag_pills(alerts: DataFrame) -> DataFrame:
+    """P19 for trace, PII and pod alerts: one row per active flag with its label and detail.
+
+    A flag is its detail column, null where it is off: ``n_plus_1_count``,
+    ``latency_variance``, ``dangling_span``, ``redaction_ratio``, ``k8s_restarts``."""
+    def pill(column, label, detail):
+        shown = detail if column == "dangling_span" else F.when(F.col(column) > 0, detail)
+        return F.when(F.col(column).isNotNull(), F.struct(F.lit(label).alias("label"), shown.alias("detail")))
+
+    pills = F.array(
+        pill("n_plus_1_count", "N+1 Queries", F.concat(F.lit("×"), F.col("n_plus_1_count").cast("string"))),
+        pill("latency_variance", "Bimodal Latency",
+             F.concat(F.lit("σ²≈"), F.format_number(js_round(F.col("latency_variance")), 0))),
+        pill("dangling_span", "Dangling Parent",
+             F.when(F.col("dangling_span") != "", F.concat(F.lit("@"), F.col("dangling_span")))),
+        pill("redaction_ratio", "PII Density",
+             F.concat(js_round(F.col("redaction_ratio") * 100).cast("string"), F.lit("%"))),
+        pill("k8s_restarts", "K8s Pod", F.concat(F.col("k8s_restarts").cast("string"), F.lit(" restarts"))))
+    return alerts.select("alert_id", F.explode(F.array_compact(pills)).alias("p")).select(
+        "alert_id", F.col("p.label").alias("label"), F.col("p.detail").alias("detail"))
+
+
 def payment_anomalies(txn: DataFrame, alerts: DataFrame) -> DataFrame:
     """Every payment with the anomalies that reference it (as the trigger or as
     the original of a duplicate); ``found`` is true for every listed payment."""
@@ -187,10 +234,12 @@ def incidents_view(alerts: DataFrame, anomalies_only: bool = True, payment_only:
     return d
 
 
-def json_roundtrip(alerts: DataFrame) -> DataFrame:
-    """JSON text columns decoded with an empty default (arrays → [], maps → {})."""
+def json_roundtrip(alerts: DataFrame, scores: Column | None = None) -> DataFrame:
+    """JSON text columns decoded with an empty default (arrays → [], maps → {});
+    ``scores`` is the map of model scores, null for an alert that has none."""
+    scores = scores if scores is not None else F.lit(None).cast("map<string,double>")
     enc = alerts.select("alert_id", F.to_json(F.array("reason")).alias("reasons_json"),
-                        F.lit(None).cast("string").alias("ml_scores_json"))
+                        F.to_json(scores).alias("ml_scores_json"))
     return enc.select(
         "alert_id",
         F.coalesce(F.from_json("reasons_json", "array<string>"), F.array().cast("array<string>")).alias("reasons"),

@@ -3,17 +3,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cluster as CL
 from ..operators import dashboard as DB
 from ..operators import evidence as EV
 from ..operators import logs as LG
 from ..operators import payments_detect as PD
 from ..operators import payments_kpi as K
 from ..operators import traces as TR
+from .catalog_logs import _PII, PII_QUERY_THRESHOLD
 from .catalog_payments import _CAND_SQL, _REG_SQL
-from .catalog_traces import _W1
+from .catalog_traces import _ATYPE, _W1
 from .oracle import with_views
 from .registry import register
-from .vehicles import v_log, v_span, v_trace, v_txn
+from .vehicles import v_log, v_pod, v_span, v_trace, v_txn
 
 _ALERTS = _CAND_SQL + """,
 al AS (SELECT *, reason || ':' || seq AS alert_id FROM alerts)"""
@@ -53,6 +55,62 @@ SELECT alert_id, anomaly_type, txn_id, dup_txn_id FROM al
 WHERE txn_id = 'TXN2397' OR dup_txn_id = 'TXN2397' OR order_id = 'TXN2397'
 ORDER BY ts DESC, alert_id DESC LIMIT 20"""))
 
+
+def _all_alerts(s, d):
+    """Payment alerts and trace alerts in one list."""
+    trace = TR.trace_alerts(TR.rule_verdicts(v_trace(s, d))).select(
+        F.concat(F.lit("trace:"), "trace_id").alias("alert_id"), "trace_id", "anomaly_type", F.col("timestamp").alias("ts"))
+    return _al(s, d).unionByName(trace, allowMissingColumns=True)
+
+
+_ALL_ALERTS = _W1.strip() + ",\n" + _ALERTS
+
+register("alerts_for_trace_id", lambda s, d: DB.alerts_for_payment(_all_alerts(s, d), "23").select(
+    "alert_id", "anomaly_type", "trace_id"), _rec(["v_txn", "v_trace"], f"""
+SELECT 'trace:' || trace_id AS alert_id, {_ATYPE} AS anomaly_type, trace_id
+FROM rv WHERE len(reasons) > 0 AND trace_id = '23'""", _ALL_ALERTS))
+
+_ASKED = ["TXN2397", "ord1198", "Txn75", "TXN-none"]
+
+register("payment_lookup", lambda s, d: DB.payment_lookup(v_txn(s, d), _al(s, d), _ASKED), _rec(["v_txn"], """
+SELECT k.lookup, t.txn_id IS NOT NULL AS found, t.txn_id, t.order_id, count(h.alert_id) AS n_anomalies,
+       coalesce(string_agg(h.alert_id, ',' ORDER BY h.alert_id), '') AS alert_ids
+FROM k LEFT JOIN t USING (lookup) LEFT JOIN h USING (lookup) GROUP BY k.lookup, t.txn_id, t.order_id""", _ALERTS + f""",
+k AS (SELECT unnest({_ASKED}) AS lookup),
+t AS (SELECT k.lookup, arg_max(x.txn_id, x.seq) AS txn_id, arg_max(x.order_id, x.seq) AS order_id
+      FROM k JOIN v_txn x ON lower(x.txn_id) = lower(k.lookup) OR lower(x.order_id) = lower(k.lookup) GROUP BY 1),
+nm AS (SELECT lookup, lower(lookup) AS name FROM k UNION SELECT lookup, lower(txn_id) FROM t),
+h AS (SELECT DISTINCT lookup, alert_id FROM (
+        SELECT nm.lookup, al.alert_id, row_number() OVER (PARTITION BY nm.lookup, nm.name
+                 ORDER BY al.ts DESC, al.alert_id DESC) AS r
+        FROM nm JOIN al ON nm.name IN (lower(al.txn_id), lower(al.dup_txn_id), lower(al.order_id))) WHERE r <= 20)"""))
+
+
+def _flagged(s, d):
+    """Active flags of trace, PII and pod alerts as columns."""
+    t = TR.trace_alerts(TR.rule_verdicts(v_trace(s, d)))
+    f = F.col("rule_flags")
+    traces = t.select(F.concat(F.lit("trace:"), "trace_id").alias("alert_id"),
+                      F.when(f["n_plus_1"], f["n_plus_1_count"]).alias("n_plus_1_count"),
+                      F.when(f["bimodal_latency"], f["latency_variance"]).alias("latency_variance"),
+                      f["dangling_span"].alias("dangling_span"))
+    pii = LG.pii_alerts(v_log(s, d), threshold=PII_QUERY_THRESHOLD).select(
+        F.concat(F.lit("pii:"), F.col("seq").cast("string")).alias("alert_id"), "redaction_ratio")
+    pods = CL.pod_alerts(v_pod(s, d)).select(F.concat(F.lit("pod:"), "k8s_pod").alias("alert_id"), "k8s_restarts")
+    return traces.unionByName(pii, allowMissingColumns=True).unionByName(pods, allowMissingColumns=True)
+
+
+register("alert_flag_pills", lambda s, d: DB.flag_pills(_flagged(s, d)), _rec(["v_trace", "v_log", "v_pod"], """
+SELECT 'trace:' || trace_id AS alert_id, 'N+1 Queries' AS label, '×' || span_count AS detail FROM rv WHERE n_plus_1
+UNION ALL SELECT 'trace:' || trace_id, 'Bimodal Latency',
+                 CASE WHEN latency_variance > 0 THEN 'σ²≈' || format('{:,}', CAST(floor(latency_variance + 0.5) AS BIGINT)) END
+          FROM rv WHERE bimodal_latency
+UNION ALL SELECT 'trace:' || trace_id, 'Dangling Parent', '@' || dangling_span FROM rv WHERE dangling_span IS NOT NULL
+UNION ALL SELECT 'pii:' || seq, 'PII Density', CAST(floor(round(redaction_ratio, 6) * 100 + 0.5) AS BIGINT) || '%'
+          FROM pc JOIN pfired USING (service_name, seq)
+UNION ALL SELECT 'pod:' || name, 'K8s Pod', CASE WHEN restarts > 0 THEN restarts || ' restarts' END
+          FROM v_pod WHERE status IN ('CrashLoopBackOff', 'OOMKilled')""", _W1.strip() + "," + _PII))
+
 register("payment_anomaly_lookup", lambda s, d: DB.payment_anomalies(v_txn(s, d), _al(s, d)), _rec(["v_txn"], """
 SELECT t.txn_id, t.order_id, t.status, t.gateway, coalesce(g.n, 0) AS n_anomalies,
        coalesce(array_to_string(g.types, ','), '') AS anomaly_types, true AS found
@@ -63,12 +121,22 @@ FROM v_txn t LEFT JOIN (
       UNION ALL SELECT dup_txn_id, alert_id, anomaly_type FROM al WHERE dup_txn_id IS NOT NULL))
   GROUP BY tid) g ON t.txn_id = g.tid"""))
 
-register("alert_union_dedupe", lambda s, d: DB.union_dedupe(
-    _al(s, d).filter(F.col("gateway") == "Razorpay"), _al(s, d).filter(F.col("reason") == "fraud_velocity")).select(
-    "alert_id", "gateway", "reason"), _rec(["v_txn"], """
+
+def _unioned(s, d):
+    al = _al(s, d)
+    return DB.union_dedupe(al.filter(F.col("gateway") == "Razorpay"), al.filter(F.col("reason") == "fraud_velocity"))
+
+
+register("alert_union_dedupe", lambda s, d: _unioned(s, d).select("alert_id", "gateway", "reason"), _rec(["v_txn"], """
 SELECT DISTINCT alert_id, gateway, reason FROM al WHERE gateway = 'Razorpay' OR reason = 'fraud_velocity'"""))
 
-register("alert_feed", lambda s, d: DB.feed_dedupe(_al(s, d)).select("feed_id", "ts", "anomaly_type"),
+
+def _feed(s, d):
+    al = _al(s, d)                       # alerts of even payments arrive twice
+    return DB.feed_dedupe(al.unionByName(al.filter("seq % 2 = 0")))
+
+
+register("alert_feed", lambda s, d: _feed(s, d).select("feed_id", "ts", "anomaly_type"),
          _rec(["v_txn"], """
 SELECT alert_id AS feed_id, ts, anomaly_type FROM al ORDER BY ts DESC, alert_id DESC LIMIT 50"""))
 
@@ -131,9 +199,18 @@ SELECT alert_id, anomaly_type, ts FROM al
 WHERE anomaly_type IN ('Payment Failure Spike', 'Fraud Velocity', 'Duplicate Charge', 'Gateway Timeout')
 ORDER BY ts DESC, alert_id DESC LIMIT 5"""))
 
-register("alert_json_decode", lambda s, d: DB.json_roundtrip(_al(s, d)).select(
-    "alert_id", F.concat_ws(",", "reasons").alias("reasons"), F.size("ml_scores").alias("n_scores")),
-    _rec(["v_txn"], "SELECT alert_id, reason AS reasons, 0 AS n_scores FROM al"))
+
+def _decoded(s, d):
+    scores = F.when(F.col("gateway") == "Razorpay", F.create_map("reason", "anomaly_score"))
+    return DB.json_roundtrip(_al(s, d), scores)
+
+
+register("alert_json_decode", lambda s, d: _decoded(s, d).select(
+    "alert_id", F.concat_ws(",", "reasons").alias("reasons"), F.size("ml_scores").alias("n_scores"),
+    F.element_at("ml_scores", F.element_at("reasons", 1)).alias("score")),
+    _rec(["v_txn"], """
+SELECT alert_id, reason AS reasons, CASE WHEN gateway = 'Razorpay' THEN 1 ELSE 0 END AS n_scores,
+       CASE WHEN gateway = 'Razorpay' THEN anomaly_score END AS score FROM al"""))
 
 # ---- evidence -------------------------------------------------------------------------
 
@@ -170,8 +247,13 @@ SELECT alert_id, kind,
   END AS fixes
 FROM (SELECT *, {_KIND} AS kind FROM al)"""))
 
-register("fired_detectors", lambda s, d: _al(s, d).select(
-    "alert_id", F.concat_ws("\n", EV.fired_detectors(_al(s, d))).alias("detectors")), _rec(["v_txn"], """
+
+def _fired(s, d):
+    al = _al(s, d)
+    return al.select("alert_id", F.concat_ws("\n", EV.fired_detectors(al)).alias("detectors"))
+
+
+register("fired_detectors", _fired, _rec(["v_txn"], """
 SELECT alert_id, CASE reason
   WHEN 'payment_failure_spike' THEN 'Payment Failure Spike — failure rate ' || printf('%.0f', round(coalesce(failure_rate, 0.0) * 100))
        || '% on gateway ''' || gateway || ''''

@@ -84,6 +84,13 @@ register("k8s_node_utilisation", lambda s, d: CL.node_utilisation(v_node(s), v_p
     with_views(["v_node", "v_pod"], "SELECT * REPLACE (array_to_string(conditions, ',') AS conditions) FROM util",
                _UTIL))
 
+register("k8s_node_bars", lambda s, d: CL.node_utilisation(v_node(s), v_pod(s, d)).select(
+    "name", "cpu_pct", SR.pct_band(F.col("cpu_pct")).alias("cpu_bar"),
+    "mem_pct", SR.pct_band(F.col("mem_pct")).alias("mem_bar")), with_views(["v_node", "v_pod"], """
+SELECT name, cpu_pct, CASE WHEN cpu_pct >= 80 THEN 'red' WHEN cpu_pct >= 60 THEN 'amber' ELSE 'green' END AS cpu_bar,
+       mem_pct, CASE WHEN mem_pct >= 80 THEN 'red' WHEN mem_pct >= 60 THEN 'amber' ELSE 'green' END AS mem_bar
+FROM util""", _UTIL))
+
 register("k8s_cluster_summary", lambda s, d: CL.cluster_summary(v_node(s), v_pod(s, d)),
          with_views(["v_node", "v_pod"], """
 SELECT count(*) AS nodes_ready, count(*) AS nodes_total,
