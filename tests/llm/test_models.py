@@ -85,6 +85,25 @@ def test_suffix_tree_sums_to_one(spark, docs):
         assert shares == pytest.approx(1.0, abs=1e-6)
 
 
+def test_suffix_tree_grows_with_the_corpus(spark, docs):
+    """A context seen some hundred times counts however many other tokens there are; what is broadcast does not matter."""
+    rng = random.Random(6)
+    noise = [" ".join(f"n{rng.randrange(4000)}" for _ in range(400)) for _ in range(300)]
+    train = [*noise, "name alpha " * 100, "x y z " + "new york city " * 80]
+    df = docs([(i, t, "en", "s") for i, t in enumerate(train)]).withColumn("held_out", F.lit(False))
+    tree = pst.train(df, context_share=1e-2, next_share=5e-3, head_share=1e-2, head_rows=0)
+    assert not any(len(level["key"]) for level in tree.levels)  # nothing is frequent enough to be broadcast
+    probe = docs([(i, t, "en", "s") for i, t in enumerate(["name alpha", "new york city", "n1 n2 n3", *train[-3:]])])
+    probe = probe.withColumn("held_out", F.lit(True))
+    got = {r.doc_id: r for r in pst.score(probe, tree).collect()}
+    assert got[0].score > got[0].base_score + 1.5 and got[1].score > got[1].base_score + 3
+    five = 4.9 / tree.tokens  # the same counts, all broadcast
+    whole = pst.train(df, context_share=1e-2, next_share=five, head_share=five)
+    assert len(whole.levels[0]["pairs"]) and len(whole.levels[1]["key"])
+    for r in pst.score(probe, whole).collect():
+        assert r.score == pytest.approx(got[r.doc_id].score, rel=1e-9)
+
+
 def steps(tree, text):
     """log10 of each token's probability, by the same arrays, one text at a time."""
     import numpy as np
