@@ -104,6 +104,17 @@ def test_suffix_tree_grows_with_the_corpus(spark, docs):
         assert r.score == pytest.approx(got[r.doc_id].score, rel=1e-9)
 
 
+def test_suffix_tree_rare_next_word(spark, docs):
+    """A word too rare for a context keeps its own probability behind a known one."""
+    train = [f"the w{i} " * 3 for i in range(200)] + ["mister zorg the " * 12] + ["mister the the " * 100]
+    df = docs([(i, t, "en", "s") for i, t in enumerate(train)]).withColumn("held_out", F.lit(False))
+    tree = pst.train(df, context_share=2e-2, next_share=1e-3)
+    assert len(tree.frequent) == 3  # the, mister and the end: zorg is none
+    probe = docs([(i, f"mister {w}", "en", "s") for i, w in enumerate(["zorg", "w7", "never"])]).withColumn("held_out", F.lit(True))
+    gain = {r.doc_id: r.score - r.base_score for r in pst.score(probe, tree).collect()}
+    assert gain[0] > gain[1] + 0.5 and gain[1] == pytest.approx(gain[2])
+
+
 def steps(tree, text):
     """log10 of each token's probability, by the same arrays, one text at a time."""
     import numpy as np
