@@ -123,6 +123,17 @@ def test_decontamination(spark, docs):
     assert decontam.contained_items(docs([]), bench).collect() == []
 
 
+def test_decontamination_null_and_clashing_items(spark, docs):
+    """An item without an id is found, and each text of a repeated id on its own."""
+    bench = spark.createDataFrame([(None, words(30, 900)), (None, words(40, 2000)), (7, words(30, 4000)), (7, words(60, 5000))],
+                                  "item_id long, text string")
+    rows = [(1, "x " + words(30, 900), "en", "s"), (2, words(30, 4000) + " y", "en", "s"), (3, words(50, 8000), "en", "s"),
+            (4, words(40, 2000), "en", "s")]
+    got = decontam.contained_items(docs(rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.item_shingles) for r in got) == [(1, None, 26), (2, 7, 26), (4, None, 36)]
+    assert [r.doc_id for r in decontam.decontaminate(docs(rows), bench).collect()] == [3]
+
+
 def test_hits_needed():
     for size in (17, 40, 64, 200, 1000):
         sample = decontam.sample_size(1 << (size - 1).bit_length())

@@ -62,12 +62,16 @@ def size_partitions(largest: int, percent: int) -> list[tuple[int, int, int]]:
 
 
 def item_sets(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, width, shingles): distinct shingle hashes; an item with fewer words has its whole sequence as one."""
-    words = items.where("text is not null").select("item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0")
+    """(item, item_id, width, shingles): distinct shingle hashes; an item with fewer words has its whole sequence as one.
+
+    `item` is the key of a distinct (item_id, text), null ids included.
+    """
+    item = F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("item")
+    words = (items.where("text is not null").select(item, "item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0"))
     k = F.least(F.size("w"), F.lit(width))
     sets = F.coalesce(*[F.when(k == n, shingles_of(F.col("w"), n)) for n in range(width, 0, -1)])
-    return (words.select("item_id", k.alias("width"), F.explode(sets).alias("h")).distinct()
-            .groupBy("item_id", "width").agg(F.collect_list("h").alias("shingles")))
+    return (words.select("item", "item_id", k.alias("width"), F.explode(sets).alias("h")).distinct()
+            .groupBy("item", "item_id", "width").agg(F.collect_list("h").alias("shingles")))
 
 
 def document_shingles(docs: DataFrame, widths: list[int]) -> DataFrame:
@@ -84,8 +88,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     looked for as its whole sequence.  Null or empty texts contain nothing and are
     contained nowhere.  Repeated rows with equal id and text give one row; rows of one
     doc_id with different texts are told apart by text_hash, a null doc_id is an id like
-    any other.  Items with a repeated item_id are one item with all their shingles of a
-    width.  Empty tables give an empty result.  Other columns are ignored.
+    any other.  Every distinct (item_id, text) is an item of its own, a null item_id included;
+    texts of one item_id that a document contains give a row each.  Empty tables give an empty result.  Other columns are ignored.
     """
     sets = materialize(item_sets(items, width), "bench-sets")
     facts = sets.agg(F.max(F.size("shingles")).alias("largest"), F.sort_array(F.collect_set("width")).alias("widths")).first()
@@ -94,17 +98,17 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     ranked = F.array_sort(F.transform("shingles", lambda h: F.struct(F.xxhash64(h, F.lit(1)).alias("r"), h.alias("h"))))
     # an item in the first partition is sampled whole: its own size decides
     need = F.when(F.size("shingles") <= 16, F.ceil(F.size("shingles") * percent / 100).cast("int")).otherwise(pick(2))
-    samples = materialize(sets.select("item_id", "width", need.alias("need"),
+    samples = materialize(sets.select("item", need.alias("need"),
                                       F.explode(F.slice(ranked, 1, pick(1))).alias("s"))
-                          .select("item_id", "width", "need", F.col("s.h").alias("h")), "bench-samples")
+                          .select("item", "need", F.col("s.h").alias("h")), "bench-samples")
     asked = sized(samples)
     texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     widths = facts["widths"] or [width]
     hits = (document_shingles(texts, widths).join(asked, "h")
-            .dropDuplicates(["doc_id", "text_hash", "item_id", "width", "h"])
-            .groupBy("doc_id", "text_hash", "item_id", "width")
+            .dropDuplicates(["doc_id", "text_hash", "item", "h"])
+            .groupBy("doc_id", "text_hash", "item")
             .agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need")
-            .select("doc_id", "text_hash", "item_id", "width"))
+            .select("doc_id", "text_hash", "item"))
     hits = materialize(hits, "bench-candidates")
     # only candidate documents are cut into shingles again
     found = sized(materialize(hits.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct(),
@@ -112,10 +116,10 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     again = texts.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi")
     one = F.struct("doc_id", "text_hash")  # a struct, since it compares nulls like values
     probes = document_shingles(again, widths).select(F.xxhash64(one).alias("key"), "doc_id", "text_hash", "h").distinct()
-    wanted = (hits.join(sets, ["item_id", "width"])
-              .select(F.xxhash64(F.struct("doc_id", "text_hash")).alias("key"), "item_id", "width",
+    wanted = (hits.join(sets, "item")
+              .select(F.xxhash64(F.struct("doc_id", "text_hash")).alias("key"), "item", "item_id",
                       F.size("shingles").cast("long").alias("item_shingles"), F.explode("shingles").alias("h")))
-    return (probes.join(wanted, ["key", "h"]).groupBy("doc_id", "text_hash", "item_id", "width")
+    return (probes.join(wanted, ["key", "h"]).groupBy("doc_id", "text_hash", "item", "item_id")
             .agg(F.count(F.lit(1)).alias("matched"), F.max("item_shingles").alias("item_shingles"))
             .where(F.col("matched") * 100 >= F.col("item_shingles") * percent)
             .select("doc_id", "text_hash", "item_id", "item_shingles", "matched"))
