@@ -189,3 +189,17 @@ def test_secrets(spark, docs):
     assert secrets.scan(docs([]), forest).collect() == []
     with pytest.raises(ValueError):
         secrets.train(spark.createDataFrame([("no candidate", 1)], "text string, label int"))
+
+
+def test_secrets_by_name(spark, docs):
+    """Values of credential names are candidates in any case, quoted, without a digit, with signs; and go from the text."""
+    values = ['password: "correcthorsebattery"', "DB_PASSWORD=correcthorsebattery", 'api_key = "abcdefghijklmnopqrstuvwx"',
+              'password: "ab12cd34"', "Password=hunter22x", "password=P@ssw0rd!", "MY_SERVICE2_PASSWORD=hunter22x"]
+    wanted = ["correcthorsebattery", "correcthorsebattery", "abcdefghijklmnopqrstuvwx", "ab12cd34", "hunter22x", "P@ssw0rd!", "hunter22x"]
+    rows = [(i, f"set {v} here", "en", "s") for i, v in enumerate(values)] + [(50, "use abcdefghijklmnopqrstuvwxyzab now", "en", "s")]
+    forest = secrets.train(secrets.labelled_findings(docs([(i, words(30, 7 * i), "en", "s") for i in range(60)])))
+    got = {r.doc_id: r for r in secrets.scan(docs(rows), forest).collect()}
+    assert [got[i].candidate for i in range(len(values))] == wanted and got[50].candidate == "abcdefghijklmnopqrstuvwxyzab"
+    clean = {r.doc_id: r.text for r in secrets.redact(docs(rows), forest).collect()}
+    assert [i for i, w in enumerate(wanted) if w in clean[i]] == []
+    assert clean[0] == 'set password: "[SECRET]" here'

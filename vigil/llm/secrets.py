@@ -1,7 +1,8 @@
 """Secret scanning on DataFrame functions only, with a random forest that removes false positives.
 
-Candidates are runs of key-like characters with a digit, values assigned to a credential
-name, and keys of known formats.  Each is described by its length, its character
+Candidates are values assigned to a credential name (in any case, with a prefix, spaces
+and quotes; up to the quote or white space), runs of 12 key-like characters with a digit
+or 20 without, and keys of known formats.  Each is described by its length, its character
 classes and the transitions between them, how much of it dictionary words cover,
 whether it stands in a path or an address, and the words around it.  A random forest
 (pyspark.ml) over labelled findings scores it.
@@ -15,9 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "\u0001"
-#: A run of key characters that has a digit, or what follows a credential name and a sign of assignment.
-CANDIDATE = (r"(?<![A-Za-z0-9+/_\-])(?:(?=[A-Za-z+/_\-]{0,80}[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
-             r"|(?<=(?:password|passwd|secret|token|api_key|apikey)[=:])[A-Za-z0-9+/_\-]{6,})")
+#: A credential name with what is around it and a sign of assignment (group 1), then its value without the full stop
+#: or comma of a sentence (2); or a run of key characters that has a digit or is long (3).
+CANDIDATE = (r"((?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{0,60}?"
+             r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)"
+             r"[A-Za-z0-9_\-]{0,20}[\"']?[ \t]{0,4}(?:=>|:=|[=:])[ \t]{0,4}[\"']?)([^\s\"']{5,}[^\s\"'.,;])"
+             r"|(?<![A-Za-z0-9+/_\-])((?:(?=[A-Za-z+/_\-]{0,80}[0-9])[A-Za-z0-9+/_\-]{12,}|[A-Za-z0-9+/_\-]{20,})={0,2})")
+MARKED = f"$1{MARK}$2$3{MARK}"
 KNOWN = [("aws_key", r"^AKIA[0-9A-Z]{16}$"), ("github_token", r"^gh[pousr]_[A-Za-z0-9]{36}$"),
          ("slack_token", r"^xox[abprs]-"), ("google_key", r"^AIza[0-9A-Za-z_\-]{35}$")]
 #: Words that make a candidate look written by a person.
@@ -39,7 +44,7 @@ def findings(docs: DataFrame, keep: list[str]) -> DataFrame:
     all parts together are the text.  A mark character that a text has itself is a space.
     """
     text = F.translate(F.col("text"), MARK, " ")
-    cut = F.split(F.regexp_replace(text, CANDIDATE, f"{MARK}$0{MARK}"), MARK)
+    cut = F.split(F.regexp_replace(text, CANDIDATE, MARKED), MARK)
     places = F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2))
     return (docs.where(F.col("text").rlike(CANDIDATE)).select(*keep, cut.alias("parts"))
             .where(F.size("parts") >= 3)
@@ -128,7 +133,7 @@ def redact(docs: DataFrame, forest: RandomForestClassificationModel, threshold:
     keyed = docs.where(suspect).withColumn("_text_key", F.xxhash64("text"))
     secret = (scan(keyed.select("_text_key", "text").dropDuplicates(["_text_key"]), forest, ("_text_key",), threshold)
               .where("is_secret").groupBy("_text_key").agg(F.collect_set("finding").alias("_secret")))
-    cut = F.split(F.regexp_replace(F.translate(F.col("text"), MARK, " "), CANDIDATE, f"{MARK}$0{MARK}"), MARK)
+    cut = F.split(F.regexp_replace(F.translate(F.col("text"), MARK, " "), CANDIDATE, MARKED), MARK)
     clean = F.array_join(F.transform(cut, lambda x, i: F.when(
         (i % 2 == 1) & F.array_contains("_secret", ((i + 1) / 2).cast("int")), F.lit("[SECRET]")).otherwise(x)), "")
     found = F.col("_secret").isNotNull()
@@ -139,14 +144,19 @@ def redact(docs: DataFrame, forest: RandomForestClassificationModel, threshold:
     return docs.where(~suspect).unionByName(out.select(*docs.columns))
 
 
-#: (label, template) of labelled findings: {h} hex, {u} capitals and digits, {b} letters and digits, {d} digits.
+#: (label, template) of labelled findings: {h} hex, {u} capitals and digits, {b} letters and digits,
+#: {a} letters, {d} digits, {w} a word.
 TEMPLATES = [
     (1, "password={h18}"), (1, 'token = "{h40}"'), (1, "AKIA{u16}"), (1, "secret: {b32}"), (1, "api_key={b24}"),
     (1, "Authorization: Bearer {b40}"), (1, 'password: "{b14}"'), (1, "ghp_{b36}"), (1, "{w} AKIA{u16} {w}"),
+    (1, 'password: "{a19}"'), (1, "DB_PASSWORD={a20}"), (1, 'api_key = "{a24}"'), (1, "Password={a6}{d2}x"), (1, 'password: "{a2}{d2}{a2}{d2}"'),
+    (1, "password={u1}@{a4}{d1}{a2}!"), (1, 'password: "{w}{w}{w}"'), (1, "ADMIN_PASSWORD={w}{w}{w}"),
     (0, "commit {h40}"), (0, "sha256:{h64}"), (0, "md5 {h32}"), (0, "/assets/app.{h20}.js"), (0, "request id {h8}-{h4}-{h4}-{h4}-{h12}"),
     (0, "{w}.{d2}@mail{d1}.example.com"), (0, "https://{w}.example.com/{w}/{h24}"), (0, 'token = "your-token-{d4}-here"'),
     (0, "order number {d16}"), (0, "password=xxxxxxxxxxx{d1}"), (0, "example secret: sample-value-{d6}"), (0, "{w}{w}{w}{d4}"),
-    (0, "{w}_{w}_{w}_v{d2}"), (0, "2024-{d2}-{d2}T{d2}-{d2}-{d2}"), (0, "+{d2}-{d3}-{d3}-{d4}")]
+    (0, "{w}_{w}_{w}_v{d2}"), (0, "2024-{d2}-{d2}T{d2}-{d2}-{d2}"), (0, "+{d2}-{d3}-{d3}-{d4}"),
+    (0, "{w}-{w}-{w}-{w}-{w}-{w}"), (0, "/{w}/{w}/{w}/{w}/{w}"), (0, "{w}_{w}_{w}_{w}_{w}_{w}"), (0, "--------------------------------"),
+    (0, "{w}{w}{w}{w}{w}{w}"), (0, "token: {w}"), (0, "secret: {w}"), (0, "password: changeme-example"), (0, "password=<your-password>")]
 
 
 def drawn(kind: str, n: int, salt: str) -> Column:
@@ -156,6 +166,8 @@ def drawn(kind: str, n: int, salt: str) -> Column:
         return F.left(digest, F.lit(n))
     if kind == "d":
         return F.left(F.translate(digest, "abcdef", "012345"), F.lit(n))
+    if kind == "a":
+        return F.left(F.translate(digest, "0123456789", "ghijkmnpqr"), F.lit(n))
     packed = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=\\s]", "x")
     return F.left(F.upper(F.translate(packed, "0189", "2345")) if kind == "u" else packed, F.lit(n))
 
