@@ -135,6 +135,16 @@ def test_quotations(spark):
     assert chat.link_quotations(df.limit(0)).collect() == []
 
 
+def test_quoted_message_missing(spark):
+    """A reply to a deleted message hangs on the nearest quoted ancestor that is there; level one goes first."""
+    rows = [("t", "1", 1, "a", "root line\nsecond line"), ("t", "3", 3, "c", ">> root line\n>> second line\n> deleted words\nreply"),
+            ("t", "4", 4, "d", ">>> root line\n>>> second line\n> reply\nlast")]
+    got = {r.msg: r for r in chat.link_quotations(spark.createDataFrame(
+        rows, "thread string, msg string, sent long, author string, body string")).collect()}
+    assert (got["3"].parent, got["3"].linked, got["3"].depth) == ("1", 2, 1)
+    assert (got["4"].parent, got["4"].linked, got["4"].depth) == ("3", 1, 2)
+
+
 def test_common_line_of_one_thread(spark):
     """A line that every message of a thread has and quotes links each to the one before."""
     rows = [("t", str(i), i, "a", "> same line\nsame line" if i else "same line") for i in range(300)]

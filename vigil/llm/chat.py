@@ -1,9 +1,10 @@
 """Quotation linking: messages with nested quotes become reply-ordered conversations without quotes.
 
 Bodies are parsed into own lines and quoted lines with their level.  Normalised lines are
-hashed; a quoted line of level one belongs to the latest earlier message of its thread
-that has the line as its own, or else to the first message anywhere that has it.  The
-message with the most such lines, the latest of these, is the parent.
+hashed; a quoted line belongs to the latest earlier message of its thread that has the
+line as its own, or else to the first message anywhere that has it.  Of the least level
+that has lines with an original, the message with the most such lines, the latest of
+these, is the parent: if the directly quoted message is missing, the nearest ancestor is.
 """
 from __future__ import annotations
 
@@ -86,29 +87,29 @@ def latest_own(lines: DataFrame) -> DataFrame:
         "max(_last) over (partition by line order by _range rows between unbounded preceding and 1 preceding)").alias("_carried"))
     inside = F.expr(f"max({own}) over (partition by line, _range order by sent, is_own rows between unbounded preceding and current row)")
     return (dealt.withColumn("_inside", inside).where("is_own = 0").join(carried, ["line", "_range"])
-            .withColumn("to", F.coalesce("_inside", "_carried")).select("key", "thread", "msg", "sent", "h", "to"))
+            .withColumn("to", F.coalesce("_inside", "_carried")).select("key", "thread", "msg", "sent", "level", "h", "to"))
 
 
 def parents(parsed: DataFrame) -> DataFrame:
-    """(key, parent, level_one, linked): the parent's key, and how many quoted lines there are and were linked."""
+    """(key, parent, linked): the parent's key, and how many quoted lines of its level were linked to it."""
     line = F.xxhash64(F.coalesce("thread", F.lit("")), F.col("thread").isNull(), F.col("h")).alias("line")
-    quotes = (parsed.select("key", "thread", "msg", "sent", F.explode("quoted").alias("q")).where("q.level = 1")
-              .select("key", "thread", "msg", "sent", F.col("q.h").alias("h")).distinct())
-    own = parsed.select("key", "thread", "msg", "sent", F.explode("own").alias("h"))
+    quotes = (parsed.select("key", "thread", "msg", "sent", F.explode("quoted").alias("q"))
+              .groupBy("key", "thread", "msg", "sent", F.col("q.h").alias("h")).agg(F.min("q.level").alias("level")))
+    own = parsed.select("key", "thread", "msg", "sent", F.explode("own").alias("h"), F.lit(0).alias("level"))
     both = (quotes.withColumn("is_own", F.lit(0)).unionByName(own.withColumn("is_own", F.lit(1)))
             .select("*", line))
     near = materialize(latest_own(both), "quote-near")
     first = own.groupBy("h").agg(F.min(F.struct("sent", "thread", "msg")).alias("first"))
-    far = salted_lookup(near.where("to is null").select("key", "thread", "msg", "sent", "h"),
+    far = salted_lookup(near.where("to is null").select("key", "thread", "msg", "sent", "level", "h"),
                         first.join(near.where("to is null").select("h").distinct(), "h", "left_semi"), ["h"])
     far = far.where("first is not null and not (first.thread <=> thread) and first.sent <= sent")
     target = lambda t, m: F.xxhash64(F.coalesce(t, F.lit("")), t.isNull(), m)
-    votes = (near.where("to is not null").select("key", F.col("to.sent").alias("at"),
+    votes = (near.where("to is not null").select("key", "level", F.col("to.sent").alias("at"),
                                                  target(F.col("thread"), F.col("to.msg")).alias("parent"))
-             .unionAll(far.select("key", F.col("first.sent").alias("at"),
+             .unionAll(far.select("key", "level", F.col("first.sent").alias("at"),
                                   target(F.col("first.thread"), F.col("first.msg")).alias("parent"))))
-    best = (votes.where("key <> parent").groupBy("key", "parent").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
-            .groupBy("key").agg(F.max(F.struct("n", "at", "parent")).alias("b"))
+    best = (votes.where("key <> parent").groupBy("key", "level", "parent").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
+            .groupBy("key").agg(F.max(F.struct((-F.col("level")).alias("near"), "n", "at", "parent")).alias("b"))
             .select("key", F.col("b.parent").alias("parent"), F.col("b.n").cast("int").alias("linked")))
     return best
 
