@@ -1,10 +1,12 @@
 """Registered queries of the numbered operators and their DuckDB SQL."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, pst, secrets, toxicity, warc
+from . import chat, decontam, langid, pst, repair, secrets, toxicity, warc
 from .common import held_out, read
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -242,3 +244,85 @@ SELECT conv_id, turn, author, text, CASE WHEN parent_turn IS NOT NULL THEN conv_
   CAST(coalesce(linked, 0) AS INTEGER) AS linked
 FROM runs
 """
+
+
+@query
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.repair_all(conversations, repair.damaged(conversations))
+
+
+#: CRC-32 of a short ASCII text, byte by byte and bit by bit.
+CRC32_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x // 2, (x % 2) * 3988292384))), 4294967295::BIGINT)"""
+
+#: Each state of the grammar (nothing, s, u, a) holds its cheapest way as cost in nine digits and audit.
+ORACLES["op11_repair_conversations"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+coded AS (SELECT *, {crc} % 20 AS code FROM keyed),
+turns AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE code <> 0),
+lined AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+  FROM turns),
+seen AS (
+  SELECT *, CASE WHEN trimmed = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    left(role, 1) AS i, left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) AS pair
+  FROM lined),
+faulty AS (SELECT *, fault IS NOT NULL AND fault <> 'truncated' AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra FROM seen),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faulty GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, n, CAST(0 AS BIGINT) AS pos, '000000000' AS v0, NULL::VARCHAR AS vs, '000000003I' AS vu, '000000006II' AS va FROM counts
+  UNION ALL
+  SELECT conv_id, n, pos, w0, ws, wu, least(wa, {i:wu}) FROM (
+    SELECT conv_id, n, pos, w0, ws, least(wu, {i:w0}, {i:ws}, {i:wa}) AS wu, wa FROM (
+      SELECT w.conv_id, w.n, w.pos + 1 AS pos, {d:v0} AS w0,
+        least({d:vs}, CASE WHEN NOT gone AND i = 's' THEN {k:v0} END) AS ws,
+        least({d:vu}, CASE WHEN gone THEN NULL WHEN i = 'u' THEN least({k:v0}, {k:vs}, {k:va}) ELSE least({r:v0}, {r:vs}, {r:va}) END) AS wu,
+        least({d:va}, CASE WHEN gone THEN NULL WHEN i = 'a' THEN {k:vu} ELSE {r:vu} END) AS wa
+      FROM ways w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1))),
+best AS (
+  SELECT conv_id, CAST(left(least(v0, va), 9) AS BIGINT) AS cost, substr(least(v0, va), 10) AS audit
+  FROM ways WHERE pos = n),
+letters AS (
+  SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM best),
+placed AS (
+  SELECT conv_id, p, substr(audit, p, 1) AS c, len(replace(substr(audit, 1, p), 'I', '')) AS pos,
+    len(replace(substr(audit, 1, p), 'D', '')) AS o, len(replace(audit, 'D', '')) % 2 AS odd
+  FROM letters),
+texts AS (
+  SELECT p.conv_id, string_agg(CASE WHEN c = 'K' THEN f.role WHEN (o + odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN c = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY p) AS whole
+  FROM placed p LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos
+  WHERE c <> 'D' GROUP BY p.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+def _with_edits(sql: str) -> str:
+    """Fills in {letter:way}: the way with that edit behind it and its cost added."""
+    cost = {"d": "4", "k": "extra", "r": "3 + extra", "i": "3"}
+    return re.sub(r"\{([dkri]):(\w+)\}", lambda m: (
+        f"lpad(CAST(CAST(left({m[2]}, 9) AS BIGINT) + {cost[m[1]]} AS VARCHAR), 9, '0') || substr({m[2]}, 10) || '{m[1].upper()}'"),
+        sql.replace("{crc}", CRC32_SQL.format("k")))
+
+
+ORACLES["op11_repair_conversations"] = _with_edits(ORACLES["op11_repair_conversations"])
