@@ -6,7 +6,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, pst, repair, secrets, toxicity, warc
+from . import chat, decontam, langid, packing, pst, repair, runs, secrets, toxicity, warc
 from .common import held_out, read
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -326,3 +326,61 @@ def _with_edits(sql: str) -> str:
 
 
 ORACLES["op11_repair_conversations"] = _with_edits(ORACLES["op11_repair_conversations"])
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return runs.digests(runs.periodic_runs(runs.made_periodic(docs)))
+
+
+#: A run of 12 words or more holds a stretch of equal six-word pieces a period apart; stretches
+#: inside a run of a smaller period have not their smallest one.
+ORACLES["op12_periodic_runs"] = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    coalesce(CAST(doc_id AS VARCHAR), '') AS k
+  FROM documents),
+hashed AS (SELECT r, doc_id, w, len(w) AS n, CASE WHEN doc_id IS NOT NULL THEN {crc} END AS h FROM split),
+placed AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, h // 10 % 8 AS m FROM hashed),
+texts AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n),
+      lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + m)) END]) END AS w
+  FROM placed),
+grams AS (SELECT r, unnest(range(0, n - 5)) AS i, w FROM texts WHERE n >= 6),
+pieces AS (SELECT r, i, hash(w[i + 1], w[i + 2], w[i + 3], w[i + 4], w[i + 5], w[i + 6]) AS g FROM grams),
+pairs AS (
+  SELECT x.r, x.i, y.i - x.i AS d FROM pieces x JOIN pieces y ON x.r = y.r AND x.g = y.g AND y.i > x.i),
+stretches AS (SELECT *, i - row_number() OVER (PARTITION BY r, d ORDER BY i) AS s FROM pairs),
+found AS (
+  SELECT r, d AS q, min(i) AS start, max(i) + 6 + d - min(i) AS length FROM stretches GROUP BY r, d, s
+  HAVING max(i) + 6 + d - min(i) >= greatest(12, 2 * d)),
+runs AS (
+  SELECT * FROM found f WHERE NOT EXISTS (
+    SELECT 1 FROM found o WHERE o.r = f.r AND o.q < f.q AND o.start <= f.start AND o.start + o.length >= f.start + f.length)),
+listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines,
+    max(struct_pack(l := length, s := -start, p := -q)) AS top
+  FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM runs),
+gone AS (SELECT r, list(i) AS gone FROM dropped GROUP BY r)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, -top.s AS start, top.l AS length, -top.p AS period,
+  1000 * top.l // -top.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+    list_transform(list_filter(range(0, n), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END, ' ')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed USING (r) LEFT JOIN gone USING (r)
+""".replace("{crc}", CRC32_SQL.format("k"))
+
+
+def word_bpe() -> str:
+    """Path of the public tokenizer of op13, looked up where it is used."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(read(spark, sf_dir, "documents", "doc_id", "text"), word_bpe)
+    digest = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digest, ["doc_id", "piece", "ids_crc32"])
