@@ -34,5 +34,5 @@ def test_registered():
     sys.path.insert(0, ROOT)
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= names

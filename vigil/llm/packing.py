@@ -31,6 +31,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -293,34 +294,37 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
         for s in held:
             open_[s] -= times
 
-    path: list[tuple[int, tuple[int, ...], int, int]] = []  # times, filling, place and waste before it
+    path: list[Filling] = []
     at = largest(0)
-    stack = [(tries(at, 0), at, 0)] if at < len(order) and best_bins > least else []
+    # A step keeps the place, the waste before it and how many tries are done, not the tries themselves:
+    # what a filling's sums take is needed for one step only, the tries before are found again on the way back.
+    stack = [[at, 0, 0]] if at < len(order) and best_bins > least else []
     spent = 0
-    while stack and best_bins > least:
-        choices, at, waste = stack[-1]
-        for times, held in choices:
+    while stack and best_bins > least and spent <= nodes + 4 * len(order):
+        spent += 1
+        at, waste, done = stack[-1]
+        for times, held in islice(tries(at, waste), done, None):
+            stack[-1][2] += 1
             more = waste + times * (capacity - sum(held))
             if more <= (best_bins - 1) * capacity - total:
                 break
         else:
             stack.pop()
             if path:
-                put(-path[-1][0], path.pop()[1])
+                times, held = path.pop()
+                put(-times, held)
             continue
         put(times, held)
-        path.append((times, held, at, waste))
+        path.append((times, held))
         then = largest(at)
-        if then == len(order):
-            bins = sum(p[0] for p in path)
-            if bins < best_bins:
-                best, best_bins = [(p[0], p[1]) for p in path], bins
-            put(-path[-1][0], path.pop()[1])
+        if then < len(order):
+            stack.append([then, more, 0])
         else:
-            stack.append((tries(then, more), then, more))
-        spent += 1
-        if spent > nodes + 4 * len(order):
-            break
+            bins = sum(times for times, _ in path)
+            if bins < best_bins:
+                best, best_bins = list(path), bins
+            path.pop()
+            put(-times, held)
     return sorted(best, key=lambda f: (tuple(-s for s in f[1]), f[0]))
 
 
