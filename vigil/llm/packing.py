@@ -28,12 +28,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,9 @@ from ..plans.materialize import materialize
 from .common import prefix_sums, text_batches
 
 CAPACITY = 4096
-#: Bytes of ids that leave a worker at once, and of words and ids that it remembers; search steps besides four for each distinct length.
-BATCH_BYTES = 4 << 20
+#: Bytes of text that a worker looks up at once, and of words and ids that it remembers; search steps
+#: besides four for each distinct length.
+BLOCK_BYTES = 4 << 20
 CACHE_BYTES = 160 << 20
 NODES = 4000
 
@@ -98,22 +102,33 @@ class WordTokens(dict):
     def packed(ids: list[int]) -> bytes:
         return b"".join([x.to_bytes(4, "little") for x in ids])
 
-    def ids(self, words: list[bytes]) -> bytes:
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; its distinct words are looked up once."""
         if self.held > CACHE_BYTES:
             self.clear()
             self.held = 0
-        return b"".join(map(self.__getitem__, words))
+        words = pc.ascii_split_whitespace(texts)  # empty words at either end have no ids
+        starts = words.offsets.to_numpy()
+        found = words.flatten().dictionary_encode()
+        own = pa.array([self[w] for w in found.dictionary.cast(pa.large_binary()).to_pylist()], pa.large_binary())
+        all_ids = own.take(found.indices)
+        at = np.frombuffer(all_ids.buffers()[1], np.int64)[all_ids.offset:][starts - starts[0]]
+        data = all_ids.buffers()[2]
+        data = memoryview(data) if data is not None else b""
+        return [bytes(data[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 _TOKENS: dict[str, WordTokens] = {}
 
 
-def pieces(docs: DataFrame, vocabulary: Callable[[], str], end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian 32-bit numbers) of every piece.
+def pieces(docs: DataFrame, vocabulary: Callable[[], str], end_id: int = 1, capacity: int = CAPACITY,
+           keep_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of every piece, and its ids (little-endian 32-bit numbers).
 
     `vocabulary` gives the tokenizer's path where it is called, in each worker.
     """
     kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     end, width = end_id.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
@@ -122,25 +137,27 @@ def pieces(docs: DataFrame, vocabulary: Callable[[], str], end_id: int = 1, capa
             _TOKENS[path] = WordTokens(path)
         tokens = _TOKENS[path]
         for b in batches:
-            texts = b.column("text").cast(pa.binary())
-            rows: list = [[], [], [], [], []]
-            held = 0
-            for i, text in enumerate(texts):
-                ids = tokens.ids((text.as_py() or b"").split()) + end
-                for piece, a in enumerate(range(0, len(ids), width)):
-                    cut = ids[a:a + width]
-                    for column, value in zip(rows, (i, piece, a // 4, len(cut) // 4, cut)):
-                        column.append(value)
-                held += len(ids)
-                if held > BATCH_BYTES or i == len(texts) - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()),
-                         pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())],
-                        ["doc_id", "piece", "start", "length", "ids"])
-                    rows, held = [[], [], [], [], []], 0
+            texts = b.column("text").cast(pa.large_string()).fill_null("")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy())
+            at = 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right")))
+                rows: list = [[], [], [], [], [], []]
+                for i, own in enumerate(tokens.ids(texts[at:to]), at):
+                    own += end
+                    for piece, a in enumerate(range(0, len(own), width)):
+                        cut = own[a:a + width]
+                        for column, value in zip(rows, (i, piece, a // 4, len(cut) // 4, zlib.crc32(cut), cut)):
+                            column.append(value)
+                columns = [b.column("doc_id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()),
+                           *[pa.array(r, pa.int64()) for r in rows[2:5]]]
+                if keep_ids:
+                    columns.append(pa.array(rows[5], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at = to
 
     return text_batches(docs.select("doc_id", "text")).mapInArrow(
-        run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 # ------------------------------------------------------------------ fillings

@@ -381,6 +381,5 @@ def word_bpe() -> str:
 
 @query
 def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pieces(read(spark, sf_dir, "documents", "doc_id", "text"), word_bpe)
-    digest = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(digest, ["doc_id", "piece", "ids_crc32"])
+    found = packing.pieces(read(spark, sf_dir, "documents", "doc_id", "text"), word_bpe, keep_ids=False)
+    return packing.pack(found, ["doc_id", "piece", "ids_crc32"])
