@@ -69,6 +69,30 @@ def test_large_group_is_branched(spark, docs):
     assert {r.doc_id: r.component_id for r in got} == brute(rows, 85)
 
 
+def test_large_group_hands_on_few_pairs(spark, docs, monkeypatch):
+    """A group that branches and whose pairs lie around the threshold: all links, few pairs confirmed."""
+    from vigil.llm import near_dedup
+    asked, confirmed = [], near_dedup.confirmed
+
+    def counting(pairs, *rest):
+        asked.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counting)
+    rng = random.Random(12)
+    rows = list(enumerate(family(rng, words(60), 600)))
+    got = near_duplicates(docs([(i, t, "en", "s") for i, t in rows]), percent=85, leaf=128).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 85)
+    assert sum(asked) <= 8 * 600  # of 179700
+
+
+def test_forest_spans_with_the_greatest_scores():
+    from vigil.llm.near_dedup import forest
+    scores = np.array([0.9, 0.8, 0.95, 0.7, 0.6])
+    left, right = np.array([1, 2, 1, 5, 3]), np.array([2, 3, 3, 6, 5])
+    assert forest(scores, left, right).tolist() == [2, 0, 3, 4]
+
+
 def test_near_duplicates_odd_rows(spark, docs):
     a, b = words(30), words(30, 500)
     got = near_duplicates(docs([(5, a, None, None), (5, a, "en", "s"), (3, a, "en", "s"), (7, b, "en", "s"),

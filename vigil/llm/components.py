@@ -12,8 +12,9 @@ def connected(links: DataFrame) -> DataFrame:
 
     Every round gives an id the smallest label among its neighbours and then its label's
     label, so chains are halved; the rounds end when no label changes.  Labels are
-    written each round.  Neighbour labels are aggregated before they are shuffled, so an
-    id with very many links is no hot key.  No links give an empty result.
+    written each round.  What an id hears from its neighbours is aggregated before it is
+    shuffled; looking up the labels is a plain join, whose rows of an id with very many
+    links Spark's adaptive skew join splits.  No links give an empty result.
     """
     both = materialize(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
                        .where("a <> b").distinct(), "links")

@@ -8,8 +8,12 @@ trees are repeated until a pair at the threshold is met with the target recall.
 Only components are asked for, so what is in one component is settled.  A node is small
 if at most `leaf` of its classes are outside its largest component: these are compared
 with the whole node, in tiles.  In any other node some leaders are compared with all, and
-it branches on.  Compared are sketches of one byte per bin; what may reach the threshold
-is confirmed on the full shingle sets.
+it branches on.  Compared are sketches of one byte per bin.  Of the pairs that may reach
+the threshold a tile hands on a spanning forest, the likeliest first, so a group of n
+classes gives a small multiple of n pairs, not all of them; those are confirmed on the
+full shingle sets.  Nodes in which a pair was refuted while others waited behind it are
+compared again without the refuted pairs, in the components known by then, and in the end
+with all pairs that are left; so no link between different components is missed.
 """
 from __future__ import annotations
 
@@ -104,7 +108,7 @@ def set_batch(ids, held):
 
 
 def likely(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether two sketches may belong to sets of the similarity (rows against rows, broadcast).
+    """Estimated similarity of two sketches, 0 where their sets can't reach it (rows against rows, broadcast).
 
     The bins that either set fills sample its union without replacement; 4.5 deviations
     below the threshold and one bin still count.
@@ -115,7 +119,7 @@ def likely(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     same = ((x == y) & (x > 0)).sum(axis=-1)
     union = (size[0] + size[1]) / (1 + similarity)
     spread = np.sqrt(similarity * (1 - similarity) * held * np.clip((union - held) / np.maximum(union - 1, 1), 0, 1))
-    return same >= similarity * held - 4.5 * spread - 1
+    return np.where(same >= similarity * held - 4.5 * spread - 1, (same + 1e-9) / held, 0.0)
 
 
 def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,19 +127,56 @@ def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, comps, np.frombuffer(b"".join(rows.field("tiny").to_pylist()), np.uint8).reshape(len(ids), -1)
 
 
-def compare_tiles(similarity: float):
-    """Pairs of a tile's classes with its node's probes in another component that may reach the similarity."""
+def forest(scores: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of a spanning forest of the edges (left, right), greatest scores first."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for k in np.lexsort((right, left, -scores)).tolist():
+        a, b = root(int(left[k])), root(int(right[k]))
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+PAIRS = "node long, a long, b long, more boolean"
+
+
+def compare_tiles(similarity: float, spanning: bool):
+    """Pairs of a tile's classes with its node's probes in another component that may reach the similarity.
+
+    With `spanning`, a forest of them over the components; `more` says that others wait behind it
+    (in a small node: the others are met again by their children).
+    """
     def compare(batches):
         for b in batches:
-            for tile, probes in zip(b.column("tile"), b.column("probes")):
+            for node, small, tile, probes in zip(b.column("node").to_pylist(), b.column("small").to_pylist(),
+                                                 b.column("tile"), b.column("probes")):
                 ids, comps, sketches = unpacked(tile.values)
-                left, right = [], []
+                refuted = [set(x or ()) for x in tile.values.field("no").to_pylist()]
+                found: list = []
                 for i, comp, sketch in zip(*unpacked(probes.values)):
                     other = np.flatnonzero((comps != comp) & (ids != i))
-                    hit = ids[other[likely(sketches[other], sketch, similarity)]]
-                    left.append(np.minimum(hit, i))
-                    right.append(np.maximum(hit, i))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                    scores = likely(sketches[other], sketch, similarity)
+                    for k, score in zip(other[scores > 0].tolist(), scores[scores > 0].tolist()):
+                        if int(i) not in refuted[k]:
+                            found.append((score, min(int(i), int(ids[k])), max(int(i), int(ids[k])), int(comp), int(comps[k])))
+                pairs = sorted(set(found))
+                kept = range(len(pairs))
+                if spanning and pairs:
+                    scores, _, _, x, y = (np.array(c) for c in zip(*pairs))
+                    kept = forest(scores, np.minimum(x, y), np.maximum(x, y)).tolist()
+                more = small and len(kept) < len(pairs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node] * len(kept), pa.int64()), pa.array([pairs[k][1] for k in kept], pa.int64()),
+                     pa.array([pairs[k][2] for k in kept], pa.int64()), pa.array([more] * len(kept), pa.bool_())],
+                    ["node", "a", "b", "more"])
     return compare
 
 
@@ -159,9 +200,9 @@ def roots(sigs: DataFrame, trees: int, coordinates: int, more: float) -> DataFra
     return sigs.select("id", F.explode(F.array(*first)).alias("node"))
 
 
-def compare_nodes(at: DataFrame, sketches: DataFrame, leaf: int, leaders: int,
-                  similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Likely pairs (a, b) of a level's nodes (node, id, comp, rank, ...), and the rows of the nodes to branch.
+def compare_nodes(at: DataFrame, sketches: DataFrame, leaf: int, leaders: int, similarity: float,
+                  spanning: bool = True, refuted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Likely pairs (node, a, b, more) of nodes (node, id, comp, rank, ...), and the rows of the nodes to branch.
 
     A node's probes are the classes outside its largest component if they are at most
     `leaf`, which settles it, or else its `leaders` best classes by rank.
@@ -171,18 +212,28 @@ def compare_nodes(at: DataFrame, sketches: DataFrame, leaf: int, leaders: int,
              .where("n > top.m").select("node", "n", (F.col("n") - F.col("top.m")).alias("rest"), F.col("top.comp").alias("lead")))
     held = materialize(at.join(nodes, "node"), "near-nodes")
     own = held.select("node", "id", "comp", "rank", "n", "rest", "lead").join(sketches, "id")
-    own = materialize(own.select("*", F.struct("id", "comp", "tiny").alias("s")).drop("id", "comp", "tiny"), "near-tiles")
+    if refuted is None:
+        own = own.withColumn("no", F.lit(None).cast("array<long>"))
+    else:
+        both = refuted.select(F.col("a").alias("id"), "b").unionAll(refuted.select("b", "a"))
+        own = own.join(both.groupBy("id").agg(F.collect_set("b").alias("no")), "id", "left")
+    own = materialize(own.select("*", F.struct("id", "comp", "tiny", "no").alias("s")).drop("id", "comp", "tiny", "no"), "near-tiles")
     tile = F.pmod(F.xxhash64("s.id"), F.ceil(F.col("n") / 256))
-    tiles = own.groupBy("node", tile.alias("t")).agg(F.collect_list("s").alias("tile"))
-    outside = own.where((F.col("rest") <= leaf) & (F.col("s.comp") != F.col("lead"))).select("node", "s")
+    tiles = own.groupBy("node", tile.alias("t")).agg(
+        F.collect_list("s").alias("tile"), (F.max("rest") <= leaf).alias("small"))
+    # probes in parts of about 512, however many a node has
+    outside = (own.where((F.col("rest") <= leaf) & (F.col("s.comp") != F.col("lead")))
+               .select("node", F.pmod(F.xxhash64("s.id", F.lit(9)), F.ceil(F.col("rest") / 512)).alias("part"), "s"))
     # the best of each of 64 parts of a node, then the best of these
     best = (own.where(F.col("rest") > leaf).groupBy("node", F.pmod(F.xxhash64("s.id", F.lit(5)), F.lit(64)))
-            .agg(F.min(F.struct("rank", "s")).alias("b")).groupBy("node")
+            .agg(F.min(F.struct("rank", "s.id", "s.comp", "s.tiny")).alias("b")).groupBy("node")
             .agg(F.slice(F.sort_array(F.collect_list("b")), 1, leaders).alias("b"))
-            .select("node", F.explode("b.s").alias("s")))
-    probes = outside.unionAll(best).groupBy("node").agg(F.collect_list("s").alias("probes"))
-    pairs = tiles.join(probes, "node").select("tile", "probes").mapInArrow(compare_tiles(similarity), "a long, b long")
-    return materialize(pairs.distinct(), "near-likely"), held.where(F.col("rest") > leaf).drop("n", "rest", "lead")
+            .select("node", F.lit(0).cast("long").alias("part"), F.explode("b").alias("b")))
+    slim = lambda c: F.struct(f"{c}.id", f"{c}.comp", f"{c}.tiny").alias("s")
+    probes = (outside.select("node", "part", slim("s")).unionAll(best.select("node", "part", slim("b")))
+              .groupBy("node", "part").agg(F.collect_list("s").alias("probes")))
+    pairs = tiles.join(probes, "node").select("node", "small", "tile", "probes").mapInArrow(compare_tiles(similarity, spanning), PAIRS)
+    return materialize(pairs, "near-likely"), held.where(F.col("rest") > leaf).drop("n", "rest", "lead")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -198,6 +249,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                        .where(F.col("s") * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
 
 
+#: Times that nodes with refuted pairs are compared by forests before all their pairs are.
+FOREST_ROUNDS = 2
+
+
 def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, percent: int, trees: int, depth: int,
               leaf: int, leaders: int, coordinates: int, more: float) -> DataFrame:
     """(id, comp) of the classes that have links: those found by the trees, and the given ones."""
@@ -207,23 +262,44 @@ def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, pe
     # classes that meet others under many coordinates are close to many: the best leaders
     often = (at.join(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf), "node", "left_semi")
              .groupBy("id").agg((-F.count(F.lit(1))).alias("rank")))
-    at = at.join(often, "id", "left").select("node", "id", F.col("id").alias("comp"), F.coalesce("rank", F.lit(0)).alias("rank"))
-    pairs, at = compare_nodes(at, sketches, leaf, leaders, similarity)
-    links = links.unionAll(confirmed(pairs, docs, width, percent))
+    at = at.join(often, "id", "left").select("node", "id", F.coalesce("rank", F.lit(0)).alias("rank"))
+    levels = [at]
+
+    def known(rows, comp):
+        return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    pairs, at = compare_nodes(at.withColumn("comp", F.col("id")), sketches, leaf, leaders, similarity)
+    tried = materialize(pairs.select("a", "b").distinct(), "near-tried")
+    links = links.unionAll(confirmed(tried, docs, width, percent))
     comp = connected(links)
-    if at.isEmpty():
-        return comp
-    at = (at.select("node", "id", "rank").join(comp, "id", "left")
-          .select("node", "id", "rank", F.coalesce("comp", "id").alias("comp")).join(sigs.select("id", "sig"), "id"))
-    found, at = compare_nodes(at, sketches, leaf, leaders, similarity)  # the same nodes, with the components known now
-    for level in range(depth):
-        if at.isEmpty():
+    if not at.isEmpty():
+        at = known(at.select("node", "id", "rank"), comp).join(sigs.select("id", "sig"), "id")
+        found, at = compare_nodes(at, sketches, leaf, leaders, similarity)  # the same nodes, with the components known now
+        for level in range(depth):
+            if at.isEmpty():
+                break
+            at = materialize(branch(at, coordinates, more), "near-paths")
+            levels.append(at.select("node", "id", "rank"))
+            last = level == depth - 1  # what is left then is compared whole, however large
+            deeper, at = compare_nodes(at, sketches, leaf if not last else 2 ** 62, leaders, similarity)
+            found = found.unionAll(deeper)
+        new = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-tried")
+        links = links.unionAll(confirmed(new, docs, width, percent))
+        comp, tried, pairs = connected(links), tried.unionAll(new), pairs.unionAll(found)
+    for times in range(FOREST_ROUNDS + 1):
+        refuted = materialize(tried.join(links, ["a", "b"], "left_anti"), "near-refuted")
+        again = materialize(pairs.where("more").join(refuted, ["a", "b"], "left_semi").select("node").distinct(), "near-again")
+        if again.isEmpty():
             break
-        at = materialize(branch(at, coordinates, more), "near-paths")
-        last = level == depth - 1  # what is left then is compared whole, however large
-        pairs, at = compare_nodes(at, sketches, leaf if not last else 2 ** 62, leaders, similarity)
-        found = found.unionAll(pairs)
-    return connected(links.unionAll(confirmed(materialize(found.distinct(), "near-likely"), docs, width, percent)))
+        rows = levels[0]
+        for level in levels[1:]:
+            rows = rows.unionAll(level)
+        rows = known(rows.join(sized(again), "node", "left_semi"), comp)
+        pairs, _ = compare_nodes(rows, sketches, 2 ** 62, leaders, similarity, times < FOREST_ROUNDS, refuted)
+        new = materialize(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-tried")
+        links = links.unionAll(confirmed(new, docs, width, percent))
+        comp, tried = connected(links), tried.unionAll(new)
+    return comp
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 14, depth: int = 40,
