@@ -170,3 +170,22 @@ def test_pipeline_stages(spark):
         ids = now
     last = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in last} <= ids and all(0 < r.taken <= 3 * r.size for r in last)
+
+
+def test_stages_with_clashing_column_names(spark):
+    """Every stage passes columns whose names the operators use inside."""
+    odd = ["score", "rejected", "lang_pred", "_bad", "_bad_text", "_text_key", "_secret", "key", "rank", "node"]
+    rows = [(i, f"The quick note number {i} says {words(12, 40 * i)} and ends.", "en", "s", 60) for i in range(30)]
+    rows += [(40, 'password: "hunter2hunter2x" is what she wrote down here today', "en", "s", 60), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", *[f"'{c}' as {c}" for c in odd])
+    items = spark.createDataFrame([(1, words(8, 40 * 3))], "item_id long, text string")
+    from vigil.llm import decontam, secrets
+    kept = corpus_pipeline.language_stage(spark, docs, "")
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} <= {"score"}
+    clean = decontam.decontaminate(docs, items)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {3}
+    hidden = secrets.redact(docs, secrets.train(secrets.labelled_findings(docs)))
+    got = {r.doc_id: r for r in hidden.collect()}
+    assert hidden.columns == docs.columns and len(got) == len(rows)
+    assert "hunter2" not in got[40].text and all(r[c] == c for r in got.values() for c in odd)

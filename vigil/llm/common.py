@@ -21,6 +21,14 @@ def held_out(doc_id: Column, n: int, rest: int) -> Column:
     return F.coalesce(crc_rest(doc_id, n) == F.lit(rest), F.lit(True))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column in `taken` has it (in any case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def salted_lookup(left: DataFrame, table: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
     """Left join of `left` to `table` (one row per key) where one key may hold a third of `left`.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .common import WORD, sized
+from .common import fresh, WORD, sized
 
 MISS = 1e-6
 
@@ -126,9 +126,10 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` without the rows whose text contains a benchmark item; all columns as they are."""
+    """`docs` without the rows whose text contains a benchmark item; all columns as they are, whatever their names."""
+    id_, text = fresh("_bad", docs.columns), fresh("_bad_text", docs.columns)
     bad = sized(materialize(contained_items(docs, items, width, percent)
-                            .select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_text")).distinct(),
+                            .select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).distinct(),
                             "bench-bad"))
-    same = F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_bad_text"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(text))
     return docs.join(bad, same, "left_anti")

@@ -199,9 +199,12 @@ def predictor(model: Model, text: str):
     return predict
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str],
+             names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """The columns `keep` of `docs` with lang_pred, score (calibrated confidence) and rejected, row by row.
 
+    `names` names these three, where a kept column has one of the names already.
+
     Only the text is looked at.  A text that is null or has no letter is `und` with score
     0 and rejected; so is every text if the model knows no language.  A text whose
     confidence is below the model's is rejected but keeps its best language.  Texts with
@@ -209,11 +212,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """
     types = dict(docs.dtypes)
     if not model.languages:
-        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(UNKNOWN).alias("lang_pred"),
-                           F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(UNKNOWN).alias(names[0]),
+                           F.lit(0.0).alias(names[1]), F.lit(True).alias(names[2]))
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     text = f"c{keep.index('text')}" if "text" in keep else "looked_at"  # a kept text travels once
     slim = text_batches(docs).select(*own, *([] if "text" in keep else [F.col("text").alias("looked_at")]))
     inner = "".join(f"c{i} {types[c]}, " for i, c in enumerate(keep))
     out = slim.mapInArrow(predictor(model, text), inner + "lang_pred string, score double, rejected boolean")
-    return out.toDF(*keep, "lang_pred", "score", "rejected")
+    return out.toDF(*keep, *names)

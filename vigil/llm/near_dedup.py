@@ -249,13 +249,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                        .where(F.col("s") * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
 
 
-#: Times that nodes with refuted pairs are compared by forests before all their pairs are.
-FOREST_ROUNDS = 2
-
-
 def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, percent: int, trees: int, depth: int,
               leaf: int, leaders: int, coordinates: int, more: float) -> DataFrame:
-    """(id, comp) of the classes that have links: those found by the trees, and the given ones."""
+    """(id, comp) of the classes that have links: those found by the trees, and the given ones.
+
+    Nodes are compared in two passes by forests, the second one with the components of the
+    first, and what is left of nodes with refuted pairs in a last one with all pairs.
+    """
     similarity = percent / 100
     sketches = sigs.select("id", "tiny")
     at = materialize(roots(sigs, trees, coordinates, more).distinct(), "near-paths")
@@ -265,41 +265,44 @@ def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, pe
     at = at.join(often, "id", "left").select("node", "id", F.coalesce("rank", F.lit(0)).alias("rank"))
     levels = [at]
 
-    def known(rows, comp):
+    def settled(pairs, links, tried):
+        """Links, tried and refuted pairs after these, and the nodes that have more pairs behind a refuted one."""
+        new = pairs.select("a", "b").distinct()
+        new = materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "near-tried")
+        links = links.unionAll(confirmed(new, docs, width, percent))
+        tried = new if tried is None else tried.unionAll(new)
+        refuted = materialize(tried.join(links, ["a", "b"], "left_anti"), "near-refuted")
+        again = pairs.where("more").join(refuted, ["a", "b"], "left_semi").select("node").distinct()
+        return links, tried, refuted, materialize(again, "near-again")
+
+    def known(rows, again, comp):
+        """The rows of all levels' nodes `again` and the given ones, with their components."""
+        for level in levels:
+            rows = rows.unionAll(level.join(again, "node", "left_semi").select("node", "id", "rank"))
         return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
     pairs, at = compare_nodes(at.withColumn("comp", F.col("id")), sketches, leaf, leaders, similarity)
-    tried = materialize(pairs.select("a", "b").distinct(), "near-tried")
-    links = links.unionAll(confirmed(tried, docs, width, percent))
+    links, tried, refuted, again = settled(pairs, links, None)
     comp = connected(links)
-    if not at.isEmpty():
-        at = known(at.select("node", "id", "rank"), comp).join(sigs.select("id", "sig"), "id")
-        found, at = compare_nodes(at, sketches, leaf, leaders, similarity)  # the same nodes, with the components known now
-        for level in range(depth):
-            if at.isEmpty():
-                break
-            at = materialize(branch(at, coordinates, more), "near-paths")
-            levels.append(at.select("node", "id", "rank"))
-            last = level == depth - 1  # what is left then is compared whole, however large
-            deeper, at = compare_nodes(at, sketches, leaf if not last else 2 ** 62, leaders, similarity)
-            found = found.unionAll(deeper)
-        new = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-tried")
-        links = links.unionAll(confirmed(new, docs, width, percent))
-        comp, tried, pairs = connected(links), tried.unionAll(new), pairs.unionAll(found)
-    for times in range(FOREST_ROUNDS + 1):
-        refuted = materialize(tried.join(links, ["a", "b"], "left_anti"), "near-refuted")
-        again = materialize(pairs.where("more").join(refuted, ["a", "b"], "left_semi").select("node").distinct(), "near-again")
-        if again.isEmpty():
+    if at.isEmpty() and again.isEmpty():
+        return comp
+    at = known(at.select("node", "id", "rank"), sized(again), comp).join(sigs.select("id", "sig"), "id")
+    found, at = compare_nodes(at, sketches, leaf, leaders, similarity, refuted=refuted)
+    for level in range(depth):
+        if at.isEmpty():
             break
-        rows = levels[0]
-        for level in levels[1:]:
-            rows = rows.unionAll(level)
-        rows = known(rows.join(sized(again), "node", "left_semi"), comp)
-        pairs, _ = compare_nodes(rows, sketches, 2 ** 62, leaders, similarity, times < FOREST_ROUNDS, refuted)
-        new = materialize(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-tried")
-        links = links.unionAll(confirmed(new, docs, width, percent))
-        comp, tried = connected(links), tried.unionAll(new)
-    return comp
+        at = materialize(branch(at, coordinates, more), "near-paths")
+        levels.append(at.select("node", "id", "rank"))
+        last = level == depth - 1  # what is left then is compared whole, however large
+        deeper, at = compare_nodes(at, sketches, leaf if not last else 2 ** 62, leaders, similarity)
+        found = found.unionAll(deeper)
+    links, tried, refuted, again = settled(found, links, tried)
+    comp = connected(links)
+    if again.isEmpty():
+        return comp
+    rows = known(levels[0].limit(0), sized(again), comp)
+    pairs, _ = compare_nodes(rows, sketches, 2 ** 62, leaders, similarity, False, refuted)
+    return connected(settled(pairs, links, tried)[0])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 14, depth: int = 40,

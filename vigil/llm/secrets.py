@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 MARK = "\u0001"
 #: A credential name with what is around it and a sign of assignment (group 1), then its value without the full stop
 #: or comma of a sentence (2); or a run of key characters that has a digit or is long (3).
@@ -127,19 +129,20 @@ def redact(docs: DataFrame, forest: RandomForestClassificationModel, threshold:
     """`docs` with each secret in text replaced by [SECRET]; n_chars, if there, follows; rows and columns stay.
 
     Each candidate is judged where it stands.  Only texts with a candidate are looked up
-    (by a hash of the text); all others pass as they are.
+    (by a hash of the text); all others pass as they are.  Other columns may have any name.
     """
     suspect = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
-    keyed = docs.where(suspect).withColumn("_text_key", F.xxhash64("text"))
-    secret = (scan(keyed.select("_text_key", "text").dropDuplicates(["_text_key"]), forest, ("_text_key",), threshold)
-              .where("is_secret").groupBy("_text_key").agg(F.collect_set("finding").alias("_secret")))
+    key, secret = fresh("_text_key", docs.columns), fresh("_secret", docs.columns)
+    keyed = docs.where(suspect).withColumn(key, F.xxhash64("text"))
+    found = (scan(keyed.select(key, "text").dropDuplicates([key]), forest, (key,), threshold)
+             .where("is_secret").groupBy(key).agg(F.collect_set("finding").alias(secret)))
     cut = F.split(F.regexp_replace(F.translate(F.col("text"), MARK, " "), CANDIDATE, MARKED), MARK)
     clean = F.array_join(F.transform(cut, lambda x, i: F.when(
-        (i % 2 == 1) & F.array_contains("_secret", ((i + 1) / 2).cast("int")), F.lit("[SECRET]")).otherwise(x)), "")
-    found = F.col("_secret").isNotNull()
-    out = keyed.join(secret, "_text_key", "left").withColumn("text", F.when(found, clean).otherwise(F.col("text")))
+        (i % 2 == 1) & F.array_contains(secret, ((i + 1) / 2).cast("int")), F.lit("[SECRET]")).otherwise(x)), "")
+    hit = F.col(secret).isNotNull()
+    out = keyed.join(found, key, "left").withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        size = F.when(found, F.length("text")).otherwise(F.col("n_chars"))
+        size = F.when(hit, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", size.cast(dict(docs.dtypes)["n_chars"]))
     return docs.where(~suspect).unionByName(out.select(*docs.columns))
 

@@ -125,7 +125,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, bits: int = 20, **options) ->
     """Adds score (0 to 1, the chance of label 1) and predicted (score >= 0.5) to `docs` (text), for every row.
 
     Trained on `labelled` (doc_id, text, label).  The columns of `docs` other than text
-    are passed on; only the text is looked at.  Null or empty text has no features: its score is
+    are passed on, but a column score or predicted of its own is replaced; only the text is looked at.  Null or empty text has no features: its score is
     the bias alone.  An empty table gives an empty result.
     """
     kept, weights, bias = train(labelled, bits, **options)
