@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it
 kept.  All but the last return the columns of `documents`; the last returns what the mix
 takes of each document it takes anything of.  Models are trained on the stage's own input.
+
+Nulls and repeats: a null or empty text is rejected by language ID; rows without an id pass
+near-dedup and are checked like others by the rest; repeated rows count each, but near-dedup
+keeps one row of an id.  Other columns may have any name and pass as they are.  An empty
+table gives an empty result.
 """
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import decontam, langid, secrets
-from vigil.llm.common import read
+from vigil.llm.common import fresh, read
 from vigil.llm.mixing import mix
 from vigil.llm.near_dedup import keep_one
 from vigil.llm.queries import quality_of
@@ -21,8 +26,9 @@ from vigil.session import checkpoint_dir
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model places; the ones that it rejects go."""
-    placed = langid.identify(docs, langid.train(docs), docs.columns)
-    return placed.where("not rejected").select(*docs.columns)
+    names = tuple(fresh(c, docs.columns) for c in ("lang_pred", "score", "rejected"))
+    placed = langid.identify(docs, langid.train(docs), docs.columns, names)
+    return placed.where(~F.col(names[2])).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
