@@ -66,19 +66,29 @@ def test_partition_count_does_not_change_alerts(spark):
     assert a == b
 
 
-def test_cooldown_doubling_path_matches_fold(spark):
-    from vigil.plans.ordered import greedy_cooldown_parallel
+def loop_cooldown(rows, cooldown):
+    """(key, seq) fired, of (key, time, seq) rows."""
+    last, fired = {}, set()
+    for k, ts, seq in sorted(rows):
+        if k not in last or (ts - last[k]).total_seconds() >= cooldown:
+            last[k] = ts
+            fired.add((k, seq))
+    return fired
+
+
+def test_cooldown_blocks_match_loop(spark):
+    """Blocks of 7 candidates of a hot key, dense, with bursts of one second and long gaps."""
     rnd = random.Random(21)
     t0 = datetime(2024, 1, 1)
     rows, t = [], 0.0
-    for i in range(700):
-        t += rnd.choice([0.0, 1.0, 3.0, 20.0, 44.0, 45.0, 46.0])
-        rows.append((rnd.choice(["hot", "hot", "hot", "cold"]), t0 + timedelta(seconds=t), i))
-    df = spark.createDataFrame(rows, "k string, ts timestamp, seq long")
-    want = {(r["k"], r["seq"]) for r in greedy_cooldown(df, "k", "ts", "seq", 45).filter("fired").collect()}
-    got = {(r["k"], r["seq"]) for r in
-           greedy_cooldown_parallel(df, "k", "ts", "seq", 45, hot_rows=100).filter("fired").collect()}
-    assert got == want
+    for i in range(900):
+        t += rnd.choice([0.0, 0.0, 0.0, 1.0, 3.0, 20.0, 44.0, 45.0, 46.0]) if i % 100 else 500.0
+        rows.append((rnd.choice(["hot", "hot", "hot", "cold", "tiny" if i % 50 == 0 else "hot"]), t0 + timedelta(seconds=t), i))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, seq long").withColumn("other", F.lit("x"))
+    for size in (1, 7, 200_000):
+        out = greedy_cooldown(df, "k", "ts", "seq", 45, block_rows=size)
+        assert out.columns == ["k", "ts", "seq", "other", "fired"] and out.count() == len(rows)
+        assert {(r["k"], r["seq"]) for r in out.filter("fired").collect()} == loop_cooldown(rows, 45)
 
 
 def test_sliding_count_hot_key_with_ties(spark):

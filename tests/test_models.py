@@ -1,7 +1,10 @@
+"""Models against loops: refit rule, half-space trees, component, outlier factor, SVM, isolation forest."""
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vigil.models import ensemble as EN
@@ -9,41 +12,168 @@ from vigil.models import ensemble as EN
 SCHEMA = "trace_id string, trace_seq long, duration_ms double, span_count long, error_rate double"
 
 
-def test_scores_bounded_and_outlier_ranks_first(spark):
-    rnd = random.Random(4)
-    rows = [(f"t{i}", i, rnd.gauss(200, 20), rnd.randint(3, 5), 0.0) for i in range(600)]
-    rows.append(("planted", 650, 4800.0, 40, 0.5))
+def sample(n, seed, odd=()):
+    rnd = random.Random(seed)
+    rows = [(f"t{i}", i * 3, rnd.choice([rnd.gauss(200, 20), rnd.gauss(900, 100), 200.0]), rnd.randint(3, 5),
+             0.0 if rnd.random() < 0.7 else 0.25) for i in range(n)]
+    return rows + [(f"odd{k}", 3 * n + k, *o) for k, o in enumerate(odd)]
+
+
+def vec(r):
+    return [min(r[2] / 1000.0, 5.0), float(r[3]), float(r[4])]
+
+
+def refits(rows, warm=()):
+    """(training rows of each version, version in force per row) by filling the buffer row by row."""
+    buffer, trained, force = [], [], []
+    for r in [*warm, *rows]:
+        force.append(len(trained) - 1 if trained else None)
+        if r[4] == 0:
+            buffer.append(r)
+            if len(buffer) >= 100:
+                trained.append(list(buffer))
+                buffer = buffer[50:]
+    return trained, force[len(warm):]
+
+
+def test_refit_rule_and_warm_up(spark):
+    rows = sample(420, 1)
+    warm = [(None, None, 10.0 * i, 1, 0.0) for i in range(130)]
     df = spark.createDataFrame(rows, SCHEMA)
-    sc = EN.soft_vote(EN.ensemble_scores(df, epoch_width=300), df)
-    got = sc.collect()
-    for r in got:
-        for m in EN.MODELS:
-            assert 0.0 <= r[m] <= 1.0
-        assert 0.0 <= r["aggregate_score"] <= 1.0
-    trained = [r for r in got if r["trained"]]
-    assert trained, "epochs after the first are scored by trained models"
-    planted = next(r for r in got if r["trace_id"] == "planted")
-    assert planted["ml_anomaly"]
-    for m in ("lof", "autoencoder_mse"):
-        assert planted[m] >= max(r[m] for r in trained if r["trace_id"] != "planted")
-
-
-def test_cold_epoch_cannot_fire(spark):
-    rows = [(f"t{i}", i, 2000.0, 3, 0.5) for i in range(50)]
+    base = spark.createDataFrame([(w[2], 1, 0.0, i) for i, w in enumerate(warm)],
+                                 "duration_ms double, span_count long, error_rate double, line long")
+    for before, baseline in (([], None), (warm, base)):
+        arrived = EN.arrivals(df.repartition(5), baseline=baseline)
+        trained, force = refits(rows, before)
+        got = {}
+        for r in EN.training_rows(arrived).collect():
+            got.setdefault(r["version"], {})[r["place"]] = (r["trace_id"], r["f_dur"])
+        assert len(trained) > 3
+        assert got == {v: {p: (r[0], vec(r)[0]) for p, r in enumerate(own)} for v, own in enumerate(trained)}
+        version = {r["trace_id"]: r["v"] for r in arrived.filter("trace_id is not null").select(
+            "trace_id", EN.version_in_force(F.col("normals")).alias("v")).collect()}
+        assert version == {r[0]: v for r, v in zip(rows, force)}
+
+
+def walk(x, axis, place):
+    node, out = 0, [0]
+    for _ in range(EN.HS_HEIGHT):
+        node = 2 * node + 1 + int(x[axis[node]] > place[node])
+        out.append(node)
+    return out
+
+
+def test_half_space_trees_match_loop(spark):
+    rows = sample(330, 2)
+    got = {r["trace_id"]: r["hs_trees"] for r in
+           EN.hs_scores(EN.arrivals(spark.createDataFrame(rows, SCHEMA))).collect()}
+    axis, place = EN.hs_shapes()
+    cube = [[v[0] / 5, min(v[1] / EN.HS_SPANS, 1.0), v[2]] for v in map(vec, rows)]
+    top = EN.HS_TREES * EN.HS_WINDOW * (2 ** (EN.HS_HEIGHT + 1) - 1)
+    for i, r in enumerate(rows):
+        w = i // 100 - 1
+        score = 0.0
+        for t in range(EN.HS_TREES):
+            paths = [walk(x, axis[t], place[t]) for x in cube[100 * w:100 * w + 100]] if w >= 0 else []
+            for depth, node in enumerate(walk(cube[i], axis[t], place[t])):
+                mass = sum(p[depth] == node for p in paths)
+                score += mass * 2.0 ** depth
+                if mass < 10:
+                    break
+        assert math.isclose(got[r[0]], min((1 - score / top) / 0.8, 1.0), rel_tol=1e-9), r[0]
+
+
+def component_error(train, x):
+    mean, sd = train.mean(axis=0), train.std(axis=0)
+    sd[sd == 0] = 1.0
+    values, vectors = np.linalg.eigh(np.cov(((train - mean) / sd).T))
+    z = (x - mean) / sd
+    along = z @ vectors[:, -1] if values[-1] > 1e-12 else 0.0
+    return ((z ** 2).sum() - along ** 2) / 3
+
+
+def test_reconstruction_error_is_that_of_the_first_component(spark):
+    for seed, fix in ((3, None), (4, "dur"), (5, "spans")):
+        rows = [(i, s, 200.0 if fix == "dur" else d, 4 if fix == "spans" else n, e) for i, s, d, n, e in sample(300, seed)]
+        arrived = EN.arrivals(spark.createDataFrame(rows, SCHEMA))
+        table = EN.versions(EN.training_rows(arrived), ["autoencoder_mse"])
+        got = {r["trace_id"]: r["e"] for r in arrived.withColumn("version", EN.version_in_force(F.col("normals")))
+               .join(table, "version").select("trace_id", EN.reconstruction_error().alias("e")).collect()}
+        trained, force = refits(rows)
+        for r, v in zip(rows, force):
+            if v is not None:
+                want = component_error(np.array([vec(x) for x in trained[v]]), np.array(vec(r)))
+                assert math.isclose(got[r[0]], want, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def outlier_factor(train, x):
+    k = EN.LOF_K
+
+    def nearest(p, own=None):
+        return sorted((float(np.sqrt(((p - q) ** 2).sum())), j) for j, q in enumerate(train) if j != own)[:k]
+
+    near = [nearest(p, i) for i, p in enumerate(train)]
+    kdist = [n[-1][0] for n in near]
+    density = lambda n: 1 / (np.mean([max(d, kdist[j]) for d, j in n]) + 1e-10)
+    lrd = [density(n) for n in near]
+    own = nearest(x)
+    return np.mean([lrd[j] for _, j in own]) / density(own)
+
+
+def svm_fit(train):
+    w0, b = EN.svm_directions()
+    gamma = 1 / (3 * (train.var() or 1.0))
+    phi = lambda x: math.sqrt(2 / EN.SVM_FEATURES) * np.cos(math.sqrt(2 * gamma) * (x @ w0.T) + b)
+    w, rho, share = np.zeros(EN.SVM_FEATURES), 0.0, EN.SVM_NU * EN.BUFFER
+    for _ in range(EN.SVM_STEPS):
+        out = [p for p in phi(train) if p @ w < rho]
+        w, rho = (w - EN.SVM_RATE * (w - (sum(out) if out else 0.0) / share), rho - EN.SVM_RATE * (len(out) / share - 1))
+    return lambda x: rho - phi(x) @ w
+
+
+def test_outlier_factor_and_boundary_match_loops(spark):
+    rows = sample(260, 6, odd=[(4800.0, 40, 0.5), (200.0, 4, 0.0)])
+    arrived = EN.arrivals(spark.createDataFrame(rows, SCHEMA))
+    table = EN.versions(EN.training_rows(arrived), ["lof", "one_class_svm"])
+    got = {r["trace_id"]: r for r in arrived.withColumn("version", EN.version_in_force(F.col("normals"))).join(table, "version")
+           .select("trace_id", EN.outlier_factor().alias("lof"), EN.outside_boundary().alias("svm")).collect()}
+    trained, force = refits(rows)
+    fits = [svm_fit(np.array([vec(x) for x in own])) for own in trained]
+    for r, v in list(zip(rows, force))[::7] + list(zip(rows, force))[-2:]:
+        if v is not None:
+            train = np.array([vec(x) for x in trained[v]])
+            assert math.isclose(got[r[0]]["lof"], outlier_factor(train, np.array(vec(r))), rel_tol=1e-6)
+            assert math.isclose(got[r[0]]["svm"], fits[v](np.array(vec(r))), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_planted_outlier_ranks_first(spark):
+    rows = sample(300, 7, odd=[(4800.0, 40, 0.5)])
     df = spark.createDataFrame(rows, SCHEMA)
-    sc = EN.soft_vote(EN.ensemble_scores(df, epoch_width=10_000), df)
-    r = sc.agg(F.max("aggregate_score").alias("m"), F.max(F.col("ml_anomaly").cast("int")).alias("a")).first()
-    assert abs(r["m"] - 0.5) < 1e-9 and r["a"] == 0
+    got = {r["trace_id"]: r for r in EN.soft_vote(EN.ensemble_scores(df), df).collect()}
+    assert len(got) == len(rows)
+    for r in got.values():
+        assert all(0.0 <= r[m] <= 1.0 for m in EN.MODELS) and 0.0 <= r["aggregate_score"] <= 1.0
+    assert got["odd0"]["ml_anomaly"] and got["odd0"]["version"] is not None
+    for m in ("lof", "autoencoder_mse", "one_class_svm", "hs_trees"):
+        assert got["odd0"][m] >= max(r[m] for r in got.values() if r["version"] is not None or m == "hs_trees" and False)
+
 
+def test_isolation_scores_spread(spark):
+    rows = sample(300, 8, odd=[(4800.0, 40, 0.5)])
+    arrived = EN.arrivals(spark.createDataFrame(rows, SCHEMA))
+    table = EN.versions(EN.training_rows(arrived), ["isolation_forest"])
+    scored = arrived.withColumn("version", EN.version_in_force(F.col("normals"))).join(table, "version").select(
+        "trace_id", EN.isolation().alias("s"))
+    got = {r["trace_id"]: r["s"] for r in scored.collect()}
+    assert got == {r["trace_id"]: r["s"] for r in scored.collect()}
+    assert 0.0 < min(got.values()) < max(got.values()) <= 1.0
+    assert got["odd0"] >= sorted(got.values())[-5]
 
-def test_minmax_norm_does_not_saturate(spark):
-    rnd = random.Random(6)
-    rows = [(f"t{i}", i, rnd.gauss(200, 20), rnd.randint(3, 5), 0.0) for i in range(600)]
-    rows.append(("planted", 650, 4800.0, 40, 0.5))
+
+def test_cold_start_cannot_fire(spark):
+    rows = [(f"t{i}", i, 2000.0, 3, 0.5) for i in range(50)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r["trace_id"]: r for r in EN.ensemble_scores(df, epoch_width=300, norm="minmax").collect()}
-    trained = [r for r in got.values() if r["trained"]]
-    iso = [r["isolation_forest"] for r in trained]
-    assert min(iso) < max(iso)                                   # a spread, not a constant 1.0
-    for m in ("isolation_forest", "lof"):                        # the planted outlier ranks first
-        assert got["planted"][m] >= max(r[m] for r in trained if r["trace_id"] != "planted")
+    sc = EN.soft_vote(EN.ensemble_scores(df), df)
+    r = sc.agg(F.max("aggregate_score").alias("m"), F.max(F.col("ml_anomaly").cast("int")).alias("a")).first()
+    assert abs(r["m"] - 0.5) < 1e-9 and r["a"] == 0
+    assert EN.ensemble_scores(df.limit(0)).collect() == []

@@ -14,7 +14,10 @@ SUBSET = ["kpi_txn_totals", "kpi_method_breakdown", "pay_alerts", "pay_rolling_p
           "trace_rule_verdicts", "pii_density_candidates", "k8s_node_utilisation", "metric_last_n",
           "root_cause", "otlp_spans", "webhook_normalised", "trace_span_rows", "alert_stored_trace",
           "trace_n_plus_1", "trace_bimodal", "load_summary", "kpi_deltas", "dependency_edges",
-          "fired_detectors", "evidence_text", "pay_duplicates"]
+          "fired_detectors", "evidence_text", "pay_duplicates", "pay_duplicates_dense_cent",
+          "pay_timeouts_hot_gateway", "root_cause_all_kinds", "fired_detectors_all_kinds", "evidence_text_scored",
+          "ml_training_rows", "ml_hs_trees_scores", "ml_lof_scores", "ml_composite_alerts",
+          "stream_otlp_alerts", "stream_otlp_dead_letters", "stream_span_balance", "stream_log_correlation"]
 
 
 def _canon(df):

@@ -86,3 +86,25 @@ def test_duplicates_across_a_cent_boundary(spark):
     got = {r["seq"]: r["dup_txn_id"] for r in PD.duplicate_candidates(df).collect()}
     ids = {r["seq"]: r["txn_id"] for r in df.collect()}
     assert got == {2: ids[1], 3: ids[2], 4: ids[3]}
+
+
+def test_duplicates_among_close_amounts_match_loop(spark):
+    """Amounts around the 0.01 limit, exact repeats, and very many within one cent."""
+    rnd = random.Random(31)
+    specs, t = [], 0.0
+    for seq in range(1, 701):
+        t += rnd.choice([0.0, 1.0, 7.0, 60.0])
+        amount = rnd.choice([20.0, 20.01, 20.005, 19.99, 20.01 - 1e-9, 5.0 + rnd.random() * 0.03, 0.0, 0.005, 1e9, 1e9 + 0.005])
+        specs.append((seq, t, rnd.choice("aab"), "G", rnd.choice(["SUCCESS", "PENDING", "FAILED"]), amount, 1))
+    rows = txn_rows(specs)
+    want, seen = {}, []
+    for r in rows:
+        if r["status"] != "FAILED" and r["amount"] > 0:
+            close = [s for s in seen if s["user"] == r["user"] and abs(s["amount"] - r["amount"]) < 0.01
+                     and (r["ts"] - s["ts"]).total_seconds() <= 120]
+            if close:
+                want[r["seq"]] = close[0]["txn_id"]
+            seen.append(r)
+    got = {r["seq"]: r["dup_txn_id"] for r in PD.duplicate_candidates(spark.createDataFrame(rows, TXN_SCHEMA)).collect()}
+    assert got == want and len(want) > 200
+    assert PD.duplicate_candidates(spark.createDataFrame([], TXN_SCHEMA)).collect() == []

@@ -42,16 +42,36 @@ def test_rolling_detectors_match_loop_across_blocks(spark):
     assert bm == loop_bimodal(durs)
 
 
-def test_variance_after_an_outlier_is_that_of_the_unbroken_fold(spark):
-    durs = [100.0] * 30 + [1e9] + [100.0] * 469
+def _variances(durs):
     want, m, v = [], 0.0, 0.0
     for i, x in enumerate(durs):
         want.append(v)
-        m, v = (x, 0.0) if i == 0 else (m + 0.2 * (x - m), 0.2 * (x - m) ** 2 + 0.8 * v)
-    rows = TR.bimodal(_df(spark, [1] * 500, durs), block_rows=50, coarse=70).orderBy("trace_seq").collect()
-    assert len(rows) == 500
-    for r, w in zip(rows, want):
-        assert abs(r["latency_variance"] - w) <= 1e-6 + 1e-12 * w
+        m, v = (x, 0.0) if i == 0 else (m + 0.2 * (x - m), 0.2 * ((x - m) * (x - m)) + 0.8 * v)
+    return want, m, v
+
+
+def test_variance_after_an_outlier_is_that_of_the_unbroken_fold(spark):
+    for outlier, at, size in ((1e9, 30, 50), (1e150, 100, 37), (1e150, 74, 37), (1e200, 40, 61)):
+        durs = [100.0 + i % 7 for i in range(at)] + [outlier] + [100.0 + i % 5 for i in range(499 - at)]
+        want, _, _ = _variances(durs)
+        rows = TR.bimodal(_df(spark, [1] * 500, durs), block_rows=size, coarse=70).orderBy("trace_seq").collect()
+        assert len(rows) == 500
+        for r, w in zip(rows, want):
+            assert r["latency_variance"] == w or abs(r["latency_variance"] - w) <= 1e-6 + 1e-9 * w
+
+
+def test_ewma_state_is_two_numbers(spark):
+    rnd = random.Random(12)
+    durs = [rnd.choice([50.0, 120.0, 3000.0]) for _ in range(300)]
+    df = _df(spark, [1] * 300, durs)
+    _, mean, var = _variances(durs)
+    first = TR.ewma_state(df.filter("trace_seq < 117"), block_rows=25, coarse=40)
+    r = TR.ewma_state(df.filter("trace_seq >= 117"), block_rows=25, coarse=40, before=first).first()
+    assert r["n"] == 300 and abs(r["m"] - mean) <= 1e-9 * mean and abs(r["v"] - var) <= 1e-9 * var
+    assert first.columns == ["primary_service", "n", "m", "v"]
+    later = TR.bimodal(df.filter("trace_seq >= 117"), block_rows=25, coarse=40, before=first)
+    assert sorted(x["trace_seq"] for x in later.filter("bimodal_latency").collect()) == [
+        i for i in loop_bimodal(durs) if i >= 117]
 
 
 def test_build_traces_dangling_and_primary(spark):

@@ -1,43 +1,44 @@
-"""Five-model anomaly ensemble over trace features.
-
-Prequential by construction: traces are cut into epochs along the arrival
-order; the models that score epoch k are fitted on epoch k-1 (R5: score with
-model v, then learn v+1).  Per epoch:
-
-* training set (M8) — normal traces (error_rate = 0) of the previous epoch,
-  a fixed-size sample chosen by hash with the split top-N kernel;
-* Half-Space Trees (M3) — 25 random trees of height 8 built from the seed on
-  the driver (data independent); node masses come from the previous epoch's
-  last 100 traces (the reference window);
-* isolation forest (M4), one-class SVM on random Fourier features (M5),
-  linear autoencoder = PCA reconstruction (M6), LOF with 20 neighbours against
-  the bounded reference sample (M7).
-
-Fitting runs in ``applyInPandas`` over the bounded per-epoch sample; scoring
-runs in ``cogroup(...).applyInPandas`` so every epoch's rows meet only their
-own model.  Scores are normalised as the monitored system does
-(``norm='reference'``) and combined by the soft vote (M9).
+"""Anomaly models over trace features as Spark aggregates.
+
+Traces are scored in arrival order, each before it is learned from.
+
+* M8, refit rule: normal traces (error rate 0) fill a buffer; 100 of them make a version of
+  the batch models and the newest 50 stay.  So version v is trained on the normal traces
+  50 v … 50 v + 99, and a trace meets the version that the normal traces before it have
+  completed.  Positions come from one range-partitioned order, a version's rows are a
+  group of 100, and versions are rows of a model table: nothing is sequential.
+* M3, half-space trees: 25 trees of seeded shape (a fixed table, no data in it).  A trace's
+  nodes are exploded to rows, masses are counted per window of 100 traces and node, and
+  scores join the masses of the window before.
+* M6, autoencoder as one principal component: mean, deviation and correlation per version
+  are aggregates; training rows have no errors, so the component lies in the plane of
+  duration and span count and has a closed form.
+* M7, local outlier factor, 20 neighbours: k-distances and densities of a version's 100
+  rows by array functions; a trace is compared with these 100.
+* M5, one-class SVM: random Fourier features and subgradient steps, folded over the
+  version's rows by array functions.
+* M4, isolation forest: a trace is isolated from the version's rows; every tree cuts the
+  rows that are still with it at a place drawn by hash, so trees need no table.
+
+The soft vote (M9) takes the models that are asked for; an untrained one counts as 0.
 """
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..plans.ordered import top_n_per_key
+from ..plans.materialize import materialize
+from ..plans.ordered import range_rank
 
-EPOCH_TRACES = 2_000_000     # trace_seq units per epoch
-TRAIN_SAMPLE = 256
-HS_WINDOW = 100
-HS_TREES, HS_HEIGHT, HS_SEED = 25, 8, 42
-IF_TREES = 100
+BUFFER, KEPT = 100, 50
+HS_WINDOW, HS_TREES, HS_HEIGHT, HS_SEED = 100, 25, 8, 42
+HS_SPANS = 32.0            # span counts from here on lie at the edge of the half-space trees' unit cube
+IF_TREES, IF_HEIGHT = 25, 7
 LOF_K = 20
-RFF_DIM = 64
+SVM_FEATURES, SVM_STEPS, SVM_NU, SVM_RATE, SVM_SEED = 32, 30, 0.1, 0.05, 7
 FEATS = ["f_dur", "f_spans", "f_err"]
 MODELS = ["hs_trees", "isolation_forest", "one_class_svm", "autoencoder_mse", "lof"]
 
@@ -49,305 +50,322 @@ def features(traces: DataFrame) -> DataFrame:
                  .withColumn("f_err", F.col("error_rate").cast("double"))
 
 
-def with_epoch(traces: DataFrame, order: str = "trace_seq", width: int = EPOCH_TRACES) -> DataFrame:
-    return traces.withColumn("epoch", F.floor(F.col(order) / width).cast("long"))
+# ---- arrival order, training rows, versions (M8, S6) ------------------------------------
 
+def arrivals(traces: DataFrame, order: str = "trace_seq", baseline: DataFrame | None = None) -> DataFrame:
+    """trace_id, the features, ``seen`` and ``normals``: traces and normal traces before each, in ``order``.
 
-def training_rows(feat: DataFrame, order: str = "trace_seq") -> DataFrame:
-    """M8: per epoch, the bounded training sample (normal traces) and the HS
-    reference window (last 100 traces), both labelled for the next epoch."""
-    base = feat.filter(F.col("f_err") == 0)
-    sample = top_n_per_key(base, ["epoch"], [F.xxhash64("trace_id")], TRAIN_SAMPLE,
-                           split_col="trace_id").withColumn("role", F.lit("train"))
-    window = top_n_per_key(feat, ["epoch"], [F.desc(order)], HS_WINDOW,
-                           split_col="trace_id").withColumn("role", F.lit("window"))
-    cols = ["epoch", "role", *FEATS]
-    return sample.select(*cols).unionByName(window.select(*cols)).withColumn("epoch", F.col("epoch") + 1)
+    Rows of the warm-up ``baseline`` (S6: duration_ms, span_count, error_rate, line) come first, in the
+    order of their lines, without a trace id.
+    """
+    rows = features(traces).select("trace_id", F.col(order).alias("_at"), F.lit(1).alias("_live"), *FEATS)
+    if baseline is not None:
+        warm = features(baseline).select(F.lit(None).cast("string").alias("trace_id"),
+                                         F.coalesce("line", F.monotonically_increasing_id()).alias("_at"), F.lit(0).alias("_live"), *FEATS)
+        rows = rows.unionByName(warm)
+    rows = rows.withColumn("_normal", (F.col("f_err") == 0).cast("int"))
+    ranked = range_rank(rows, ["_live", "_at"], flags=["_normal"])
+    return ranked.select("trace_id", *FEATS, F.col("_normal").alias("normal"), F.col("_pos").alias("seen"),
+                         F.col("_fpos__normal").alias("normals"))
 
 
-# ---- model fitting (numpy, per epoch) --------------------------------------------------
+def training_rows(arrived: DataFrame) -> DataFrame:
+    """M8: version, place (0 to 99), trace_id and features of the rows that each complete version learns.
+
+    A normal trace is in at most two buffers; the last version may still be filling and is left out.
+    """
+    v = F.floor(F.col("normals") / KEPT)
+    rows = (arrived.filter("normal = 1")
+            .withColumn("version", F.explode(F.array(v, v - 1))).filter("version >= 0")
+            .withColumn("place", (F.col("normals") - F.col("version") * KEPT).cast("int")))
+    whole = rows.groupBy("version").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == BUFFER).select("version")
+    return rows.join(whole, "version").select("version", "place", "trace_id", *FEATS)
+
+
+def version_in_force(normals: Column) -> Column:
+    """The version that so many normal traces have completed; null before the first."""
+    return F.when(normals >= BUFFER, F.floor((normals - BUFFER) / KEPT))
+
+
+def moments(training: DataFrame) -> DataFrame:
+    """M6: mean and deviation of the features and correlation of duration and span count, per version.
+
+    A feature that does not vary has deviation 1; the correlation is then 0.
+    """
+    def sd(c):
+        return F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0)
+
+    both = (F.stddev_pop("f_dur") > 0) & (F.stddev_pop("f_spans") > 0)
+    return training.groupBy("version").agg(
+        *[F.avg(c).alias(f"mean_{c}") for c in FEATS], *[sd(c).alias(f"sd_{c}") for c in FEATS],
+        (F.stddev_pop("f_dur") > 0).alias("varies_dur"), (F.stddev_pop("f_spans") > 0).alias("varies_spans"),
+        F.when(both, F.covar_pop("f_dur", "f_spans")).otherwise(0.0).alias("covariance"))
+
+
+def reconstruction_error() -> Column:
+    """M6: mean squared distance of a trace from its version's first principal component.
+
+    Of two varying features the standardised component is (1, ±1) / √2 with the sign of their
+    covariance, of one it is that feature's axis; the error rate never varies in training rows.
+    """
+    z = [(F.col(c) - F.col(f"mean_{c}")) / F.col(f"sd_{c}") for c in FEATS]
+    sign = F.when(F.col("covariance") < 0, -1.0).otherwise(1.0)
+    along = (F.when(F.col("varies_dur") & F.col("varies_spans"), (z[0] + sign * z[1]) * F.lit(math.sqrt(0.5)))
+             .when(F.col("varies_dur"), z[0]).when(F.col("varies_spans"), z[1]).otherwise(0.0))
+    return (z[0] * z[0] + z[1] * z[1] + z[2] * z[2] - along * along) / 3.0
+
+
+def _distance(a: Column, b: Column) -> Column:
+    d = [a[c] - b[c] for c in FEATS]
+    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("n")),
+                       lambda s, x: F.struct((s["t"] + x).alias("t"), (s["n"] + 1).alias("n")), lambda s: s["t"] / s["n"])
+
+
+def _nearest(points: Column, at: Column, own: Column | None = None) -> Column:
+    """The LOF_K points (d, j) nearest to ``at``, by distance then place, without the point at place ``own``."""
+    found = F.transform(points, lambda q, j: F.struct(_distance(q, at).alias("d"), j.alias("j")))
+    if own is not None:
+        found = F.filter(found, lambda x: x["j"] != own)
+    return F.slice(F.array_sort(found), 1, LOF_K)
+
+
+def _density(near: Column, reach: Column) -> Column:
+    """1 / mean reachability distance from the ``near`` points, whose k-distances are ``reach``."""
+    return 1.0 / (_mean(F.transform(near, lambda x: F.greatest(x["d"], F.element_at(reach, x["j"] + 1)))) + 1e-10)
+
+
+def with_densities(models: DataFrame) -> DataFrame:
+    """M7: k-distance and local density of each of a version's ``points``."""
+    near = F.transform("points", lambda p, i: _nearest(F.col("points"), p, i))
+    kdist = F.transform("_near", lambda n: F.element_at(n, -1)["d"])
+    lrd = F.transform("_near", lambda n: _density(n, F.col("kdist")))
+    # written, or every density would compute the neighbours anew
+    models = materialize(models.withColumn("_near", near).withColumn("kdist", kdist), "lof-neighbours")
+    return models.withColumn("lrd", lrd).drop("_near")
 
-def _hs_structure():
-    rng = np.random.default_rng(HS_SEED)
-    n_nodes = 2 ** (HS_HEIGHT + 1) - 1
-    q = np.zeros((HS_TREES, n_nodes), dtype=np.int64)
-    p = np.zeros((HS_TREES, n_nodes))
-    for t in range(HS_TREES):
-        lo = {0: np.zeros(3)}
-        hi = {0: np.ones(3)}
-        for node in range(2 ** HS_HEIGHT - 1):
-            d = int(rng.integers(0, 3))
-            s = rng.uniform(lo[node][d], hi[node][d])
-            q[t, node], p[t, node] = d, s
-            for child, is_right in ((2 * node + 1, False), (2 * node + 2, True)):
-                clo, chi = lo[node].copy(), hi[node].copy()
-                if is_right:
-                    clo[d] = s
-                else:
-                    chi[d] = s
-                lo[child], hi[child] = clo, chi
-    return q, p
-
-
-HS_Q, HS_P = _hs_structure()
-
-
-def _hs_paths(x: np.ndarray) -> np.ndarray:
-    """Node ids on the path of each row in each tree: shape (rows, trees, height+1)."""
-    n = len(x)
-    out = np.zeros((n, HS_TREES, HS_HEIGHT + 1), dtype=np.int64)
-    node = np.zeros((n, HS_TREES), dtype=np.int64)
-    tid = np.arange(HS_TREES)[None, :]
-    for depth in range(HS_HEIGHT + 1):
-        out[:, :, depth] = node
-        if depth == HS_HEIGHT:
-            break
-        d = HS_Q[tid, node]
-        v = np.take_along_axis(np.repeat(x[:, None, :], HS_TREES, axis=1), d[:, :, None], axis=2)[:, :, 0]
-        node = 2 * node + 1 + (v > HS_P[tid, node]).astype(np.int64)
-    return out
 
+def outlier_factor() -> Column:
+    """M7: mean density of a trace's neighbours among its version's points over its own density."""
+    at = F.struct(*FEATS)
+    return _bound(_nearest(F.col("points"), at), lambda n: _mean(F.transform(
+        n, lambda x: F.element_at(F.col("lrd"), x["j"] + 1))) / _density(n, F.col("kdist")))
 
-def _c(n: float) -> float:
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
-
-
-def _fit_iforest(x: np.ndarray, rng) -> dict:
-    psi = min(256, len(x))
-    limit = int(math.ceil(math.log2(max(psi, 2))))
-    trees = []
-    for _ in range(IF_TREES):
-        idx = rng.choice(len(x), size=psi, replace=False)
-        feat, thr, left, right, size = [], [], [], [], []
-
-        def build(rows, depth):
-            i = len(feat)
-            feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1), size.append(len(rows))
-            pts = x[rows]
-            if depth >= limit or len(rows) <= 1:
-                return i
-            spans = pts.max(axis=0) - pts.min(axis=0)
-            cand = np.flatnonzero(spans > 0)
-            if len(cand) == 0:
-                return i
-            d = int(rng.choice(cand))
-            s = rng.uniform(pts[:, d].min(), pts[:, d].max())
-            feat[i], thr[i] = d, s
-            left[i] = build(rows[pts[:, d] < s], depth + 1)
-            right[i] = build(rows[pts[:, d] >= s], depth + 1)
-            return i
-        build(idx, 0)
-        trees.append({"f": feat, "t": thr, "l": left, "r": right, "n": size})
-    return {"trees": trees, "psi": psi}
-
-
-def _score_iforest(m: dict, x: np.ndarray) -> np.ndarray:
-    depth_sum = np.zeros(len(x))
-    for tr in m["trees"]:
-        f, t, l, r, n = (np.asarray(tr[k]) for k in ("f", "t", "l", "r", "n"))
-        node = np.zeros(len(x), dtype=np.int64)
-        depth = np.zeros(len(x))
-        active = f[node] >= 0
-        while active.any():
-            go_left = x[np.arange(len(x)), np.maximum(f[node], 0)] < t[node]
-            nxt = np.where(go_left, l[node], r[node])
-            node = np.where(active, nxt, node)
-            depth = depth + active
-            active = f[node] >= 0
-        depth_sum += depth + np.array([_c(v) for v in n[node]])
-    e_h = depth_sum / len(m["trees"])
-    return 2.0 ** (-e_h / max(_c(m["psi"]), 1e-12))      # in (0, 1]; higher = more anomalous
-
-
-def _fit_lof(x: np.ndarray) -> dict:
-    k = min(LOF_K, max(len(x) - 1, 1))
-    dist = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
-    np.fill_diagonal(dist, np.inf)
-    order = np.argsort(dist, axis=1)[:, :k]
-    kdist = np.take_along_axis(dist, order[:, -1:], axis=1)[:, 0]
-    reach = np.maximum(np.take_along_axis(dist, order, axis=1), kdist[order])
-    lrd = 1.0 / (reach.mean(axis=1) + 1e-10)
-    return {"x": x.tolist(), "kdist": kdist.tolist(), "lrd": lrd.tolist(), "k": k}
-
-
-def _score_lof(m: dict, x: np.ndarray) -> np.ndarray:
-    ref, kd, lrd, k = np.asarray(m["x"]), np.asarray(m["kdist"]), np.asarray(m["lrd"]), m["k"]
-    dist = np.sqrt(((x[:, None, :] - ref[None, :, :]) ** 2).sum(-1))
-    nn = np.argsort(dist, axis=1)[:, :k]
-    reach = np.maximum(np.take_along_axis(dist, nn, axis=1), kd[nn])
-    lrd_x = 1.0 / (reach.mean(axis=1) + 1e-10)
-    return lrd[nn].mean(axis=1) / lrd_x                  # LOF ratio (≈1 for inliers)
-
-
-def _fit_pca(x: np.ndarray) -> dict:
-    mu = x.mean(axis=0)
-    sd = x.std(axis=0)
-    sd[sd == 0] = 1.0
-    z = (x - mu) / sd
-    cov = np.cov(z, rowvar=False) if len(x) > 1 else np.eye(3)
-    w, v = np.linalg.eigh(np.atleast_2d(cov))
-    comp = v[:, np.argsort(w)[::-1][:2]]
-    return {"mu": mu.tolist(), "sd": sd.tolist(), "c": comp.tolist()}
-
-
-def _score_pca(m: dict, x: np.ndarray) -> np.ndarray:
-    mu, sd, c = np.asarray(m["mu"]), np.asarray(m["sd"]), np.asarray(m["c"])
-    z = (x - mu) / sd
-    rec = z @ c @ c.T
-    return ((z - rec) ** 2).mean(axis=1)
-
-
-def _fit_svm(x: np.ndarray, rng, nu: float = 0.1, epochs: int = 30, lr: float = 0.05) -> dict:
-    var = x.var() if x.var() > 0 else 1.0
-    gamma = 1.0 / (x.shape[1] * var)
-    W = rng.normal(0.0, math.sqrt(2 * gamma), size=(RFF_DIM, x.shape[1]))
-    b = rng.uniform(0, 2 * math.pi, size=RFF_DIM)
-    phi = math.sqrt(2.0 / RFF_DIM) * np.cos(x @ W.T + b)
-    w = np.zeros(RFF_DIM)
-    rho = 0.0
-    n = len(x)
-    for _ in range(epochs):
-        s = phi @ w - rho
-        viol = s < 0
-        gw = w - (phi[viol].sum(axis=0) / (nu * n) if viol.any() else 0.0)
-        gr = -1.0 + viol.sum() / (nu * n)
-        w -= lr * gw
-        rho -= lr * gr
-    return {"W": W.tolist(), "b": b.tolist(), "w": w.tolist(), "rho": rho}
-
-
-def _score_svm(m: dict, x: np.ndarray) -> np.ndarray:
-    W, b, w = np.asarray(m["W"]), np.asarray(m["b"]), np.asarray(m["w"])
-    phi = math.sqrt(2.0 / len(b)) * np.cos(x @ W.T + b)
-    return -(phi @ w - m["rho"])                         # > 0 outside the boundary
-
-
-def _fit_epoch(pdf: pd.DataFrame) -> pd.DataFrame:
-    epoch = int(pdf["epoch"].iloc[0])
-    rng = np.random.default_rng(HS_SEED + epoch)
-    tr = pdf[pdf["role"] == "train"][FEATS].to_numpy(dtype=float)
-    win = pdf[pdf["role"] == "window"][FEATS].to_numpy(dtype=float)
-    model: dict = {"epoch": epoch}
-    span_max = float(max(win[:, 1].max() if len(win) else 1.0, 1.0))
-    model["span_max"] = span_max
-    if len(win):
-        paths = _hs_paths(_hs_scale(win, span_max))
-        mass = np.zeros((HS_TREES, 2 ** (HS_HEIGHT + 1) - 1))
-        for t in range(HS_TREES):
-            np.add.at(mass[t], paths[:, t, :].ravel(), 1)
-        model["hs_mass"] = mass.tolist()
-    if len(tr) >= 2:
-        model["if"] = _fit_iforest(tr, rng)
-        model["lof"] = _fit_lof(tr)
-        model["pca"] = _fit_pca(tr)
-        model["svm"] = _fit_svm(tr, rng)
-        # raw-score range on the training sample, for norm='minmax'
-        raw = _raw_scores(model, tr)
-        model["range"] = {k: [float(v.min()), float(v.max())] for k, v in raw.items()}
-    return pd.DataFrame({"epoch": [epoch], "model": [json.dumps(model)]})
-
-
-def _raw_scores(m: dict, x: np.ndarray) -> dict:
-    return {"isolation_forest": _score_iforest(m["if"], x), "one_class_svm": _score_svm(m["svm"], x),
-            "autoencoder_mse": _score_pca(m["pca"], x), "lof": _score_lof(m["lof"], x)}
-
-
-def _hs_scale(x: np.ndarray, span_max: float) -> np.ndarray:
-    s = x.copy()
-    s[:, 0] = s[:, 0] / 5.0
-    s[:, 1] = np.minimum(s[:, 1] / span_max, 1.0)
-    return s
-
-
-SCORE_SCHEMA = T.StructType([
-    T.StructField("trace_id", T.StringType()), T.StructField("epoch", T.LongType()),
-    *[T.StructField(m, T.DoubleType()) for m in MODELS], T.StructField("trained", T.BooleanType())])
-
-
-SCORE_CHUNK = 20_000   # rows scored at a time (LOF distances are chunk × sample)
-
-
-def _score_epoch_factory(norm: str):
-    def _score_epoch(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=SCORE_SCHEMA.fieldNames())
-        m = json.loads(models["model"].iloc[0]) if not models.empty else {}
-        parts = [_score_chunk(rows.iloc[i:i + SCORE_CHUNK], m, norm) for i in range(0, len(rows), SCORE_CHUNK)]
-        return pd.concat(parts, ignore_index=True)
-    return _score_epoch
-
-
-def _score_chunk(rows: pd.DataFrame, m: dict, norm: str = "reference") -> pd.DataFrame:
-    x = rows[FEATS].to_numpy(dtype=float)
-    n = len(x)
-    out = pd.DataFrame({"trace_id": rows["trace_id"].values, "epoch": rows["epoch"].values})
-    # M3 Half-Space Trees: mass-weighted depth along the path, 1 - score/max
-    if "hs_mass" in m:
-        mass = np.asarray(m["hs_mass"])
-        paths = _hs_paths(_hs_scale(x, m["span_max"]))
-        score = np.zeros(n)
-        limit = 0.1 * HS_WINDOW
-        for t in range(HS_TREES):
-            alive = np.ones(n, dtype=bool)
-            for depth in range(HS_HEIGHT + 1):
-                mm = mass[t, paths[:, t, depth]]
-                score += np.where(alive, mm * 2.0 ** depth, 0.0)
-                alive &= mm >= limit
-        max_score = HS_TREES * HS_WINDOW * (2 ** (HS_HEIGHT + 1) - 1)
-        hs_raw = 1.0 - score / max_score
-    else:
-        hs_raw = np.ones(n)
-    out["hs_trees"] = np.minimum(hs_raw / 0.8, 1.0)
-    trained = "if" in m
-    if trained and norm == "minmax":          # scaled by the training sample's raw range
-        for k, v in _raw_scores(m, x).items():
-            lo, hi = m["range"][k]
-            out[k] = np.clip((v - lo) / (hi - lo), 0.0, 1.0) if hi > lo else np.zeros(n)
-    elif trained:                              # the monitored system's fixed normalisation
-        out["isolation_forest"] = np.clip((_score_iforest(m["if"], x) + 0.5) / 0.5, 0.0, 1.0)
-        out["one_class_svm"] = np.clip((_score_svm(m["svm"], x) + 10.0) / 20.0, 0.0, 1.0)
-        out["autoencoder_mse"] = np.clip(_score_pca(m["pca"], x) / 0.1, 0.0, 1.0)
-        out["lof"] = np.clip(_score_lof(m["lof"], x) - 1.0, 0.0, 1.0)
-    else:   # untrained batch models count as 0
-        for k in ("isolation_forest", "one_class_svm", "autoencoder_mse", "lof"):
-            out[k] = 0.0
-    out["trained"] = trained
-    return out[SCORE_SCHEMA.fieldNames()]
-
-
-def ensemble_scores(traces: DataFrame, order: str = "trace_seq", epoch_width: int = EPOCH_TRACES,
-                    norm: str = "reference") -> DataFrame:
-    """M3–M8: per-model scores for every trace (prequential, per epoch).
-
-    ``norm='reference'`` keeps the monitored system's fixed normalisations (the
-    isolation-forest score saturates at 1 once trained); ``norm='minmax'``
-    scales each batch model's raw score by its range on the training sample.
+
+def _numbers(values) -> Column:
+    """A fixed array as one literal."""
+    return F.from_json(F.lit("[" + ",".join(repr(float(v)) for v in values) + "]"), "array<double>")
+
+
+def svm_directions() -> tuple[np.ndarray, np.ndarray]:
+    """Seeded directions and phases of the Fourier features."""
+    rng = np.random.default_rng(SVM_SEED)
+    return rng.normal(size=(SVM_FEATURES, 3)), rng.uniform(0, 2 * math.pi, SVM_FEATURES)
+
+
+def _phi(point: Column, gamma: Column) -> Column:
+    """Fourier features of a point for the kernel exp(-gamma d²)."""
+    w, b = svm_directions()
+    axes = F.arrays_zip(*[_numbers(w[:, k]).alias(f"w{k}") for k in range(3)], _numbers(b).alias("b"))
+    return F.transform(axes, lambda a: F.lit(math.sqrt(2.0 / SVM_FEATURES)) * F.cos(
+        F.sqrt(2 * gamma) * (a["w0"] * point[FEATS[0]] + a["w1"] * point[FEATS[1]] + a["w2"] * point[FEATS[2]]) + a["b"]))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+
+def with_boundary(models: DataFrame) -> DataFrame:
+    """M5: kernel width ``gamma`` (scale rule), weights and offset of a one-class SVM on ``points``.
+
+    Each step lowers 0.5 |w|² - rho + mean(max(0, rho - w·phi)) / nu by its subgradient, whose
+    sum goes over the version's violating rows.
+    """
+    flat = F.flatten(F.transform("points", lambda p: F.array(*[p[c] for c in FEATS])))
+    spread = _bound(flat, lambda f: _bound(_mean(f), lambda m: _mean(F.transform(f, lambda x: (x - m) * (x - m)))))
+    models = models.withColumn("gamma", 1.0 / (3 * F.when(spread > 0, spread).otherwise(1.0)))
+    # written, or every step would compute the features anew
+    models = materialize(models.withColumn("_phis", F.transform("points", lambda p: _phi(p, F.col("gamma")))), "svm-features")
+    zeros = F.array_repeat(F.lit(0.0), SVM_FEATURES)
+    share = SVM_NU * BUFFER
+
+    def step(state, _):
+        out = F.filter("_phis", lambda p: _dot(p, state["w"]) < state["rho"])
+        pulled = F.aggregate(out, zeros, lambda t, p: F.zip_with(t, p, lambda x, y: x + y))
+        return F.struct(F.zip_with(state["w"], pulled, lambda w, s: w - SVM_RATE * (w - s / share)).alias("w"),
+                        (state["rho"] - SVM_RATE * (F.size(out) / share - 1.0)).alias("rho"))
+
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(SVM_STEPS)), F.struct(zeros.alias("w"), F.lit(0.0).alias("rho")), step)
+    return models.withColumn("svm", fitted).drop("_phis")
+
+
+def outside_boundary() -> Column:
+    """M5: how far a trace lies outside its version's boundary; negative inside."""
+    return F.col("svm.rho") - _dot(_phi(F.struct(*FEATS), F.col("gamma")), F.col("svm.w"))
+
+
+def _average_path(n: Column) -> Column:
+    """Mean depth of an unsuccessful search among n points."""
+    n = n.cast("double")
+    return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2.0 * (F.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def isolation() -> Column:
+    """M4: isolation score of a trace among its version's points, in (0, 1].
+
+    A tree keeps the points on the trace's side of cuts at a feature and place drawn by hash
+    from the version, the tree and the path so far, until at most one is left.
     """
-    feat = with_epoch(features(traces), order, epoch_width)
-    models = training_rows(feat, order).groupBy("epoch").applyInPandas(
-        _fit_epoch, "epoch long, model string")
-    rows = feat.select("trace_id", "epoch", *FEATS)
-    return rows.groupBy("epoch").cogroup(models.groupBy("epoch")).applyInPandas(
-        _score_epoch_factory(norm), SCORE_SCHEMA)
+    me = F.array(*FEATS)
+
+    def cut(state, tree):
+        draws = [F.pmod(F.xxhash64(F.lit(k), "version", tree, state["path"]), F.lit(1 << 30)) for k in (0, 1)]
+        drawn = F.struct(((draws[0] % 3) + 1).cast("int").alias("axis"), (draws[1] / float(1 << 30)).alias("share"))
+        return _bound(drawn, lambda d: _bound(F.transform(state["points"], lambda p: F.element_at(p, d["axis"])), lambda v: _bound(
+            F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")), lambda r: _bound(
+                (r["low"] + (r["high"] - r["low"]) * d["share"]), lambda at: _bound(F.element_at(me, d["axis"]) < at, lambda mine: F.struct(
+                    F.when(r["high"] <= r["low"], state["points"]).otherwise(
+                        F.filter(state["points"], lambda p: (F.element_at(p, d["axis"]) < at) == mine)).alias("points"),
+                    (state["depth"] + 1.0).alias("depth"), (state["path"] * 2 + mine.cast("long")).alias("path")))))))
+
+    def depth_of(tree):
+        start = F.struct(F.transform("points", lambda p: F.array(*[p[c] for c in FEATS])).alias("points"),
+                         F.lit(0.0).alias("depth"), F.lit(1).cast("long").alias("path"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(IF_HEIGHT)), start,
+                           lambda s, _: F.when(F.size(s["points"]) <= 1, s).otherwise(cut(s, tree)),
+                           lambda s: s["depth"] + _average_path(F.size(s["points"])))
+
+    mean = _mean(F.transform(F.sequence(F.lit(1), F.lit(IF_TREES)), depth_of))
+    n = float(BUFFER)
+    return F.pow(F.lit(2.0), -mean / (2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n))
+
+
+def versions(training: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """M8: the model table, one row per version; only what ``models`` need."""
+    models = MODELS if models is None else models
+    points = F.transform(F.array_sort(F.collect_list(F.struct("place", *FEATS))), lambda x: F.struct(*[x[c].alias(c) for c in FEATS]))
+    out = training.groupBy("version").agg(points.alias("points")).join(moments(training), "version")
+    if "lof" in models:
+        out = with_densities(out)
+    if "one_class_svm" in models:
+        out = with_boundary(out)
+    return out
 
 
-def soft_vote(scores: DataFrame, traces: DataFrame) -> DataFrame:
-    """M9 (+M2, A25): aggregate = min(0.6·mean(5 models) + 0.4·bounds, 1);
+# ---- half-space trees (M3) ----------------------------------------------------------------
+
+def hs_shapes() -> tuple[np.ndarray, np.ndarray]:
+    """Feature and place of the cut at each inner node of each tree, seeded; children of i are 2 i + 1 and 2 i + 2."""
+    rng = np.random.default_rng(HS_SEED)
+    inner = 2 ** HS_HEIGHT - 1
+    axis, place = rng.integers(0, 3, (HS_TREES, inner)), rng.uniform(size=(HS_TREES, inner))
+    low, high = np.zeros((HS_TREES, 2 * inner + 1, 3)), np.ones((HS_TREES, 2 * inner + 1, 3))
+    tree = np.arange(HS_TREES)
+    for i in range(inner):
+        d = axis[:, i]
+        place[:, i] = low[tree, i, d] + place[:, i] * (high[tree, i, d] - low[tree, i, d])
+        for child in (2 * i + 1, 2 * i + 2):
+            low[:, child], high[:, child] = low[:, i], high[:, i]
+        high[tree, 2 * i + 1, d] = place[:, i]
+        low[tree, 2 * i + 2, d] = place[:, i]
+    return axis, place
+
+
+def hs_nodes(arrived: DataFrame) -> DataFrame:
+    """``win``, seen, trace_id, tree, depth and node: a row per node that a trace passes."""
+    axis, place = hs_shapes()
+    inner = 2 ** HS_HEIGHT - 1
+    x = F.array(F.col("f_dur") / 5.0, F.least(F.col("f_spans") / HS_SPANS, F.lit(1.0)), F.col("f_err"))
+    # both tables in one array per row: an axis and a place for each inner node of each tree
+    at = lambda table, tree, node: F.element_at(table, (tree * inner + node + 1).cast("int"))
+    cuts, places = _numbers(axis.ravel()), _numbers(place.ravel())
+
+    def leaf(tree):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(HS_HEIGHT)), F.lit(0), lambda node, _: (
+            2 * node + 1 + (F.element_at(F.col("_x"), (at(cuts, tree, node) + 1).cast("int")) > at(places, tree, node)).cast("int")))
+
+    leaves = F.transform(F.sequence(F.lit(0), F.lit(HS_TREES - 1)), lambda t: F.struct(t.alias("tree"), leaf(t).alias("leaf")))
+    rows = (arrived.select(F.floor(F.col("seen") / HS_WINDOW).alias("win"), "seen", "trace_id", x.alias("_x"))
+            .withColumn("_l", F.explode(leaves)).select("win", "seen", "trace_id", "_l.*")
+            .withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(HS_HEIGHT)))))
+    node = F.expr(f"cast(floor((leaf + 1) / pow(2, {HS_HEIGHT} - depth)) - 1 as int)")
+    return rows.select("win", "seen", "trace_id", "tree", "depth", node.alias("node"))
+
+
+def hs_masses(nodes: DataFrame) -> DataFrame:
+    """win, tree, node, mass: traces of each whole window through each node."""
+    masses = nodes.groupBy("win", "tree", "node").agg(F.count(F.lit(1)).alias("mass"))
+    whole = masses.filter("node = 0 and tree = 0").filter(F.col("mass") == HS_WINDOW).select("win")
+    return masses.join(whole, "win")
+
+
+def hs_scores(arrived: DataFrame) -> DataFrame:
+    """M3: trace_id and ``hs_trees``: 1 - mass · 2^depth down to the first node of little mass, scaled.
+
+    The masses are those of the window before; without one the score is 1.
+    """
+    nodes = materialize(hs_nodes(arrived), "hs-nodes")
+    masses = hs_masses(nodes)
+    above = masses.select("win", "tree", F.col("node").alias("_up"), F.col("mass").alias("_over"))
+    open_ = (masses.withColumn("_up", F.expr("if(node = 0, 0, (node - 1) div 2)"))
+             .join(above, ["win", "tree", "_up"]).filter((F.col("node") == 0) | (F.col("_over") >= 0.1 * HS_WINDOW))
+             .select((F.col("win") + 1).alias("win"), "tree", "node", "mass"))
+    top = float(HS_TREES * HS_WINDOW * (2 ** (HS_HEIGHT + 1) - 1))
+    score = F.coalesce(F.sum(F.col("mass") * F.pow(F.lit(2.0), F.col("depth"))), F.lit(0.0))
+    return (nodes.filter("trace_id is not null").join(open_, ["win", "tree", "node"], "left")
+            .groupBy("trace_id").agg(F.least((1.0 - score / top) / 0.8, F.lit(1.0)).alias("hs_trees")))
+
+
+# ---- scores and vote ------------------------------------------------------------------------
+
+def _between(c: Column) -> Column:
+    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+
+
+def batch_scores() -> dict[str, Column]:
+    """M4–M7 of a trace beside its version's row, normalised as the monitored system does."""
+    return {"isolation_forest": _between((isolation() + 0.5) / 0.5),
+            "one_class_svm": _between((outside_boundary() + 10.0) / 20.0),
+            "autoencoder_mse": _between(reconstruction_error() / 0.1),
+            "lof": _between(outlier_factor() - 1.0)}
+
+
+def ensemble_scores(traces: DataFrame, order: str = "trace_seq", baseline: DataFrame | None = None,
+                    models: list[str] | None = None) -> DataFrame:
+    """trace_id, version in force and the score of each model; 0 for a batch model without a version."""
+    models = MODELS if models is None else models
+    arrived = arrivals(traces, order, baseline)
+    table = materialize(versions(training_rows(arrived), models), "model-versions")
+    rows = arrived.filter("trace_id is not null").withColumn("version", version_in_force(F.col("normals")))
+    batch = {m: c for m, c in batch_scores().items() if m in models}
+    out = rows.join(table, "version", "left").select("trace_id", "version", *[
+        F.when(F.col("points").isNull(), 0.0).otherwise(c).alias(m) for m, c in batch.items()])
+    if "hs_trees" in models:
+        out = out.join(hs_scores(arrived), "trace_id")
+    return out.select("trace_id", "version", *models)
+
+
+def soft_vote(scores: DataFrame, traces: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """M9 (+M2, A25): aggregate = min(0.6·mean(models) + 0.4·bounds, 1);
     anomaly when strictly above 0.5."""
     from ..operators.traces import bound_score
+    models = MODELS if models is None else models
     t = traces.select("trace_id", bound_score(F.col("duration_ms"), F.col("span_count"),
                                               F.col("error_rate")).alias("bound"))
     j = scores.join(t, "trace_id")
-    ml_avg = sum((F.col(m) for m in MODELS), F.lit(0.0)) / float(len(MODELS))
+    ml_avg = sum((F.col(m) for m in models), F.lit(0.0)) / float(len(models))
     agg = F.least(F.lit(0.6) * ml_avg + F.lit(0.4) * F.col("bound"), F.lit(1.0))
-    per_model = F.create_map(*[x for m in MODELS for x in (F.lit(m), F.col(m))])
+    per_model = F.create_map(*[x for m in models for x in (F.lit(m), F.col(m))])
     return j.select(
-        "trace_id", "epoch", *MODELS, "trained", "bound",
-        per_model.alias("per_model"),
+        "trace_id", "version", *models, "bound", per_model.alias("per_model"),
         (F.aggregate(F.map_values(per_model), F.lit(0.0), lambda a, v: a + v)
          / F.size(per_model)).alias("ensemble_avg"),
         agg.alias("aggregate_score"), (agg > 0.5).alias("ml_anomaly"))

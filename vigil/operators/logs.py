@@ -14,7 +14,7 @@ from ..functions.common import known, rnd
 from ..functions.constants import (LOG_BUFFER_MAX_PER_TRACE, PII_COOLDOWN_S, PII_MIN_LOGS,
                                    PII_THRESHOLD, PII_WINDOW_S)
 from ..functions.redaction import is_redacted, redact
-from ..plans.ordered import greedy_cooldown_parallel, running_count, sliding_count, top_n_per_key
+from ..plans.ordered import greedy_cooldown, running_count, sliding_count, top_n_per_key
 
 US = 1_000_000
 COARSE_SEQ = 5_000_000
@@ -54,7 +54,7 @@ def pii_alerts(logs: DataFrame, key: str = "service_name", threshold: float = PI
                cooldown_s: float = PII_COOLDOWN_S) -> DataFrame:
     """W4 + W5 + M14: PII density alerts after the 60 s per-service cooldown."""
     c = pii_density(logs, key, threshold)
-    fired = greedy_cooldown_parallel(c, key, "ts", "seq", cooldown_s).filter(F.col("fired"))
+    fired = greedy_cooldown(c, key, "ts", "seq", cooldown_s).filter(F.col("fired"))
     tid = F.when(F.coalesce(F.col("trace_id"), F.lit("")) != "", F.col("trace_id")).otherwise(
         F.concat(F.lit("pii-"), F.col(key), F.lit("-"),
                  F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / US).cast("string")))

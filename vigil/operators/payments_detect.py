@@ -10,8 +10,8 @@ task, and the result is exact:
 * velocity — user's txns in the last 60 s: a difference of two exact
   positions in a range-partitioned order (``sliding_count``);
 * duplicate charge — oldest earlier charge of the same user and amount within
-  120 s: for each of the user's distinct amounts less than 0.01 away, the
-  charge at the window's lower position (``first_in_window``);
+  120 s: in each dyadic node of the amounts less than 0.01 away, the charge at
+  the window's lower position (``first_in_window``);
 * gateway timeout — a row predicate.
 
 Candidates then pass the 45 s per-(type, target) cooldown (greedy, first
@@ -19,14 +19,15 @@ fires), which only moves candidate rows.
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import known, rnd
 
 from ..functions.constants import PAY_TUNING as T
-from ..plans.ordered import (first_in_window, greedy_cooldown_parallel, key_rank, row_blocks,
-                             sliding_count)
+from ..plans.materialize import materialize
+from ..plans.ordered import first_in_window, greedy_cooldown, key_rank, range_rank, row_blocks, sliding_count
 
 # block sizes: a window partition never holds more than this many own rows
 BLOCK_ROWS = 200_000
@@ -78,26 +79,84 @@ def velocity_candidates(txn: DataFrame, memory: int | None = None, hot_rows: int
             .withColumn("target", F.col("user")).drop("_n"))
 
 
+DUP_APART = 0.01
+
+
+def _places(x: np.ndarray) -> np.ndarray:
+    """The place of each finite double among all doubles, as whole numbers."""
+    bits = x.view(np.int64)
+    return np.where(bits >= 0, bits, np.iinfo(np.int64).min - bits)
+
+
+def _doubles(places: np.ndarray) -> np.ndarray:
+    return np.where(places >= 0, places, np.iinfo(np.int64).min - places).view(np.float64)
+
+
+def _close_range(batches):
+    """The least and the greatest double less than DUP_APART from each amount, as doubles subtract."""
+    for pdf in batches:
+        a = pdf["amount"].to_numpy(dtype=float).copy()
+        for out, sign in (("_least", -1.0), ("_greatest", 1.0)):
+            near, far = _places(a), _places(a + sign * np.maximum(1.1 * DUP_APART, 1e-15 * a))
+            for _ in range(64):                        # bisection; far and near end up neighbours
+                mid = near + (far - near) // 2
+                close = np.abs(a - _doubles(mid)) < DUP_APART
+                near, far = np.where(close, mid, near), np.where(close, far, mid)
+            pdf[out] = _doubles(near)
+        yield pdf
+
+
+def _amount_nodes(charges: DataFrame) -> DataFrame:
+    """user, amount, its position and the dyadic nodes (level, node) that make up the close amounts.
+
+    All distinct (user, amount) stand in one range-partitioned order.  The amounts less than
+    0.01 away are a stretch of positions, which splits into at most two nodes a level.
+    """
+    amounts = materialize(charges.select("user", "amount").distinct()
+                          .mapInPandas(_close_range, "user string, amount double, _least double, _greatest double"),
+                          "dup-amounts")
+    ends = [amounts.select("user", "amount", F.col(value).alias("_v"), F.lit(kind).alias("_kind"), F.lit(int(kind == 1)).alias("_own"))
+            for value, kind in (("_least", 0), ("amount", 1), ("_greatest", 2))]
+    ranked = range_rank(ends[0].unionByName(ends[1]).unionByName(ends[2]), ["user", "_v", "_kind", "amount"], flags=["_own"])
+    at = ranked.groupBy("user", "amount").agg(*[
+        F.max(F.when(F.col("_kind") == k, F.col("_fpos__own"))).alias(n) for k, n in ((0, "_lo"), (1, "_p"), (2, "_hi"))])
+
+    def up(s, k):
+        left, right = s["l"] % 2 == 1, s["r"] % 2 == 1
+        some = s["l"] < s["r"]
+        new = F.filter(F.array(F.when(some & left, s["l"]), F.when(some & right & (s["r"] - 1 >= s["l"] + left.cast("long")), s["r"] - 1)),
+                       lambda x: x.isNotNull())
+        return F.struct(F.floor((s["l"] + left.cast("long")) / 2).alias("l"), F.floor((s["r"] - right.cast("long")) / 2).alias("r"),
+                        F.concat(s["nodes"], F.transform(new, lambda x: F.struct(k.alias("level"), x.alias("node")))).alias("nodes"))
+
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("_hi") - F.col("_lo"))).cast("int"))
+    nodes = F.aggregate(levels, F.struct(F.col("_lo").alias("l"), F.col("_hi").alias("r"), none.alias("nodes")), up, lambda s: s["nodes"])
+    return at.select("user", "amount", "_p", nodes.alias("_nodes"))
+
+
 def duplicate_candidates(txn: DataFrame) -> DataFrame:
     """Non-FAILED charge with amount > 0 and an earlier such charge of the same
     user, less than 0.01 apart, at most 120 s before; the oldest match is reported.
 
-    A user's distinct amounts meet those of the same and the two neighbouring cents,
-    so charges are compared with amounts, not with each other.  For each close amount
-    the oldest match is the charge at the window's lower position in a
-    range-partitioned order of (user, amount, ts, seq).
+    A charge stands in one dyadic node per level of its amount's position and looks up the
+    few nodes that make up the amounts close to its own (``_amount_nodes``), so neither
+    charges nor amounts are paired: rows grow with charges times the logarithm of the number
+    of amounts in a cent.  In each node the oldest match is the charge at the window's lower
+    position in a range-partitioned order of (node, ts, seq).  Whole cents need one level.
     """
     win = T["dup_window_s"]
-    ch = known(txn, "user").filter((F.col("status") != "FAILED") & (F.col("amount") > 0))
-    cent = F.floor(F.col("amount") * 100)
-    amounts = ch.select("user", "amount").distinct()
-    close = (amounts.withColumn("_cent", F.explode(F.array(cent - 1, cent, cent + 1)))
-             .join(amounts.select("user", F.col("amount").alias("_amount"), cent.alias("_cent")), ["user", "_cent"])
-             .filter(F.abs(F.col("amount") - F.col("_amount")) < 0.01).select("user", "amount", "_amount"))
-    slim = ch.select("user", "amount", "ts", "seq", "txn_id")
-    first = first_in_window(slim.withColumnRenamed("amount", "_amount"),
-                            slim.join(close, ["user", "amount"]), ["user", "_amount"], "ts", "seq",
-                            win * US, F.struct(F.unix_micros(F.col("ts").cast("timestamp")), "seq", "txn_id"))
+    ch = known(txn, "user").filter((F.col("status") != "FAILED") & (F.col("amount") > 0) & (F.col("amount") < float("inf")))
+    slim = ch.select("user", F.col("amount").cast("double").alias("amount"), "ts", "seq", "txn_id")
+    nodes = materialize(_amount_nodes(slim), "dup-nodes")
+    placed = slim.join(nodes, ["user", "amount"])
+    top = nodes.agg(F.coalesce(F.max(F.array_max(F.transform("_nodes", lambda n: n["level"]))), F.lit(0))).scalar()
+    stands = (placed.withColumn("_level", F.explode(F.sequence(F.lit(0), top)))
+              .withColumn("_node", F.expr("shiftright(_p, _level)")))
+    asks = placed.withColumn("_n", F.explode("_nodes")).select(
+        "ts", "seq", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
+    first = first_in_window(stands, asks, ["_level", "_node"], "ts", "seq", win * US,
+                            F.struct(F.unix_micros(F.col("ts").cast("timestamp")), "seq", "txn_id"))
     oldest = first.groupBy("seq").agg(F.min("_first").getField("txn_id").alias("dup_txn_id"))
     return (ch.join(oldest, "seq")
             .withColumn("score", F.lit(0.9))
@@ -156,7 +215,7 @@ def payment_alerts(txn: DataFrame, cooldown_s: float | None = None, **kw) -> Dat
     """M15 (+W5): fired payment alerts, one row each, flat flag columns."""
     cd = T["refire_cooldown_s"] if cooldown_s is None else cooldown_s
     c = payment_alert_candidates(txn, **kw)
-    fired = greedy_cooldown_parallel(c, "cooldown_key", "ts", "seq", cd)
+    fired = greedy_cooldown(c, "cooldown_key", "ts", "seq", cd)
     return fired.filter(F.col("fired")).select(*ALERT_COLS)
 
 

@@ -9,9 +9,10 @@ partitions, so one hot service is never a single task:
 
 * N+1 needs (n, Σx, Σx²) of all earlier traces of the service — a prefix sum
   over (service, coarse block) totals plus a running sum inside the block;
-* bimodal latency is an EWMA; it is folded sequentially (``mapInPandas`` over
-  a sorted stream) inside (service, block), each block started from the
-  ``EWMA_DEPTH`` traces before it, all that a double can still feel.
+* bimodal latency is an EWMA, folded inside (service, block).  What a block makes of
+  any state before it is a fixed polynomial in that state, so each block is summed up
+  on its own, the summaries are composed in block order and every block then starts
+  from its exact state.
 """
 from __future__ import annotations
 
@@ -23,11 +24,8 @@ from ..functions.common import known, rnd, safe_div
 from ..functions.constants import (BIMODAL_LAMBDA, BIMODAL_MEAN_MIN_MS, BIMODAL_STD_MS,
                                    BIMODAL_WARMUP, N_PLUS_1_FLOOR, N_PLUS_1_K, N_PLUS_1_WARMUP,
                                    SPAN_SLOW_MS)
-from ..plans.ordered import key_rank, row_blocks
+from ..plans.ordered import key_rank
 
-#: Older traces weigh nothing in double arithmetic: 0.8^3400 times the largest finite
-#: square (1.8e308) is below 1e-21, far under the six places that are reported.
-EWMA_DEPTH = 3400
 COARSE_TRACES = 5_000_000
 BLOCK_TRACES = 200_000
 
@@ -168,11 +166,97 @@ def span_totals(traces: DataFrame, key: str = "primary_service", before: DataFra
     return rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
 
 
+def _ewma_blocks(traces: DataFrame, order: str, key: str, block_rows: int | None, coarse: int | None) -> DataFrame:
+    """key, order, duration_ms, the rank ``_kr`` in the key and its block ``blk``."""
+    r = key_rank(known(traces, key), [key], order, F.floor(F.col(order) / (coarse or COARSE_TRACES)), out="_kr")
+    return r.withColumn("blk", F.floor((F.col("_kr") - 1) / (block_rows or BLOCK_TRACES)))
+
+
+def _ewma_summaries(rows: DataFrame, key: str) -> DataFrame:
+    """(key, blk, n, first, m, v, s) of each block started from its own first latency.
+
+    ``m`` and ``v`` are mean and variance behind the block, ``s`` is the sum of the
+    differences from the mean before each row.
+    """
+    lam, rest = BIMODAL_LAMBDA, 1.0 - BIMODAL_LAMBDA
+
+    def fold(batches):
+        import pandas as pd
+        cur, out = None, []
+        n = first = m = v = s = 0.0
+        for pdf in batches:
+            for g, x in zip(zip(pdf[key].tolist(), pdf["blk"].tolist()), pdf["duration_ms"].tolist()):
+                if g != cur:
+                    if cur is not None:
+                        out.append((*cur, n, first, m, v, s))
+                    cur, n, first, m, v, s = g, 0, x, x, 0.0, 0.0
+                d = x - m
+                n, s, v, m = n + 1, s + d, lam * (d * d) + rest * v, m + lam * d
+        if cur is not None:
+            out.append((*cur, n, first, m, v, s))
+        yield pd.DataFrame(out, columns=[key, "blk", "n", "first", "m", "v", "s"])
+
+    slim = rows.select(key, "blk", "_kr", "duration_ms").repartition(key, "blk").sortWithinPartitions(key, "blk", "_kr")
+    return slim.mapInPandas(fold, f"{key} string, blk long, n long, first double, m double, v double, s double")
+
+
+def ewma_after(state: tuple[float, float] | None, n: int, first: float, m: float, v: float, s: float) -> tuple[float, float]:
+    """State (mean, variance) behind a block that starts from ``state``, given its summary.
+
+    With e = mean before - first, every mean of the block is off by e times a power of
+    1 - lambda, so mean and variance behind it are polynomials in e.
+    """
+    if state is None:
+        return m, v
+    e = state[0] - first
+    last, whole = (1.0 - BIMODAL_LAMBDA) ** (n - 1), (1.0 - BIMODAL_LAMBDA) ** n
+    if e * e + state[1] + v == float("inf"):  # beyond doubles, and never back
+        return m + whole * e, float("inf")
+    return m + whole * e, (whole * state[1] + v - 2.0 * BIMODAL_LAMBDA * e * last * s
+                           + e * e * (last * (1.0 - whole)))
+
+
+def _ewma_starts(summaries: DataFrame, key: str, before: DataFrame | None) -> DataFrame:
+    """(key, blk, _m, _v): the state in front of each block, composed in block order.
+
+    The summaries are a row per block; ``before`` (key, m, v) is the state in front of block 0.
+    """
+    def fold(batches):
+        import pandas as pd
+        cur, state, out = None, None, []
+        for pdf in batches:
+            for k, blk, n, first, m, v, s in zip(*[pdf[c].tolist() for c in (key, "blk", "n", "first", "m", "v", "s")]):
+                if k != cur:
+                    cur, state = k, None
+                state = (m, v) if blk < 0 else ewma_after(state, n, first, m, v, s)
+                out.append((k, blk + 1, *state))
+        yield pd.DataFrame(out, columns=[key, "blk", "_m", "_v"])
+
+    if before is not None:
+        summaries = summaries.unionByName(before.select(
+            key, F.lit(-1).cast("long").alias("blk"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("first"),
+            "m", "v", F.lit(0.0).alias("s")))
+    return (summaries.repartition(key).sortWithinPartitions(key, "blk")
+            .mapInPandas(fold, f"{key} string, blk long, _m double, _v double"))
+
+
+def ewma_state(traces: DataFrame, order: str = "trace_seq", key: str = "primary_service",
+               block_rows: int | None = None, coarse: int | None = None, before: DataFrame | None = None) -> DataFrame:
+    """(key, n, m, v): number of traces and EWMA state behind them and those ``before``."""
+    rows = _ewma_blocks(traces.select(key, order, "duration_ms"), order, key, block_rows, coarse)
+    starts = _ewma_starts(_ewma_summaries(rows, key), key, before)
+    last = starts.groupBy(key).agg(F.max_by(F.struct("_m", "_v"), "blk").alias("_s"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if before is not None:
+        counts = counts.unionByName(before.select(key, "n")).groupBy(key).agg(F.sum("n").alias("n"))
+    return last.join(counts, key).select(key, "n", F.col("_s._m").alias("m"), F.col("_s._v").alias("v"))
+
+
 def _ewma_fold(key: str):
-    """mapInPandas body: sequential EWMA per (key, blk) over rows sorted by rank.
+    """mapInPandas body: EWMA per (key, blk) over rows sorted by rank.
 
-    Emits, for every own (non-ghost) row, the state *before* the row's update.
-    Ghost rows (the previous block's tail) only warm the state up.
+    Emits for every row the state *before* its update.  A block's seed row (rank 0) holds
+    the state that the block starts from; without one its first row starts it.
     """
     lam = BIMODAL_LAMBDA
     keep = 1.0 - BIMODAL_LAMBDA
@@ -184,19 +268,21 @@ def _ewma_fold(key: str):
         for pdf in batches:
             if pdf.empty:
                 continue
-            ks = pdf[key].tolist()
-            bs = pdf["blk"].tolist()
-            xs = pdf["duration_ms"].tolist()
-            gh = pdf["ghost"].tolist()
+            ks, bs, rs = pdf[key].tolist(), pdf["blk"].tolist(), pdf["_kr"].tolist()
+            xs, m0, v0 = pdf["duration_ms"].tolist(), pdf["_m"].tolist(), pdf["_v"].tolist()
             om, ov, osd = [], [], []
             for i in range(len(pdf)):
                 g = (ks[i], bs[i])
                 if g != cur:
                     cur, m, v, seeded = g, 0.0, 0.0, False
+                if not rs[i]:
+                    m, v, seeded = m0[i], v0[i], True
                 om.append(m if seeded else None)
                 ov.append(v if seeded else None)
                 osd.append(seeded)
                 x = xs[i]
+                if not rs[i]:
+                    continue
                 if not seeded:
                     m, v, seeded = x, 0.0, True
                 else:
@@ -204,29 +290,33 @@ def _ewma_fold(key: str):
                     v = lam * (d * d) + keep * v
                     m = m + lam * d
             out = pdf.assign(_m=om, _v=ov, _seeded=osd)
-            yield out[~out["ghost"]]
+            yield out[out["_kr"] > 0]
     return fold
 
 
 def bimodal(traces: DataFrame, order: str = "trace_seq", key: str = "primary_service",
-            block_rows: int | None = None, coarse: int | None = None) -> DataFrame:
+            block_rows: int | None = None, coarse: int | None = None, before: DataFrame | None = None) -> DataFrame:
     """EWMA λ = 0.2 per service; fire when (state before update) n ≥ 10,
     σ > 500, mean > 200 and duration > mean + σ.  ``latency_variance`` is the
     variance before the update (rounded to 6 places).
 
-    The fold is sequential inside (service, block); each block starts from the
-    ``EWMA_DEPTH`` traces before it, beyond which no finite latency has weight.
+    The fold is sequential inside (service, block); each block starts from the state that
+    the blocks before it compose to (``_ewma_starts``), so only blocks with one behind them
+    are summed up.  ``before`` holds (key, n, m, v) of traces that came earlier still
+    (``ewma_state``).
     """
-    br = block_rows or BLOCK_TRACES
-    cw = coarse or COARSE_TRACES
-    r = key_rank(known(traces, key), [key], order, F.floor(F.col(order) / cw), out="_kr")
-    b = row_blocks(r, "_kr", br, EWMA_DEPTH)
-    schema = T.StructType(b.schema.fields + [
-        T.StructField("_m", T.DoubleType()), T.StructField("_v", T.DoubleType()),
-        T.StructField("_seeded", T.BooleanType())])
-    d = (b.repartition(key, "blk").sortWithinPartitions(key, "blk", "_kr")
-         .mapInPandas(_ewma_fold(key), schema))
+    rows = _ewma_blocks(traces, order, key, block_rows, coarse)
+    counts = known(traces, key).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    last = counts.select(key, F.floor((F.col("_n") - 1) / (block_rows or BLOCK_TRACES)).alias("_last")).filter("_last > 0")
+    starts = _ewma_starts(_ewma_summaries(rows.join(last, key).filter(F.col("blk") < F.col("_last")), key), key, before)
+    d = (rows.withColumn("_m", F.lit(None).cast("double")).withColumn("_v", F.lit(None).cast("double"))
+         .unionByName(starts.withColumn("_kr", F.lit(0).cast("long")), allowMissingColumns=True))
+    schema = T.StructType(d.schema.fields + [T.StructField("_seeded", T.BooleanType())])
+    d = d.repartition(key, "blk").sortWithinPartitions(key, "blk", "_kr").mapInPandas(_ewma_fold(key), schema)
     n = F.col("_kr") - 1
+    if before is not None:
+        d = d.join(before.select(key, F.col("n").alias("_before")), key, "left")
+        n = n + F.coalesce("_before", F.lit(0))
     mean = F.col("_m")
     var = F.col("_v")
     std = F.when(var > 0, F.sqrt(var)).otherwise(F.lit(0.0))
@@ -234,7 +324,7 @@ def bimodal(traces: DataFrame, order: str = "trace_seq", key: str = "primary_ser
             & (mean > BIMODAL_MEAN_MIN_MS) & (F.col("duration_ms") > mean + std))
     return (d.withColumn("bimodal_latency", F.coalesce(fire, F.lit(False)))
             .withColumn("latency_variance", rnd(F.coalesce(var, F.lit(0.0)), 6))
-            .drop("_m", "_v", "_seeded", "_kr", "blk", "ghost"))
+            .drop("_m", "_v", "_seeded", "_kr", "blk", "_before"))
 
 
 def rule_verdicts(traces: DataFrame, order: str = "trace_seq", key: str = "trace_id",

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.constants import DETECTOR_TEXTS, FIXES, ROOT_CAUSES
+from ..models import ensemble as EN
 from ..operators import cluster as CL
 from ..operators import dashboard as DB
 from ..operators import evidence as EV
@@ -11,6 +13,7 @@ from ..operators import payments_detect as PD
 from ..operators import payments_kpi as K
 from ..operators import traces as TR
 from .catalog_logs import _PII, PII_QUERY_THRESHOLD
+from .catalog_models import _ARRIVED_COLD, _MOMENTS
 from .catalog_payments import _CAND_SQL, _REG_SQL
 from .catalog_traces import _ATYPE, _W1
 from .oracle import with_views
@@ -282,10 +285,14 @@ SELECT trace_id, count(*) AS span_count, CAST(sum(CASE WHEN duration_ms > 500 TH
 FROM v_span WHERE trace_id IN (SELECT trace_id FROM rv WHERE len(reasons) > 0) GROUP BY trace_id""", _W1))
 
 
-def _pack(s, d):
+def _pack(s, d, scored=False):
     from .materialize import materialize
-    inc = materialize(_trace_alerts(s, d), "incidents")   # read four times below
-    return EV.evidence_pack(inc, v_span(s, d), LG.incident_logs(v_log(s, d), inc))
+    inc = materialize(_trace_alerts(s, d), "incidents")   # read several times below
+    scores = None
+    if scored:
+        t = v_trace(s, d, materialized=True)
+        scores = EN.soft_vote(EN.ensemble_scores(t, models=["autoencoder_mse"]), t, ["autoencoder_mse"])
+    return EV.evidence_pack(inc, v_span(s, d), LG.incident_logs(v_log(s, d), inc), scores)
 
 
 _PACK = _W1 + """,
@@ -297,16 +304,23 @@ ed AS (SELECT trace_id, count(*) AS edge_count FROM (
 lg AS (SELECT trace_id, count(*) AS log_count FROM (
          SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY ts DESC, seq DESC) AS r
          FROM v_log WHERE trace_id IN (SELECT trace_id FROM inc)) WHERE r <= 25 GROUP BY trace_id),
+dgl AS (SELECT trace_id, count(*) AS n, string_agg('  ' || span_id || ' (' || service || '::' || name || ') references missing parent '
+                 || parent_span_id, chr(10) ORDER BY e) AS lines FROM (
+          SELECT c.*, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS e FROM v_span c
+          WHERE trace_id IN (SELECT trace_id FROM inc) AND coalesce(parent_span_id, '') <> '' AND NOT EXISTS (
+            SELECT 1 FROM v_span p WHERE p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)) WHERE e <= 20 GROUP BY trace_id),
 st AS (SELECT trace_id, count(*) AS span_count, sum(CASE WHEN duration_ms > 500 THEN 1 ELSE 0 END) AS slow_count,
               count(DISTINCT service) AS services FROM v_span WHERE trace_id IN (SELECT trace_id FROM inc) GROUP BY trace_id)"""
 
 register("evidence_pack", lambda s, d: _pack(s, d).select(
     "trace_id", "span_count", "slow_count", "services", "edge_count", "log_count",
-    F.size("detectors").alias("n_detectors")), with_views(["v_trace", "v_span", "v_log"], """
+    F.size("detectors").alias("n_detectors"), F.size("dangling").alias("n_dangling"),
+    F.size("inventory").alias("n_inventory")), with_views(["v_trace", "v_span", "v_log"], """
 SELECT inc.trace_id, st.span_count, CAST(st.slow_count AS BIGINT) AS slow_count, st.services,
        coalesce(ed.edge_count, 0) AS edge_count, coalesce(lg.log_count, 0) AS log_count,
-       CAST(len(inc.reasons) AS INTEGER) AS n_detectors
-FROM inc JOIN st USING (trace_id) LEFT JOIN ed USING (trace_id) LEFT JOIN lg USING (trace_id)""", _PACK))
+       CAST(len(inc.reasons) AS INTEGER) AS n_detectors, CAST(coalesce(dgl.n, 0) AS INTEGER) AS n_dangling,
+       CAST(least(st.span_count, 20) AS INTEGER) AS n_inventory
+FROM inc JOIN st USING (trace_id) LEFT JOIN ed USING (trace_id) LEFT JOIN lg USING (trace_id) LEFT JOIN dgl USING (trace_id)""", _PACK))
 
 _DOC = _PACK + """,
 sp AS (SELECT trace_id, min(duration_ms) AS mn, round(avg(duration_ms), 9) AS av, max(duration_ms) AS mx
@@ -316,7 +330,15 @@ edt AS (SELECT trace_id, string_agg('  ' || parent_id || ' → ' || child_id ||
           SELECT c.trace_id, p.span_id AS parent_id, c.span_id AS child_id, c.service AS child_service,
                  row_number() OVER (PARTITION BY c.trace_id ORDER BY c.start_time, c.span_id) AS e
           FROM v_span c JOIN v_span p ON p.trace_id = c.trace_id AND c.parent_span_id = p.span_id
-          WHERE c.trace_id IN (SELECT trace_id FROM inc)) WHERE e <= 15 GROUP BY trace_id)"""
+          WHERE c.trace_id IN (SELECT trace_id FROM inc)) WHERE e <= 15 GROUP BY trace_id),
+inv AS (SELECT trace_id, string_agg('  - ' || service || '::' || name || ' dur=' || printf('%.0f', round(duration_ms)) || 'ms status='
+                 || status_code || ' span=' || span_id || ' parent=' || coalesce(parent_span_id, '')
+                 || CASE WHEN duration_ms > 500 THEN ' [ANOMALOUS]' ELSE '' END, chr(10) ORDER BY e) AS lines FROM (
+          SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS e FROM v_span
+          WHERE trace_id IN (SELECT trace_id FROM inc)) WHERE e <= 20 GROUP BY trace_id),
+lgl AS (SELECT trace_id, string_agg('  - [' || severity || '] ' || service_name || ': ' || substring(body, 1, 240), chr(10) ORDER BY r) AS lines
+        FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts DESC, seq DESC) AS r FROM v_log
+              WHERE trace_id IN (SELECT trace_id FROM inc)) WHERE r <= 25 GROUP BY trace_id)"""
 
 _Q = "'"
 _DOC_BODY = f"""
@@ -336,15 +358,129 @@ SELECT inc.trace_id, concat_ws(chr(10),
      CASE WHEN inc.dangling_span IS NOT NULL THEN '- Dependency Chain Break — dangling span {_Q}{_Q}' || inc.dangling_span
           || '{_Q}{_Q} (parent_span_id references a span not present in the reconstructed trace)' END), ''),
      '- (none; ML-only detection)'),
-  'DEPENDENCIES:',
-  coalesce(edt.lines, '  (no parent-child links found)'),
-  'CORRELATED LOGS: ' || coalesce(lg.log_count, 0)) AS evidence
+  'MODEL SCORES:', '- (no ML scores)',
+  'DEPENDENCIES:', coalesce(edt.lines, '  (no parent-child links found)'),
+  'DANGLING PARENTS:', coalesce(dgl.lines, '  (none)'),
+  'SPAN INVENTORY:', coalesce(inv.lines, '  (no spans)'),
+  'CORRELATED LOGS:', coalesce(lgl.lines, '  (no correlated logs)')) AS evidence
 FROM inc JOIN st USING (trace_id) JOIN sp USING (trace_id) LEFT JOIN edt USING (trace_id)
-     LEFT JOIN lg USING (trace_id)"""
+     LEFT JOIN dgl USING (trace_id) LEFT JOIN inv USING (trace_id) LEFT JOIN lgl USING (trace_id)"""
 
 register("evidence_text", lambda s, d: EV.evidence_text(_pack(s, d)),
          with_views(["v_trace", "v_span", "v_log"], _DOC_BODY, _DOC))
 
+# with the principal component's score of each incident, from versions without a warm-up corpus
+register("evidence_text_scored", lambda s, d: EV.evidence_text(_pack(s, d, scored=True)),
+         with_views(["v_trace", "v_span", "v_log"],
+                    _DOC_BODY.replace("'- (no ML scores)'", "'- autoencoder_mse: ' || printf('%.3f', round(ae.autoencoder_mse, 3))")
+                    .replace("FROM inc JOIN st", "FROM inc JOIN ae USING (trace_id) JOIN st"),
+                    _ARRIVED_COLD + "," + _MOMENTS + "," + _DOC))
+
+# ---- root cause and detectors of all kinds of incidents ------------------------------------
+
+def _all_incidents(s, d):
+    """Trace, PII, pod and payment alerts with the columns that the texts need."""
+    def texts(df, key, *columns):
+        return df.select(F.concat(F.lit(key[0]), F.col(key[1]).cast("string")).alias("alert_id"), "anomaly_type", "service",
+                         "route", "duration_ms", *columns)
+
+    pii = LG.pii_alerts(v_log(s, d), threshold=PII_QUERY_THRESHOLD)
+    pay = _al(s, d).withColumn("reasons", F.array("reason"))
+    parts = [texts(_trace_alerts(s, d), ("trace:", "trace_id"), "reasons", "n_plus_1_count", "latency_variance", "dangling_span"),
+             texts(pii, ("pii:", "seq"), F.array("reason").alias("reasons"), "redaction_ratio"),
+             texts(CL.pod_alerts(v_pod(s, d)), ("pod:", "k8s_pod"), F.array("reason").alias("reasons"), "k8s_pod", "k8s_node",
+                   "k8s_restarts", "k8s_deployment"),
+             texts(pay, ("", "alert_id"), "reasons", "gateway", "failure_rate", "txn_per_min", "account", "dup_txn_id")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _filled(text, *values):
+    """A fixed text with its places filled, as SQL."""
+    quoted = ["'" + p.replace("%%", "%").replace("'", "''") + "'" for p in text.split("%s")]
+    return " || ".join(x for pair in zip(quoted, [*values, None]) for x in pair if x)
+
+
+def _case(key, texts):
+    return "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in texts.items()) + " END"
+
+
+def _fixes(kind):
+    lines = "'" + " | ".join(FIXES[kind]).replace("'", "''") + "'"
+    return (f"replace(replace(replace({lines}, '{{gateway}}', coalesce(gateway, 'the affected gateway')), "
+            "'{service}', service), '{route}', route)")
+
+
+_pct = "printf('%.0f', round(coalesce({0}, 0.0) * 100))".format
+_whole = "printf('%.0f', round({0}))".format
+_KINDS = {
+    "n_plus_1": _filled(ROOT_CAUSES["n_plus_1"], "n_plus_1_count", "service"),
+    "bimodal": _filled(ROOT_CAUSES["bimodal"], "route", _whole("latency_variance")),
+    "dependency": _filled(ROOT_CAUSES["dependency"], "coalesce(dangling_span, 'unknown')"),
+    "pii": _filled(ROOT_CAUSES["pii"], _pct("redaction_ratio")),
+    "crashloop": _filled(ROOT_CAUSES["crashloop"], "pod", "node", "restarts"),
+    "oom": _filled(ROOT_CAUSES["oom"], "pod"),
+    "failure_spike": _filled(ROOT_CAUSES["failure_spike"], _pct("failure_rate"), "coalesce(gateway, 'unknown')"),
+    "timeout": _filled(ROOT_CAUSES["timeout"], "coalesce(gateway, 'unknown')", _whole("duration_ms")),
+    "velocity": _filled(ROOT_CAUSES["velocity"], "coalesce(account, 'unknown')", "coalesce(CAST(txn_per_min AS VARCHAR), '?')"),
+    "duplicate": _filled(ROOT_CAUSES["duplicate"], "coalesce(dup_txn_id, 'unknown')")}
+_DETECTED = {
+    "n_plus_1": _filled(DETECTOR_TEXTS["n_plus_1"], "n_plus_1_count"),
+    "bimodal_latency": _filled(DETECTOR_TEXTS["bimodal_latency"], "printf('%.1f', round(latency_variance, 1))"),
+    "dangling_parent": _filled(DETECTOR_TEXTS["dangling_parent"], "dangling_span"),
+    "pii_redaction_density": _filled(DETECTOR_TEXTS["pii_redaction_density"], _pct("redaction_ratio")),
+    "k8s_crashloop": _filled(DETECTOR_TEXTS["pod_failure"], "pod", "node", "service", "restarts"),
+    "k8s_oom": _filled(DETECTOR_TEXTS["pod_failure"], "pod", "node", "service", "restarts"),
+    "payment_failure_spike": _filled(DETECTOR_TEXTS["payment_failure_spike"], _pct("failure_rate"), "gateway"),
+    "gateway_timeout": _filled(DETECTOR_TEXTS["gateway_timeout"], "gateway"),
+    "fraud_velocity": _filled(DETECTOR_TEXTS["fraud_velocity"], "account", "CAST(txn_per_min AS VARCHAR)"),
+    "duplicate_charge": _filled(DETECTOR_TEXTS["duplicate_charge"], "dup_txn_id")}
+
+_INCIDENTS = _ALERTS + "," + _PII + "," + _W1 + """,
+inc_all AS (
+  SELECT 'trace:' || trace_id AS alert_id, primary_service AS service,
+         CASE WHEN n_plus_1 THEN 'n_plus_1' WHEN bimodal_latency THEN 'bimodal' ELSE 'dependency' END AS kind, reasons,
+         (SELECT arg_min(name, (start_time, span_id)) FROM v_span s WHERE s.trace_seq = rv.trace_seq) AS route, duration_ms,
+         CAST(CASE WHEN n_plus_1 THEN span_count ELSE 0 END AS VARCHAR) AS n_plus_1_count,
+         CASE WHEN bimodal_latency THEN latency_variance ELSE 0.0 END AS latency_variance, dangling_span,
+         NULL::DOUBLE AS redaction_ratio, NULL::VARCHAR AS pod, NULL::VARCHAR AS node, NULL::VARCHAR AS restarts,
+         NULL::VARCHAR AS gateway, NULL::DOUBLE AS failure_rate, NULL::BIGINT AS txn_per_min, NULL::VARCHAR AS account,
+         NULL::VARCHAR AS dup_txn_id
+  FROM rv WHERE len(reasons) > 0
+  UNION ALL
+  SELECT 'pii:' || seq, service_name, 'pii', ['pii_redaction_density'], 'security.pii_density', 0.0, NULL, NULL, NULL,
+         round(redaction_ratio, 6), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM pc JOIN pfired USING (service_name, seq)
+  UNION ALL
+  SELECT 'pod:' || name, deployment, CASE status WHEN 'OOMKilled' THEN 'oom' ELSE 'crashloop' END,
+         [CASE status WHEN 'OOMKilled' THEN 'k8s_oom' ELSE 'k8s_crashloop' END], 'k8s://' || node || '/' || substr(name, 1, 24), 0.0,
+         NULL, NULL, NULL, NULL, name, node, CAST(restarts AS VARCHAR), NULL, NULL, NULL, NULL, NULL
+  FROM v_pod WHERE status IN ('CrashLoopBackOff', 'OOMKilled')
+  UNION ALL
+  SELECT alert_id, service, """ + _KIND + """, [reason], route, duration_ms, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+         gateway, failure_rate, txn_per_min, account, dup_txn_id
+  FROM al)"""
+
+_EVERY = ["v_txn", "v_trace", "v_span", "v_log", "v_pod"]
+
+register("root_cause_all_kinds", lambda s, d: EV.root_cause(_all_incidents(s, d)).select(
+    "alert_id", "kind", "root_cause", F.concat_ws(" | ", "suggested_fixes").alias("fixes")),
+    _rec(_EVERY, f"SELECT alert_id, kind, {_case('kind', _KINDS)} AS root_cause, {_case('kind', {k: _fixes(k) for k in _KINDS})} AS fixes FROM inc_all",
+         _INCIDENTS))
+
+def _fired_all(s, d):
+    incidents = _all_incidents(s, d)
+    return incidents.select("alert_id", F.concat_ws("\n", EV.fired_detectors(incidents)).alias("detectors"))
+
+
+register("fired_detectors_all_kinds", _fired_all,
+    _rec(_EVERY, f"""
+SELECT alert_id, array_to_string(list_filter([{", ".join(f"CASE WHEN list_contains(reasons, '{k}') THEN {v} END" for k, v in _DETECTED.items())}],
+       lambda x: x IS NOT NULL), chr(10)) AS detectors
+FROM inc_all""", _INCIDENTS))
+
 register("incident_headline", lambda s, d: EV.headline(_al(s, d)), _rec(["v_txn"], """
 SELECT coalesce(arg_max('Detected anomaly in ' || service || ' — ' || printf('%.0f', round(coalesce(duration_ms, 0.0)))
                 || 'ms latency on ' || route || '. Investigate for potential performance degradation.', (ts, alert_id)),

@@ -250,6 +250,25 @@ WHERE a.status <> 'FAILED' AND a.amount > 0 AND b.status <> 'FAILED' AND b.amoun
 GROUP BY a.seq"""))
 
 
+def _dense(s, d):
+    """A third of the charges are one user's, of 4000 amounts within 0.015."""
+    seq = F.col("seq")
+    return v_txn(s, d).withColumn("user", F.when(seq % 3 == 0, F.lit("dense")).otherwise(F.col("user"))).withColumn(
+        "amount", F.when(seq % 3 == 0, 10.0 + (seq * 7 % 4000) * 3.75e-6).otherwise(F.col("amount")))
+
+
+register("pay_duplicates_dense_cent",
+         lambda s, d: PD.duplicate_candidates(_dense(s, d)).select("seq", "txn_id", "dup_txn_id"),
+         with_views(["v_txn"], """
+SELECT a.seq, any_value(a.txn_id) AS txn_id, arg_min(b.txn_id, (b.ts, b.seq)) AS dup_txn_id
+FROM t a JOIN t b ON b."user" = a."user" AND abs(b.amount - a.amount) < 0.01
+     AND (b.ts, b.seq) < (a.ts, a.seq) AND b.ts >= a.ts - INTERVAL 120 SECOND
+WHERE a.status <> 'FAILED' AND a.amount > 0 AND b.status <> 'FAILED' AND b.amount > 0
+GROUP BY a.seq""", """
+t AS (SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN 'dense' ELSE "user" END AS "user",
+                        CASE WHEN seq % 3 = 0 THEN 10.0::DOUBLE + (seq * 7 % 4000) * 3.75e-6::DOUBLE ELSE amount END AS amount) FROM v_txn)"""))
+
+
 def _hot_user(s, d):
     """Transactions of which one user made a third; one in fifty has no user."""
     seq = F.col("seq")
@@ -276,6 +295,28 @@ register("pay_timeouts",
 register("pay_alerts", lambda s, d: PD.payment_alerts(v_txn(s, d)),
          _rec("SELECT * FROM alerts"))
 
+def _hot_gateway(s, d):
+    """Transactions of which one gateway takes a third, all slow, so its timeouts are a third of all candidates."""
+    hot = F.col("seq") % 3 == 0
+    return v_txn(s, d).withColumn("gateway", F.when(hot, F.lit("HOT")).otherwise(F.col("gateway"))).withColumn(
+        "latency_ms", F.when(hot, F.lit(9000.0)).otherwise(F.col("latency_ms")))
+
+
+# blocks of 500 candidates, so that the hot gateway's are composed of many
+register("pay_timeouts_hot_gateway",
+         lambda s, d: PD.greedy_cooldown(PD.timeout_candidates(_hot_gateway(s, d)).select("gateway", "seq", "ts", "latency_ms"),
+                                         "gateway", "ts", "seq", 45, block_rows=500).filter("fired").select("gateway", "seq"),
+         with_views(["v_txn"], """
+SELECT gateway, seq FROM hfired""", """
+hc AS MATERIALIZED (SELECT gateway, seq, ts FROM (
+         SELECT seq, ts, CASE WHEN seq % 3 = 0 THEN 'HOT' ELSE gateway END AS gateway,
+                CASE WHEN seq % 3 = 0 THEN 9000.0 ELSE latency_ms END AS latency_ms FROM v_txn) WHERE latency_ms >= 8000),
+hn AS MATERIALIZED (SELECT a.gateway, a.seq, b.seq AS nseq
+       FROM (SELECT *, ts + INTERVAL 45 SECOND AS due FROM hc) a ASOF LEFT JOIN hc b ON a.gateway = b.gateway AND a.due <= b.ts),
+hfired AS (SELECT gateway, seq FROM (SELECT *, row_number() OVER (PARTITION BY gateway ORDER BY ts, seq) AS r FROM hc) WHERE r = 1
+           UNION ALL
+           SELECT n.gateway, n.nseq FROM hfired f JOIN hn n ON n.gateway = f.gateway AND n.seq = f.seq WHERE n.nseq IS NOT NULL)"""))
+
 register("pay_counters",
          lambda s, d: PD.payment_counters(v_txn(s, d), PD.payment_alerts(v_txn(s, d))),
          _rec("""

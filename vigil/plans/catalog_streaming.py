@@ -15,8 +15,10 @@ from ..functions.common import EPOCH_2024_US
 from ..operators import payments_detect as PD
 from ..operators import traces as TR
 from ..session import checkpoint_dir
+from ..sources import otlp as OT
 from ..sources import webhooks as WH
 from ..streaming import batches as SB
+from ..streaming import joins as SJ
 from ..streaming import stateful as ST
 from . import catalog_ingest  # noqa: F401  (its webhook SQL is read below)
 from .catalog_logs import _PII, PII_QUERY_THRESHOLD
@@ -25,7 +27,7 @@ from .catalog_traces import _ATYPE, _W1
 from .oracle import with_views
 from .registry import ORACLES, register
 from .vehicles import v_log, v_span, v_trace, v_txn
-from .vehicles_ingest import HOOK_INGEST_KEY, HOOK_SECRETS, v_hook
+from .vehicles_ingest import HOOK_INGEST_KEY, HOOK_SECRETS, v_hook, v_live_span, v_otlp_lines
 
 
 def _folder(spark, name):
@@ -85,18 +87,10 @@ SELECT trace_id, primary_service, n_plus_1, bimodal_latency,
 FROM verd WHERE n_plus_1 OR bimodal_latency""", _W1))
 
 
-def _live_spans(s, d):
-    """Spans of all traces on one clock: a trace starts 200 ms after the one before it."""
-    at = F.timestamp_micros(F.lit(EPOCH_2024_US) + F.col("trace_seq") * 200_000 + F.col("rn") * 10_000)
-    return v_span(s, d).select("trace_id", "span_id", "parent_span_id", "service", "name", "duration_ms",
-                               at.alias("start_time"), "status_code")
-
-
 def _stream_trace_alerts(s, d):
     f = _folder(s, "trace-alerts")
-    tables = ["open", "clock", *SB.TRACE_TABLES]
-    start = lambda src: SB.start_fold(src, SB.trace_alerts_step(), tables, f)
-    return ST.replay(_live_spans(s, d), "start_time", f, start).select(
+    start = lambda src: SB.start_fold(src, SB.trace_alerts_step(), SB.ALERT_TABLES, f)
+    return ST.replay(v_live_span(s, d).drop("trace_seq", "rn"), "start_time", f, start, result=lambda: s.read.parquet(f"{f}/out/alerts")).select(
         "window_start", "trace_id", "service", "route", "anomaly_type", F.concat_ws(",", "reasons").alias("reasons"),
         F.size("spans").alias("n_spans"), F.col("rule_flags.dangling_span").alias("dangling_span"))
 
@@ -155,13 +149,11 @@ register("stream_webhooks", _stream_webhooks, ORACLES["webhook_normalised"])
 
 
 def _stream_windows(s, d):
-    f = _folder(s, "windows")
-    t = ST.replay(v_span(s, d).select("trace_id", "start_time", "duration_ms"), "start_time", f,
-                  ST.to_table(ST.trace_windows_stream, f, keyed=True))
-    latest = TR.latest_by_key(t.withColumn("_k", F.concat_ws("|", F.col("window.start").cast("string"), "trace_id")),
-                              "_k", "_batch")
-    return latest.select(F.col("window.start").alias("window_start"), "trace_id", "span_count", "duration_ms",
-                         (F.col("_slow") > 0).alias("has_anomaly"), "start_time")
+    t = ST.replay_keyed(v_span(s, d).select("trace_id", "start_time", "duration_ms"), "start_time", _folder(s, "windows"),
+                        ST.trace_windows_stream, ["window_start", "trace_id"],
+                        derive=lambda w: w.withColumn("window_start", F.col("window.start")).drop("window"))
+    return t.select("window_start", "trace_id", "span_count", "duration_ms", (F.col("_slow") > 0).alias("has_anomaly"),
+                    "start_time")
 
 
 register("stream_trace_windows", _stream_windows, with_views(["v_span"], """
@@ -171,10 +163,9 @@ FROM v_span GROUP BY ALL"""))
 
 
 def _stream_totals(s, d):
-    f = _folder(s, "totals")
-    t = ST.replay(v_txn(s, d), "seq", f, ST.to_table(ST.txn_totals_stream, f, keyed=True))
-    return TR.latest_by_key(t.withColumn("_k", F.lit(1)), "_k", "_batch").select(
-        "total", "success", "failed", "pending", F.round("volume", 2).alias("volume_inr"))
+    t = ST.replay_keyed(v_txn(s, d), "seq", _folder(s, "totals"), ST.txn_totals_stream, ["_one"],
+                        derive=lambda w: w.withColumn("_one", F.lit(1)))
+    return t.select("total", "success", "failed", "pending", F.round("volume", 2).alias("volume_inr"))
 
 
 register("stream_txn_totals", _stream_totals, with_views(["v_txn"], """
@@ -186,11 +177,9 @@ FROM v_txn"""))
 
 
 def _stream_tp(s, d):
-    f = _folder(s, "throughput")
-    t = ST.replay(v_txn(s, d).select("seq", "ts"), "seq", f,
-                  ST.to_table(ST.payment_throughput_stream, f, keyed=True))
-    latest = TR.latest_by_key(t.withColumn("_k", F.col("window.start").cast("string")), "_k", "_batch")
-    return latest.select(F.col("window.start").alias("window_start"), "payments")
+    t = ST.replay_keyed(v_txn(s, d).select("seq", "ts"), "seq", _folder(s, "throughput"), ST.payment_throughput_stream,
+                        ["window_start"], derive=lambda w: w.withColumn("window_start", F.col("window.start")).drop("window"))
+    return t.select("window_start", "payments")
 
 
 register("stream_payment_throughput", _stream_tp, with_views(["v_txn"], """
@@ -210,3 +199,129 @@ SELECT gateway, seq, ts,
        round(list_sort(l)[least(len(l) - 1, CAST(floor(0.99 * (len(l) - 1)) AS INTEGER)) + 1], 2) AS p99_latency
 FROM (SELECT gateway, seq, ts, list(latency_ms) OVER (PARTITION BY gateway ORDER BY seq
         ROWS BETWEEN 299 PRECEDING AND CURRENT ROW) AS l FROM v_txn)"""))
+
+
+# ---- the message stream (S1 + S3): text lines → decoded messages → spans and logs → alerts --------
+
+def _telemetry(s, d, table):
+    """The table ``table`` of the telemetry stream over all lines, landed as text in time order."""
+    f = _folder(s, "telemetry")
+    lines = ST.deliveries(v_otlp_lines(s, d), "at", f"{f}/all", 4)
+    for i, part in enumerate(lines):
+        part.select("line").write.mode("append").text(f"{f}/in")
+        stream = OT.decode_messages(OT.telemetry_stream(s, f"{f}/in")).drop("payload")
+        SB.start_fold(stream, SB.telemetry_step(PII_QUERY_THRESHOLD), SB.TELEMETRY_TABLES, f).awaitTermination()
+    SB.remove(s, *[f"{f}/{w}" for w in ST.WORKING])
+    return s.read.parquet(f"{f}/out/{table}")
+
+
+#: Spans as they come out of OTLP messages: durations are whole nanoseconds.
+_OTLP_TRACES = _LIVE_TRACES.replace(
+    "SELECT * REPLACE (", "SELECT * REPLACE (floor(duration_ms * 1000000 + 0.5) / 1000000 AS duration_ms, ")
+
+_OTLP_LOGS = f"""
+v_log AS (SELECT * REPLACE (CASE WHEN seq % 11 = 0 THEN '' ELSE trace_id END AS trace_id) FROM raw_log),"""
+
+register("stream_otlp_alerts", lambda s, d: _telemetry(s, d, "alerts").drop("batch"),
+         with_views(["v_span", "v_log"], f"""
+SELECT 'trace' AS kind, primary_service AS service, trace_id, w AS at, {_ATYPE} AS anomaly_type,
+       array_to_string(reasons, ',') AS reasons, CAST(NULL AS DOUBLE) AS ratio
+FROM rv WHERE len(reasons) > 0
+UNION ALL
+SELECT 'log', service_name, trace_id, ts, 'PII Redaction Density', 'pii_redaction_density', round(redaction_ratio, 6)
+FROM pc JOIN pfired USING (service_name, seq)""", _OTLP_LOGS + _OTLP_TRACES + _W1 + "," + _PII)
+         .replace("v_log AS (", "raw_log AS (", 1))
+
+register("stream_otlp_dead_letters",
+         lambda s, d: _telemetry(s, d, "dead").groupBy("reason").agg(F.sum("messages").alias("messages")), """
+SELECT CASE WHEN line = '' THEN 'empty' WHEN NOT json_valid(line) THEN 'not JSON' ELSE 'not an object' END AS reason,
+       CAST(count(*) AS BIGINT) AS messages
+FROM (SELECT trim(CASE doc_id % 3 WHEN 0 THEN replace(replace(text, chr(10), ' '), chr(13), ' ')
+                       WHEN 1 THEN '' ELSE '[' || doc_id || ']' END) AS line FROM documents)
+GROUP BY 1""")
+
+
+def _stream_balance(s, d):
+    """Spans of which one in 50 comes ten minutes late and one in 70 names no start."""
+    f = _folder(s, "balance")
+    k = F.col("trace_seq") * 7 + F.col("rn")
+    t = v_live_span(s, d).withColumn("arrived", F.col("start_time")).withColumn(
+        "start_time", F.when(k % 70 == 0, F.lit(None).cast("timestamp"))
+        .when(k % 50 == 0, F.col("start_time") - F.expr("INTERVAL 10 MINUTES")).otherwise(F.col("start_time")))
+    start = lambda src: SB.start_fold(src.drop("arrived"), SB.trace_alerts_step(), SB.ALERT_TABLES, f)
+    out = ST.replay(t.drop("trace_seq", "rn"), "arrived", f, start, result=lambda: s.read.parquet(f"{f}/out/balance"))
+    return out.agg(*[F.sum(c).alias(c) for c in ("spans_in", "closed", "late", "timeless")],
+                   F.max_by("open", "batch").alias("open"))
+
+
+register("stream_span_balance", _stream_balance, with_views(["v_span"], """
+SELECT count(*) AS spans_in,
+       count(*) FILTER (t IS NOT NULL AND NOT late AND e <= (SELECT max(t) FROM a) - INTERVAL 60 SECOND) AS closed,
+       count(*) FILTER (t IS NOT NULL AND late) AS late, count(*) FILTER (t IS NULL) AS timeless,
+       count(*) FILTER (t IS NOT NULL AND NOT late AND e > (SELECT max(t) FROM a) - INTERVAL 60 SECOND) AS open
+FROM (SELECT a.*, coalesce(e <= newest - INTERVAL 60 SECOND, false) AS late FROM a JOIN m USING (chunk))""", f"""
+b AS (SELECT make_timestamp({EPOCH_2024_US} + trace_seq * 200000 + rn * 10000) AS arrived, trace_seq * 7 + rn AS k FROM v_span),
+t AS (SELECT *, CASE WHEN k % 70 = 0 THEN NULL WHEN k % 50 = 0 THEN arrived - INTERVAL 10 MINUTE ELSE arrived END AS t FROM b),
+a AS (SELECT t, time_bucket(INTERVAL 10 SECOND, t) + INTERVAL 10 SECOND AS e,
+             least(3, floor((epoch_us(arrived) - lo) / ((CAST(hi AS DOUBLE) - lo + 1.0) / 4))) AS chunk
+      FROM t, (SELECT min(epoch_us(arrived)) AS lo, max(epoch_us(arrived)) AS hi FROM t)),
+m AS (SELECT chunk, max(max(t)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+      FROM a GROUP BY chunk)"""))
+
+
+# ---- J1 as a stream-stream join ------------------------------------------------------------------
+
+LOG_TRACES = 16
+JOIN_S = 600
+
+
+def _live_logs(s, d):
+    """Logs of ``LOG_TRACES`` traces; some of these have no anomaly or no verdict at all."""
+    return v_log(s, d).select("seq", (F.col("seq") % LOG_TRACES + 1).cast("string").alias("trace_id"), "service_name",
+                              "severity", "ts")
+
+
+def _verdict_rows(s, d):
+    """Verdicts of all traces, over the first 100 s of the logs' clock."""
+    at = F.timestamp_micros(F.lit(EPOCH_2024_US) + F.col("trace_seq") * 7919 % 1000 * 100_000)
+    return TR.rule_verdicts(v_trace(s, d)).select("trace_id", at.alias("start_time"), "is_anomaly")
+
+
+def _stream_logs(s, d):
+    f = _folder(s, "log-correlation")
+    step = SJ.first_logs_step(after_s=JOIN_S)
+    inputs = {"logs": (_live_logs(s, d), "ts"), "verdicts": (_verdict_rows(s, d), "start_time")}
+    start = lambda src: SB.start_fold(
+        SJ.correlate_logs_stream(src["logs"], src["verdicts"], JOIN_S, JOIN_S), step, ["had"], f)
+    return ST.replay_all(inputs, f, start).select("trace_id", "seq", "rank", "service_name", "severity")
+
+
+register("stream_log_correlation", _stream_logs, with_views(["v_log", "v_trace"], f"""
+SELECT trace_id, seq, CAST(rank AS INTEGER) AS rank, service_name, severity FROM (
+  SELECT t.trace_id, l.seq, l.service_name, l.severity,
+         row_number() OVER (PARTITION BY t.trace_id ORDER BY l.ts, l.seq) AS rank
+  FROM v_log l JOIN rv t ON t.trace_id = CAST(l.seq % {LOG_TRACES} + 1 AS VARCHAR) AND len(reasons) > 0
+       AND l.ts BETWEEN make_timestamp({EPOCH_2024_US} + trace_seq * 7919 % 1000 * 100000) - INTERVAL {JOIN_S} SECOND
+                    AND make_timestamp({EPOCH_2024_US} + trace_seq * 7919 % 1000 * 100000) + INTERVAL {JOIN_S} SECOND)
+WHERE rank <= 50""", _W1))
+
+
+# ---- N14 as a stream -------------------------------------------------------------------------------
+
+def _stream_real_only(s, d):
+    """Live payments begin a third of the way in."""
+    f = _folder(s, "real-only")
+    t = v_txn(s, d).withColumn("source", F.when((F.col("source") == "live") & (F.col("seq") * 3 > _last_seq(s, d)), "live").otherwise("sim"))
+    start = lambda src: SB.start_fold(src, SB.real_only_step, ["latch"], f)
+    return ST.replay(t, "ts", f, start).select("seq", "txn_id", "source", "ts")
+
+
+def _last_seq(s, d):
+    return v_txn(s, d).agg(F.max("seq")).scalar()
+
+
+register("stream_real_only", _stream_real_only, with_views(["v_txn"], """
+SELECT seq, txn_id, source, ts FROM t
+WHERE source = 'live' OR coalesce(ts < (SELECT min(ts) FROM t WHERE source = 'live'), true)""", """
+t AS (SELECT seq, txn_id, ts, CASE WHEN source = 'live' AND seq * 3 > (SELECT max(seq) FROM v_txn) THEN 'live' ELSE 'sim' END AS source
+      FROM v_txn)"""))

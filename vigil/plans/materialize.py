@@ -5,7 +5,8 @@ twice.  When that input is itself expensive (trace reconstruction), it is
 written once as parquet under ``spark.checkpoint.dir`` — the shared folder the
 cluster names — and read back, which also restores column pruning and
 predicate pushdown for the later passes.  The folder is only created here when
-the session has none (local runs and tests).
+the session has none (local runs and tests).  ``session.remove_intermediate``
+deletes what an application has written, when its results have been saved.
 """
 from __future__ import annotations
 
@@ -13,12 +14,11 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from ..session import checkpoint_dir
+from ..session import tables_dir
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/vigil-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

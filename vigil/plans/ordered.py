@@ -15,8 +15,8 @@ kernels cut each key into blocks that can run in parallel while staying exact:
   counts and "oldest row in the window" become position differences and an
   equi-join on position.
 * ``greedy_cooldown`` — greedy "fire only if ≥ cooldown since the last fire"
-  suppression, a linear fold per key run with ``mapInPandas`` over a
-  key-partitioned, sorted stream (constant memory; only candidate rows move).
+  suppression: blocks of a range-partitioned order become maps from the last
+  fire before them to the last fire in them, which are composed in block order.
 * ``exact_pick``   — exact order statistics (element at index i of the sorted
   column) without a global sort: value buckets from approximate quantiles,
   bucket counts, then a local sort of just the bucket that holds the index.
@@ -55,45 +55,6 @@ def row_blocks(df: DataFrame, rank: str, block_rows: int, overlap: int) -> DataF
             .withColumn("ghost", F.col("blk") != F.col("_own")).drop("_own"))
 
 
-def greedy_cooldown(cands: DataFrame, key: str, ts: str, seq: str, cooldown_s: float,
-                    out: str = "fired") -> DataFrame:
-    """Keep candidate rows that are ≥ cooldown after the key's last *fired* row.
-
-    The first candidate of a key always fires (the last-fired time starts at 0).
-    Rows are hash-partitioned by key and sorted by (key, ts, seq); the fold
-    carries one (key, last_fired) pair, so memory is constant per task.
-    """
-    schema = T.StructType(cands.schema.fields + [T.StructField(out, T.BooleanType(), False)])
-    cd_us = int(round(cooldown_s * 1_000_000))
-    tcol = "_t_us"
-
-    def fold(batches):
-        last_key = object()
-        last_fire = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key].tolist()
-            tus = pdf[tcol].tolist()
-            fired = [False] * len(pdf)
-            for i in range(len(pdf)):
-                k = keys[i]
-                if k != last_key:
-                    last_key = k
-                    last_fire = None
-                t = tus[i]
-                if last_fire is None or t - last_fire >= cd_us:
-                    fired[i] = True
-                    last_fire = t
-            pdf = pdf.drop(columns=[tcol])
-            pdf[out] = fired
-            yield pdf
-
-    d = cands.withColumn(tcol, F.unix_micros(F.col(ts)))
-    d = d.repartition(key).sortWithinPartitions(key, ts, seq)
-    return d.mapInPandas(fold, schema)
-
-
 def exact_pick(vals: DataFrame, v: str, idx: dict[str, Column], buckets: int = 256) -> dict[str, Column]:
     """Scalar columns: for each name in ``idx``, the element at 0-based index
     ``idx[name]`` of ``vals[v]`` sorted ascending (exact; nulls excluded).
@@ -164,76 +125,109 @@ def running_count(df: DataFrame, key: str, order: str, flag: Column, coarse: Col
             .withColumn(out, F.col("_p") + F.col("_l")).drop("_cb", "_f", "_l", "_p"))
 
 
-# ---- exact parallel cooldown for hot keys ---------------------------------------------
+# ---- exact parallel cooldown -----------------------------------------------------------
+
+COOLDOWN_BLOCK = 200_000
+
+
+def _grouped(batches, key: str):
+    """((key, block), frame) of rows sorted by key and block; a group is at most one block."""
+    import pandas as pd
+    held: list = []
+    for pdf in batches:
+        new = (pdf[key] != pdf[key].shift()) | (pdf["_blk"] != pdf["_blk"].shift())
+        cuts = [i for i, n in enumerate(new.tolist()) if n] + [len(pdf)]
+        for a, b in zip(cuts, cuts[1:]):
+            part = pdf.iloc[a:b]
+            if held and (held[0][key].iloc[0], held[0]["_blk"].iloc[0]) != (part[key].iloc[0], part["_blk"].iloc[0]):
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)
 
-HOT_KEY_ROWS = 2_000_000     # keys with more candidates than this take the doubling path
 
+def cooldown_map(times, cooldown: int):
+    """(entries, exits) of a sorted block: a chain that starts at the first entry not before
+    last fire + cooldown ends at its exit, the block's last fire.
 
-def _ranked_with_next(c: DataFrame, key: str, cd_us: int) -> DataFrame:
-    """Give each candidate its exact position ``_r`` in the global (key, t, seq)
-    order and point it at the position of the first candidate of the same key
-    with t ≥ t + cooldown (``_next``, null when there is none).  Lookup rows at
-    t + cooldown are merged into the same range-partitioned order, so a hot key
-    is spread over many tasks.
+    The last fire lies before the block, so only candidates within the cooldown of its first
+    one, and the next, can start the chain; of entries with one exit the last is kept.
     """
-    data = c.select(key, F.col("_t").alias("_v"), F.lit(1).alias("_kind"), F.col("_seq").alias("_s"),
-                    F.col("_t"), F.col("_seq"))
-    look = c.select(key, (F.col("_t") + F.lit(cd_us)).alias("_v"), F.lit(0).alias("_kind"),
-                    F.col("_seq").alias("_s"), F.col("_t"), F.col("_seq"))
-    r = range_rank(data.unionByName(look), [key, "_v", "_kind", "_s"], flags=["_kind"])
-    pos = r.filter(F.col("_kind") == 1).select(key, "_t", "_seq", F.col("_fpos__kind").alias("_r"))
-    end = pos.groupBy(key).agg((F.max("_r") + 1).alias("_end"))
-    nxt = (r.filter(F.col("_kind") == 0).join(end, key)
-           .select(key, "_t", "_seq", F.when(F.col("_fpos__kind") < F.col("_end"), F.col("_fpos__kind"))
-                   .alias("_next")))
-    return pos.join(nxt, [key, "_t", "_seq"])
-
-
-def _doubling_fired(c: DataFrame, key: str, cd_us: int) -> DataFrame:
-    """Fired (key, rank) set = the chain 1 → next(1) → … , by pointer doubling."""
-    from .materialize import materialize
-    r = materialize(_ranked_with_next(c, key, cd_us), "cooldown_ranks")
-    jumps = [r.select(key, F.col("_r").alias("_from"), F.col("_next").alias("_to"))
-             .filter(F.col("_to").isNotNull())]
-    while True:                                      # jump_{j+1} = jump_j ∘ jump_j
-        j = jumps[-1]
-        a, b = j.alias("a"), j.alias("b")
-        nj = (a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._to") == F.col("b._from")))
-              .select(F.col(f"a.{key}").alias(key), F.col("a._from").alias("_from"), F.col("b._to").alias("_to")))
-        nj = materialize(nj, "cooldown_jump")
-        if nj.limit(1).count() == 0:
+    import numpy as np
+    n = len(times)
+    to = np.searchsorted(times, times + cooldown, "left")
+    end = np.where(to < n, to, np.arange(n))
+    while True:                                       # pointer doubling to the end of each chain
+        further = end[end]
+        if (further == end).all():
             break
-        jumps.append(nj)
-    reach = r.groupBy(key).agg(F.min("_r").alias("_node"))      # each key's first candidate
-    for j in reversed(jumps):                         # all k < 2^levels: S ∪ jump_j(S)
-        step = reach.join(j, (reach[key] == j[key]) & (reach["_node"] == j["_from"])) \
-                    .select(reach[key], F.col("_to").alias("_node"))
-        reach = materialize(reach.unionByName(step).distinct(), "cooldown_reach")
-    return r.join(reach.withColumnRenamed("_node", "_r").withColumn("_hit", F.lit(True)), [key, "_r"], "left") \
-            .select(key, "_t", "_seq", F.coalesce("_hit", F.lit(False)).alias("_fired"))
-
-
-def greedy_cooldown_parallel(cands: DataFrame, key: str, ts: str, seq: str, cooldown_s: float,
-                             out: str = "fired", hot_rows: int | None = None) -> DataFrame:
-    """W5 with a split for hot keys: keys above ``hot_rows`` candidates get the
-    exact pointer-doubling path (O(log n) rounds of equi-joins, no single task
-    per key); all other keys keep the streaming fold."""
+        end = further
+    entries = times[:int(np.searchsorted(times, times[0] + cooldown, "left")) + 1]
+    exits = times[end][:len(entries)]
+    kept = np.append(exits[1:] != exits[:-1], True)
+    return entries[kept], exits[kept]
+
+
+def greedy_cooldown(cands: DataFrame, key: str, ts: str, seq: str, cooldown_s: float, out: str = "fired",
+                    block_rows: int = COOLDOWN_BLOCK) -> DataFrame:
+    """Keep candidate rows that are ≥ cooldown after the key's last *fired* row; the
+    first candidate of a key always fires.
+
+    The candidates are cut into blocks of a range-partitioned order of (key, time, seq), so a
+    key of any size is spread over tasks.  Every block but a key's last becomes a map from
+    the last fire before it to the last fire in it (``cooldown_map``); composed in block
+    order they give each block the last fire that it starts from.
+    """
+    import numpy as np
+
     from .materialize import materialize
-    limit = HOT_KEY_ROWS if hot_rows is None else hot_rows
-    cd_us = int(round(cooldown_s * 1_000_000))
-    # candidates are read by the key count and by the fold: write them once
-    cands = materialize(cands, "cooldown_candidates")
-    c = cands.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_seq", F.col(seq))
-    hot = c.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > limit).select(key)
-    if hot.limit(1).count() == 0:                     # no hot key: the streaming fold alone
-        return greedy_cooldown(cands, key, ts, seq, cooldown_s, out)
-    cold_part = c.join(hot, key, "left_anti").drop("_t", "_seq")
-    hot_part = c.join(hot, key, "left_semi")
-    fired_cold = greedy_cooldown(cold_part, key, ts, seq, cooldown_s, out)
-    flags = _doubling_fired(hot_part, key, cd_us)
-    fired_hot = (hot_part.join(flags, [key, "_t", "_seq"])
-                 .withColumnRenamed("_fired", out).drop("_t", "_seq"))
-    return fired_cold.unionByName(fired_hot)
+    cd = int(round(cooldown_s * 1_000_000))
+    # computed once: range partitioning samples its input
+    cands = materialize(cands, "cooldown_candidates").withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = (range_rank(cands, [key, "_t", seq]).withColumn("_blk", F.floor(F.col("_pos") / block_rows))
+            .drop("_pos"))
+    last = rows.groupBy(key).agg(F.max("_blk").alias("_last"), F.min("_blk").alias("_first")).filter("_last > _first")
+    inner = rows.select(key, "_blk", "_t").join(last.select(key, "_last"), key).filter(F.col("_blk") < F.col("_last"))
+
+    def maps(batches):
+        import pandas as pd
+        for block in _grouped(batches, key):
+            entries, exits = cooldown_map(block["_t"].to_numpy(), cd)
+            yield pd.DataFrame({key: block[key].iloc[0], "_blk": block["_blk"].iloc[0], "_entry": entries, "_exit": exits})
+
+    def compose(batches):
+        import pandas as pd
+        cur = fire = None
+        for block in _grouped(batches, key):
+            if block[key].iloc[0] != cur:
+                cur, fire = block[key].iloc[0], None
+            entries = block["_entry"].to_numpy()
+            i = 0 if fire is None else int(np.searchsorted(entries, fire + cd, "left"))
+            fire = int(block["_exit"].iloc[i]) if i < len(entries) else fire
+            yield pd.DataFrame({key: [cur], "_blk": [block["_blk"].iloc[0] + 1], "_fire": [fire]})
+
+    made = (inner.select(key, "_blk", "_t").repartition(key, "_blk").sortWithinPartitions(key, "_blk", "_t")
+            .mapInPandas(maps, f"{key} string, _blk long, _entry long, _exit long"))
+    starts = (made.repartition(key).sortWithinPartitions(key, "_blk", "_entry")
+              .mapInPandas(compose, f"{key} string, _blk long, _fire long"))
+
+    def fold(batches):
+        for block in _grouped(batches, key):
+            times, fire = block["_t"].to_numpy(), block["_fire"].iloc[0]
+            to = np.searchsorted(times, times + cd, "left")
+            fired = np.zeros(len(block), bool)
+            i = int(np.searchsorted(times, fire + cd, "left")) if fire == fire and fire is not None else 0
+            while i < len(times):                     # one step per fire
+                fired[i] = True
+                i = to[i]
+            yield block.drop(columns=["_t", "_blk", "_fire"]).assign(**{out: fired})
+
+    schema = T.StructType(cands.drop("_t").schema.fields + [T.StructField(out, T.BooleanType(), False)])
+    seeded = rows.join(starts, [key, "_blk"], "left")
+    names = [f.name for f in schema.fields[:-1]]
+    return (seeded.select(*names, "_t", "_blk", "_fire").repartition(key, "_blk")
+            .sortWithinPartitions(key, "_blk", "_t", seq).mapInPandas(fold, schema))
 
 
 # ---- skew-robust exact ranks and sliding counts ---------------------------------------
@@ -320,6 +314,9 @@ def first_in_window(df: DataFrame, lookups: DataFrame, keys: list[str], ts: str,
             .select(*keys, F.col("_s").alias(seq), "_first"))
 
 
+HOT_KEY_ROWS = 2_000_000     # keys with more rows than this are counted by position
+
+
 def _split_hot(df: DataFrame, keys: list[str], hot_rows: int):
     """(cold rows, hot rows): keys with more than ``hot_rows`` rows are hot."""
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_rows).select(*keys)

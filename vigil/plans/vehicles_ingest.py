@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.common import rnd
+from ..functions.common import EPOCH_2024_US, rnd
 from ..sources.tables import table
 from .vehicles import v_log, v_metric, v_span
 
@@ -24,8 +24,9 @@ def _service_resource(svc):
     return F.struct(F.array(_kv("service.name", F.struct(svc.alias("stringValue")))).alias("attributes"))
 
 
-def otlp_trace_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = v_span(spark, sf_dir)
+def otlp_trace_messages(spark: SparkSession, sf_dir: str, spans: DataFrame | None = None) -> DataFrame:
+    """A message per (trace, service); ``at`` is its first span's start."""
+    s = v_span(spark, sf_dir) if spans is None else spans
     start_ns = F.unix_micros(F.col("start_time")) * 1000
     end_ns = start_ns + rnd(F.col("duration_ms") * 1e6).cast("long")
     def val(sv, iv):
@@ -44,18 +45,20 @@ def otlp_trace_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         start_ns.cast("string").alias("startTimeUnixNano"), end_ns.cast("string").alias("endTimeUnixNano"),
         route_attr.alias("attributes"),
         F.struct(F.when(F.col("status_code") != 0, F.col("status_code")).alias("code")).alias("status"))
-    g = s.groupBy("trace_id", "service").agg(F.collect_list(span).alias("spans"))
+    g = s.groupBy("trace_id", "service").agg(F.collect_list(span).alias("spans"), F.min("start_time").alias("at"))
     msg = F.struct(F.array(F.struct(
         _service_resource(F.col("service")).alias("resource"),
         F.array(F.struct(F.struct(F.lit("vigil").alias("name")).alias("scope"), F.col("spans").alias("spans")))
         .alias("scopeSpans"))).alias("resourceSpans"))
-    return g.select(F.to_json(msg).alias("payload"))
+    return g.select(F.to_json(msg).alias("payload"), "at")
 
 
-def otlp_log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def otlp_log_messages(spark: SparkSession, sf_dir: str, timeless: bool = True) -> DataFrame:
+    """A message per log, at its time; with ``timeless``, one in 50 does not name it."""
     lg = v_log(spark, sf_dir)
     seq = F.col("seq")
-    ns = F.when(seq % 50 == 0, F.lit("0")).otherwise((F.unix_micros(F.col("ts")) * 1000).cast("string"))
+    known = (F.unix_micros(F.col("ts")) * 1000).cast("string")
+    ns = F.when(seq % 50 == 0, F.lit("0")).otherwise(known) if timeless else known
     rec = F.struct(
         ns.alias("timeUnixNano"), F.lit(9).alias("severityNumber"),
         F.when(seq % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("severity")).alias("severityText"),
@@ -66,7 +69,7 @@ def otlp_log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _service_resource(F.col("service_name")).alias("resource"),
         F.array(F.struct(F.struct(F.lit("logs").alias("name")).alias("scope"),
                          F.array(rec).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))
-    return lg.select(F.to_json(msg).alias("payload"))
+    return lg.select(F.to_json(msg).alias("payload"), F.col("ts").alias("at"))
 
 
 def otlp_metric_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,18 +90,35 @@ def junk_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 3
     return d.select(
         F.when(k == 0, F.col("text")).when(k == 1, F.lit(""))
-         .otherwise(F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]"))).alias("payload"))
+         .otherwise(F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]"))).alias("payload"), "doc_id")
 
 
 def v_otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages of the multiplexed telemetry stream, with an ingestion time."""
-    u = (otlp_trace_messages(spark, sf_dir).unionByName(otlp_log_messages(spark, sf_dir))
-         .unionByName(otlp_metric_messages(spark, sf_dir)).unionByName(junk_messages(spark, sf_dir)))
+    u = (otlp_trace_messages(spark, sf_dir).drop("at").unionByName(otlp_log_messages(spark, sf_dir).drop("at"))
+         .unionByName(otlp_metric_messages(spark, sf_dir)).unionByName(junk_messages(spark, sf_dir).drop("doc_id")))
     # messages land as raw text (the queue); parsing always starts from storage
     from .materialize import materialize
     return materialize(u.withColumn("ingest_ts", F.lit(INGEST_TS).cast("timestamp")), "v_otlp")
 
 
+def v_live_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all traces on one clock: a trace starts 200 ms after the one before it."""
+    at = F.timestamp_micros(F.lit(EPOCH_2024_US) + F.col("trace_seq") * 200_000 + F.col("rn") * 10_000)
+    return v_span(spark, sf_dir).withColumn("start_time", at)
+
+
+def v_otlp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live telemetry stream as (line, at): traces, logs, metrics and undecodable lines on one clock."""
+    metrics = otlp_metric_messages(spark, sf_dir).withColumn("at", F.timestamp_micros(F.lit(EPOCH_2024_US)))
+    junk = junk_messages(spark, sf_dir).select(
+        F.translate("payload", "\n\r", "  ").alias("payload"),
+        F.timestamp_micros(F.lit(EPOCH_2024_US) + F.col("doc_id") * 100_000).alias("at"))
+    u = (otlp_trace_messages(spark, sf_dir, v_live_span(spark, sf_dir))
+         .unionByName(otlp_log_messages(spark, sf_dir, timeless=False)).unionByName(metrics).unionByName(junk))
+    return u.select(F.col("payload").alias("line"), "at")
+
+
 # ---- webhook deliveries -----------------------------------------------------------
 
 # FIXED VALUES (test secrets for the landed-webhook view; JUSPAY is left unconfigured)

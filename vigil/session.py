@@ -36,16 +36,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
 
     A folder already registered on the context counts where the setting is unset.
-    Without either, a local run gets a scratch folder of its own; a cluster run
-    fails, since executors could not read what others wrote to a local folder.
+    Without either, a local run gets a scratch folder of its own, registered on the
+    context (the setting itself can't be changed at runtime); a cluster run fails,
+    since executors could not read what others wrote to a local folder.
     """
     context = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not d:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="vigil-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(d)
-    return d
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vigil-ckpt-"))
+    return named or context.getCheckpointDir()
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """Folder of the intermediate tables of this application."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/vigil-tables/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of the shared storage, whatever file system it is."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no result is read from them."""
+    remove(spark, tables_dir(spark))

@@ -55,16 +55,23 @@ def attr(attrs: Column, key: str) -> Column:
     return F.try_element_at(F.filter(attrs, lambda a: a["key"] == key), F.lit(1))["value"]["stringValue"]
 
 
-def parse_messages(raw: DataFrame, col: str = "payload") -> DataFrame:
-    """Decode each message; keep only JSON objects (others are dropped).
+def decode_messages(raw: DataFrame, col: str = "payload") -> DataFrame:
+    """Decode each message; adds ``msg`` (the payload struct) and ``reason``.
 
-    Adds ``msg`` (the parsed payload struct) and keeps every other column
-    (e.g. the ingestion time used as the log-time fallback).
+    Only JSON objects are messages; for all others ``msg`` is null and ``reason`` says why
+    (``empty``, ``not JSON``, ``not an object``).  Every other column is kept (e.g. the
+    ingestion time used as the log-time fallback).
     """
-    txt = F.trim(F.col(col).cast("string"))
+    txt = F.trim(F.coalesce(F.col(col).cast("string"), F.lit("")))
+    reason = (F.when(txt == "", "empty").when(F.try_parse_json(txt).isNull(), "not JSON")
+              .when(~txt.startswith("{"), "not an object"))
     parsed = F.from_json(txt, PAYLOAD, {"mode": "PERMISSIVE"})
-    ok = txt.startswith("{") & F.try_parse_json(txt).isNotNull()
-    return raw.withColumn("msg", F.when(ok, parsed)).filter(F.col("msg").isNotNull())
+    return raw.withColumn("reason", reason).withColumn("msg", F.when(F.col("reason").isNull(), parsed))
+
+
+def parse_messages(raw: DataFrame, col: str = "payload") -> DataFrame:
+    """The decoded messages alone; undecodable ones are dropped."""
+    return decode_messages(raw, col).filter("reason is null").drop("reason")
 
 
 def _ns_to_ts(ns: Column) -> Column:
@@ -128,11 +135,12 @@ def telemetry_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 
 def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Warm-up corpus (JSONL); blank and broken lines are dropped; each row is
-    a one-span trace with error rate 0.  A missing file means a cold start."""
-    schema = T.StructType([T.StructField("duration_ms", T.DoubleType())])
+    a one-span trace with error rate 0.  A missing file means a cold start.  ``line``, where
+    records number themselves, is their order."""
+    schema = T.StructType([T.StructField("duration_ms", T.DoubleType()), T.StructField("line", T.LongType())])
     try:
         df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     except Exception:  # noqa: BLE001  — path not found: cold start
-        return spark.createDataFrame([], "duration_ms double, span_count long, error_rate double")
+        return spark.createDataFrame([], "duration_ms double, span_count long, error_rate double, line long")
     return df.filter(F.col("duration_ms").isNotNull()).select(
-        "duration_ms", F.lit(1).cast("long").alias("span_count"), F.lit(0.0).alias("error_rate"))
+        "duration_ms", F.lit(1).cast("long").alias("span_count"), F.lit(0.0).alias("error_rate"), "line")

@@ -22,23 +22,33 @@ from ..functions.redaction import is_redacted
 from ..operators import logs as LG
 from ..operators import payments_detect as PD
 from ..operators import traces as TR
-from ..plans.ordered import greedy_cooldown_parallel, range_rank, top_n_per_key
+from ..plans.ordered import greedy_cooldown, range_rank, top_n_per_key
+from ..session import remove
+from ..sources import otlp as OT
 
+#: Rows of a step: one table, or several by name.
+Rows = DataFrame | dict[str, DataFrame]
 #: (micro-batch, carried tables or {} on the first) → (result rows, tables to carry)
-Step = Callable[[DataFrame, dict[str, DataFrame]], tuple[DataFrame, dict[str, DataFrame]]]
+Step = Callable[[DataFrame, dict[str, DataFrame]], tuple[Rows, dict[str, DataFrame]]]
 
 
 def start_fold(stream: DataFrame, step: Step, tables: list[str], folder: str, available_now: bool = True):
-    """Start the stream; results go to ``folder``/out, one sub-folder per micro-batch."""
+    """Start the stream; results go to ``folder``/out, one sub-folder per micro-batch (and per named table).
+
+    What a batch has landed and the state before the last committed batch's are removed (S10):
+    a batch that runs again needs the state of the batch before it only.
+    """
     def sink(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
+        remove(spark, f"{folder}/landed/{batch_id - 1}", f"{folder}/state/{batch_id - 2}")
         landed = f"{folder}/landed/{batch_id}"      # the kernels read the batch several times
         batch.write.mode("overwrite").parquet(landed)
         carried = {t: spark.read.parquet(f"{folder}/state/{batch_id - 1}/{t}") for t in tables} if batch_id else {}
-        rows, carry = step(spark.read.parquet(landed), carried)
+        rows, carry = step(spark.read.schema(batch.schema).parquet(landed), carried)
         for t in tables:
             carry[t].write.mode("overwrite").parquet(f"{folder}/state/{batch_id}/{t}")
-        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        for name, df in rows.items() if isinstance(rows, dict) else [("", rows)]:
+            df.write.mode("overwrite").parquet(f"{folder}/out/{name}/batch={batch_id}" if name else f"{folder}/out/batch={batch_id}")
 
     w = stream.writeStream.option("checkpointLocation", f"{folder}/_checkpoint").foreachBatch(sink)
     return (w.trigger(availableNow=True) if available_now else w).start()
@@ -63,7 +73,7 @@ def _cooled(cands: DataFrame, fires: DataFrame | None, key: str, cooldown_s: flo
                  .unionByName(fires.withColumn("_seed", F.lit(True)), allowMissingColumns=True))
     else:
         cands = cands.withColumn("_seed", F.lit(False))
-    fired = greedy_cooldown_parallel(cands, key, "ts", "seq", cooldown_s).filter("fired")
+    fired = greedy_cooldown(cands, key, "ts", "seq", cooldown_s).filter("fired")
     last = (fired.groupBy(key).agg(F.max(F.struct("ts", "seq")).alias("_f"))
             .select(key, F.col("_f.ts").alias("ts"), F.col("_f.seq").alias("seq")))
     return fired.filter(~F.col("_seed")), last
@@ -97,20 +107,20 @@ def payment_alerts_step(lateness_s: float = 600) -> Step:
 def trace_detectors_step(batch: DataFrame, carried: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """R4 + R5: N+1 and bimodal flags of closed traces, each judged before it is learned from.
 
-    Carries the span-count totals of a service and the last traces its EWMA can still feel.
+    Carries the span-count totals of a service and the mean and variance of its EWMA.
     """
     cols = ["trace_id", "trace_seq", "primary_service", "span_count", "duration_ms"]
-    own = known(batch.select(*cols), "primary_service").withColumn("own", F.lit(True))
-    rows = _with_carried(own, carried, "tail")
-    totals = carried.get("totals")
+    own = known(batch.select(*cols), "primary_service")
+    totals, ewma = carried.get("totals"), carried.get("ewma")
     spans = TR.n_plus_1(own, before=totals).select("trace_seq", "n_plus_1")
-    latency = TR.bimodal(rows).filter("own").select(*cols, "bimodal_latency", "latency_variance")
-    tail = top_n_per_key(rows, ["primary_service"], [F.desc("trace_seq")], TR.EWMA_DEPTH).drop("rank")
-    return latency.join(spans, "trace_seq"), {"tail": tail.withColumn("own", F.lit(False)),
-                                              "totals": TR.span_totals(own, before=totals)}
+    latency = TR.bimodal(own, before=ewma).select(*cols, "bimodal_latency", "latency_variance")
+    state = TR.ewma_state(own, before=ewma)
+    if ewma is not None:  # services without a trace in this batch
+        state = state.unionByName(ewma.join(state.select("primary_service"), "primary_service", "left_anti"))
+    return latency.join(spans, "trace_seq"), {"totals": TR.span_totals(own, before=totals), "ewma": state}
 
 
-TRACE_TABLES = ["tail", "totals"]
+TRACE_TABLES = ["totals", "ewma"]
 
 
 def trace_alerts_step(lateness_s: float = 60, window_s: int = 10) -> Step:
@@ -118,8 +128,9 @@ def trace_alerts_step(lateness_s: float = 60, window_s: int = 10) -> Step:
 
     A window closes once a span at least ``lateness_s`` after its end has arrived; its traces
     are numbered in (window, trace) order behind all earlier ones.  Spans of a window that
-    was closed before they came are late and left out, as are spans without a start time
-    (``late_rows_step`` reports late rows).
+    was closed before they came are late; they and spans without a start time are left out
+    and counted: the ``balance`` table has a row per micro-batch of how many spans came in,
+    left in a closed window, came late, had no time, and wait in open windows.
     Carries the spans of open windows, the newest time seen and the detectors' state.
     """
     end = F.window("start_time", f"{window_s} seconds")["end"]
@@ -127,15 +138,25 @@ def trace_alerts_step(lateness_s: float = 60, window_s: int = 10) -> Step:
     def step(batch, carried):
         own = batch.withColumn("window_end", end)
         clock = own.agg(F.max("start_time").alias("newest"), F.lit(0).cast("long").alias("numbered"))
+        timely = F.col("start_time").isNotNull()
         if carried:
             before = carried["clock"].first()            # one row: the time and the number reached
-            own = own.filter(F.col("window_end") > F.lit(before["newest"]).cast("timestamp") - F.expr(f"INTERVAL {lateness_s} SECONDS"))
-            own = own.unionByName(carried["open"])
+            if before["newest"] is not None:
+                late_to = F.lit(before["newest"]).cast("timestamp") - F.expr(f"INTERVAL {lateness_s} SECONDS")
+                timely = timely & (F.col("window_end") > late_to)
             clock = clock.unionByName(carried["clock"]).agg(F.max("newest").alias("newest"),
                                                             F.max("numbered").alias("numbered"))
+        came = own.agg(F.count(F.lit(1)).alias("spans_in"), F.count_if(F.col("start_time").isNull()).alias("timeless"),
+                       F.count_if(F.col("start_time").isNotNull() & ~timely).alias("late"))
+        own = own.filter(timely)
+        if carried:
+            own = own.unionByName(carried["open"])
         newest, numbered = clock.first()
         newest = F.lit(newest).cast("timestamp")
-        closed = F.col("window_end") <= newest - F.expr(f"INTERVAL {lateness_s} SECONDS")
+        closed = F.coalesce(F.col("window_end") <= newest - F.expr(f"INTERVAL {lateness_s} SECONDS"), F.lit(False))
+        went = own.agg(F.count_if(closed).alias("closed"), F.count_if(~closed).alias("open"))
+        balance = (came.unionByName(went, allowMissingColumns=True)
+                   .agg(*[F.max(c).alias(c) for c in ("spans_in", "closed", "late", "timeless", "open")]))
         spans = own.filter(closed).drop("window_end")
         traces = TR.build_traces(spans, window_s=window_s).withColumn("window_start", F.col("window.start"))
         ranked = range_rank(traces.drop("window"), ["window_start", "trace_id"])
@@ -145,10 +166,58 @@ def trace_alerts_step(lateness_s: float = 60, window_s: int = 10) -> Step:
                                            "trace_seq"))
         alerts = TR.trace_alerts(verdicts, keep=("window_start",))
         now = ranked.agg(newest.alias("newest"), (F.count(F.lit(1)) + F.lit(numbered)).alias("numbered"))
-        return alerts, {"open": own.filter(~closed), "clock": now, **state}
+        return {"alerts": alerts, "balance": balance}, {"open": own.filter(~closed), "clock": now, **state}
+    return step
+
+
+ALERT_TABLES = ["open", "clock", *TRACE_TABLES]
+
+
+def telemetry_step(pii_threshold: float = PII_THRESHOLD, lateness_s: float = 60, window_s: int = 10) -> Step:
+    """S1 + S3 → R1–R5: one micro-batch of decoded messages forked to spans and logs.
+
+    Spans go to ``trace_alerts_step``, logs to ``pii_alerts_step`` (numbered in (ts, span id)
+    order behind all earlier ones); messages that can't be decoded are counted by reason in
+    the ``dead`` table.  ``alerts`` holds both kinds of alerts.
+    """
+    traces, pii = trace_alerts_step(lateness_s, window_s), pii_alerts_step(pii_threshold)
+
+    def step(batch, carried):
+        good = batch.filter("reason is null")
+        start = F.when(F.col("start_time") > F.timestamp_seconds(F.lit(0)), F.col("start_time"))
+        spans = OT.flatten_spans(good).select(
+            "trace_id", "span_id", "parent_span_id", F.col("service_name").alias("service"),
+            F.col("span_name").alias("name"), "duration_ms", start.alias("start_time"), "status_code")
+        out, state = traces(spans, {t: carried[t] for t in ALERT_TABLES} if carried else {})
+        logs = range_rank(OT.flatten_logs(good, "ingest_ts").withColumnRenamed("timestamp", "ts"), ["ts", "span_id"])
+        reached = carried["lines"].first()["lines"] if carried else 0  # one row
+        logs = logs.withColumn("seq", F.col("_pos") + F.lit(reached)).drop("_pos")
+        fired, held = pii(logs, {t: carried[t] for t in ("rows", "fires")} if carried else {})
+        lines = logs.agg((F.count(F.lit(1)) + F.lit(reached)).alias("lines"))
+        alerts = out["alerts"].select(
+            F.lit("trace").alias("kind"), "service", "trace_id", F.col("window_start").alias("at"), "anomaly_type",
+            F.concat_ws(",", "reasons").alias("reasons"), F.lit(None).cast("double").alias("ratio"))
+        alerts = alerts.unionByName(fired.select(
+            F.lit("log").alias("kind"), "service", "trace_id", F.col("ts").alias("at"),
+            F.lit("PII Redaction Density").alias("anomaly_type"), F.lit("pii_redaction_density").alias("reasons"), "ratio"))
+        dead = batch.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("messages"))
+        return ({"alerts": alerts, "balance": out["balance"], "dead": dead},
+                {**state, **held, "lines": lines})
     return step
 
 
+TELEMETRY_TABLES = [*ALERT_TABLES, "rows", "fires", "lines"]
+
+
+def real_only_step(batch: DataFrame, carried: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Simulated payments are left out from the first live one on; carries its time (one row, latched)."""
+    first = batch.filter(F.col("source") == "live").agg(F.min("ts").alias("first_live"))
+    if carried:
+        first = first.unionByName(carried["latch"]).agg(F.min("first_live").alias("first_live"))
+    at = first.select("first_live").scalar()
+    return batch.filter((F.col("source") == "live") | at.isNull() | (F.col("ts") < at)), {"latch": first}
+
+
 def late_rows_step(allowed_s: float, ts: str = "ts") -> Step:
     """R2: rows that came more than ``allowed_s`` behind the newest row of earlier micro-batches."""
     def step(batch, carried):
@@ -182,7 +251,7 @@ def pii_alerts_step(threshold: float = PII_THRESHOLD, lateness_s: float = 600) -
         rows = _with_carried(own, carried, "rows")
         cands = LG.pii_density(rows, threshold=threshold).join(own.select("seq"), "seq", "left_semi")
         fired, last = _cooled(cands, carried.get("fires"), "service_name", PII_COOLDOWN_S)
-        out = fired.select(F.col("service_name").alias("service"), "seq", rnd(F.col("redaction_ratio"), 6).alias("ratio"),
-                           "window_log_count", "redacted_count")
+        out = fired.select(F.col("service_name").alias("service"), "trace_id", "ts", "seq",
+                           rnd(F.col("redaction_ratio"), 6).alias("ratio"), "window_log_count", "redacted_count")
         return out, {"rows": _recent(rows, PII_WINDOW_S + lateness_s), "fires": last}
     return step

@@ -1,7 +1,7 @@
 """Watermarked Structured Streaming aggregates and the sinks.
 
 Event-time windows carry a watermark and go, in ``update`` mode, into a keyed-replace
-table (S8: last write per key wins).  Detectors are in ``streaming.batches``.
+table (S8, ``streaming.keyed``).  Detectors are in ``streaming.batches``.
 """
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import remove
+from .keyed import keyed_table, write_keyed
+
 # ---- windows, totals, sinks (R1, R2, R7, R8, S7, S8, S11) ----------------------------
 
 def trace_windows_stream(span_stream: DataFrame, window_s: int = 10, watermark: str = "1 minute") -> DataFrame:
@@ -65,46 +68,89 @@ def write_append(df: DataFrame, path: str, checkpoint: str, available_now: bool
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def write_keyed_replace(df: DataFrame, path: str, checkpoint: str, available_now: bool = True):
-    """S8 (stream): every micro-batch's updated rows are appended with their batch
-    id; readers take the last write per key (``operators.traces.latest_by_key``)."""
-    def sink(batch: DataFrame, batch_id: int):
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(path)
-    w = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink)
-    return (w.trigger(availableNow=True) if available_now else w).start()
-
-
 def to_console(df: DataFrame, output_mode: str = "append"):
     """Console sink of closed windows."""
     return df.writeStream.format("console").outputMode(output_mode).option("truncate", False).start()
 
 
-def replay(df: DataFrame, order_col: str, folder: str, start: Callable, chunks: int = 4) -> DataFrame:
+#: Folders of a finished replay that no result is read from.
+WORKING = ("all", "in", "landed", "state", "_checkpoint")
+
+
+def deliveries(df: DataFrame, order_col: str, folder: str, chunks: int) -> list[DataFrame]:
+    """``df`` as ``chunks`` tables of equal spans of ``order_col`` (times or whole numbers), written once."""
+    spark = df.sparkSession
+    is_ts = isinstance(df.schema[order_col].dataType, (T.TimestampType, T.TimestampNTZType))
+    key = F.unix_micros(F.col(order_col).cast("timestamp")) if is_ts else F.col(order_col)
+    # the view is computed once; a delivery reads its own folder
+    df.withColumn("_key", key).write.mode("overwrite").parquet(f"{folder}/raw")
+    raw = spark.read.parquet(f"{folder}/raw")
+    lo, hi = raw.agg(F.min("_key"), F.max("_key")).first()
+    if lo is None:
+        return [raw.select(*df.columns)]
+    width = (float(hi) - float(lo) + 1.0) / chunks
+    chunk = F.least(F.lit(chunks - 1), F.floor((F.col("_key") - F.lit(float(lo))) / F.lit(width))).cast("int")
+    chunk = F.coalesce(chunk, F.lit(0))
+    return [raw.filter(chunk == i).select(*df.columns) for i in range(chunks)]
+
+
+def replay(df: DataFrame, order_col: str, folder: str, start: Callable, chunks: int = 4,
+           result: Callable[[], DataFrame] | None = None, working: tuple[str, ...] = WORKING) -> DataFrame:
     """Feed ``df`` to a stream as ``chunks`` deliveries in ``order_col`` order; returns what it wrote.
 
     Each delivery is appended to the landing folder ``folder``/in by all tasks and the query is
     started anew from its checkpoint, so one micro-batch holds one delivery and every
     delivery after the first is a restart (S2).  ``start`` takes the stream and returns the
-    started query, which writes to ``folder``/out.
+    started query, which writes to ``folder``/out (or where ``result`` reads).  An empty table is
+    one empty delivery.  At the end everything but the result is removed.
     """
     spark = df.sparkSession
-    is_ts = isinstance(df.schema[order_col].dataType, (T.TimestampType, T.TimestampNTZType))
-    key = F.unix_micros(F.col(order_col).cast("timestamp")) if is_ts else F.col(order_col)
-    # the view is computed once; a delivery reads its own folder
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    width = (float(hi) - float(lo) + 1.0) / chunks if lo is not None else 1.0
-    chunk = F.least(F.lit(chunks - 1), F.floor((key - F.lit(float(lo or 0))) / F.lit(width))).cast("int")
-    (df.withColumn("chunk", F.coalesce(chunk, F.lit(0))).repartitionByRange("chunk", order_col)
-     .write.partitionBy("chunk").parquet(f"{folder}/all"))
-    for i in range(chunks):
-        landed = spark.read.parquet(f"{folder}/all").filter(F.col("chunk") == i).drop("chunk")
-        landed.select(*df.columns).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
-        start(stream).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
-
-
-def to_table(build: Callable[[DataFrame], DataFrame], folder: str, keyed: bool = False) -> Callable:
-    """``start`` for :func:`replay`: the stream that ``build`` makes, written under ``folder``."""
-    write = write_keyed_replace if keyed else write_append
-    return lambda stream: write(build(stream), f"{folder}/out", f"{folder}/_checkpoint")
+    for landed in deliveries(df, order_col, f"{folder}/all", chunks):
+        landed.write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(df.schema).parquet(f"{folder}/in")).awaitTermination()
+    remove(spark, *[f"{folder}/{w}" for w in working])
+    return result() if result else spark.read.parquet(f"{folder}/out")
+
+
+def replay_all(inputs: dict[str, tuple[DataFrame, str]], folder: str, start: Callable, chunks: int = 4,
+               result: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """``replay`` of several tables on one clock: {name: (table, time column)}; ``start`` takes the streams by name."""
+    spark = next(iter(inputs.values()))[0].sparkSession
+    clocks = None
+    for name, (df, ts) in inputs.items():
+        times = df.select(F.lit(name).alias("name"), F.col(ts).cast("timestamp").alias("ts"))
+        clocks = times if clocks is None else clocks.unionByName(times)
+    lo, hi = clocks.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    bounds = [lo + (hi - lo + 1) * i // chunks for i in range(1, chunks)] if lo is not None else []
+    for name, (df, ts) in inputs.items():
+        df.write.mode("overwrite").parquet(f"{folder}/all/{name}")
+    for i in range(len(bounds) + 1):
+        for name, (df, ts) in inputs.items():
+            rows, at = spark.read.schema(df.schema).parquet(f"{folder}/all/{name}"), F.unix_micros(F.col(ts).cast("timestamp"))
+            if i:
+                rows = rows.filter(at >= bounds[i - 1])
+            if i < len(bounds):
+                rows = rows.filter(at < bounds[i])
+            rows.write.mode("append").parquet(f"{folder}/in/{name}")
+        streams = {n: spark.readStream.schema(df.schema).parquet(f"{folder}/in/{n}") for n, (df, _) in inputs.items()}
+        start(streams).awaitTermination()
+    remove(spark, *[f"{folder}/{w}" for w in WORKING])
+    return result() if result else spark.read.parquet(f"{folder}/out")
+
+
+def to_table(build: Callable[[DataFrame], DataFrame], folder: str) -> Callable:
+    """``start`` for :func:`replay`: the stream that ``build`` makes, appended under ``folder``."""
+    return lambda stream: write_append(build(stream), f"{folder}/out", f"{folder}/_checkpoint")
+
+
+def replay_keyed(df: DataFrame, order_col: str, folder: str, build: Callable[[DataFrame], DataFrame],
+                 key: list[str], derive=None, chunks: int = 4) -> DataFrame:
+    """``replay`` into a keyed table; returns its rows, one per key."""
+    made = {}
+
+    def start(stream):
+        built = build(stream)
+        made["table"] = keyed_table(built, key, f"{folder}/out", derive=derive)
+        return write_keyed(built, key, f"{folder}/out", f"{folder}/_checkpoint", derive=derive)
+
+    return replay(df, order_col, folder, start, chunks, result=lambda: made["table"].read().drop("_version"))
