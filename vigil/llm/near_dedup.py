@@ -189,15 +189,16 @@ def branch(at: DataFrame, coordinates: int, more: float) -> DataFrame:
         F.when(second, F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
 
 
-def roots(sigs: DataFrame, trees: int, coordinates: int, more: float) -> DataFrame:
-    """(node, id) of the first level; the trees' coordinates are constants, all different."""
+def roots(sigs: DataFrame, trees: int, coordinates: int, more: float) -> list[DataFrame]:
+    """(node, id) of each tree's first level; the trees' coordinates are constants, all different."""
     rng = random.Random(11)
     order = rng.sample(range(coordinates), coordinates)
-    first = []
+    out = []
     for t in range(trees):
-        for i in order[2 * t % coordinates:2 * t % coordinates + 2][:2 if rng.random() < more else 1]:
-            first.append(F.xxhash64(F.lit(t), F.lit(i), F.element_at("sig", i + 1)))
-    return sigs.select("id", F.explode(F.array(*first)).alias("node"))
+        chosen = order[2 * t % coordinates:2 * t % coordinates + 2][:2 if rng.random() < more else 1]
+        nodes = [F.xxhash64(F.lit(t), F.lit(i), F.element_at("sig", i + 1)) for i in chosen]
+        out.append(F.array(*nodes))
+    return [sigs.select("id", F.explode(F.flatten(F.array(*part))).alias("node")) for part in (out[:FIRST_TREES], out[FIRST_TREES:]) if part]
 
 
 def compare_nodes(at: DataFrame, sketches: DataFrame, leaf: int, leaders: int, similarity: float,
@@ -249,21 +250,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                        .where(F.col("s") * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
 
 
+#: Trees of the first pass; the others meet the components that it has found.
+FIRST_TREES = 3
+
+
 def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, percent: int, trees: int, depth: int,
               leaf: int, leaders: int, coordinates: int, more: float) -> DataFrame:
     """(id, comp) of the classes that have links: those found by the trees, and the given ones.
 
-    Nodes are compared in two passes by forests, the second one with the components of the
-    first, and what is left of nodes with refuted pairs in a last one with all pairs.
+    The first trees' nodes are compared by forests, then those of the others, and the first
+    ones' again where a pair was refuted, in the components of the first pass: a group that
+    is one component by then gives no more pairs.  What is left of nodes with refuted pairs
+    is compared in a last pass with all pairs.
     """
     similarity = percent / 100
     sketches = sigs.select("id", "tiny")
-    at = materialize(roots(sigs, trees, coordinates, more).distinct(), "near-paths")
+    parts = [materialize(part.distinct(), "near-paths") for part in roots(sigs, trees, coordinates, more)]
+    at = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
     # classes that meet others under many coordinates are close to many: the best leaders
     often = (at.join(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf), "node", "left_semi")
              .groupBy("id").agg((-F.count(F.lit(1))).alias("rank")))
-    at = at.join(often, "id", "left").select("node", "id", F.coalesce("rank", F.lit(0)).alias("rank"))
-    levels = [at]
+    levels = [part.join(often, "id", "left").select("node", "id", F.coalesce("rank", F.lit(0)).alias("rank")) for part in parts]
 
     def settled(pairs, links, tried):
         """Links, tried and refuted pairs after these, and the nodes that have more pairs behind a refuted one."""
@@ -281,12 +288,12 @@ def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, pe
             rows = rows.unionAll(level.join(again, "node", "left_semi").select("node", "id", "rank"))
         return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
-    pairs, at = compare_nodes(at.withColumn("comp", F.col("id")), sketches, leaf, leaders, similarity)
+    pairs, at = compare_nodes(levels[0].withColumn("comp", F.col("id")), sketches, leaf, leaders, similarity)
     links, tried, refuted, again = settled(pairs, links, None)
     comp = connected(links)
-    if at.isEmpty() and again.isEmpty():
-        return comp
-    at = known(at.select("node", "id", "rank"), sized(again), comp).join(sigs.select("id", "sig"), "id")
+    rest = at.select("node", "id", "rank")
+    rest = rest if len(levels) == 1 else rest.unionAll(levels[1].select("node", "id", "rank"))
+    at = known(rest, sized(again), comp).join(sigs.select("id", "sig"), "id")
     found, at = compare_nodes(at, sketches, leaf, leaders, similarity, refuted=refuted)
     for level in range(depth):
         if at.isEmpty():
