@@ -185,7 +185,7 @@ def branch(at: DataFrame, coordinates: int, more: float) -> DataFrame:
     pick = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(coordinates)).cast("int") for k in (1, 2)]
     second = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1000)) < int(more * 1000)
     child = [F.xxhash64("node", p, F.element_at("sig", p + 1)) for p in pick]
-    return at.select("id", "comp", "rank", "sig", F.explode(
+    return at.select("id", "comp", "rank", F.explode(
         F.when(second, F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
 
 
@@ -293,12 +293,12 @@ def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, pe
     comp = connected(links)
     rest = at.select("node", "id", "rank")
     rest = rest if len(levels) == 1 else rest.unionAll(levels[1].select("node", "id", "rank"))
-    at = known(rest, sized(again), comp).join(sigs.select("id", "sig"), "id")
+    at = known(rest, sized(again), comp)
     found, at = compare_nodes(at, sketches, leaf, leaders, similarity, refuted=refuted)
     for level in range(depth):
         if at.isEmpty():
             break
-        at = materialize(branch(at, coordinates, more), "near-paths")
+        at = materialize(branch(at.join(sigs.select("id", "sig"), "id"), coordinates, more), "near-paths")
         levels.append(at.select("node", "id", "rank"))
         last = level == depth - 1  # what is left then is compared whole, however large
         deeper, at = compare_nodes(at, sketches, leaf if not last else 2 ** 62, leaders, similarity)
