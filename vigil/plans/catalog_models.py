@@ -69,7 +69,8 @@ moments AS (
          CASE WHEN stddev_pop(f_dur) > 0 AND stddev_pop(f_spans) > 0 THEN covar_pop(f_dur, f_spans) ELSE 0 END AS covariance
   FROM learned GROUP BY version),
 ae AS (
-  SELECT trace_id, coalesce(greatest(0.0, least(1.0, (z0 * z0 + z1 * z1 + z2 * z2 - a * a) / 3 / 0.1)), 0.0) AS autoencoder_mse
+  SELECT trace_id, CASE WHEN mean_dur IS NULL THEN 0.0
+                        ELSE greatest(0.0, least(1.0, (z0 * z0 + z1 * z1 + z2 * z2 - a * a) / 3 / 0.1)) END AS autoencoder_mse
   FROM (SELECT *, CASE WHEN varies_dur AND varies_spans THEN (z0 + CASE WHEN covariance < 0 THEN -1 ELSE 1 END * z1) * sqrt(0.5::DOUBLE)
                        WHEN varies_dur THEN z0 WHEN varies_spans THEN z1 ELSE 0 END AS a
         FROM (SELECT trace_id, m.*, (f_dur - mean_dur) / sd_dur AS z0, (f_spans - mean_spans) / sd_spans AS z1, f_err - mean_err AS z2

@@ -136,18 +136,18 @@ def trace_alerts_step(lateness_s: float = 60, window_s: int = 10) -> Step:
     end = F.window("start_time", f"{window_s} seconds")["end"]
 
     def step(batch, carried):
-        own = batch.withColumn("window_end", end)
+        own = batch.filter("start_time is not null").withColumn("window_end", end)
         clock = own.agg(F.max("start_time").alias("newest"), F.lit(0).cast("long").alias("numbered"))
-        timely = F.col("start_time").isNotNull()
+        timely = F.lit(True)
         if carried:
             before = carried["clock"].first()            # one row: the time and the number reached
             if before["newest"] is not None:
                 late_to = F.lit(before["newest"]).cast("timestamp") - F.expr(f"INTERVAL {lateness_s} SECONDS")
-                timely = timely & (F.col("window_end") > late_to)
+                timely = F.col("window_end") > late_to
             clock = clock.unionByName(carried["clock"]).agg(F.max("newest").alias("newest"),
                                                             F.max("numbered").alias("numbered"))
-        came = own.agg(F.count(F.lit(1)).alias("spans_in"), F.count_if(F.col("start_time").isNull()).alias("timeless"),
-                       F.count_if(F.col("start_time").isNotNull() & ~timely).alias("late"))
+        came = (batch.agg(F.count(F.lit(1)).alias("spans_in"), F.count_if(F.col("start_time").isNull()).alias("timeless"))
+                .unionByName(own.agg(F.count_if(~timely).alias("late")), allowMissingColumns=True))
         own = own.filter(timely)
         if carried:
             own = own.unionByName(carried["open"])
