@@ -74,7 +74,7 @@ def test_keyed_table_holds_one_row_of_a_key(spark):
     schema = spark.createDataFrame([], "k string, value long, _version long").schema
     table = KeyedTable(spark, tempfile.mkdtemp(prefix="vigil-keyed-"), ["k"], "_version", schema, buckets=4)
     want: dict = {}
-    for b in range(6):
+    for b in range(4):
         rows = [(rnd.choice([None, *"abcdefgh"[:b + 2]]), rnd.randint(0, 99), i) for i in range(rnd.choice([0, 1, 9]))]
         batch = spark.createDataFrame(rows, schema)
         for _ in range(2):                               # a batch that runs again changes nothing
@@ -144,18 +144,19 @@ def test_message_stream_to_alerts_and_dead_letters(spark):
     folder = tempfile.mkdtemp(prefix="vigil-stream-test-")
     parts = [[_message("t1", "a", "", "svc", 1, 5), _message("t1", "b", "gone", "svc", 2, 5), "not json", "", "[1]"],
              [_message("t2", "a", "", "svc", 200, 5), _message("t3", "a", "lost", "svc", 3, 5), "   ", "{broken"],
-             [_message("t4", "a", "", "svc", 900, 5), '{"resourceMetrics": []}', "7"]]
+             [_message("t4", "a", "", "svc", 900, 5), _message("t5", "a", "gone", "svc", 5, 5), '{"resourceMetrics": []}', "7"]]
     for lines in parts:
         spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.mode("append").text(folder + "/in")
         stream = OT.decode_messages(OT.telemetry_stream(spark, folder + "/in")).drop("payload")
         SB.start_fold(stream, SB.telemetry_step(), SB.TELEMETRY_TABLES, folder).awaitTermination()
     alerts = spark.read.parquet(folder + "/out/alerts").collect()
-    assert [(r["kind"], r["trace_id"], r["reasons"]) for r in alerts] == [("trace", "t1", "dangling_parent")]
+    assert sorted((r["kind"], r["trace_id"], r["reasons"]) for r in alerts) == [
+        ("trace", "t1", "dangling_parent"), ("trace", "t3", "dangling_parent")]
     dead = spark.read.parquet(folder + "/out/dead").groupBy("reason").agg(F.sum("messages").alias("n")).collect()
     assert {r["reason"]: r["n"] for r in dead} == {"not JSON": 2, "empty": 2, "not an object": 2}
     balance = [r.asDict() for r in spark.read.parquet(folder + "/out/balance").orderBy("batch").collect()]
     assert [(r["spans_in"], r["closed"], r["late"], r["timeless"], r["open"]) for r in balance] == [
-        (2, 0, 0, 0, 2), (2, 2, 1, 0, 1), (1, 1, 0, 0, 1)] or balance[1]["late"] == 0
+        (2, 0, 0, 0, 2), (2, 3, 0, 0, 1), (2, 1, 1, 0, 1)]
 
 
 def test_folders_stay_bounded_and_restart(spark):
@@ -169,9 +170,9 @@ def test_folders_stay_bounded_and_restart(spark):
                      for f in ("landed", "state") if os.path.isdir(f"{folder}/{f}")})
         return SB.start_fold(stream, SB.real_only_step, ["latch"], folder)
 
-    out = ST.replay(df, "seq", folder, start, chunks=20)
+    out = ST.replay(df, "seq", folder, start, chunks=8)
     assert sorted(r["seq"] for r in out.collect()) == [i for i, ts, s in rows if s == "live" or i < 71]
-    assert all(n <= 2 for held in seen for n in held.values()) and len(seen) == 20
+    assert all(n <= 2 for held in seen for n in held.values()) and len(seen) == 8
     assert not [f for f in ST.WORKING if os.path.exists(f"{folder}/{f}")]
 
 
