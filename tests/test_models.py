@@ -177,3 +177,53 @@ def test_cold_start_cannot_fire(spark):
     r = sc.agg(F.max("aggregate_score").alias("m"), F.max(F.col("ml_anomaly").cast("int")).alias("a")).first()
     assert abs(r["m"] - 0.5) < 1e-9 and r["a"] == 0
     assert EN.ensemble_scores(df.limit(0)).collect() == []
+
+
+def test_half_space_windows_in_groups(spark, monkeypatch):
+    """One row per trace before masses are counted; the same scores and masses in groups of any size."""
+    rows = sample(730, 9)
+    arrived = EN.arrivals(spark.createDataFrame(rows, SCHEMA))
+    assert EN.hs_nodes(arrived).count() == len(rows)
+
+    def found():
+        return (sorted(map(tuple, EN.hs_masses(EN.hs_nodes(arrived)).collect())),
+                {r["trace_id"]: r["hs_trees"] for r in EN.hs_scores(arrived).collect()})
+
+    masses, scores = found()
+    axis, place = EN.hs_shapes()
+    want = {}
+    for i, v in enumerate(map(vec, rows[:700])):
+        for t in range(EN.HS_TREES):
+            for node in walk([v[0] / 5, min(v[1] / EN.HS_SPANS, 1.0), v[2]], axis[t], place[t]):
+                want[i // 100, t, node] = want.get((i // 100, t, node), 0) + 1
+    assert {m[:3]: m[3] for m in masses} == want and len(masses) == len(want)
+    for size in (1, 3):
+        monkeypatch.setattr(EN, "HS_GROUP", size)
+        assert found() == (masses, scores)
+
+
+def test_isolation_trees_are_drawn_by_spark_hash_and_match_loop(spark):
+    versions = np.array([0, 3, 1 << 40])
+    nodes = np.arange(1, 128)
+    axis, share = EN.isolation_draws(versions, nodes)
+    keys = [(int(v), t, int(n)) for v in versions for t in range(1, EN.IF_TREES + 1) for n in nodes]
+    h = [F.pmod(F.xxhash64(F.lit(k), "version", "tree", "node"), F.lit(1 << 30)) for k in (0, 1)]
+    drawn = {tuple(r)[:3]: tuple(r)[3:] for r in spark.createDataFrame(keys, "version long, tree int, node long").select(
+        "*", h[0] % 3, h[1] / float(1 << 30)).collect()}
+    assert [drawn[k] for k in keys] == list(zip(axis.ravel().tolist(), share.ravel().tolist()))
+    rnd = np.random.default_rng(5)
+    points = np.stack([rnd.choice([0.2, 0.9, 1.4], (3, 100)), rnd.integers(3, 6, (3, 100)).astype(float), np.zeros((3, 100))], -1)
+    axes, cuts, sizes = EN.isolation_trees(versions, points)
+    for v in range(3):
+        for t in (0, 24):
+            held = {1: points[v]}
+            for n in range(1, 128):
+                own, a = held[n], axis[v, t, n - 1]
+                if len(own):
+                    low, high = own[:, a].min(), own[:, a].max()
+                    at = low + (high - low) * share[v, t, n - 1]
+                    assert axes[v, t, n] == a and cuts[v, t, n] == at
+                    held[2 * n], held[2 * n + 1] = (own, own) if high <= low else (own[own[:, a] >= at], own[own[:, a] < at])
+                else:
+                    held[2 * n] = held[2 * n + 1] = own
+            assert all(sizes[v, t, n] == len(own) for n, own in held.items())
