@@ -5,6 +5,7 @@ import hmac
 import json
 import os
 import tempfile
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -151,3 +152,29 @@ def test_unknown_root_object_gives_no_rows(spark):
     msgs = OT.parse_messages(raw)
     assert msgs.count() == 2
     assert OT.flatten_spans(msgs).count() == 0 and OT.flatten_logs(msgs).count() == 0
+
+
+def test_messages_are_decoded_once(spark):
+    """Filters and fields of a message share one parse; undecodable lines keep their reason."""
+    span = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "t", "spanId": "s"}]}]}]})
+    log = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": "5000"}]}]}]})
+    raw = spark.createDataFrame([(1, span), (2, log), (3, "{oops"), (4, "[1]"), (5, " "), (6, None), (7, "{}")], "k int, payload string")
+    msgs = OT.parse_messages(raw)
+    for df, n in ((OT.flatten_spans(msgs), 1), (OT.flatten_logs(msgs), 1)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and df.count() == n
+    got = {r["k"]: (r["reason"], r["msg"] is not None) for r in OT.decode_messages(raw).collect()}
+    assert got == {1: (None, True), 2: (None, True), 3: ("not JSON", False), 4: ("not an object", False),
+                   5: ("empty", False), 6: ("empty", False), 7: (None, True)}
+
+
+def test_trace_messages_are_grouped_where_spans_are_numbered(spark):
+    from vigil.plans.vehicles_ingest import otlp_trace_messages
+    rows = [(5, "5", i, f"s{i}", "", s, "n", 1.5, datetime(2024, 1, 1), 0) for i, s in enumerate("aab")] + [
+        (None, None, 1, "s1", "", "a", "n", 1.5, datetime(2024, 1, 1), 0)]
+    spans = spark.createDataFrame(rows, "trace_seq long, trace_id string, rn int, span_id string, parent_span_id string, "
+                                        "service string, name string, duration_ms double, start_time timestamp, status_code int")
+    msgs = otlp_trace_messages(spark, "", spans.repartition(3, "trace_seq"))
+    assert msgs.count() == 3
+    plan = msgs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import otlp as OT
+from .materialize import materialize
 from .oracle import with_views
 from .registry import register
 from .vehicles_ingest import INGEST_TS, v_otlp
@@ -27,7 +28,7 @@ FROM v_log"""))
 
 def _routing(s, d):
     raw = v_otlp(s, d)
-    msgs = OT.parse_messages(raw)
+    msgs = materialize(OT.parse_messages(raw).select("msg", "ingest_ts"), "otlp_messages")  # decoded once for all kinds
     spans, logs = OT.flatten_spans(msgs), OT.flatten_logs(msgs)
     parts = [raw.select(F.lit("messages").alias("kind")), msgs.select(F.lit("valid").alias("kind")),
              spans.select(F.lit("span_rows").alias("kind")), logs.select(F.lit("log_rows").alias("kind")),
@@ -137,7 +138,6 @@ from .catalog_payments import _CAND_SQL  # noqa: E402
 
 
 def _webhook_alerts(s, d):
-    from .materialize import materialize
     # the ingest step stores accepted payments (the transactions table) once
     live = materialize(_norm(s, d).filter(F.col("outcome") == "ok"), "live_transactions")
     return PD.payment_alerts(live)

@@ -45,7 +45,8 @@ def otlp_trace_messages(spark: SparkSession, sf_dir: str, spans: DataFrame | Non
         start_ns.cast("string").alias("startTimeUnixNano"), end_ns.cast("string").alias("endTimeUnixNano"),
         route_attr.alias("attributes"),
         F.struct(F.when(F.col("status_code") != 0, F.col("status_code")).alias("code")).alias("status"))
-    g = s.groupBy("trace_id", "service").agg(F.collect_list(span).alias("spans"), F.min("start_time").alias("at"))
+    # spans are dealt by trace_seq already, of which the trace id is the text
+    g = s.groupBy("trace_seq", "trace_id", "service").agg(F.collect_list(span).alias("spans"), F.min("start_time").alias("at"))
     msg = F.struct(F.array(F.struct(
         _service_resource(F.col("service")).alias("resource"),
         F.array(F.struct(F.struct(F.lit("vigil").alias("name")).alias("scope"), F.col("spans").alias("spans")))
