@@ -92,7 +92,7 @@ def test_duplicates_among_close_amounts_match_loop(spark):
     """Amounts around the 0.01 limit, exact repeats, and very many within one cent."""
     rnd = random.Random(31)
     specs, t = [], 0.0
-    for seq in range(1, 701):
+    for seq in range(1, 1401):
         t += rnd.choice([0.0, 1.0, 7.0, 60.0])
         amount = rnd.choice([20.0, 20.01, 20.005, 19.99, 20.01 - 1e-9, 5.0 + rnd.random() * 0.03, 0.0, 0.005, 1e9, 1e9 + 0.005])
         specs.append((seq, t, rnd.choice("aab"), "G", rnd.choice(["SUCCESS", "PENDING", "FAILED"]), amount, 1))
