@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from helpers import loop_bimodal, loop_n_plus_1
+from pyspark.sql import functions as F
 
 from vigil.operators import traces as TR
 
@@ -107,3 +108,52 @@ def test_partial_merge_is_independent_of_window_size(spark):
                      .collect()) for w in (5, 10, 30)]
     whole = sorted(tuple(r) for r in TR.build_traces(df).select(*cols).collect())
     assert merged[0] == merged[1] == merged[2] == whole
+
+
+def _spans(spark, n=400):
+    from datetime import datetime, timedelta
+    rnd = random.Random(8)
+    t0 = datetime(2024, 1, 1)
+    rows = [(rnd.choice([None, "hot", "hot", *[f"t{k}" for k in range(40)]]), rnd.choice([None, "s0", *[f"s{k}" for k in range(90)]]),
+             rnd.choice([None, "", *[f"s{k}" for k in range(120)]]), rnd.choice([None, "a", "b"]), rnd.choice([None, "n", "m"]),
+             rnd.choice([None, 2.5, 800.0]), rnd.choice([None, t0 + timedelta(seconds=rnd.randint(0, 90))]), rnd.choice([0, 1, 2]))
+            for _ in range(n)]
+    return rows, spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, service string, name string, "
+                                             "duration_ms double, start_time timestamp, status_code int")
+
+
+def test_traces_of_odd_spans_match_loop(spark):
+    """Null keys, ids, times and services, repeated span ids, and a trace longer than its list."""
+    rows, df = _spans(spark)
+    got = {r["trace_id"]: r for r in TR.build_traces(df).collect()}
+    assert set(got) == {r[0] for r in rows} - {None}
+    low = lambda x: (x is not None, x)  # noqa: E731  nulls first
+    for trace, r in got.items():
+        own = [x for x in rows if x[0] == trace]
+        ids = {x[1] for x in own}
+        dangling = sorted((low(x[6]), low(x[1]), low(x[4])) for x in own if x[2] and x[2] not in ids)
+        first = sorted((low(x[6]), low(x[1]), low(x[4])) for x in own)
+        assert r["span_count"] == len(own) and len(r["spans"]) == min(20, len(own))
+        assert r["dangling_span"] == (dangling[0][2][1] if dangling else None)
+        assert [(s["start_time"], s["span_id"]) for s in r["spans"]] == [(a[1], b[1]) for a, b, _ in first[:20]]
+        assert r["route"] == first[0][2][1]
+
+
+def test_traces_are_built_in_one_pass(spark):
+    """Spans dealt by the trace are shuffled once and joined with nothing; what is not read is not listed."""
+    _, df = _spans(spark)
+    dealt = df.repartition(8, "trace_id")
+    plan = lambda t: t._jdf.queryExecution().executedPlan().toString()
+    whole = plan(TR.build_traces(dealt))
+    assert whole.count("Exchange") == 1 and "Join" not in whole
+    assert "collect_list(CASE" not in plan(TR.build_traces(dealt).select("trace_id", "duration_ms"))
+
+
+def test_bimodal_query_passes_slim_rows_to_python(spark, monkeypatch):
+    from vigil.plans import catalog_traces as CT
+    from vigil.plans.registry import QUERIES
+    _, df = _spans(spark)
+    traces = TR.build_traces(df.withColumn("trace_seq", F.xxhash64("trace_id")), carry=("trace_seq",))
+    monkeypatch.setattr(CT, "v_trace", lambda s, d: traces)
+    plan = QUERIES["trace_bimodal"](spark, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "spans" not in plan
