@@ -157,3 +157,36 @@ def test_bimodal_query_passes_slim_rows_to_python(spark, monkeypatch):
     monkeypatch.setattr(CT, "v_trace", lambda s, d: traces)
     plan = QUERIES["trace_bimodal"](spark, "")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan and "spans" not in plan
+
+
+def test_stream_deals_spans_by_trace_once(spark, monkeypatch):
+    from vigil.streaming import batches as SB
+    _, df = _spans(spark)
+    seen = {}
+
+    def build(spans, window_s):
+        seen["spans"], seen["plan"] = spans, TR.build_traces(spans, window_s=window_s)._jdf.queryExecution().executedPlan().toString()
+        raise StopIteration
+
+    monkeypatch.setattr(SB, "TR", type("T", (), {"build_traces": staticmethod(build)}))
+    try:
+        SB.trace_alerts_step()(df, {})
+    except StopIteration:
+        pass
+    assert seen["plan"].count("Exchange hashpartitioning(trace_id") == seen["plan"].count("Exchange") == 1
+
+
+def test_scored_evidence_builds_traces_once(monkeypatch):
+    from vigil.plans import catalog_dashboard as CD
+    from vigil.plans import materialize as M
+    calls = []
+    any_ = lambda *a, **k: None
+    monkeypatch.setattr(CD, "v_trace", lambda *a, **k: calls.append(a) or "traces")
+    monkeypatch.setattr(M, "materialize", any_)
+    for module, name in ((CD, "v_span"), (CD, "v_log"), (CD.TR, "rule_verdicts"), (CD.EV, "evidence_pack"), (CD.LG, "incident_logs"),
+                         (CD.EN, "ensemble_scores"), (CD.EN, "soft_vote")):
+        monkeypatch.setattr(module, name, any_)
+    monkeypatch.setattr(CD.TR, "trace_alerts", lambda *a: type("A", (), {"select": any_})())
+    monkeypatch.setattr(CD, "F", type("C", (), {"col": staticmethod(lambda c: type("D", (), {"alias": any_})())}))
+    CD._pack(None, "", scored=True)
+    assert len(calls) == 1

@@ -158,7 +158,8 @@ def trace_alerts_step(lateness_s: float = 60, window_s: int = 10) -> Step:
         balance = (came.unionByName(went, allowMissingColumns=True)
                    .agg(*[F.max(c).alias(c) for c in ("spans_in", "closed", "late", "timeless", "open")]))
         spans = own.filter(closed).drop("window_end")
-        traces = TR.build_traces(spans, window_s=window_s).withColumn("window_start", F.col("window.start"))
+        # dealt by the trace, spans are shuffled once
+        traces = TR.build_traces(spans.repartition("trace_id"), window_s=window_s).withColumn("window_start", F.col("window.start"))
         ranked = range_rank(traces.drop("window"), ["window_start", "trace_id"])
         ranked = ranked.withColumn("trace_seq", F.col("_pos") + F.lit(numbered)).drop("_pos")
         flags, state = trace_detectors_step(ranked, {t: carried[t] for t in TRACE_TABLES} if carried else {})
