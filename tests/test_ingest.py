@@ -178,3 +178,13 @@ def test_trace_messages_are_grouped_where_spans_are_numbered(spark):
     assert msgs.count() == 3
     plan = msgs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1
+
+
+def test_a_webhook_body_is_decoded_once(spark):
+    """Fields, outcome and transaction read one decoded column per payload schema."""
+    secrets = dict.fromkeys(("RAZORPAY", "STRIPE", "PHONEPE", "CASHFREE", "PAYU", "CCAVENUE"), "s")
+    df = _post(spark, [(1, "razorpay", {}, "{}"), (2, "phonepe", {"x-verify": "no"}, '{"response":"A"}'), (3, "payu", {}, None)])
+    out = WH.normalize_webhooks(df, secrets, "key")
+    # six payload schemas, each of which the plan names twice
+    assert out._jdf.queryExecution().optimizedPlan().toJSON().count("expressions.JsonToStructs") <= 12
+    assert [r["outcome"] for r in out.orderBy("seq").collect()] == ["bad_signature"] * 3

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.common import rnd
+from .otlp import _once
 from ..functions.constants import (CASHFREE_METHOD, CASHFREE_SUCCESS, PAYU_METHOD, PHONEPE_SUCCESS,
                                    RAZORPAY_METHOD, RAZORPAY_STATUS, STRIPE_METHOD, STRIPE_STATUS)
 
@@ -111,8 +112,17 @@ def _txn(**cols) -> Column:
                       for c in TXN_COLS])
 
 
-def _razorpay(body: Column) -> tuple[Column, Column]:
-    e = F.from_json(body, RAZORPAY_SCHEMA)
+def _decoded(endpoint: Column, body: Column, wanted: list[str]) -> Column:
+    """The body as its endpoint's schema reads it; the fields of other endpoints are null."""
+    b64 = F.coalesce(F.from_json(body, PHONEPE_OUTER)["response"], F.lit(""))
+    form = F.transform_values(F.str_to_map(body, F.lit("&"), F.lit("=")), lambda k, v: F.url_decode(v))
+    values = {"razorpay": F.from_json(body, RAZORPAY_SCHEMA), "stripe": F.from_json(body, STRIPE_SCHEMA), "phonepe": b64,
+              "cashfree": F.from_json(body, CASHFREE_SCHEMA), "payu": form}
+    universal = F.when(endpoint.startswith("gateway/") | (endpoint == "ingest"), F.from_json(body, UNIVERSAL_SCHEMA))
+    return F.struct(universal.alias("universal"), *[F.when(endpoint == n, values[n]).alias(n) for n in wanted])
+
+
+def _razorpay(e: Column, body: Column) -> tuple[Column, Column]:
     etype = F.coalesce(e["event"], F.lit(""))
     status = _map(RAZORPAY_STATUS, etype)
     refund = etype.startswith("refund.")
@@ -147,8 +157,7 @@ def _razorpay(body: Column) -> tuple[Column, Column]:
     return txn, ignored
 
 
-def _stripe(body: Column) -> tuple[Column, Column]:
-    e = F.from_json(body, STRIPE_SCHEMA)
+def _stripe(e: Column, body: Column) -> tuple[Column, Column]:
     etype = F.coalesce(e["type"], F.lit(""))
     status = _map(STRIPE_STATUS, etype)
     o = e["data"]["object"]
@@ -170,13 +179,10 @@ def _stripe(body: Column) -> tuple[Column, Column]:
     return txn, status.isNull()
 
 
-def _phonepe(body: Column, secret: str, xverify: Column) -> tuple[Column, Column]:
-    outer = F.from_json(body, PHONEPE_OUTER)
-    b64 = F.coalesce(outer["response"], F.lit(""))
+def _phonepe(b64: Column, d: Column, body: Column, secret: str, xverify: Column) -> tuple[Column, Column]:
     xv = F.coalesce(xverify, F.lit(""))
     salt_idx = F.when(xv.contains("###"), F.substring_index(xv, "###", -1)).otherwise(F.lit("1"))
     expected = F.concat(F.sha2(F.concat(b64, F.lit(secret)).cast("binary"), 256), F.lit("###"), salt_idx)
-    d = F.from_json(F.unbase64(b64).cast("string"), PHONEPE_INNER)["data"]
     state = F.upper(F.coalesce(_nz(d["state"]), _nz(d["responseCode"]), F.lit("")))
     status = (F.when(state.isin(*PHONEPE_SUCCESS), "SUCCESS").when(state == "PENDING", "PENDING")
               .otherwise("FAILED"))
@@ -191,8 +197,7 @@ def _phonepe(body: Column, secret: str, xverify: Column) -> tuple[Column, Column
     return txn, expected == xv
 
 
-def _cashfree(body: Column) -> Column:
-    e = F.from_json(body, CASHFREE_SCHEMA)
+def _cashfree(e: Column, body: Column) -> Column:
     has_data = e["data"].isNotNull()
 
     def pay(f):
@@ -220,9 +225,7 @@ def _cashfree(body: Column) -> Column:
         user=F.lit("customer***"))
 
 
-def _payu(body: Column, secret: str) -> tuple[Column, Column]:
-    form = F.transform_values(F.str_to_map(body, F.lit("&"), F.lit("=")), lambda k, v: F.url_decode(v))
-
+def _payu(form: Column, body: Column, secret: str) -> tuple[Column, Column]:
     def f(k):
         return F.coalesce(F.element_at(form, F.lit(k)), F.lit(""))
     seq = [F.lit(secret), f("status"), f("udf5"), f("udf4"), f("udf3"), f("udf2"), f("udf1"),
@@ -243,8 +246,7 @@ def _payu(body: Column, secret: str) -> tuple[Column, Column]:
     return txn, expected == f("hash")
 
 
-def _universal(body: Column, name: Column) -> Column:
-    d = F.from_json(body, UNIVERSAL_SCHEMA)
+def _universal(d: Column, body: Column, name: Column) -> Column:
     title = F.initcap(name)
     return _txn(
         txn_id=F.coalesce(_nz(d["txn_id"]), _gen_id(body)),
@@ -256,8 +258,7 @@ def _universal(body: Column, name: Column) -> Column:
         failure_reason=d["failure_reason"], user=F.coalesce(d["user"], F.lit("customer***")))
 
 
-def _ingest(body: Column) -> tuple[Column, Column]:
-    d = F.from_json(body, UNIVERSAL_SCHEMA)
+def _ingest(d: Column, body: Column) -> tuple[Column, Column]:
     h = F.sha2(body.cast("binary"), 256)
     ext = F.concat(F.lit("EXT"), (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % 90000000
                                   + 10000000).cast("string"))
@@ -275,7 +276,8 @@ def normalize_webhooks(bronze: DataFrame, secrets: dict[str, str], ingest_key: s
     """Verify and normalise every landed webhook in one pass.
 
     ``secrets`` maps a secret key (RAZORPAY, STRIPE, PHONEPE, CASHFREE, PAYU,
-    CCAVENUE, …, GATEWAY as the shared fallback) to its value.
+    CCAVENUE, …, GATEWAY as the shared fallback) to its value.  A body is decoded once and
+    its transaction made once: both are generated columns, which no later column copies.
     """
     ep = F.col("endpoint")
     body = F.coalesce(F.col("body"), F.lit(""))
@@ -285,29 +287,33 @@ def normalize_webhooks(bronze: DataFrame, secrets: dict[str, str], ingest_key: s
         return F.coalesce(F.element_at(h, F.lit(k)), F.lit(""))
 
     name = F.when(ep.startswith("gateway/"), F.substring_index(ep, "/", -1))
+    keys = {}
+    for key in ("RAZORPAY", "STRIPE", "PHONEPE", "CASHFREE", "PAYU"):
+        keys[key] = secrets.get(key) or (secrets.get("GATEWAY") if key not in ("RAZORPAY", "STRIPE") else None)
+    wanted = [k.lower() for k, sec in keys.items() if sec is not None]
+    bronze = _once(bronze, "_d", _decoded(ep, body, wanted))
+    read = {n: F.col("_d")[n] for n in ["universal", *wanted]}
     branches = []  # (condition, has_secret, sig_ok, txn, ignored)
-    for key, ep_name in (("RAZORPAY", "razorpay"), ("STRIPE", "stripe"), ("PHONEPE", "phonepe"),
-                         ("CASHFREE", "cashfree"), ("PAYU", "payu")):
-        sec = secrets.get(key) or (secrets.get("GATEWAY") if key not in ("RAZORPAY", "STRIPE") else None)
-        cond = ep == ep_name
+    for key, sec in keys.items():
+        cond = ep == key.lower()
         if sec is None:
             branches.append((cond, F.lit(False), F.lit(False), None, F.lit(False)))
             continue
         if key == "RAZORPAY":
-            t, ign = _razorpay(body)
+            t, ign = _razorpay(read["razorpay"], body)
             ok = hmac_sha256_hex(sec, body) == hdr("x-razorpay-signature")
         elif key == "STRIPE":
-            t, ign = _stripe(body)
+            t, ign = _stripe(read["stripe"], body)
             ok = stripe_signature_ok(sec, F.element_at(h, F.lit("stripe-signature")), body)
         elif key == "PHONEPE":
-            t, ok = _phonepe(body, sec, F.element_at(h, F.lit("x-verify")))
+            t, ok = _phonepe(read["phonepe"], F.col("_inner"), body, sec, F.element_at(h, F.lit("x-verify")))
             ign = F.lit(False)
         elif key == "CASHFREE":
-            t = _cashfree(body)
+            t = _cashfree(read["cashfree"], body)
             ok = hmac_sha256_b64(sec, F.concat(hdr("x-webhook-timestamp"), body)) == hdr("x-webhook-signature")
             ign = F.lit(False)
         else:
-            t, ok = _payu(body, sec)
+            t, ok = _payu(read["payu"], body, sec)
             ign = F.lit(False)
         branches.append((cond, F.lit(True), ok, t, ign))
 
@@ -333,10 +339,10 @@ def normalize_webhooks(bronze: DataFrame, secrets: dict[str, str], ingest_key: s
         uni_sig = F.when(~known, (hmac_sha256_hex(fb, body) == sig) | (hmac_sha256_b64(fb, body) == sig)) \
                    .otherwise(uni_sig)
         uni_has = uni_has | ~known
-    branches.append((ep.startswith("gateway/"), uni_has, uni_sig, _universal(body, F.coalesce(name, F.lit(""))),
+    branches.append((ep.startswith("gateway/"), uni_has, uni_sig, _universal(read["universal"], body, F.coalesce(name, F.lit(""))),
                      F.lit(False)))
     if ingest_key:
-        t, invalid = _ingest(body)
+        t, invalid = _ingest(read["universal"], body)
         branches.append((ep == "ingest", F.lit(True), hdr("x-api-key") == ingest_key, t, invalid))
     else:
         branches.append((ep == "ingest", F.lit(False), F.lit(False), None, F.lit(False)))
@@ -350,10 +356,15 @@ def normalize_webhooks(bronze: DataFrame, secrets: dict[str, str], ingest_key: s
         if t is not None:
             txn = F.when(cond, t) if txn is None else txn.when(cond, t)
     outcome = outcome.otherwise("unknown_endpoint")
-    d = bronze.select("seq", "endpoint", "received_at", outcome.alias("outcome"), txn.alias("_t"))
+    # one after the other: only what is accepted is decoded further and made a transaction
+    d = _once(bronze, "outcome", outcome)
+    ok = F.col("outcome") == "ok"
+    if "phonepe" in wanted:
+        inner = F.from_json(F.unbase64(read["phonepe"]).cast("string"), PHONEPE_INNER)["data"]
+        d = _once(d, "_inner", F.when(ok & (ep == "phonepe"), inner))
+    d = _once(d, "_t", F.when(ok, txn))
     ingest_invalid = (F.col("endpoint") == "ingest") & (F.col("outcome") == "ignored")
     d = d.withColumn("outcome", F.when(ingest_invalid, "invalid").otherwise(F.col("outcome")))
-    ok = F.col("outcome") == "ok"
     return d.select("seq", "endpoint", "outcome",
                     *[F.when(ok, F.col("_t")[c]).alias(c) for c in TXN_COLS],
                     F.when(ok, F.col("received_at")).alias("ts"),
