@@ -144,3 +144,26 @@ def test_exact_pick_with_a_hot_value(spark):
     picks = exact_pick(df, "v", {k: F.lit(i) for k, i in idx.items()}, buckets=32)
     got = spark.range(1).select(*[c.alias(k) for k, c in picks.items()]).first()
     assert {k: got[k] for k in idx} == {k: want[i] for k, i in idx.items()}
+
+
+def test_range_rank_shuffles_rows_once(spark, monkeypatch):
+    """Running counts of flags are taken where the rows stand; positions match a loop, nulls count as no flag."""
+    from vigil.plans import materialize as M
+    from vigil.plans.ordered import range_rank
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(50), i, rnd.choice([0, 1, None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "v long, s long, f int")
+    plans, write = [], M.materialize
+
+    def kept(d, name):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return write(d, name)
+
+    monkeypatch.setattr(M, "materialize", kept)
+    got = {r["s"]: (r["_pos"], r["_fpos_f"]) for r in range_rank(df, ["v", "s"], flags=["f"]).collect()}
+    want, flagged = {}, 0
+    for i, (_, s, f) in enumerate(sorted(rows, key=lambda r: r[:2])):
+        want[s] = (i, flagged)
+        flagged += f or 0
+    assert got == want
+    assert len(plans) == 1 and plans[0].count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plans[0]
