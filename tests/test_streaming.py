@@ -185,3 +185,21 @@ def test_streams_on_empty_tables(spark):
     other = tempfile.mkdtemp(prefix="vigil-stream-test-")
     start = lambda src: SB.start_fold(src, SB.trace_detectors_step, SB.TRACE_TABLES, other)
     assert ST.replay(traces, "trace_seq", other, start).collect() == []
+
+
+def test_keyed_table_computes_a_batch_once(spark):
+    """A stream's batch runs its stateful plan whenever it is read; null keys and repeats keep one row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = spark.createDataFrame([], "k string, v long, _version long").schema
+    table = KeyedTable(spark, tempfile.mkdtemp(prefix="vigil-keyed-"), ["k"], "_version", schema, buckets=4)
+    for b, rows in enumerate([[("a", 1, 0), ("b", 2, 0), (None, 3, 0)], [("a", 9, 1), ("a", 8, 0), (None, 7, 1), ("c", 4, 1)]]):
+        seen.value = 0
+        table.merge(spark.createDataFrame(rows, schema).mapInArrow(counted, schema), b)
+        assert seen.value == len(rows)
+    assert sorted((r["k"] or "", r["v"]) for r in table.read().collect()) == [("", 7), ("a", 9), ("b", 2), ("c", 4)]

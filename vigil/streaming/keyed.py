@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import remove
 
 MANIFEST = "bucket int, version long"
+PARTS = 8
 
 
 class KeyedTable:
@@ -50,19 +51,28 @@ class KeyedTable:
         return max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=-1)
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge the batch in; the greatest ``order`` of a key wins inside the batch."""
+        """Merge the batch in; the greatest ``order`` of a key wins inside the batch.
+
+        A stream's batch is computed anew whenever it is read, state and all, so it is landed
+        first.  Its rows and those of the buckets that they fall into are dealt once by bucket
+        and part of a bucket; a part holds whole keys and is written where they were ranked.
+        """
         before = self.versions(batch_id - 1)
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        hashed = F.xxhash64(*self.key)
+        bucket = F.pmod(hashed, F.lit(self.buckets)).cast("int")
         names = [f.name for f in self.schema.fields]
-        w = Window.partitionBy(*self.key).orderBy(F.desc(self.order))
-        last = (batch.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select(*names)
-                .withColumn("bucket", bucket))
-        touched = sorted(r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect())
-        old = self._rows({k: before[k] for k in touched if k in before}).withColumn("bucket", bucket)
-        match = [last[k].eqNullSafe(old[k]) for k in self.key]
-        kept = old.join(last.select(*self.key), match, "left_anti")
-        (kept.unionByName(last).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
-         .parquet(f"{self.folder}/batch={batch_id}"))
+        landed = f"{self.folder}/landed/{batch_id}"
+        batch.select(*names).write.mode("overwrite").parquet(landed)
+        new = self.spark.read.schema(self.schema).parquet(landed)
+        touched = sorted(r["bucket"] for r in new.select(bucket.alias("bucket")).distinct().collect())
+        old = self._rows({k: before[k] for k in touched if k in before})
+        rows = new.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)))
+        dealt = rows.withColumn("bucket", bucket).withColumn(
+            "_part", F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(PARTS))).repartition("bucket", "_part")
+        w = Window.partitionBy("bucket", "_part", *self.key).orderBy(F.desc("_new"), F.desc(self.order))
+        (dealt.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select(*names, "bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/batch={batch_id}"))
+        remove(self.spark, landed)
         now = {**before, **{k: batch_id for k in touched}}
         (self.spark.createDataFrame(sorted(now.items()), MANIFEST).coalesce(1).write.mode("overwrite")
          .parquet(f"{self.folder}/manifest/{batch_id}"))
