@@ -203,3 +203,33 @@ def test_keyed_table_computes_a_batch_once(spark):
         table.merge(spark.createDataFrame(rows, schema).mapInArrow(counted, schema), b)
         assert seen.value == len(rows)
     assert sorted((r["k"] or "", r["v"]) for r in table.read().collect()) == [("", 7), ("a", 9), ("b", 2), ("c", 4)]
+
+
+def test_a_micro_batch_flattens_spans_and_builds_traces_once(spark, monkeypatch):
+    """Neither the passes over the spans nor the sampling of the ranked order compute them again."""
+    seen = {n: spark.sparkContext.accumulator(0) for n in ("spans", "traces")}
+
+    def counted(name, real):
+        def run(*args, **kw):
+            df = real(*args, **kw)
+
+            def count(batches):
+                for b in batches:
+                    seen[name].add(b.num_rows)
+                    yield b
+            return df.mapInArrow(count, df.schema)
+        return run
+
+    monkeypatch.setattr(SB.OT, "flatten_spans", counted("spans", SB.OT.flatten_spans))
+    monkeypatch.setattr(SB.TR, "build_traces", counted("traces", SB.TR.build_traces))
+    span = ('{"traceId":"t%d","spanId":"s","parentSpanId":"gone","name":"n","startTimeUnixNano":"%d","endTimeUnixNano":"%d"}')
+    ns = [(1_700_000_000 + 7 * i) * 1_000_000_000 for i in range(40)]
+    lines = ['{"resourceSpans":[{"scopeSpans":[{"spans":[%s]}]}]}' % (span % (i, t, t + 5_000_000)) for i, t in enumerate(ns)]
+    batch = OT.decode_messages(spark.createDataFrame([(x,) for x in lines], "payload string")
+                               .withColumn("ingest_ts", F.current_timestamp())).drop("payload")
+    out, carry = SB.telemetry_step()(batch, {})
+    alerts, balance = out["alerts"].collect(), out["balance"].first()
+    for t in carry.values():
+        t.collect()
+    assert seen["spans"].value == 40 and balance["closed"] + balance["open"] == 40
+    assert seen["traces"].value == balance["closed"] == len(alerts) > 20
