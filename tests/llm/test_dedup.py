@@ -93,6 +93,39 @@ def test_forest_spans_with_the_greatest_scores():
     assert forest(scores, left, right).tolist() == [2, 0, 3, 4]
 
 
+def test_last_pass_hands_on_a_pair_once(spark):
+    """Three alike classes meet in five nodes, two of them in a sixth: each pair comes from the least of its nodes."""
+    from vigil.llm.near_dedup import binned, compare_nodes
+    tiny = bytearray(binned(np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 512).tobytes())
+    sketches = spark.createDataFrame([(i, tiny) for i in (1, 2, 3, 4)], "id long, tiny binary")
+    rows = [(n, i, i, 0) for n in (50, 10, 40, -30, 20) for i in (1, 2, 3)] + [(n, i, i, 0) for n in (-90, 60) for i in (1, 4)]
+    at = spark.createDataFrame(rows, "node long, id long, comp long, rank long")
+    pairs, _ = compare_nodes(at, sketches, 2 ** 62, 16, 0.85, False)
+    assert sorted((r.node, r.a, r.b) for r in pairs.collect()) == [(-90, 1, 4), (-30, 1, 2), (-30, 1, 3), (-30, 2, 3)]
+
+
+def test_sketches_compare_as_row_by_row():
+    """The byte sums over many bins and the skipped rows give what each pair of sketches gives alone."""
+    from vigil.llm.near_dedup import Sketches, binned
+    rng = np.random.default_rng(3)
+    for bins, size in ((512, 40), (512, 5000), (4096, 3000)):
+        pool = rng.integers(0, 2 ** 64, size, dtype=np.uint64)
+        rows = np.array([binned(pool[rng.random(size) > share], bins) for share in (0, 0.02, 0.05, 0.08, 0.1, 0.14, 0.2, 0.5, 0.95)])
+        held = Sketches(rows)
+        for k, other in enumerate(rows):
+            want = {}
+            for i, own in enumerate(rows):
+                x, y = own[:-4].astype(int), other[:-4].astype(int)
+                n = max(int(((x > 0) | (y > 0)).sum()), 1)
+                same = int(((x == y) & (x > 0)).sum())
+                union = sum(float(r[-4:].copy().view(np.uint32)[0]) for r in (own, other)) / 1.85
+                spread = np.sqrt(0.85 * (1 - 0.85) * n * np.clip((union - n) / max(union - 1, 1), 0, 1))
+                if same >= 0.85 * n - 4.5 * spread - 1:
+                    want[i] = (same + 1e-9) / n
+            at, scores = held.likely(held, k, 0.85)
+            assert at.tolist() == list(want) and np.allclose(scores, list(want.values()), rtol=1e-12)
+
+
 def test_near_duplicates_odd_rows(spark, docs):
     a, b = words(30), words(30, 500)
     got = near_duplicates(docs([(5, a, None, None), (5, a, "en", "s"), (3, a, "en", "s"), (7, b, "en", "s"),

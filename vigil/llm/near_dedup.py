@@ -18,6 +18,7 @@ with all pairs that are left; so no link between different components is missed.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import few_files, materialize
 from .common import salted_lookup, sized, text_batches
 from .components import connected
 from .tokens import blocks, shingle_numbers, text_bytes, word_numbers
@@ -107,19 +108,54 @@ def set_batch(ids, held):
         [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "shingles"])
 
 
-def likely(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Estimated similarity of two sketches, 0 where their sets can't reach it (rows against rows, broadcast).
-
-    The bins that either set fills sample its union without replacement; 4.5 deviations
-    below the threshold and one bin still count.
-    """
-    size = [z[..., -4:].copy().view(np.uint32)[..., 0].astype(np.float64) for z in (x, y)]
-    x, y = x[..., :-4], y[..., :-4]
-    held = np.maximum(((x | y) > 0).sum(axis=-1), 1)
-    same = ((x == y) & (x > 0)).sum(axis=-1)
-    union = (size[0] + size[1]) / (1 + similarity)
-    spread = np.sqrt(similarity * (1 - similarity) * held * np.clip((union - held) / np.maximum(union - 1, 1), 0, 1))
-    return np.where(same >= similarity * held - 4.5 * spread - 1, (same + 1e-9) / held, 0.0)
+def ones(flags: np.ndarray) -> np.ndarray:
+    """How many of each row's flags are set: bytes are added eight at a time, as each counts at most 255 of them."""
+    out = np.zeros(len(flags), np.int64)
+    for at in range(0, flags.shape[1], 2040):
+        part = flags[:, at:at + 2040]
+        if part.shape[1] % 8:
+            part = np.pad(part, ((0, 0), (0, -part.shape[1] % 8)))
+        lanes = np.ascontiguousarray(part).view(np.uint64).sum(axis=1, dtype=np.uint64)
+        wide = np.uint64(0x00FF00FF00FF00FF)
+        lanes = (lanes & wide) + (lanes >> np.uint64(8) & wide)
+        out += (lanes * np.uint64(0x0001000100010001) >> np.uint64(48)).astype(np.int64)
+    return out
+
+
+class Sketches:
+    """The sketches of some classes, as rows, to be compared with one sketch after another."""
+
+    def __init__(self, rows: np.ndarray):
+        self.bins = np.ascontiguousarray(rows[:, :-4])
+        self.filled = self.bins > 0
+        self.held = ones(self.filled)
+        self.flags = np.empty(self.bins.shape, bool)
+        self.sizes = rows[:, -4:].copy().view(np.uint32)[:, 0].astype(np.float64)
+
+    def likely(self, other: Sketches, k: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rows whose set may reach the similarity with row k of `other`, and the estimated similarities.
+
+        The bins that either set fills sample its union without replacement; 4.5 deviations
+        below the threshold and one bin still count.
+        """
+        bins = len(other.bins[k])
+        equal = np.equal(self.bins, other.bins[k], out=self.flags)
+        if other.held[k] == bins:
+            same = ones(equal)
+            at = np.flatnonzero(same >= similarity * bins - 4.5 * math.sqrt(similarity * (1 - similarity) * bins) - 1)
+            held = np.full(len(at), bins)
+        else:
+            same = ones(np.logical_and(equal, other.filled[k], out=equal))
+            held = np.maximum(ones(np.logical_or(self.filled, other.filled[k], out=self.flags)), 1)
+            at = np.flatnonzero(same >= similarity * held - 4.5 * np.sqrt(similarity * (1 - similarity) * held) - 1)
+            held = held[at]
+        same = same[at]  # the rest can't, as the spread is at most that
+        if not len(at):
+            return at, same
+        union = (self.sizes[at] + other.sizes[k]) / (1 + similarity)
+        spread = np.sqrt(similarity * (1 - similarity) * held * np.clip((union - held) / np.maximum(union - 1, 1), 0, 1))
+        good = same >= similarity * held - 4.5 * spread - 1
+        return at[good], (same[good] + 1e-9) / held[good]
 
 
 def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +188,8 @@ def compare_tiles(similarity: float, spanning: bool):
     """Pairs of a tile's classes with its node's probes in another component that may reach the similarity.
 
     With `spanning`, a forest of them over the components; `more` says that others wait behind it
-    (in a small node: the others are met again by their children).
+    (in a small node: the others are met again by their children).  Without it all of them, each
+    in the least node that both are in only: classes hold the nodes that they have `met` in.
     """
     def compare(batches):
         for b in batches:
@@ -160,18 +197,22 @@ def compare_tiles(similarity: float, spanning: bool):
                                                  b.column("tile"), b.column("probes")):
                 ids, comps, sketches = unpacked(tile.values)
                 refuted = [set(x or ()) for x in tile.values.field("no").to_pylist()]
+                before, asked_before = ([] if spanning else [{n for n in x if n < node} for x in side.values.field("met").to_pylist()]
+                                        for side in (tile, probes))
                 found: list = []
-                for i, comp, sketch in zip(*unpacked(probes.values)):
-                    other = np.flatnonzero((comps != comp) & (ids != i))
-                    scores = likely(sketches[other], sketch, similarity)
-                    for k, score in zip(other[scores > 0].tolist(), scores[scores > 0].tolist()):
-                        if int(i) not in refuted[k]:
-                            found.append((score, min(int(i), int(ids[k])), max(int(i), int(ids[k])), int(comp), int(comps[k])))
+                asked, asked_comps, asked_sketches = unpacked(probes.values)
+                held, asked_sketches = Sketches(sketches), Sketches(asked_sketches)
+                for at, (i, comp) in enumerate(zip(asked.tolist(), asked_comps.tolist())):
+                    near, scores = held.likely(asked_sketches, at, similarity)
+                    for k, score in zip(near.tolist(), scores.tolist()):
+                        if (comps[k] != comp and ids[k] != i and i not in refuted[k]
+                                and (spanning or before[k].isdisjoint(asked_before[at]))):
+                            found.append((score, *sorted((i, int(ids[k]))), *sorted((comp, int(comps[k])))))
                 pairs = sorted(set(found))
                 kept = range(len(pairs))
                 if spanning and pairs:
                     scores, _, _, x, y = (np.array(c) for c in zip(*pairs))
-                    kept = forest(scores, np.minimum(x, y), np.maximum(x, y)).tolist()
+                    kept = forest(scores, x, y).tolist()
                 more = small and len(kept) < len(pairs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([node] * len(kept), pa.int64()), pa.array([pairs[k][1] for k in kept], pa.int64()),
@@ -211,14 +252,18 @@ def compare_nodes(at: DataFrame, sketches: DataFrame, leaf: int, leaders: int, s
     nodes = (at.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"))
              .groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"))
              .where("n > top.m").select("node", "n", (F.col("n") - F.col("top.m")).alias("rest"), F.col("top.comp").alias("lead")))
-    held = materialize(at.join(nodes, "node"), "near-nodes")
-    own = held.select("node", "id", "comp", "rank", "n", "rest", "lead").join(sketches, "id")
+    own = at.select("node", "id", "comp", "rank").join(nodes, "node").join(sketches, "id")
     if refuted is None:
         own = own.withColumn("no", F.lit(None).cast("array<long>"))
     else:
         both = refuted.select(F.col("a").alias("id"), "b").unionAll(refuted.select("b", "a"))
         own = own.join(both.groupBy("id").agg(F.collect_set("b").alias("no")), "id", "left")
-    own = materialize(own.select("*", F.struct("id", "comp", "tiny", "no").alias("s")).drop("id", "comp", "tiny", "no"), "near-tiles")
+    if spanning:
+        own = own.withColumn("met", F.lit(None).cast("array<long>"))
+    else:
+        own = own.join(at.groupBy("id").agg(F.collect_set("node").alias("met")), "id")
+    s = ["id", "comp", "tiny", "no", "met"]
+    own = few_files(own.select("*", F.struct(*s).alias("s")).drop(*s), "near-tiles", 16)
     tile = F.pmod(F.xxhash64("s.id"), F.ceil(F.col("n") / 256))
     tiles = own.groupBy("node", tile.alias("t")).agg(
         F.collect_list("s").alias("tile"), (F.max("rest") <= leaf).alias("small"))
@@ -227,27 +272,28 @@ def compare_nodes(at: DataFrame, sketches: DataFrame, leaf: int, leaders: int, s
                .select("node", F.pmod(F.xxhash64("s.id", F.lit(9)), F.ceil(F.col("rest") / 512)).alias("part"), "s"))
     # the best of each of 64 parts of a node, then the best of these
     best = (own.where(F.col("rest") > leaf).groupBy("node", F.pmod(F.xxhash64("s.id", F.lit(5)), F.lit(64)))
-            .agg(F.min(F.struct("rank", "s.id", "s.comp", "s.tiny")).alias("b")).groupBy("node")
+            .agg(F.min(F.struct("rank", "s.id", "s.comp", "s.tiny", "s.met")).alias("b")).groupBy("node")
             .agg(F.slice(F.sort_array(F.collect_list("b")), 1, leaders).alias("b"))
             .select("node", F.lit(0).cast("long").alias("part"), F.explode("b").alias("b")))
-    slim = lambda c: F.struct(f"{c}.id", f"{c}.comp", f"{c}.tiny").alias("s")
+    slim = lambda c: F.struct(f"{c}.id", f"{c}.comp", f"{c}.tiny", f"{c}.met").alias("s")
     probes = (outside.select("node", "part", slim("s")).unionAll(best.select("node", "part", slim("b")))
               .groupBy("node", "part").agg(F.collect_list("s").alias("probes")))
     pairs = tiles.join(probes, "node").select("node", "small", "tile", "probes").mapInArrow(compare_tiles(similarity, spanning), PAIRS)
-    return materialize(pairs, "near-likely"), held.where(F.col("rest") > leaf).drop("n", "rest", "lead")
+    left = own.where(F.col("rest") > leaf).select("node", F.col("s.id").alias("id"), F.col("s.comp").alias("comp"), "rank")
+    return few_files(pairs, "near-likely", 16), left
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = texts.join(sized(materialize(wanted, "near-wanted")), "id", "left_semi").mapInArrow(
+    sets = texts.join(sized(few_files(wanted, "near-wanted")), "id", "left_semi").mapInArrow(
         set_maker(width), "id long, shingles array<long>")
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"))
     shared = F.size(F.array_intersect("x", "y"))
-    return materialize(both.withColumn("s", shared)
-                       .where(F.col("s") * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
+    return few_files(both.withColumn("s", shared)
+                       .where(F.col("s") * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "near-links", 16)
 
 
 #: Trees of the first pass; the others meet the components that it has found.
@@ -265,22 +311,23 @@ def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, pe
     """
     similarity = percent / 100
     sketches = sigs.select("id", "tiny")
-    parts = [materialize(part.distinct(), "near-paths") for part in roots(sigs, trees, coordinates, more)]
+    parts = [few_files(part.distinct(), "near-paths", 16) for part in roots(sigs, trees, coordinates, more)]
     at = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
     # classes that meet others under many coordinates are close to many: the best leaders
-    often = (at.join(at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf), "node", "left_semi")
-             .groupBy("id").agg((-F.count(F.lit(1))).alias("rank")))
+    large = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf).select("node", F.lit(True).alias("large"))
+    often = (at.join(sized(few_files(large, "near-large")), "node", "left")
+             .groupBy("id").agg((-F.count("large")).alias("rank")).where("rank < 0"))
     levels = [part.join(often, "id", "left").select("node", "id", F.coalesce("rank", F.lit(0)).alias("rank")) for part in parts]
 
     def settled(pairs, links, tried):
         """Links, tried and refuted pairs after these, and the nodes that have more pairs behind a refuted one."""
         new = pairs.select("a", "b").distinct()
-        new = materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "near-tried")
+        new = few_files(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "near-tried")
         links = links.unionAll(confirmed(new, docs, width, percent))
         tried = new if tried is None else tried.unionAll(new)
-        refuted = materialize(tried.join(links, ["a", "b"], "left_anti"), "near-refuted")
+        refuted = few_files(tried.join(links, ["a", "b"], "left_anti"), "near-refuted")
         again = pairs.where("more").join(refuted, ["a", "b"], "left_semi").select("node").distinct()
-        return links, tried, refuted, materialize(again, "near-again")
+        return links, tried, refuted, few_files(again, "near-again")
 
     def known(rows, again, comp):
         """The rows of all levels' nodes `again` and the given ones, with their components."""
@@ -298,7 +345,7 @@ def join_sets(sigs: DataFrame, docs: DataFrame, links: DataFrame, width: int, pe
     for level in range(depth):
         if at.isEmpty():
             break
-        at = materialize(branch(at.join(sigs.select("id", "sig"), "id"), coordinates, more), "near-paths")
+        at = few_files(branch(at.join(sigs.select("id", "sig"), "id"), coordinates, more), "near-paths", 16)
         levels.append(at.select("node", "id", "rank"))
         last = level == depth - 1  # what is left then is compared whole, however large
         deeper, at = compare_nodes(at, sketches, leaf if not last else 2 ** 62, leaders, similarity)
@@ -332,7 +379,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
         .mapInArrow(sketcher(width, coordinates, bins, seed), SKETCH), "near-sketches")
     rows = sketches.select("doc_id", "n_shingles", "fp")
     part = rows.where("doc_id is not null and fp is not null")
-    copied = materialize(part.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    copied = few_files(part.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
                          .where("copies > 1").select("fp", "rep"), "near-copied")
     placed = materialize(salted_lookup(part, copied, ["fp"])
                          .select("doc_id", "fp", F.coalesce("rep", "doc_id").alias("rep")), "near-placed")
@@ -340,7 +387,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     again = (placed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("r"))
              .where("a <> z").select("a", F.explode("r").alias("b")).where("a <> b"))
     # one text of each class stands for it: all rows but the copies
-    copies = sized(materialize(placed.where("rep <> doc_id").select("fp", "doc_id").distinct(), "near-copies"))
+    copies = sized(few_files(placed.where("rep <> doc_id").select("fp", "doc_id").distinct(), "near-copies"))
     stands = (sketches.where("doc_id is not null and fp is not null").join(copies, ["fp", "doc_id"], "left_anti"))
     if not part.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         stands = stands.dropDuplicates(["fp", "doc_id"])
