@@ -32,6 +32,22 @@ def test_exact_top_k(spark):
     assert topk.exact_top_k(df.limit(0), df).collect() == [] and topk.exact_top_k(df, df.limit(0)).collect() == []
 
 
+def test_top_k_broadcasts_nothing(spark):
+    """Packed tables look small in their files: an estimate must not send every tile's queries through the driver."""
+    df = spark.createDataFrame([(i, [i / 64, 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(df, df.where("vec_id % 20 = 0"), k=3, shard_rows=16, block_rows=4)
+    assert got.count() == 30
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" in plan
+
+
+def test_packed_components_stay_exact():
+    for edge in (2 ** 7, 2 ** 15, 2 ** 31, 2 ** 62):
+        m = np.array([[-edge, edge - 1, 0], [1, -1, edge]])
+        assert topk.widen(topk.narrow(m).tobytes(), 2, 3).tolist() == m.tolist()
+    assert topk.widen(b"", 3, 0).shape == (3, 0) and topk.narrow(np.array([[-128, 127]])).dtype == np.int8
+
+
 def test_products_are_exact():
     q, c = np.array([[2 ** 40, -3]]), np.array([[2 ** 21, 5], [1, 1]])
     assert topk.products(q, c).tolist() == [[2 ** 61 - 15, 2 ** 40 - 3]]

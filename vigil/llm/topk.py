@@ -1,9 +1,11 @@
 """Exact top-k search: tiled matrix products, selection per tile, tree merging.
 
 Candidates are packed into shards of `shard_rows` rows where they are read (no
-shuffle), queries into blocks.  Every block meets every shard once, keyed by
-(block, shard group), so one task holds one tile at a time.  A tile keeps k rows
-per query; lists are merged `fan_in` at a time until each query has one.
+shuffle), queries into blocks.  A task takes some blocks and one group of shards and
+holds one tile at a time; nothing is broadcast, and neither side is copied in a
+shuffle, as a Cartesian product reads the dealt groups again.  A block keeps k rows
+per query of the shards that it meets in a row; lists are merged `fan_in` at a time
+until each query has one.
 """
 from __future__ import annotations
 
@@ -27,6 +29,19 @@ def usable(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
                     F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("vec")))
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest type that holds them all."""
+    lo, hi = x.min(initial=0), x.max(initial=0)
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64)
+                         if np.iinfo(t).min <= lo and hi <= np.iinfo(t).max))
+
+
+def widen(mat: bytes, rows: int, dim: int) -> np.ndarray:
+    """The matrix that `narrow` made the bytes of."""
+    width = len(mat) // (rows * dim) if dim else 8
+    return np.frombuffer(mat, f"i{width}").astype(np.int64).reshape(rows, dim)
+
+
 def pack_shards(shard_rows: int):
     def pack(batches):
         held: dict[int, list] = {}
@@ -41,7 +56,7 @@ def pack_shards(shard_rows: int):
                 pick = order[at:at + shard_rows]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([dim], pa.int32()), pa.array([ids[pick].tobytes()], pa.binary()),
-                     pa.array([vecs[pick].tobytes()], pa.binary())], ["dim", "ids", "mat"])
+                     pa.array([narrow(vecs[pick]).tobytes()], pa.binary())], ["dim", "ids", "mat"])
 
         for b in batches:
             ids = b.column("id").to_numpy(zero_copy_only=False)
@@ -97,29 +112,53 @@ def tile_top(qids, q, ids, c, k):
     return out
 
 
-def search_tiles(k: int):
+def merge_top(found: list, k: int) -> list:
+    """Per query the k best rows of the lists in `found`, one list of (scores, ids) per tile."""
+    out = []
+    for lists in zip(*found):
+        score, ids = (np.concatenate([x[i] for x in lists]) for i in (0, 1))
+        best = np.lexsort((ids, -score))[:k]
+        out.append((score[best], ids[best]))
+    return out
+
+
+def search_tiles(k: int, fan_in: int):
     def search(batches):
         schema = pa.schema([("qid", pa.int64()), ("qkey", pa.int64()),
                             ("top", pa.list_(pa.struct([("neg", pa.int64()), ("vec_id", pa.int64())]))),
                             ("shard", pa.int64())])
-        for b in batches:
-            for row in range(b.num_rows):
-                dim = b.column("dim")[row].as_py()
-                ids = np.frombuffer(b.column("ids")[row].as_py(), np.int64)
-                c = np.frombuffer(b.column("mat")[row].as_py(), np.int64).reshape(len(ids), dim)
-                block = b.column("block")[row].values
-                qids = block.field("id").to_numpy(zero_copy_only=False)
-                qkeys = block.field("qkey").to_numpy(zero_copy_only=False)
-                q = block.field("vec").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                q = q.reshape(len(qids), dim)
-                found = tile_top(qids, q, ids, c, k)
-                ends = np.cumsum([0] + [len(x[1]) for x in found]).astype(np.int32)
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array(-np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))],
-                    ["neg", "vec_id"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids), pa.array(qkeys), pa.ListArray.from_arrays(pa.array(ends), pairs),
-                     pa.array(np.full(len(qids), b.column("shard")[row].as_py(), np.int64))], schema=schema)
+
+        def lists():
+            top = merge_top(found, k)
+            ends = np.cumsum([0] + [len(x[1]) for x in top]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(-np.concatenate([x[0] for x in top])), pa.array(np.concatenate([x[1] for x in top]))],
+                ["neg", "vec_id"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(qids), pa.array(qkeys), pa.ListArray.from_arrays(pa.array(ends), pairs),
+                 pa.array(np.full(len(qids), shard, np.int64))], schema=schema)
+
+        held, found = None, []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim = batch.column("dim")[row].as_py()
+                ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int64)
+                c = widen(batch.column("mat")[row].as_py(), len(ids), dim)
+                at = dim, batch.column("b")[row].as_py()
+                if at != held:  # a block comes with all shards of the task in a row
+                    if found:
+                        yield lists()
+                    block = batch.column("block")[row].values
+                    qids = block.field("id").to_numpy(zero_copy_only=False).copy()
+                    qkeys = block.field("qkey").to_numpy(zero_copy_only=False).copy()
+                    q = block.field("vec").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    q = q.reshape(len(qids), dim)
+                    held, found, shard = at, [], batch.column("shard")[row].as_py()
+                found.append(tile_top(qids, q, ids, c, k))
+                if len(found) >= fan_in:
+                    found = [merge_top(found, k)]
+        if found:
+            yield lists()
     return search
 
 
@@ -142,16 +181,17 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id",
              .withColumn("qkey", F.xxhash64("id", "vec")))
     asked = materialize(asked, "topk-queries")
     n_shards, n_blocks = shards.count(), pieces(asked.count(), block_rows)
-    groups = pieces(n_shards, 4)
+    # about four tasks a core while a group has four shards at least; a task keeps one group in memory
+    tasks = 4 * shards.sparkSession.sparkContext.defaultParallelism
+    groups = max(min(pieces(n_shards, 4), tasks), pieces(n_shards, 16))
     blocks = (asked.withColumn("b", F.pmod("qkey", F.lit(n_blocks)).cast("int"))
               .groupBy("dim", "b").agg(F.collect_list(F.struct("id", "qkey", "vec")).alias("block"))
-              .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
-    tiles = (shards.withColumn("g", F.pmod("shard", F.lit(groups)).cast("int"))
-             .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-             .join(blocks, ["dim", "b", "g"])
-             .select("dim", "ids", "mat", "block", "shard"))
-    lists = tiles.mapInArrow(search_tiles(k), TILE)
-    left = n_shards
+              .repartition(min(n_blocks, pieces(tasks, groups))))
+    # the size of `blocks` is estimated from packed files, so Spark would broadcast gigabytes
+    tiles = (blocks.hint("shuffle_replicate_nl").join(shards.repartition(groups), "dim")
+             .select("dim", "b", "ids", "mat", "block", "shard"))
+    lists = tiles.mapInArrow(search_tiles(k, fan_in), TILE)
+    left = groups
     while True:  # each round merges about fan_in lists of a query
         left = pieces(left, fan_in)
         best = F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("top")
