@@ -10,6 +10,8 @@ from datetime import datetime, timedelta
 from helpers import TXN_SCHEMA, loop_payment_alerts, txn_rows
 from pyspark.sql import functions as F
 
+from vigil.plans import catalog_streaming as CS
+from vigil.session import tables_dir
 from vigil.sources import otlp as OT
 from vigil.streaming import batches as SB
 from vigil.streaming import joins as SJ
@@ -233,3 +235,42 @@ def test_a_micro_batch_flattens_spans_and_builds_traces_once(spark, monkeypatch)
         t.collect()
     assert seen["spans"].value == 40 and balance["closed"] + balance["open"] == 40
     assert seen["traces"].value == balance["closed"] == len(alerts) > 20
+
+
+def _span_lines(n):
+    span = '{"traceId":"t%d","spanId":"s","parentSpanId":"gone","name":"n","startTimeUnixNano":"%d","endTimeUnixNano":"%d"}'
+    ns = [(1_700_000_000 + 20 * i) * 1_000_000_000 for i in range(n)]
+    return ['{"resourceSpans":[{"scopeSpans":[{"spans":[%s]}]}]}' % (span % (i, t, t + 5_000_000)) for i, t in enumerate(ns)]
+
+
+def test_a_micro_batch_leaves_results_and_state_only(spark):
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    tables = tables_dir(spark)
+    folder = tempfile.mkdtemp(prefix="vigil-stream-test-")
+    spark.createDataFrame([(x,) for x in _span_lines(40)], "line string").write.text(folder + "/in")
+    held, had = set(os.listdir(tables)) if os.path.isdir(tables) else set(), shuffled()
+    stream = OT.decode_messages(OT.telemetry_stream(spark, folder + "/in")).drop("payload")
+    SB.start_fold(stream, SB.telemetry_step(), SB.TELEMETRY_TABLES, folder).awaitTermination()
+    assert not shuffled() - had
+    assert set(os.listdir(tables)) <= held
+    assert spark.read.parquet(folder + "/out/alerts").count() == 36    # the last 60 s wait
+    assert not os.listdir(folder + "/landed") and os.listdir(folder + "/state") == ["0"]
+
+
+def test_landed_lines_are_compressed_and_go_with_their_delivery(spark, monkeypatch):
+    lines = [(x, T0 + timedelta(seconds=i)) for i, x in enumerate(_span_lines(40))] + [("no JSON", T0)]
+    monkeypatch.setattr(CS, "v_otlp_lines", lambda s, d: spark.createDataFrame(lines, "line string, at timestamp"))
+    seen, real = [], SB.start_fold
+
+    def start(stream, step, tables, folder):
+        seen.append({x for x in os.listdir(folder + "/in") if x.startswith("part-")})
+        return real(stream, step, tables, folder)
+
+    monkeypatch.setattr(SB, "start_fold", start)
+    alerts = CS._telemetry(spark, None, "alerts")
+    assert sorted(int(r["trace_id"][1:]) for r in alerts.collect()) == list(range(36))
+    assert len(seen) == 4 and all(x.endswith(".txt.gz") for names in seen for x in names)
+    assert sum(map(len, seen)) == len(set().union(*seen))              # a delivery finds no lines of those before
